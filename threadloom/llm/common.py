@@ -124,6 +124,8 @@ _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x41:0x5B] = _WORD[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _LOWERED = _BYTE[_LOWER]
+#: The lower-cased byte inside words, 0 outside.
+LOWERED_WORD = np.where(_WORD, _LOWER, 0).astype(np.uint8)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

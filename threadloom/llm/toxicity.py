@@ -1,7 +1,8 @@
 """Operator 2: toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. Words that tell the labels apart (chi-squared over the sample) make
-the vocabulary; document frequencies of these words come from all documents. Examples are TF-IDF vectors in a block-max
+Examples are a bounded sample of labelled documents. A text's terms are the runs of four bytes inside its lower-cased
+words, an edge of a word counting as a byte, so that unseen forms of a word share terms with seen ones. Terms that tell the
+labels apart (chi-squared over the sample) make the vocabulary; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max
 inverted index: postings by word, in blocks of examples, with each block's largest weight. A text's K nearest examples
 by exact cosine are found by reading blocks from the highest upper bound down, until no block left can hold a nearer one.
 Votes weighted by distance, drawn to the labels' prior, give the score; a monotone map fitted on the examples, each
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold, text_blocks, words
+from threadloom.llm.common import LOWERED_WORD, fold, text_blocks
 
 #: Bounds of what the classifier learns from: labelled documents, and words of its vocabulary.
 MAX_EXAMPLES = 4096
-MAX_WORDS = 512
+MAX_TERMS = 512
 #: A word's chi-squared must reach this: one chance in ten million, so that few of a large sample's words pass by luck.
 LEAST_CHI2 = 28.0
 K = 32
@@ -36,7 +37,20 @@ EVIDENCE = 3
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 
 
-def distinct_words(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, four bytes as a number) of each term of each text, in their order."""
+    n = len(offsets) - 1
+    # a byte 0 stands for each byte outside words and after each text
+    spaced = np.zeros(len(data) + 2 * n + 2, np.uint8)
+    own = np.repeat(2 * np.arange(n) + 1, np.diff(offsets))
+    spaced[np.arange(len(data)) + own] = LOWERED_WORD[data]
+    at = np.flatnonzero((spaced[1:-2] != 0) & (spaced[2:-1] != 0))
+    x = spaced.astype(np.uint64)
+    gram = (x[at] << np.uint64(24)) | (x[at + 1] << np.uint64(16)) | (x[at + 2] << np.uint64(8)) | x[at + 3]
+    return np.searchsorted(offsets + 2 * np.arange(n + 1), at, "right") - 1, gram
+
+
+def distinct_terms(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word, how often) sorted by text and word."""
     order = np.lexsort((hashes, text))
     text, hashes = text[order], hashes[order]
@@ -46,10 +60,10 @@ def distinct_words(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np
     return text[at], hashes[at], np.diff(np.append(at, len(text)))
 
 
-def example_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def example_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_blocks(batches):
-        _, _, text, hashes = words(data, offsets)
-        of, word, times = distinct_words(text, hashes)
+        text, hashes = terms(data, offsets)
+        of, word, times = distinct_terms(text, hashes)
         # a row for a text without words, too
         none = np.setdiff1d(np.arange(rows.num_rows), of)
         of, word, times = np.concatenate([of, none]), np.concatenate([word.view(np.int64), np.zeros(len(none), np.int64)]), np.concatenate([times, np.zeros(len(none), np.int64)])
@@ -61,10 +75,10 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> D
     """At most `limit` labelled documents outside the held-out fold, chosen by a hash of their ids: doc_id, toxic, word, times."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = chosen.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # twice the bound of ids, as some may have no document
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(2 * limit)
+    # some more ids than the bound, as some may have no document
+    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(limit + limit // 4)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "toxic", "text").mapInArrow(example_words, "doc_id bigint, toxic int, word bigint, times int")
+    return texts.select("doc_id", "toxic", "text").mapInArrow(example_terms, "doc_id bigint, toxic int, word bigint, times int")
 
 
 class Index:
@@ -166,14 +180,18 @@ class Model:
         return score, [{"doc_id": int(self.ids[i]), "toxic": int(self.toxic[i]), "cosine": float(c)} for i, c in zip(who[:EVIDENCE], cosine[:EVIDENCE], strict=True)]
 
 
-def known_words(vocabulary: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket(term: np.ndarray) -> np.ndarray:
+    return ((term * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
+def known_terms(vocabulary: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word's number in the sorted vocabulary, how often)."""
     few = np.zeros(1 << 16, bool)
-    few[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(few[(hashes >> np.uint64(48)).astype(np.int64)])
+    few[bucket(vocabulary)] = True
+    maybe = np.flatnonzero(few[bucket(hashes)])
     at = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), max(0, len(vocabulary) - 1))
     same = vocabulary[at] == hashes[maybe] if len(vocabulary) else np.zeros(0, bool)
-    return distinct_words(text[maybe[same]], at[same])
+    return distinct_terms(text[maybe[same]], at[same])
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -182,8 +200,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(vocabulary), np.int64), 0
         for rows, data, offsets in text_blocks(batches):
-            _, _, text, hashes = words(data, offsets)
-            total += np.bincount(known_words(vocabulary, text, hashes)[1], minlength=len(vocabulary))
+            text, hashes = terms(data, offsets)
+            total += np.bincount(known_terms(vocabulary, text, hashes)[1], minlength=len(vocabulary))
             n += rows.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary)), pa.int64()), pa.array(np.concatenate([[n], total]), pa.int64())], ["word", "n"])
 
@@ -191,7 +209,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     return np.array([sums.get(i, 0) for i in range(len(vocabulary))], np.int64), sums.get(-1, 0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_words: int = MAX_WORDS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model | None:
     """The model; None without an example. The driver holds the vocabulary's words of the bounded sample only."""
     sample = examples(docs, labels, limit).persist()
     rows = sample.where("times = 0").select("doc_id", "toxic").union(sample.where("times > 0").select("doc_id", "toxic")).distinct()
@@ -204,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_wor
     a, b = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     chi2 = F.lit(float(n)) * F.pow(a * (n - positive - b) - b * (positive - a), 2) / (F.col("n") * (F.lit(float(n)) - F.col("n")) * (positive * (n - positive)))
     best = per_word.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2) if 0 < positive < n else per_word.where("false").withColumn("chi2", F.lit(0.0))
-    chosen = best.orderBy(F.desc("chi2"), "word").limit(max_words).select("word", "chi2").collect()
+    chosen = best.orderBy(F.desc("chi2"), "word").limit(max_terms).select("word", "chi2").collect()
     chosen = [r for r in chosen if r["chi2"] >= LEAST_CHI2] or chosen[:64]
     vocabulary = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
     spread = sample.where(F.col("word").isin([r["word"] for r in chosen])).select("doc_id", "word", "times").distinct() if chosen else sample.where("false").select("doc_id", "word", "times")
@@ -221,9 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_wor
     return Model(np.array(order, np.int64), np.array([ids[i] for i in order], np.int64), vectors, vocabulary, idf)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_words: int = MAX_WORDS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, evidence."""
-    model = learn(docs, labels, limit, max_words)
+    model = learn(docs, labels, limit, max_terms)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +251,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_
             n = rows.num_rows
             scores, evidence = np.zeros(n), [[]] * n
             if model is not None:
-                _, _, text, hashes = words(data, offsets)
-                of, word, times = known_words(model.vocabulary, text, hashes)
+                text, hashes = terms(data, offsets)
+                of, word, times = known_terms(model.vocabulary, text, hashes)
                 first = np.searchsorted(of, np.arange(n + 1))
                 for i in range(n):
                     span = slice(first[i], first[i + 1])
