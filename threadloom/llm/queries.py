@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontamination, language, suffix_dedup, token_output, toxicity
+from threadloom.llm import decontamination, jaccard_join, language, suffix_dedup, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated", "longest_match")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -43,7 +47,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op5_token_output, op6_language)
+    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language)
     return {f.__name__: f for f in named}
 
 

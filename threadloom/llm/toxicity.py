@@ -27,8 +27,8 @@ from threadloom.llm.common import LOWERED_WORD, fold, text_blocks
 #: Bounds of what the classifier learns from: labelled documents, and words of its vocabulary.
 MAX_EXAMPLES = 4096
 MAX_TERMS = 512
-#: A word's chi-squared must reach this: one chance in ten million, so that few of a large sample's words pass by luck.
-LEAST_CHI2 = 28.0
+#: A word's chi-squared must reach this: one chance in ten thousand, so that few of a large sample's words pass by luck.
+LEAST_CHI2 = 15.0
 K = 32
 BLOCK = 64
 #: A vote's weight is 1 / (distance + SOFT); the prior has PRIOR votes at distance 1.
