@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontamination, jaccard_join, language, suffix_dedup, token_output, toxicity
+from threadloom.llm import decontamination, embed_dedup, jaccard_join, language, suffix_dedup, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language)
+    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language, op9_embed_dedup)
     return {f.__name__: f for f in named}
 
 
