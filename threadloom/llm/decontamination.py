@@ -211,3 +211,22 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """A row per document, with `contaminated` where hit words are at least one in `share` of its words."""
     found = matches(docs, item_blocks(benchmark), window)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """The documents, all their columns, that are not contaminated."""
+    shared = [docs.sparkSession.sparkContext.broadcast(Benchmark(items, window)) for items in item_blocks(benchmark)]
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_blocks(batches, "text", SHARD_BYTES):
+            _, _, text, hashes = words(data, offsets)
+            n_words = counts_by_text(text, rows.num_rows)
+            edges = np.zeros(len(hashes) + 1, np.int64)
+            for bench in (b.value for b in shared):
+                query, at = occurrences(bench, text, hashes)
+                np.add.at(edges, at, 1)
+                np.add.at(edges, at + bench.sizes[query], -1)
+            n_hit = counts_by_text(text[np.cumsum(edges[:-1]) > 0], rows.num_rows)
+            yield rows.filter(pa.array((n_hit == 0) | (n_hit * share < n_words)))
+
+    return docs.mapInArrow(keep, docs.schema)

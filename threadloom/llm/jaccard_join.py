@@ -266,3 +266,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
         component.eqNullSafe(F.col("doc_id")).alias("kept"),
         F.col("th").alias("text_hash"),
     )
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """The documents, all their columns, that are the smallest of their groups; of repeated rows one."""
+    kept = jaccard_join(docs, threshold, width).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__k"), F.col("text_hash").alias("__th")).distinct()
+    k, th = keys_of_rows()
+    rows = docs.withColumns({"__k": k, "__th": th}).join(kept, ["__k", "__th"], "left_semi")
+    return rows.dropDuplicates(["__k", "__th"]).drop("__k", "__th").select(*docs.columns)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontamination, embed_dedup, jaccard_join, language, suffix_dedup, token_output, toxicity
+from threadloom.llm import chat, decontamination, embed_dedup, jaccard_join, language, line_dedup, mixing, suffix_dedup, token_output, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,14 +46,36 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(chat.raw_transcripts(table(spark, sf_dir, "conversations")))
+
+
+#: Domains of the tables' sources, and target weights of domains and of languages within each.
+WEIGHTS = {("web",): 0.3, ("reference",): 0.4, ("community",): 0.3}
+WEIGHTS |= {(domain, lang): w for (domain,) in list(WEIGHTS) for lang, w in (("en", 0.5), ("fr", 0.2), ("es", 0.15), ("de", 0.15))}
+
+
+def domain_of(source: str = "source") -> Column:
+    number = F.try_to_number(F.regexp_extract(source, r"(\d{1,6})$", 1), F.lit("999999"))
+    return F.when(number == 0, "web").when(number < 10, "reference").otherwise("community")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain_of(), WEIGHTS, share=0.5, max_epochs=2, seed=17)
+
+
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language, op9_embed_dedup)
+    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language, op7_chat, op8_mixing, op9_embed_dedup, op10_line_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": line_dedup.ORACLE}

@@ -239,30 +239,53 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_ter
     return Model(np.array(order, np.int64), np.array([ids[i] for i in order], np.int64), vectors, vocabulary, idf)
 
 
+class Scorer:
+    """Scores blocks of texts; equal terms are scored once."""
+
+    def __init__(self, model: Model | None) -> None:
+        self.model, self.memory = model, {}
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, list[dict]]]:
+        n = len(offsets) - 1
+        if self.model is None:
+            return [(0.0, [])] * n
+        of, word, times = known_terms(self.model.vocabulary, *terms(data, offsets))
+        first = np.searchsorted(of, np.arange(n + 1))
+        out = []
+        for i in range(n):
+            span = slice(first[i], first[i + 1])
+            key = word[span].tobytes() + times[span].tobytes()
+            if key not in self.memory:
+                if len(self.memory) > 50_000:
+                    self.memory.clear()
+                self.memory[key] = self.model.score(word[span], times[span])
+            out.append(self.memory[key])
+        return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, evidence."""
-    model = learn(docs, labels, limit, max_terms)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit, max_terms))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = shared.value, {}
+        scorer = Scorer(shared.value)
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for rows, data, offsets in text_blocks(batches):
-            n = rows.num_rows
-            scores, evidence = np.zeros(n), [[]] * n
-            if model is not None:
-                text, hashes = terms(data, offsets)
-                of, word, times = known_terms(model.vocabulary, text, hashes)
-                first = np.searchsorted(of, np.arange(n + 1))
-                for i in range(n):
-                    span = slice(first[i], first[i + 1])
-                    key = word[span].tobytes() + times[span].tobytes()
-                    if key not in memory:
-                        if len(memory) > 50_000:
-                            memory.clear()
-                        memory[key] = model.score(word[span], times[span])
-                    scores[i], evidence[i] = memory[key]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(scores), pa.array(scores >= 0.5).cast(pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            found = scorer(data, offsets)
+            scores = np.array([s for s, _ in found])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in found], kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text"))
     return rows.mapInArrow(score, SCHEMA)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The documents, all their columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit, max_terms))
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for rows, data, offsets in text_blocks(batches):
+            yield rows.filter(pa.array([s < 0.5 for s, _ in scorer(data, offsets)]))
+
+    return docs.mapInArrow(keep, docs.schema)
