@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import U64, mix, partitions, prefix_sums, span_hash, text_blocks
+from threadloom.llm.common import U64, mix, partitions, prefix_sums, span_hash, stored, text_blocks
 
 LENGTH, START = 200, 50
 #: Bytes of a text that are ranked at once.
@@ -210,15 +210,20 @@ def spans(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFram
     """Spans of string starts (k, th, lo, hi) of all repeated strings."""
     found = anchors(docs, length, start)
     row: Column = F.xxhash64("k", "th", "lo")
-    kinds = found.groupBy("rank", "around").agg(F.count("*").alias("n"), F.max(row).alias("chosen"))
-    # how many kinds of surroundings each rank has; rows of one rank are as many as the kinds, not as the copies
-    per_rank = kinds.groupBy("rank").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("n_all")).where("n_all > 1")
-    kinds = kinds.join(per_rank, "rank").select("rank", "around", "n", "chosen", "n_kinds")
-    placed = found.join(kinds, ["rank", "around"])
-    copies = placed.where("n > 1").select("k", "th", "lo", "hi")
-    salt = F.pmod(F.xxhash64(F.lit("salt"), "k", "th", "lo"), F.ceil(F.col("n_kinds") / RUNS))
-    open_runs = placed.where((F.col("n_kinds") > 1) & ((F.col("n") == 1) | (row == F.col("chosen"))))
-    open_runs = open_runs.select("k", "th", "rank", salt.alias("salt"), "lo", "hi", (F.col("n") > 1).alias("known"), (F.col("n_kinds") > RUNS).alias("split"))
+    # ranks that occur once are dropped here, before anything else moves
+    ranks = found.groupBy("rank").agg(F.count("*").alias("n_rank"), (F.min("around") != F.max("around")).alias("differ")).where("n_rank > 1")
+    # written once, as several steps read it and each would rank all texts again
+    placed = stored(found.join(ranks, "rank"), "ranks")
+    # where the same surroundings stand around each of a rank's places, all its strings are repeated
+    alike = placed.where("not differ").select("k", "th", "lo", "hi")
+    mixed = placed.where("differ").select("k", "th", "rank", "around", "lo", "hi", "n_rank")
+    kinds = mixed.groupBy("rank", "around").agg(F.count("*").alias("n"), F.max(row).alias("chosen"))
+    mixed = stored(mixed.join(kinds, ["rank", "around"]).drop("around"), "runs")
+    copies = alike.union(mixed.where("n > 1").select("k", "th", "lo", "hi"))
+    # of surroundings that occur more than once, one run stands for all
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "k", "th", "lo"), F.ceil(F.col("n_rank") / RUNS))
+    open_runs = mixed.where((F.col("n") == 1) | (row == F.col("chosen")))
+    open_runs = open_runs.select("k", "th", "rank", salt.alias("salt"), "lo", "hi", (F.col("n") > 1).alias("known"), (F.col("n_rank") > RUNS).alias("split"))
     told = refined(context(docs, open_runs, length), length, start)
     settled = told.where("s is null").select("k", "th", "lo", "hi")
     rest = told.where("s is not null")
