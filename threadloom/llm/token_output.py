@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from threadloom.llm.common import partitions, stored
 #: Ids of a segment at least, but for the last of a file.
 SEGMENT_IDS = 1 << 18
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 SEGMENT_SCHEMA = "part int, segment int, before bigint, doc_ids array<bigint>, n_tokens array<int>, n_ids bigint, block_offsets array<bigint>, words binary"
 DOCUMENT_SCHEMA = "doc_id bigint, part int, in_part bigint, n_tokens bigint, ids_crc32 bigint"
 
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Control characters that Python splits at and the tokenizer doesn't, and what may begin a special token.
 _UNSURE = re.compile("[\x1c-\x1f]|<\\|")
 
@@ -52,6 +53,7 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = type(self.tokenizer.model).__name__ == "BPE" and self._splits_at_white_space()
         self.model = self.tokenizer.model
+        self.known_marks: dict[str, bytes] = {}
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
@@ -62,20 +64,32 @@ class Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
-            self.clear()
-        if m := _PLAIN.fullmatch(word):
-            letters, marks = m.groups()
-            ids = [t.id for t in self.model.tokenize(letters.lower().translate(self.bytes))]
-            if marks:
-                ids += [t.id for t in self.model.tokenize(marks)]
+            # words met early are the frequent ones
+            for late in list(self)[CACHE_WORDS // 2 :]:
+                del self[late]
+        letters = word.rstrip(".,;:!?")
+        if letters and (letters.isalpha() if letters.isascii() else _PLAIN.fullmatch(letters)):
+            lower = letters.lower()
+            out = self.get(lower)
+            if out is None:
+                ids = [t.id for t in self.model.tokenize(lower if lower.isascii() else lower.translate(self.bytes))]
+                out = pack(f"<{len(ids)}I", *ids)
+            if letters != word:
+                out += self._marks(word[len(letters) :])
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+            out = pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.known_marks:
+            self.known_marks[marks] = pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize(marks)]) else b""
+        return self.known_marks[marks]
+
     def ids(self, text: str) -> bytes:
         if self.plain and not _UNSURE.search(text):
-            return b"".join(map(self.__getitem__, text.split()))
+            return b"".join([self[w] for w in text.split()])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
