@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import redaction, text
+from threadloom.plans.storage import stored
 
 # The document's limit, and the versions of its label and header.
 LIMIT, LABEL_VERSION, HEADER_VERSION, SCHEMA_VERSION = 8192, 3, 1, 1
@@ -153,8 +154,10 @@ def build(sessions: DataFrame, turns: DataFrame, limit: int = LIMIT) -> DataFram
     A document whose JSON fits already, which is most, is encoded by Spark alone; the rest go through Arrow batches of
     their own. Fitting needs no shuffle: a row is a session.
     """
-    docs = documents(sessions, turns).withColumn("json", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
-    rows = docs.select("source_id", "project_key", F.col("json").alias("content_json"), "omitted_visible_turns", F.size("excerpts").alias("n_excerpts"))
+    docs = documents(sessions, turns)
+    json_of = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    # written once: both kinds of rows read it, and the expressions behind it would be planned again for each
+    rows = stored(docs.select("source_id", "project_key", json_of.alias("content_json"), "omitted_visible_turns", F.size("excerpts").alias("n_excerpts")), "capsules")
     fits = rows.where(F.octet_length("content_json") <= limit)
     large = rows.where(F.octet_length("content_json") > limit)
 

@@ -56,7 +56,7 @@ chosen AS (SELECT * FROM ranked WHERE from_end <= 4 OR ordinal = first_user)"""
 SEARCH = """
 sdoc AS (SELECT source_id, n, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM trn GROUP BY 1, 2),
 plain AS (SELECT source_id, n, regexp_extract_all(translate(lower(body), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}]+') AS ws FROM sdoc),
-pos AS (SELECT source_id, n, len(ws) AS length, unnest(ws) AS term, unnest(range(len(ws))) AS at FROM plain)"""
+pos AS (SELECT source_id, n, len(ws) AS length, unnest(ws) AS term, unnest(range(len(ws))) AS place FROM plain)"""
 FINGERPRINTS = """
 cur AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS fingerprint FROM documents WHERE doc_id % 6 <> 5),
 old AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id, sha256(text) AS previous, doc_id % 13 <> 0 AS validated FROM documents WHERE doc_id % 10 <> 0),
@@ -142,10 +142,10 @@ FROM f FULL JOIN o ON f.source_id = o.source_id""",
     "next_checkpoint": f"""{_with(FINGERPRINTS)}, n AS (SELECT *, coalesce(CASE WHEN doc_id % 7 = 0 AND doc_id % 6 <> 5 THEN doc_id % 21 <> 0 END, op = 'unchanged') AS good FROM dlt WHERE op <> 'removed')
 SELECT source_id, CASE WHEN good THEN fingerprint ELSE previous END AS fingerprint, good AS validated FROM n WHERE CASE WHEN good THEN fingerprint ELSE previous END IS NOT NULL""",
     "repeated_sources": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) - 1 AS repeats FROM documents GROUP BY 1",
-    "term_postings": f"{_with(TURNS, SEARCH)} SELECT source_id, term, count(*) AS n, min(at) AS "first", CAST(any_value(length) AS BIGINT) AS length FROM pos GROUP BY source_id, term",
+    "term_postings": f"""{_with(TURNS, SEARCH)} SELECT source_id, term, count(*) AS n, min(place) AS "first", CAST(any_value(length) AS BIGINT) AS length FROM pos GROUP BY source_id, term""",
     "search_bm25": _bm25(["und", "the"], "project_key = 'p1'", True),
     "search_filtered": _bm25(["die", "des"], "project_key = 'p1' AND health = 'complete' AND updated_at >= TIMESTAMP '2024-01-01 03:00:00'", False),
-    "phrase_search": f"{_with(TURNS, SEARCH)} SELECT a.source_id, count(*) AS n FROM pos a JOIN pos b ON a.source_id = b.source_id AND b.at = a.at + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1",
+    "phrase_search": f"{_with(TURNS, SEARCH)} SELECT a.source_id, count(*) AS n FROM pos a JOIN pos b ON a.source_id = b.source_id AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1",
     "prefix_search": f"{_with(TURNS, SEARCH)} SELECT DISTINCT source_id FROM pos WHERE term LIKE 'thand%' AND source_id NOT IN (SELECT source_id FROM pos WHERE term = 'und')",
     "weak_components": f"""{_with(SESSIONS, EDGES, "pairs AS (SELECT source_id AS a, target_id AS b FROM edg UNION SELECT target_id, source_id FROM edg)", "walk AS (SELECT a AS node, a AS other FROM pairs UNION SELECT walk.node, pairs.b FROM walk JOIN pairs ON walk.other = pairs.a)", recursive=True)}
 SELECT node, min(other) AS component FROM walk GROUP BY 1""",
