@@ -143,10 +143,10 @@ FROM f FULL JOIN o ON f.source_id = o.source_id""",
 SELECT source_id, CASE WHEN good THEN fingerprint ELSE previous END AS fingerprint, good AS validated FROM n WHERE CASE WHEN good THEN fingerprint ELSE previous END IS NOT NULL""",
     "repeated_sources": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) - 1 AS repeats FROM documents GROUP BY 1",
     "term_postings": f"""{_with(TURNS, SEARCH)} SELECT source_id, term, count(*) AS n, min(place) AS "first", CAST(any_value(length) AS BIGINT) AS length FROM pos GROUP BY source_id, term""",
-    "search_bm25": _bm25(["und", "the"], "project_key = 'p1'", True),
+    "search_bm25": _bm25(["of", "the"], "project_key = 'p1'", True),
     "search_filtered": _bm25(["die", "des"], "project_key = 'p1' AND health = 'complete' AND updated_at >= TIMESTAMP '2024-01-01 03:00:00'", False),
     "phrase_search": f"{_with(TURNS, SEARCH)} SELECT a.source_id, count(*) AS n FROM pos a JOIN pos b ON a.source_id = b.source_id AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1",
-    "prefix_search": f"{_with(TURNS, SEARCH)} SELECT DISTINCT source_id FROM pos WHERE term LIKE 'thand%' AND source_id NOT IN (SELECT source_id FROM pos WHERE term = 'und')",
+    "prefix_search": f"{_with(TURNS, SEARCH)} SELECT DISTINCT source_id FROM pos WHERE term LIKE 'ver%' AND source_id NOT IN (SELECT source_id FROM pos WHERE term = 'der')",
     "weak_components": f"""{_with(SESSIONS, EDGES, "pairs AS (SELECT source_id AS a, target_id AS b FROM edg UNION SELECT target_id, source_id FROM edg)", "walk AS (SELECT a AS node, a AS other FROM pairs UNION SELECT walk.node, pairs.b FROM walk JOIN pairs ON walk.other = pairs.a)", recursive=True)}
 SELECT node, min(other) AS component FROM walk GROUP BY 1""",
     "component_of_anchor": f"""{_with(SESSIONS, EDGES, "pairs AS (SELECT source_id AS a, target_id AS b FROM edg UNION SELECT target_id, source_id FROM edg)", "walk AS (SELECT 'claude:store:4' AS node UNION SELECT pairs.b FROM walk JOIN pairs ON walk.node = pairs.a)", recursive=True)}
@@ -170,7 +170,7 @@ SELECT list_value('codex','grok','opencode','cursor','claude','antigravity')[(x.
 AND NOT EXISTS (SELECT 1 FROM edg WHERE edg.t = x.n AND edg.s = x.n - 4)""",
     "recent_excerpts": f"{_with(TURNS, CHOSEN)} SELECT source_id, ordinal, role, text FROM chosen",
     "capsule_excerpts": f"""{_with(TURNS, CHOSEN)} SELECT source_id, ordinal, CASE WHEN length(text) <= 2048 THEN text ELSE regexp_replace(substr(text, 1, 2036), '\\s+$', '') || '…[Truncated]' END AS text, length(text) > 2048 AS truncated, locator AS turn_locator FROM chosen""",
-    "capsule_labels": rf"""{_with(SESSIONS, TURNS, EXCERPT)}, g AS (SELECT source_id, adapter, nullif(coalesce(title, ''), '') AS native, {ITEM.format("CASE WHEN length(excerpt) <= 2048 THEN excerpt ELSE regexp_replace(substr(excerpt, 1, 2036), '\s+$', '') || '…[Truncated]' END")} AS flat
+    "capsule_labels": rf"""{_with(SESSIONS, TURNS, EXCERPT)}, g AS (SELECT source_id, adapter, nullif(coalesce(title, ''), '') AS native, {ITEM.format(r"CASE WHEN length(excerpt) <= 2048 THEN excerpt ELSE regexp_replace(substr(excerpt, 1, 2036), '\s+$', '') || '…[Truncated]' END")} AS flat
 FROM sess LEFT JOIN fst USING (source_id) WHERE source_id IN (SELECT source_id FROM trn)), c AS (SELECT *, coalesce(native, flat) AS name FROM g)
 SELECT source_id, CASE WHEN name IS NULL THEN upper(adapter[1]) || adapter[2:] || ' session · no user task captured' WHEN length(name) <= 96 THEN name ELSE regexp_replace(substr(name, 1, 84), '\s+$', '') || '…[Truncated]' END AS display_name,
 coalesce(length(name) > 96, false) AS truncated, CASE WHEN native IS NOT NULL THEN 'native' WHEN name IS NULL THEN 'no_user_task' ELSE 'derived_goal' END AS title_origin FROM c""",

@@ -253,7 +253,7 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "und the").select("source_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir, "of the").select("source_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -271,7 +271,7 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(_search_documents(spark, sf_dir), stems=False)
-    return search.matches(index, search.parse("thand* NOT und", stems=False)).select("source_id")
+    return search.matches(index, search.parse("ver* NOT der", stems=False)).select("source_id")
 
 
 @query
