@@ -135,7 +135,7 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget:
 def mixed_documents(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], **how) -> DataFrame:
     """The documents, all their columns, once for each epoch that takes any of their tokens; they stay whole."""
     names = {"doc_id": "__k", "text_hash": "__th"}
-    taken = mix(docs, domain, weights, **how).where("n_taken > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(names["doc_id"]), F.col("text_hash").alias(names["text_hash"]), "epoch")
+    taken = mix(docs, domain, weights, **how).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(names["doc_id"]), F.col("text_hash").alias(names["text_hash"]), "epoch")
     # rows that repeat a document are taken as often as they are repeated, in the same epochs
     taken = taken.groupBy("__k", "__th").agg(F.max("epoch").alias("__last")).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last")))).drop("__last")
     keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
