@@ -46,7 +46,7 @@ def namespace(root: str) -> str:
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, line, value, complete) of the files below root. A file is one row until its lines are numbered, so that a line's
     place doesn't depend on how files are split; `complete` is false for a last line without its line break."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     cut = F.split("value", "\n")
     rows = files.select("path", "modified", (F.endswith("value", F.lit("\n"))).alias("closed"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "value"))
@@ -155,7 +155,7 @@ def grok(spark: SparkSession, root: str) -> Scan:
     ns = namespace(root)
     native, group = F.lower(F.regexp_extract("path", rf"(?i)/({UUID})/[^/]+$", 1)), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1)
     summary = "created_at string, updated_at string, git_root_dir string, generated_title string, current_model_id string"
-    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").option("wholetext", "true").text(root)
+    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").text(root, wholetext=True)
     heads = heads.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     heads = heads.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("r", F.from_json("value", summary)).withColumn("native", native).where("native <> ''")
     # a file URL escapes the percent signs of the folder's own name
@@ -196,7 +196,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     """A catalog, one JSON array of sessions, and a JSON export of each session."""
     ns = namespace(exports)
     entry = "array<struct<id:string,directory:string,title:string,version:string,updated:bigint,created:bigint,time:struct<created:bigint,updated:bigint>>>"
-    rows = spark.read.option("wholetext", "true").text(catalog).select(F.posexplode(F.from_json("value", entry)).alias("at", "e"))
+    rows = spark.read.text(catalog, wholetext=True).select(F.posexplode(F.from_json("value", entry)).alias("at", "e"))
     crowded = rows.agg(F.count("*").alias("n")).where(F.col("n") > CATALOG_LIMIT)
     rows = rows.where(F.col("at") < CATALOG_LIMIT)
     if directory is not None:
@@ -206,7 +206,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     good = F.rlike("e.id", F.lit(r"^ses_[A-Za-z0-9_-]{1,128}$")) & (F.trim("e.title") != "") & (F.col("u") >= 0) & (F.col("c") >= 0)
     good = F.coalesce(good, F.lit(False))
     one = "info struct<id:string,directory:string,model:struct<id:string,providerID:string,variant:string>,time:struct<created:bigint,updated:bigint>>, messages array<struct<info:struct<id:string,sessionID:string,role:string,time:struct<created:bigint>>,parts:array<struct<type:string,text:string,ignored:boolean>>>>"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(exports)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", F.from_json("value", one)).where("r.info.id is not null and path not like '%session-list%'")
     ids = rows.select("source_id", F.col("native_id").alias("nid"), "u")
     files = files.join(ids, F.col("r.info.id") == F.col("nid"))
@@ -240,7 +240,7 @@ def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
     heads = rows.groupBy("source_id", "adapter", "namespace", "native_id", F.col("path").alias("locator")).agg(F.max("modified").alias("modified"), text.header_value(F.max_by(model, F.when(model.isNotNull(), F.col("line")))).alias("task_model"))
     heads = heads.join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left")
     if chats is not None:
-        meta = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").option("wholetext", "true").text(chats)
+        meta = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").text(chats, wholetext=True)
         meta = meta.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/meta\.json$", 1).alias("nid"), F.from_json("value", "title string, createdAtMs bigint, updatedAtMs bigint, cwd string").alias("s")).dropDuplicates(["nid"])
         heads = heads.join(meta, F.col("native_id") == F.col("nid"), "left")
     else:
