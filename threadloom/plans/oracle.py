@@ -146,7 +146,7 @@ SELECT source_id, CASE WHEN good THEN fingerprint ELSE previous END AS fingerpri
     "search_bm25": _bm25(["of", "the"], "project_key = 'p1'", True),
     "search_filtered": _bm25(["die", "des"], "project_key = 'p1' AND health = 'complete' AND updated_at >= TIMESTAMP '2024-01-01 03:00:00'", False),
     "phrase_search": f"{_with(TURNS, SEARCH)} SELECT a.source_id, count(*) AS n FROM pos a JOIN pos b ON a.source_id = b.source_id AND b.place = a.place + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1",
-    "prefix_search": f"{_with(TURNS, SEARCH)} SELECT DISTINCT source_id FROM pos WHERE term LIKE 'ver%' AND source_id NOT IN (SELECT source_id FROM pos WHERE term = 'der')",
+    "prefix_search": f"{_with(TURNS, SEARCH)} SELECT DISTINCT source_id FROM pos WHERE term LIKE 'ea%' AND source_id NOT IN (SELECT source_id FROM pos WHERE term = 'der')",
     "weak_components": f"""{_with(SESSIONS, EDGES, "pairs AS (SELECT source_id AS a, target_id AS b FROM edg UNION SELECT target_id, source_id FROM edg)", "walk AS (SELECT a AS node, a AS other FROM pairs UNION SELECT walk.node, pairs.b FROM walk JOIN pairs ON walk.other = pairs.a)", recursive=True)}
 SELECT node, min(other) AS component FROM walk GROUP BY 1""",
     "component_of_anchor": f"""{_with(SESSIONS, EDGES, "pairs AS (SELECT source_id AS a, target_id AS b FROM edg UNION SELECT target_id, source_id FROM edg)", "walk AS (SELECT 'claude:store:4' AS node UNION SELECT pairs.b FROM walk JOIN pairs ON walk.node = pairs.a)", recursive=True)}
@@ -186,6 +186,14 @@ SELECT project_key, CASE WHEN k = 0 THEN 'unavailable' WHEN code IN ('host_id_ma
 SELECT native_id AS request, CASE code WHEN 'host_id_match' THEN 'confirmation_required' ELSE 'unavailable' END AS kind, code FROM d""",
     "resumable_sessions": f"""{_with(SESSIONS)}, r AS (SELECT source_id, CASE WHEN NOT native_available THEN 'unavailable' WHEN n % 4 = 0 THEN 'unsafe-id' END AS reason FROM sess) SELECT source_id, reason IS NULL AS resumable, reason FROM r""",
 }
+ORACLE["backfill_titles"] = f"""{_with(SESSIONS)}, lab AS ({ORACLE["capsule_labels"]})
+SELECT source_id, CASE WHEN trim(coalesce(title, '')) = '' THEN coalesce(display_name, title) ELSE title END AS title FROM sess LEFT JOIN lab USING (source_id)"""
+ORACLE["link_requests"] = f"""{_with(SESSIONS, EDGES, "walk AS (SELECT s, t FROM edg UNION SELECT walk.s, edg.t FROM walk JOIN edg ON walk.t = edg.s)", recursive=True)},
+req AS (SELECT n, project_key, native_available AS there, n % 12 AS k, CASE n % 12 WHEN 3 THEN n - 1 WHEN 4 THEN n + 4 ELSE n - 4 END AS src FROM sess),
+fact AS (SELECT req.*, a.n IS NULL AS unknown, a.project_key <> req.project_key AS far, a.native_available AS open_, EXISTS (SELECT 1 FROM edg WHERE edg.s = src AND edg.t = req.n) AS stands, EXISTS (SELECT 1 FROM walk w WHERE w.s = req.n AND w.t = src) AS back FROM req LEFT JOIN sess a ON a.n = src),
+told AS (SELECT *, CASE WHEN k = 0 THEN 'no-sources' WHEN k = 5 OR (k = 1 AND src < 0) THEN 'invalid-session-id' WHEN k = 1 THEN 'duplicate-source' WHEN k = 2 THEN 'self-link' WHEN k = 6 THEN 'unknown-target'
+ WHEN unknown THEN 'unknown-source' WHEN far THEN 'foreign-source' WHEN NOT stands AND NOT there THEN 'unavailable-target' WHEN NOT stands AND NOT open_ THEN 'unavailable-source' WHEN back THEN 'cycle' END AS refusal FROM fact)
+SELECT CAST(n AS VARCHAR) AS request, refusal, CASE WHEN refusal IS NULL AND NOT stands THEN 1 ELSE 0 END AS inserted, CASE WHEN refusal IS NULL AND stands THEN 1 ELSE 0 END AS existing FROM told"""
 
 
 def oracle_sql() -> dict[str, str]:

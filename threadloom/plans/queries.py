@@ -271,7 +271,7 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(_search_documents(spark, sf_dir), stems=False)
-    return search.matches(index, search.parse("ver* NOT der", stems=False)).select("source_id")
+    return search.matches(index, search.parse("ea* NOT der", stems=False)).select("source_id")
 
 
 @query
