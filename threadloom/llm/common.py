@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes and rows of texts that Spark hands to Python at once.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session set to hand texts to Python in small batches: whole texts may be long, and two copies of a batch are held."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        try:
+            now = int(re.sub(r"\D", "", conf.get(name)))
+        except Exception:  # noqa: BLE001  this Spark has no such setting
+            continue
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return df
+
+
 # ---------------------------------------------------------------- blocks of text
 
 
+#: What frees the memory that other operators keep in a worker process.
+RELEASE: list[Callable[[], None]] = []
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their text bytes end to end, offsets of each text) in blocks of about `limit` bytes; null is empty."""
+    for free in RELEASE:
+        free()
     for batch in batches:
         at = batch.schema.get_field_index(column)
         texts = pc.fill_null(batch.column(at), "").cast(pa.large_string())
@@ -101,7 +126,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(10, (n - 1).bit_length())
+        size = max(n + (n >> 3), 1 << 10)
         have = np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
         _powers[base] = have
     return have[:n]

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import counts_by_text, text_blocks, words
+from threadloom.llm.common import counts_by_text, small_batches, text_blocks, words
 
 WINDOW = 13
 #: Text of benchmark items that is broadcast at once.
 BENCHMARK_BYTES = 8 << 20
 #: Text of a shard; its array is sorted and searched at once.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 MATCH = "struct<item_id:string,item_word:int,doc_word:int,n_words:int>"
 MATCH_TYPE = pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])
 SCHEMA = f"doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, item_ids array<string>, longest_match bigint, matches array<{MATCH}>"
@@ -189,7 +189,7 @@ def matches(docs: DataFrame, blocks: list[list[tuple[str, str]]], window: int =
             columns = [(rows.column(0), None), (n_words, pa.int64()), (n_hit, pa.int64()), ([len(x) for x in names], pa.int64()), (names, pa.list_(pa.string())), (longest, pa.int64()), (found, pa.list_(MATCH_TYPE))]
             yield pa.RecordBatch.from_arrays([x if kind is None else pa.array(x, kind) for x, kind in columns], ["doc_id", "n_words", "n_hit", "n_items", "item_ids", "longest_match", "matches"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(search, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(search, SCHEMA)
 
 
 def item_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
@@ -229,4 +229,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
             n_hit = counts_by_text(text[np.cumsum(edges[:-1]) > 0], rows.num_rows)
             yield rows.filter(pa.array((n_hit == 0) | (n_hit * share < n_words)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import U64, blobs, counts_by_text, mix, partitions, shingles, sorted_groups, stored, text_blocks, words
+from threadloom.llm.common import U64, blobs, counts_by_text, mix, partitions, shingles, small_batches, sorted_groups, stored, text_blocks, words
 from threadloom.llm.components import components, spanning
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -227,7 +227,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """A row per document: doc_id, class_id (smallest doc_id of equal words), n_copies, n_links (other documents of at
     least the similarity, copies included), component_id (smallest doc_id that links reach), kept (it is the smallest itself), text_hash (tells rows of one id apart)."""
-    signed = stored(classes(docs, width), "classes")
+    signed = stored(classes(small_batches(docs), width), "classes")
     kinds = signed.where("n_words > 0").groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th")).alias("row"), F.first("signature").alias("signature"))
     kinds = stored(kinds.select(F.xxhash64("c1", "c2").alias("c"), "c1", "c2", "copies", "row.k", "row.th", "signature"), "kinds")
     size = 2 * ROWS

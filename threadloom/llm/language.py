@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold, text_blocks
+from threadloom.llm.common import fold, small_batches, text_blocks
 
 WINDOW = 128
 #: Bounds of the sample: labelled texts of each language, windows of each, and languages.
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Network | None:
 
 def language(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (the language's share of the text's probability)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, max_texts))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(small_batches(docs), max_texts))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import U64, mix, partitions, prefix_sums, span_hash, stored, text_blocks
+from threadloom.llm.common import U64, mix, partitions, prefix_sums, small_batches, span_hash, stored, text_blocks
 
 LENGTH, START = 200, 50
 #: Bytes of a text that are ranked at once.
@@ -268,7 +268,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, start: int = START, text
 
     In kept_text what a removal left of a split character is replaced; kept_sha256 is of the very bytes.
     """
-    docs = keyed(docs)
+    docs = keyed(small_batches(docs))
     lists = spans(docs, length, start).groupBy("k", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     rows = docs.join(lists, ["k", "th"], "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(lambda b: kept_bytes(b, length, texts), RESULT_SCHEMA if not texts else RESULT_SCHEMA.replace("kept_sha256", "kept_text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm import simple8b
-from threadloom.llm.common import partitions, stored
+from threadloom.llm.common import RELEASE, partitions, small_batches, stored
 
 #: Ids of a segment at least, but for the last of a file.
 SEGMENT_IDS = 1 << 18
@@ -94,6 +94,7 @@ class Encoder(dict):
 
 
 _encoders: dict[str, Encoder] = {}
+RELEASE.append(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -135,7 +136,7 @@ def token_segments(docs: DataFrame, tokenizer: str, end_id: int | None = 1) -> D
             yield closed()
 
     tie = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     return rows.mapInArrow(encode, SEGMENT_SCHEMA)
 

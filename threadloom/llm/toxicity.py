@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import LOWERED_WORD, fold, text_blocks
+from threadloom.llm.common import LOWERED_WORD, fold, small_batches, text_blocks
 
 #: Bounds of what the classifier learns from: labelled documents, and words of its vocabulary.
 MAX_EXAMPLES = 4096
@@ -34,6 +34,8 @@ BLOCK = 64
 #: A vote's weight is 1 / (distance + SOFT); the prior has PRIOR votes at distance 1.
 SOFT, PRIOR = 0.05, 1.0
 EVIDENCE = 3
+#: Term vectors whose scores a task remembers.
+REMEMBERED = 5_000
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 
 
@@ -211,7 +213,7 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model | None:
     """The model; None without an example. The driver holds the vocabulary's words of the bounded sample only."""
-    sample = examples(docs, labels, limit).persist()
+    sample = examples(small_batches(docs), labels, limit).persist()
     rows = sample.where("times = 0").select("doc_id", "toxic").union(sample.where("times > 0").select("doc_id", "toxic")).distinct()
     ids = {r[0]: r[1] for r in rows.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(limit).collect()}
     if not ids:
@@ -256,7 +258,7 @@ class Scorer:
             span = slice(first[i], first[i + 1])
             key = word[span].tobytes() + times[span].tobytes()
             if key not in self.memory:
-                if len(self.memory) > 50_000:
+                if len(self.memory) >= REMEMBERED:
                     self.memory.clear()
                 self.memory[key] = self.model.score(word[span], times[span])
             out.append(self.memory[key])
