@@ -1,8 +1,8 @@
 """Operator 2: toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. A text's terms are the runs of four bytes inside its lower-cased
-words, an edge of a word counting as a byte, so that unseen forms of a word share terms with seen ones. Terms that tell the
-labels apart (chi-squared over the sample) make the vocabulary; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max
+Examples are a bounded sample of labelled documents. A text's terms are the runs of four and of six bytes inside its
+lower-cased words, an edge of a word counting as a byte, so that unseen forms of a word share terms with seen ones; a term
+that a text repeats makes further terms, as a vector's length would hide how often it occurs. Terms that tell the labels apart (chi-squared over the sample) make the vocabulary; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max
 inverted index: postings by word, in blocks of examples, with each block's largest weight. A text's K nearest examples
 by exact cosine are found by reading blocks from the highest upper bound down, until no block left can hold a nearer one.
 Votes weighted by distance, drawn to the labels' prior, give the score; a monotone map fitted on the examples, each
@@ -34,38 +34,59 @@ BLOCK = 64
 #: A vote's weight is 1 / (distance + SOFT); the prior has PRIOR votes at distance 1.
 SOFT, PRIOR = 0.05, 1.0
 EVIDENCE = 3
+#: Counts from which a term's repetition is a term of its own.
+REPEATS = (2, 3, 5)
+LONG = np.uint64(1 << 60)
 #: Term vectors whose scores a task remembers.
 REMEMBERED = 5_000
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, four bytes as a number) of each term of each text, in their order."""
+    """(text number, term) of each run of four and of six bytes in each text."""
     n = len(offsets) - 1
-    # a byte 0 stands for each byte outside words and after each text
-    spaced = np.zeros(len(data) + 2 * n + 2, np.uint8)
-    own = np.repeat(2 * np.arange(n) + 1, np.diff(offsets))
+    # a byte 0 stands for each byte outside words, and six of them part the texts
+    spaced = np.zeros(len(data) + 6 * n + 6, np.uint8)
+    own = np.repeat(6 * np.arange(n) + 1, np.diff(offsets))
     spaced[np.arange(len(data)) + own] = LOWERED_WORD[data]
-    at = np.flatnonzero((spaced[1:-2] != 0) & (spaced[2:-1] != 0))
-    x = spaced.astype(np.uint64)
-    gram = (x[at] << np.uint64(24)) | (x[at + 1] << np.uint64(16)) | (x[at + 2] << np.uint64(8)) | x[at + 3]
-    return np.searchsorted(offsets + 2 * np.arange(n + 1), at, "right") - 1, gram
-
-
-def distinct_terms(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word, how often) sorted by text and word."""
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
+    inside = spaced != 0
+    inside = inside[:-1] & inside[1:]
+    two = spaced.astype(np.uint64)
+    two = (two[:-1] << np.uint64(8)) | two[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    bounds = offsets + 6 * np.arange(n + 1)
+    short = np.flatnonzero(inside[1:-1])
+    long = short[: np.searchsorted(short, len(spaced) - 6, "right")]
+    long = long[inside[long + 3]]
+    term = np.concatenate([four[short], LONG | (four[long] << np.uint64(16)) | two[long + 4]])
+    return np.searchsorted(bounds, np.concatenate([short, long]), "right") - 1, term
+
+
+def counted(text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term, how often) sorted by text and term."""
+    order = np.lexsort((term, text))
+    text, term = text[order], term[order]
     first = np.ones(len(text), bool)
-    first[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    first[1:] = (text[1:] != text[:-1]) | (term[1:] != term[:-1])
     at = np.flatnonzero(first)
-    return text[at], hashes[at], np.diff(np.append(at, len(text)))
+    return text[at], term[at], np.diff(np.append(at, len(text)))
+
+
+def with_repeats(text: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counted terms, and for each level of REPEATS that a count reaches a term of its own, once; sorted by text and term."""
+    parts = [(text, term, times)]
+    for level, least in enumerate(REPEATS, 1):
+        often = times >= least
+        parts.append((text[often], term[often] | np.uint64(level << 56), np.ones(np.count_nonzero(often), np.int64)))
+    text, term, times = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.lexsort((term, text))
+    return text[order], term[order], times[order]
 
 
 def example_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_blocks(batches):
         text, hashes = terms(data, offsets)
-        of, word, times = distinct_terms(text, hashes)
+        of, word, times = with_repeats(*counted(text, hashes))
         # a row for a text without words, too
         none = np.setdiff1d(np.arange(rows.num_rows), of)
         of, word, times = np.concatenate([of, none]), np.concatenate([word.view(np.int64), np.zeros(len(none), np.int64)]), np.concatenate([times, np.zeros(len(none), np.int64)])
@@ -186,14 +207,16 @@ def bucket(term: np.ndarray) -> np.ndarray:
     return ((term * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
 
 
-def known_terms(vocabulary: np.ndarray, text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, word's number in the sorted vocabulary, how often)."""
+def known_terms(vocabulary: np.ndarray, text: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term's number in the sorted vocabulary, how often)."""
+    plain = np.unique(vocabulary & ~np.uint64(0xF << 56))
     few = np.zeros(1 << 16, bool)
-    few[bucket(vocabulary)] = True
-    maybe = np.flatnonzero(few[bucket(hashes)])
-    at = np.minimum(np.searchsorted(vocabulary, hashes[maybe]), max(0, len(vocabulary) - 1))
-    same = vocabulary[at] == hashes[maybe] if len(vocabulary) else np.zeros(0, bool)
-    return distinct_terms(text[maybe[same]], at[same])
+    few[bucket(plain)] = True
+    maybe = np.flatnonzero(few[bucket(term)])
+    text, term, times = with_repeats(*counted(text[maybe], term[maybe]))
+    at = np.minimum(np.searchsorted(vocabulary, term), max(0, len(vocabulary) - 1))
+    same = vocabulary[at] == term if len(vocabulary) else np.zeros(0, bool)
+    return text[same], at[same], times[same]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
