@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import redaction, text
-from threadloom.schema import HEALTH_LABELS
+from threadloom.schema import CAPABILITIES, CAPABILITY_FLAGS, HEALTH_LABELS
 
 PAGE = 5
 
@@ -100,6 +100,21 @@ def health_labels(rows: DataFrame) -> DataFrame:
     return rows.withColumn("health_label", pairs[F.col("health")])
 
 
+def with_capabilities(sessions: DataFrame) -> DataFrame:
+    """Sessions with their source's flags: a dimension of one row a source, folded into the plan as a map."""
+    flags = F.create_map(*(x for k, v in CAPABILITIES.items() for x in (F.lit(k), F.struct(*(F.lit(f).alias(n) for n, f in zip(CAPABILITY_FLAGS, v, strict=True))))))
+    return sessions.withColumn("_c", flags[F.col("adapter")]).select(*sessions.columns, "_c.*")
+
+
+def result_document(delta_counts: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row: an index run's counts, its warnings in order, and whether it was whole, as a JSON document."""
+    order = F.array_sort(F.collect_list(F.struct("code", "source_id", "message")))
+    told = warnings.agg(F.count("*").alias("n"), F.slice(order, 1, 8).alias("first"))
+    rows = delta_counts.crossJoin(told)
+    body = F.struct("deleted", "indexed", F.when(F.col("n") > 0, "partial").otherwise("complete").alias("status"), "unchanged", F.col("n").alias("warning_count"), F.col("first").alias("warnings"))
+    return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def current_exclusion(sessions: DataFrame, adapter: str, native_id: str) -> DataFrame:
     """One row: how many sessions the host's own id names (none, one, or several is a refusal) and which."""
     hit = sessions.where((F.col("adapter") == adapter) & (F.col("native_id") == native_id))

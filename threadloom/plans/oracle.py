@@ -109,6 +109,9 @@ SELECT source_id, CASE WHEN length(name) <= 96 THEN name ELSE rtrim(substr(name,
     "header_labels": f"""{_with(SESSIONS, TURNS)}, st AS (SELECT source_id, count(*) AS k, sum(strlen(text)) AS b FROM trn GROUP BY 1)
 SELECT source_id, concat_ws(' · ', concat_ws('/', CASE WHEN n % 2 = 1 THEN adapter END, 'm1'), k || ' turns', printf('~%.1f KiB', b / 1024.0), 'native') AS label FROM sess JOIN st USING (source_id)""",
     "source_presence": f"{_with(SESSIONS)} SELECT project_key, adapter, count(*) AS sessions FROM sess GROUP BY ALL",
+    "harness_capabilities": f"{_with(SESSIONS)} SELECT adapter, true AS link_destination, adapter IN ('codex', 'opencode', 'claude') AS host_skill, adapter NOT IN ('claude', 'antigravity') AS release_claim_linux, count(*) AS sessions FROM sess GROUP BY 1",
+    "index_result": f"""{_with(FINGERPRINTS)}, w AS (SELECT count(*) AS k, min(CAST(doc_id AS VARCHAR)) AS first FROM documents WHERE n_chars < 60)
+SELECT CAST((SELECT count(*) FROM dlt WHERE op IN ('new', 'changed')) AS VARCHAR) AS indexed, CASE WHEN k > 0 THEN 'partial' ELSE 'complete' END AS status, CAST(k AS VARCHAR) AS warning_count, first FROM w""",
     "current_exclusion": f"{_with(SESSIONS)} SELECT count(*) AS matches, CASE WHEN count(*) = 1 THEN min(source_id) END AS source_id FROM sess WHERE adapter = 'claude' AND native_id = '10'",
     "readiness": f"""{_with(SESSIONS, TURNS, EDGES)}, c AS (
 SELECT 'sessions' AS component, (SELECT count(*) FROM sess) AS rows UNION ALL SELECT 'capsules', (SELECT count(DISTINCT source_id) FROM trn) UNION ALL SELECT 'edges', (SELECT count(*) FROM edg))

@@ -90,6 +90,20 @@ def source_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.presence(model.sessions(spark, sf_dir))
 
 
+@query
+def harness_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = discovery.with_capabilities(model.sessions(spark, sf_dir))
+    return rows.groupBy("adapter", "link_destination", "host_skill", "release_claim_linux").agg(F.count("*").alias("sessions"))
+
+
+@query
+def index_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = delta.counters(delta.fingerprint_delta(*_fingerprints(spark, sf_dir)))
+    docs = model.table(spark, sf_dir, "documents").where("n_chars < 60")
+    warnings = docs.select(F.lit("short").alias("code"), F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("message"))
+    return discovery.result_document(counts, warnings).select(F.get_json_object("document", "$.indexed").alias("indexed"), F.get_json_object("document", "$.status").alias("status"), F.get_json_object("document", "$.warning_count").alias("warning_count"), F.get_json_object("document", "$.warnings[0].source_id").alias("first"))
+
+
 @query
 def current_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.current_exclusion(model.sessions(spark, sf_dir), "claude", "10")

@@ -16,6 +16,18 @@ READ_STATUS = ("complete", "partial", "unavailable")
 ROLES = ("user", "agent")
 FORBIDDEN_KINDS = ("system_prompt", "hidden_reasoning", "tool_payload", "tool_result", "file_body")
 
+# Of each source, whether its sessions can be linked from, linked to and resumed, whether its host has a skill, and whether
+# its support on Linux is released.
+CAPABILITY_FLAGS = ("link_source", "link_destination", "native_resume", "host_skill", "release_claim_linux")
+CAPABILITIES = {
+    "codex": (True, True, True, True, True),
+    "grok": (True, True, True, False, True),
+    "opencode": (True, True, True, True, True),
+    "cursor": (True, True, True, False, True),
+    "claude": (True, True, True, True, False),
+    "antigravity": (True, True, True, False, False),
+}
+
 SESSIONS = T.StructType([
     T.StructField("source_id", T.StringType()),
     T.StructField("project_key", T.StringType()),
