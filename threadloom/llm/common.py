@@ -21,24 +21,35 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one if all of Spark is on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+_paths: dict[int, str] = {}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder: its lineage ends there, and lost executors cost nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     atexit.register(drop_path, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a stored table that nothing will read any more."""
+    path = _paths.pop(id(table), None)
+    if path:
+        drop_path(table.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,6 +69,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if it has more than one in MANY of all rows, so there are fewer than MANY hot keys; each is dealt over SALTS places.
+MANY, SALTS = 512, 64
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with keys (a row a key, n: its rows) without n; total: the number of rows, or more.
+
+    Hot keys' rows are dealt by a salt of their own values, and their few rows of keys repeated for each salt; so one key
+    doesn't make one task. Hot keys alone are broadcast: they are fewer than MANY.
+    """
+    hot = F.broadcast(keys.where(F.col("n") * MANY > F.lit(total)).select(*on, F.lit(True).alias("_hot")))
+    plain = [c for c, kind in rows.dtypes if kind in ("bigint", "int", "string", "binary", "boolean")]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = keys.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot", "n")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 #: Bytes and rows of texts that Spark hands to Python at once.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
@@ -224,6 +254,60 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+def chunks(batches: Iterable[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
+    """Tables of at least `least` rows that hold whole groups of sorted rows; a larger group comes as part of one table."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.ones(batch.num_rows, bool)
+        change[1:] = False
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is None or tuple(c[0] for c in columns) != last
+        last = tuple(c[-1] for c in columns)
+        begin = 0
+        for at in np.flatnonzero(change).tolist():
+            if size + at - begin >= least:
+                if at > begin:
+                    held.append(batch.slice(begin, at - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, at
+        held.append(batch.slice(begin))
+        size += batch.num_rows - begin
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """0, 1, … for the runs of equal keys in sorted rows."""
+    change = np.zeros(table.num_rows, bool)
+    for k in keys:
+        c = table[k].to_numpy()
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+class Forest:
+    """Components of numbered things, as pairs of them are told; each has the smallest number that reaches it."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def tie(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
 def blobs(values: list[np.ndarray]) -> pa.Array:
     """A binary column of the arrays' bytes."""
     return pa.array([v.tobytes() for v in values], pa.binary())

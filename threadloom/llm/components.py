@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import stored
+from threadloom.llm.common import dropped, spread_join, stored
 
 MAX_ROUNDS = 60
 
@@ -15,6 +15,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     A large-star round ties each node's larger neighbours to its smallest neighbour; a small-star round ties its smaller
     ones to it. Both keep the components; when neither changes a link, each component is one star around its smallest node.
+    The links of a node with a large part of all links are dealt over many tasks.
     Each round's links are written in the shared folder. Cases: no links give no rows; loops and repeated links don't matter.
     """
     now = links.select(F.greatest(a, b).cast("bigint").alias("u"), F.least(a, b).cast("bigint").alias("v")).where("u <> v").distinct()
@@ -27,11 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = stored(small, "links")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least, ["u"], 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        last, now = now, stored(small, "links")
+        dropped(last)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     members = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
