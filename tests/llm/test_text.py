@@ -3,11 +3,15 @@ import json
 import os
 import random
 import zlib
+from collections import Counter
+from fractions import Fraction as Q
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.cases import documents, frame, key, sentence, words
 from threadloom.llm import chat, decontamination, language, line_dedup, mixing, simple8b, token_output, toxicity
@@ -245,50 +249,105 @@ def test_chat_format(spark):
 # ---------------------------------------------------------------- mixing
 
 
-def test_dealt_and_budgets():
-    from fractions import Fraction as Q
+def shared_out(amount, weights, room):
+    """Real shares by filling the children whose room is the smallest for their weight first."""
+    share, open_ = [0] * len(room), [i for i in range(len(room)) if weights[i] and room[i]]
+    amount = min(amount, sum(room))
+    while open_:
+        each = Q(amount) / sum(weights[i] for i in open_)
+        low = min(open_, key=lambda i: Q(room[i]) / weights[i])
+        if each * weights[low] < room[low]:
+            for i in open_:
+                share[i] = each * weights[i]
+            return share
+        share[low] = room[low]
+        amount -= room[low]
+        open_.remove(low)
+    if amount > 0:
+        rest = [i for i in range(len(room)) if not weights[i]]
+        for i, x in zip(rest, shared_out(amount, [1] * len(rest), [room[i] for i in rest]), strict=True):
+            share[i] = x
+    return share
 
-    assert mixing.dealt(10, [Q(1), Q(1)], [100, 100]) == [5, 5]
-    assert mixing.dealt(10, [Q(1), Q(1)], [2, 100]) == [2, 8]
-    assert mixing.dealt(10, [Q(0), Q(1)], [100, 4]) == [6, 4]
-    assert mixing.dealt(500, [Q(1), Q(2)], [10, 20]) == [10, 20]
-    assert mixing.dealt(1, [Q(1)] * 3, [5, 5, 5]) == [1, 0, 0]
-    leaves = {("a", "x", "1"): 10, ("a", "x", "2"): 1000, ("a", "y", "1"): 1000, ("b", "x", "1"): 5}
-    out = mixing.budgets(leaves, {("a",): 0.5, ("b",): 0.5}, 200, 1)
+
+@pytest.mark.parametrize("bucket", [2048, 2])
+def test_dealt(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rng = random.Random(5)
+    cases = [(10, [1, 1], [100, 100]), (10, [1, 1], [2, 100]), (10, [0, 1], [100, 4]), (10, [0, 0, 1], [100, 100, 4]), (500, [1, 2], [10, 20]), (1, [1] * 3, [5] * 3), (0, [1], [3]), (7, [1], [0]), (10**15, [3, 1], [4 * 10**14, 9 * 10**14])]
+    cases += [(rng.randint(0, 400), [rng.choice([0, 1, 2, 5]) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]) for n in (1, 2, 5, 9, 30, 200)]
+    rows = [(f"p{p}", f"p{p}-{i}", r, w * mixing.ONE) for p, (_, ws, rs) in enumerate(cases) for i, (w, r) in enumerate(zip(ws, rs, strict=True))]
+    children = spark.createDataFrame(rows, "parent string, node string, room long, weight long")
+    got = dict(map(tuple, mixing.dealt(children, spark.createDataFrame([(f"p{p}", c[0]) for p, c in enumerate(cases)], "parent string, budget long")).collect()))
+    for p, (amount, ws, rs) in enumerate(cases):
+        mine = [got.get(f"p{p}-{i}", 0) for i in range(len(rs))]
+        assert sum(mine) == min(amount, sum(rs)) and all(abs(m - x) < 1 and m <= r for m, x, r in zip(mine, shared_out(amount, ws, rs), rs, strict=True)), (amount, ws, rs, mine)
+
+
+def test_budgets_redistribute_among_siblings_before_ancestors(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "1", 1000), ("b", "x", "1", 5)], "domain string, lang string, source string, tokens long")
+    out = {tuple(n.split(mixing.BETWEEN)): b for n, b in mixing.budgets(leaves, {("a",): 0.5, ("b",): 0.5}, 200, 1).collect()}
     # b can give 5; a takes the rest, halves it between x and y, and source 2 takes what source 1 lacks
-    assert out == {("a", "x", "1"): 10, ("a", "x", "2"): 88, ("a", "y", "1"): 97, ("b", "x", "1"): 5}
+    assert out[("b", "x", "1")] == 5 and out[("a", "x", "1")] == 10 and sum(out.values()) == 200
+    assert {out[("a", "x", "2")], out[("a", "y", "1")]} <= {87, 88, 97, 98} and abs(out[("a", "y", "1")] - 97.5) < 1
+
+
+def test_any_number_of_leaves(spark):
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("site"), "id").alias("source"))
+    out = mixing.mix(docs, F.lit("web"), {}, share=0.5, max_epochs=1).agg(F.sum("n_taken"), F.max("n_taken"), F.count("*")).first()
+    assert out[0] == n * 3 // 2 and out[1] == 2 and out[2] == n
 
 
 @pytest.mark.parametrize("bucket", [2048, 2])
 def test_mixing(spark, monkeypatch, bucket):
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(mixing, "BUCKET", bucket)
     rows = documents(11, 80)
     df = frame(spark, rows, {d: ("en", "fr", None)[d % 3] for d, _ in rows if d is not None})
     domain = F.when(F.col("source") == "src0", "web").otherwise("rest")
     weights = {("web",): 0.8, ("rest",): 0.2, ("rest", None): 0.0}
     out = mixing.mix(df, domain, weights, share=0.6, max_epochs=2, seed=3).collect()
-    tokens = lambda t: -(-len((t or "").encode()) // 4)
+    tokens = lambda t: len(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", t or ""))
     stock = {}
     for r in df.withColumn("domain", domain).collect():
-        path = tuple("\0" if x is None else x for x in (r["domain"], r["lang"], r["source"]))
-        stock.setdefault(path, []).append((r["doc_id"], tokens(r["text"])))
+        stock.setdefault((r["domain"], r["lang"], r["source"]), []).append((r["doc_id"], tokens(r["text"])))
     total = {p: sum(n for _, n in v) for p, v in stock.items()}
-    expected = mixing.budgets(total, {tuple("\0" if x is None else x for x in p): w for p, w in weights.items()}, int(sum(total.values()) * 0.6), 2)
-    assert sum(expected.values()) == int(sum(total.values()) * 0.6)
+    taken = {p: sum(r["n_taken"] for r in out if (r["domain"], r["lang"], r["source"]) == p) for p in stock}
+    amount = int(sum(total.values()) * 0.6)
+    assert sum(taken.values()) == amount
+    # level by level: each child's budget is its share of what its parent's children took in all, up to rounding at each level
+    for depth in range(3):
+        for parent in {p[:depth] for p in stock}:
+            names = sorted({p[: depth + 1] for p in stock if p[:depth] == parent}, key=str)
+            under = lambda of, c: sum(n for p, n in of.items() if p[: len(c)] == c)
+            shares = shared_out(under(taken, parent), [Q(str(weights.get(c, 1))) for c in names], [2 * under(total, c) for c in names])
+            assert all(abs(under(taken, c) - x) < 1 for c, x in zip(names, shares, strict=True)), parent
     for path, docs in stock.items():
-        mine = [r for r in out if tuple("\0" if x is None else x for x in (r["domain"], r["lang"], r["source"])) == path]
-        assert sum(r["n_taken"] for r in mine) == expected[path]
-        whole, part = divmod(expected[path], total[path]) if total[path] else (1, 0)
+        mine = [r for r in out if (r["domain"], r["lang"], r["source"]) == path]
+        whole, part = divmod(taken[path], total[path]) if total[path] else (1, 0)
         for e in range(whole):
             assert key([(r["doc_id"], r["n_taken"]) for r in mine if r["epoch"] == e]) == key(docs)
         last = [r for r in mine if r["epoch"] == whole]
         assert sum(r["n_taken"] for r in last) == part and sum(r["n_taken"] < r["n_tokens"] for r in last) <= 1
+        # the prefix of the order that the seed and the epoch give, which Spark's hash of each document tells
+        order = df.withColumn("domain", domain).where(F.col("domain").eqNullSafe(path[0]) & F.col("lang").eqNullSafe(path[1]) & F.col("source").eqNullSafe(path[2]))
+        order = order.select("doc_id", "text", F.xxhash64(F.lit(3), F.lit(whole), F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64(F.coalesce("text", F.lit("")))).alias("h")).collect()
+        order.sort(key=lambda r: (r["h"], r["doc_id"] is not None, r["doc_id"] or 0))
+        left, prefix = part, []
+        for r in order:
+            if left > 0 and (n := tokens(r["text"])):
+                prefix.append((r["doc_id"], min(n, left)))
+                left -= n
+        if bucket == 2048:  # all in one bucket, which is sorted
+            assert key([(r["doc_id"], r["n_taken"]) for r in last]) == key(prefix)
     assert key([tuple(r) for r in mixing.mix(df, domain, weights, share=0.6, max_epochs=2, seed=3).collect()]) == key([tuple(r) for r in out])
     assert mixing.mix(frame(spark, []), domain, weights).count() == 0
-    kept = mixing.mixed_documents(df, domain, weights, share=0.6, max_epochs=2, seed=3)
-    assert kept.columns == df.columns and 0 < kept.count() <= 2 * len(rows)
+    clashing = df.withColumnsRenamed({"rank": "row", "epoch": "times"})
+    kept = mixing.mixed_documents(clashing, domain, weights, share=0.6, max_epochs=2, seed=3)
+    once = {d for d, n in Counter(d for d, _ in rows).items() if n == 1}
+    times = lambda found: Counter(r["doc_id"] for r in found if r["doc_id"] in once)
+    assert kept.columns == clashing.columns and times(kept.collect()) == times(out)
+    assert mixing.mixed_documents(frame(spark, []), domain, weights).count() == 0
 
 
 # ---------------------------------------------------------------- lines

@@ -6,85 +6,97 @@ leaves is dealt anew among its siblings, and only what all of them leave goes ba
 take what its children can. Each leaf then takes a prefix of its tokens: whole epochs first, then a part of the next one,
 in an order that the seed and the epoch give. The document at the end of a prefix gives part of its tokens.
 
-An epoch's order is a hash, cut into buckets of about BUCKET documents. Sums over buckets find the one bucket of a leaf in
-which the prefix ends; only that bucket is sorted, so a leaf with most of the documents is no task of its own.
-
-The tree's leaves are few (their number is checked against MAX_LEAVES) and are dealt on the driver.
-
-Cases: null languages and sources are nodes of their own; a child without a listed weight weighs 1 among its siblings;
-texts of no tokens cost nothing and are taken with each whole epoch; null texts have none; repeated rows are documents of
-their own; an empty table gives none; other columns are not read.
+A node may have any number of children: the level up to which they are filled is found over the distinct ratios of room
+to weight, of which there are at most the square root of twice all tokens for each weight that is listed, and whole
+numbers come from running sums over buckets of children. A leaf may have any part of the documents: an epoch's order is a
+hash, cut into buckets of about BUCKET documents; sums over buckets find the one bucket in which the prefix ends, and only
+that bucket is sorted. Neither leaves nor documents reach the driver.
+
+A token is a run of letters and digits, or one other character that isn't white space.
+
+Cases: null languages and sources are nodes of their own; a child without a listed weight weighs 1 among its siblings, one
+of weight 0 gets what its siblings can't take; weights count to six decimals; texts of no tokens cost nothing and are
+taken with each whole epoch; null texts have none; repeated rows are documents of their own; an empty table gives none;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from threadloom.llm.common import stored
+from threadloom.llm.common import spread_join, stored
 
-MAX_LEAVES = 50_000
 BUCKET = 2048
 LEVELS = ("domain", "lang", "source")
-NONE = "\0"
-#: Bytes of text that count as a token.
-TOKEN_BYTES = 4
+NONE, BETWEEN = "\0", "\1"
+#: A weight of 1 as a whole number.
+ONE = 1_000_000
+NO_ID = -(1 << 63)
 
 
 def tokens(text: Column) -> Column:
-    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / TOKEN_BYTES).cast("bigint")
-
-
-def dealt(budget: int, weights: list[Fraction], room: list[int]) -> list[int]:
-    """The budget by weights, none above its room; what one can't take goes to the others. Whole numbers, largest remainders first."""
-    budget = min(budget, sum(room))
-    share = [Fraction(0)] * len(room)
-    open_, left = [i for i in range(len(room)) if weights[i] > 0 and room[i] > 0], Fraction(budget)
-    while open_:
-        total = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] >= total * room[i]]
-        if not full:
-            for i in open_:
-                share[i] = left * weights[i] / total
-            left = Fraction(0)
-            break
-        for i in full:
-            share[i] = Fraction(room[i])
-        left -= sum(room[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    if left > 0:  # only children of weight 0 have room
-        for i in [i for i in range(len(room)) if share[i] < room[i]]:
-            share[i] += (more := min(left, room[i] - share[i]))
-            left -= more
-    out = [int(x) for x in share]
-    for i in sorted(range(len(out)), key=lambda i: (out[i] - share[i], i))[: budget - sum(out)]:
-        out[i] += 1
-    return out
-
-
-def budgets(leaves: Mapping[tuple, int], weights: Mapping[tuple, float], budget: int, max_epochs: int) -> dict[tuple, int]:
-    """Tokens to take from each leaf, a path; leaves: its tokens. weights: of a path's node among its siblings, by path."""
-    out: dict[tuple, int] = {}
-
-    def down(path: tuple, own: list[tuple], amount: int) -> None:
-        depth = len(path)
-        if own and len(own[0]) == depth:
-            out[path] = amount
-            return
-        children: dict[tuple, list[tuple]] = {}
-        for leaf in sorted(own):
-            children.setdefault(leaf[: depth + 1], []).append(leaf)
-        names = list(children)
-        room = [max_epochs * sum(leaves[x] for x in children[c]) for c in names]
-        for c, b in zip(names, dealt(amount, [Fraction(str(weights.get(c, 1))) for c in names], room), strict=True):
-            down(c, children[c], b)
-
-    down((), list(leaves), budget)
-    return out
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("bigint")
+
+
+def _bucket(hashed: Column, buckets: Column) -> Column:
+    """0 .. buckets - 1, evenly and in the order of the hash."""
+    return F.floor((F.shiftrightunsigned(hashed, 33) * buckets) / (1 << 31))
+
+
+def dealt(children: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(node, budget) of children (parent, node, room, weight) from budgets (parent, budget): by weight, none above its room.
+
+    Whole numbers; a parent's children get all of its budget that they have room for.
+    """
+    rows = children.where("room > 0").withColumn("tier", F.when(F.col("weight") > 0, 0).otherwise(1)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1))
+    rows = rows.withColumn("ratio", F.col("room") / F.col("weight"))
+    pools = rows.groupBy("parent", "tier").agg(F.sum("room").alias("all"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("parent").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pools = pools.withColumn("before", before).join(budgets, "parent")
+    pools = pools.select("parent", "tier", "n", F.greatest(F.lit(0), F.least("all", F.col("budget") - F.col("before"))).alias("amount"))
+    # children are full up to some ratio: those whose room is less than their share of what the fuller ones leave
+    ratios = rows.groupBy("parent", "tier", "ratio").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"))
+    by = Window.partitionBy("parent", "tier").orderBy("ratio")
+    ratios = ratios.withColumn("up_to", F.sum("room").over(by)).withColumn("from", F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    full = (wide("amount") - (wide("up_to") - wide("room"))) * wide("weight") >= wide("from") * wide("room")
+    level = ratios.join(pools, ["parent", "tier"]).groupBy("parent", "tier").agg(
+        F.first("n").alias("n"),
+        F.max(F.when(full, F.col("ratio"))).alias("level"),
+        (F.first("amount") - F.coalesce(F.sum(F.when(full, F.col("room"))), F.lit(0))).alias("left"),
+        F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("shares"),
+    )
+    n = children.count()
+    rows = spread_join(rows, level.withColumn("n_", F.col("n")), ["parent", "tier"], n).withColumnRenamed("n_", "n")
+    is_full = F.coalesce(F.col("ratio") <= F.col("level"), F.lit(False))
+    filled = rows.where(is_full).select("node", F.col("room").alias("budget"))
+    # the others' shares as differences of rounded running sums, in the order of a hash
+    open_ = rows.where(~is_full).withColumn("h", F.xxhash64("node"))
+    open_ = open_.withColumn("bucket", _bucket(F.col("h"), F.ceil(F.col("n") / BUCKET)))
+    sums = open_.groupBy("parent", "tier", "bucket").agg(F.sum("weight").alias("own"))
+    sums = sums.select("parent", "tier", "bucket", (F.sum("own").over(Window.partitionBy("parent", "tier").orderBy("bucket")) - F.col("own")).alias("base"))
+    open_ = open_.join(sums, ["parent", "tier", "bucket"])
+    upto = F.col("base") + F.sum("weight").over(Window.partitionBy("parent", "tier", "bucket").orderBy("h", "node"))
+    open_ = open_.withColumn("upto", upto)
+    share = lambda c: F.expr(f"(cast(left as decimal(19,0)) * cast({c} as decimal(19,0))) div shares")
+    return filled.unionByName(open_.select("node", (share("upto") - share("upto - weight")).cast("bigint").alias("budget")))
+
+
+def budgets(leaves: DataFrame, weights: Mapping[tuple, float], budget: int, max_epochs: int) -> DataFrame:
+    """(node, budget) of leaves (domain, lang, source, tokens), no level null: the node is its path, joined by BETWEEN."""
+    spark = leaves.sparkSession
+    listed = [(BETWEEN.join(NONE if x is None else str(x) for x in path), round(w * ONE)) for path, w in weights.items()]
+    listed = spark.createDataFrame(listed, "node string, weight bigint")
+    now = spark.createDataFrame([("", budget)], "parent string, budget bigint")
+    for depth in range(1, len(LEVELS) + 1):
+        path = lambda k: F.concat_ws(BETWEEN, *LEVELS[:k]) if k else F.lit("")
+        children = leaves.groupBy(path(depth - 1).alias("parent"), path(depth).alias("node")).agg((F.sum("tokens") * max_epochs).alias("room"))
+        children = stored(children.join(listed, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(ONE))), "children")
+        now = stored(dealt(children, now), "budgets").withColumnRenamed("node", "parent")
+    return now.withColumnRenamed("parent", "node")
 
 
 def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget: int | None = None, share: float = 0.5, max_epochs: int = 2, seed: int = 0) -> DataFrame:
@@ -92,35 +104,27 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget:
 
     budget: tokens; by default `share` of all tokens. weights: by paths ("web",), ("web", "en"), ("web", "en", "src1").
     """
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.alias("domain"), "lang", "source", tokens(text).alias("n_tokens"), F.xxhash64(text).alias("text_hash"))
-    rows = stored(rows, "mixing")
-    names = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)) for c in LEVELS]
-    totals = rows.groupBy(*(n.alias(c) for n, c in zip(names, LEVELS, strict=True))).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    leaves = {tuple(r[c] for c in LEVELS): r["tokens"] for r in totals}
-    named = {tuple(NONE if x is None else x for x in path): w for path, w in weights.items()}
-    amount = int(sum(leaves.values()) * share) if budget is None else budget
-    taken = budgets(leaves, named, amount, max_epochs)
-    plan = []
-    for r in totals:
-        path = tuple(r[c] for c in LEVELS)
-        whole, part = divmod(taken[path], r["tokens"]) if r["tokens"] else (1, 0)
-        plan.append((*path, int(whole), int(part), max(1, -(-r["n"] // BUCKET))))
-    leaf = spark.createDataFrame(plan, "d string, l string, s string, whole int, part bigint, buckets bigint")
-    on = (names[0] == F.col("d")) & (names[1] == F.col("l")) & (names[2] == F.col("s"))
-    placed = rows.join(F.broadcast(leaf), on)
-    draw = F.xxhash64(F.lit(seed), F.col("whole"), F.coalesce("doc_id", F.lit(-(1 << 63))), "text_hash")
-    placed = placed.withColumn("draw", draw).withColumn("bucket", F.floor((F.shiftrightunsigned("draw", 33) * F.col("buckets")) / (1 << 31)))
-    sums = placed.where("part > 0").groupBy("d", "l", "s", "bucket").agg(F.sum("n_tokens").alias("m"), F.first("part").alias("part"))
-    upto = F.sum("m").over(Window.partitionBy("d", "l", "s").orderBy("bucket"))
-    cuts = sums.withColumn("upto", upto).where((F.col("upto") >= F.col("part")) & (F.col("upto") - F.col("m") < F.col("part")))
-    # one row a leaf
-    cuts = cuts.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("s").alias("s2"), F.col("bucket").alias("cut"), (F.col("upto") - F.col("m")).alias("before"))
-    placed = placed.join(F.broadcast(cuts), (F.col("d") == F.col("d2")) & (F.col("l") == F.col("l2")) & (F.col("s") == F.col("s2")), "left")
-    within = Window.partitionBy("d", "l", "s").orderBy("draw", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.cast("string").alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), tokens(text).alias("n_tokens"), F.xxhash64(text).alias("text_hash"))
+    path = F.concat_ws(BETWEEN, *(F.coalesce(F.col(c), F.lit(NONE)) for c in LEVELS))
+    rows = stored(rows.withColumn("node", path), "mixing")
+    leaves = rows.groupBy("node", *(F.coalesce(F.col(c), F.lit(NONE)).alias(c) for c in LEVELS)).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
+    leaves = stored(leaves, "leaves")
+    every = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    amount = int(every["tokens"] * share) if budget is None else budget
+    plan = leaves.select("node", "tokens", "n").join(budgets(leaves, weights, amount, max_epochs), "node", "left")
+    took = F.coalesce("budget", F.lit(0))
+    # leaves without tokens are taken whole, once
+    plan = plan.select("node", "n", F.when(F.col("tokens") > 0, F.expr("coalesce(budget, 0) div tokens")).otherwise(1).cast("int").alias("whole"), F.when(F.col("tokens") > 0, took % F.col("tokens")).otherwise(0).cast("bigint").alias("part"), F.ceil(F.col("n") / BUCKET).alias("buckets"))
+    draw = F.xxhash64(F.lit(seed), F.col("whole"), F.coalesce("doc_id", F.lit(NO_ID)), "text_hash")
+    placed = spread_join(rows, plan, ["node"], every["n"]).withColumn("draw", draw).withColumn("bucket", _bucket(F.col("draw"), F.col("buckets")))
+    placed = stored(placed, "placed")
+    sums = placed.where("part > 0").groupBy("node", "bucket").agg(F.sum("n_tokens").alias("m"), F.first("part").alias("part"), F.first("buckets").alias("buckets"))
+    sums = sums.withColumn("upto", F.sum("m").over(Window.partitionBy("node").orderBy("bucket")))
+    # a row a leaf
+    cuts = sums.where((F.col("upto") >= F.col("part")) & (F.col("upto") - F.col("m") < F.col("part"))).select("node", F.col("bucket").alias("cut"), (F.col("upto") - F.col("m")).alias("before"), (F.col("buckets") * BUCKET).alias("n"))
+    placed = spread_join(placed, cuts, ["node"], every["n"] + BUCKET * leaves.count(), "left")
+    within = Window.partitionBy("node").orderBy("draw", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     ends = placed.where(F.col("bucket") == F.col("cut")).withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     ends = ends.withColumn("extra", F.greatest(F.lit(0), F.least("n_tokens", F.col("part") - F.col("start"))))
     rest = placed.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut"))).withColumn("extra", F.when(F.col("bucket") < F.col("cut"), F.col("n_tokens")).otherwise(0))
@@ -133,10 +137,12 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget:
 
 
 def mixed_documents(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], **how) -> DataFrame:
-    """The documents, all their columns, once for each epoch that takes any of their tokens; they stay whole."""
-    names = {"doc_id": "__k", "text_hash": "__th"}
-    taken = mix(docs, domain, weights, **how).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(names["doc_id"]), F.col("text_hash").alias(names["text_hash"]), "epoch")
-    # rows that repeat a document are taken as often as they are repeated, in the same epochs
-    taken = taken.groupBy("__k", "__th").agg(F.max("epoch").alias("__last")).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__last")))).drop("__last")
-    keyed = docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(taken, ["__k", "__th"]).drop("__k", "__th", "__epoch").select(*docs.columns)
+    """The documents, all their columns, once for each epoch that takes any of their tokens; they stay whole.
+
+    Cases as above; rows that repeat a document are taken as often as they are repeated, in the same epochs; columns may
+    have any names.
+    """
+    taken = mix(docs, domain, weights, **how).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("th"), "epoch")
+    taken = taken.groupBy("k", "th").agg((F.max("epoch") + 1).alias("times"))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return keyed.join(taken, ["k", "th"]).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
