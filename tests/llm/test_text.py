@@ -27,9 +27,10 @@ def fold(doc_id):
 # ---------------------------------------------------------------- decontamination
 
 
-@pytest.mark.parametrize("block", [1 << 23, 60])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BENCHMARK_BYTES", block)
+@pytest.mark.parametrize("block,at_once", [(1 << 19, 16), (40, 16), (40, 3)])
+def test_decontamination(spark, monkeypatch, block, at_once):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontamination, "BLOCKS", at_once)
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.randint(14, 40))) for i in range(12)] + [(50, "few words only"), (51, None), (52, "..."), (None, sentence(rng, 20)), (3, "again the third item"), (53, "few words only")]
     rows = documents(3)
@@ -66,7 +67,9 @@ def test_decontamination(spark, monkeypatch, block):
     kept = decontamination.without_contaminated(df, bench)
     assert kept.columns == df.columns
     assert key([(r["doc_id"],) for r in kept.collect()]) == key([(e[0],) for e in expected if not e[-1]])
-    assert decontamination.decontamination(frame(spark, []), bench).count() == 0
+    assert decontamination.decontamination(frame(spark, []), bench).count() == 0 and decontamination.without_contaminated(frame(spark, []), bench).count() == 0
+    clashing = df.withColumnsRenamed({"rank": "row", "score": "spans"})
+    assert decontamination.without_contaminated(clashing, bench).columns == clashing.columns
     assert not any(r["contaminated"] for r in decontamination.decontamination(df, bench.limit(0)).collect())
 
 
