@@ -1,7 +1,9 @@
 """Operator 6: language identification by a byte convolutional network.
 
 Bytes are embedded; filters of several widths run over windows of WINDOW bytes; each filter's maximum over a window, after
-a rectifier, feeds a softmax over the languages. The network is trained in numpy on a bounded sample of labelled texts.
+a rectifier, feeds a softmax over the languages. The network is trained in numpy on a bounded sample: about `max_texts`
+labelled texts of each language, chosen by a hash, and `windows_each` windows of each, evenly over the text. Every language
+that a row outside the held-out fold names is learned, however many there are.
 A text is cut into windows from end to end; the mean of its windows' log-probabilities, weighted by their bytes, decides.
 
 Cases: null texts and texts without a letter are `und` with score 0; so is every text if nothing is labelled; null
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import fold, small_batches, text_blocks
 
 WINDOW = 128
-#: Bounds of the sample: labelled texts of each language, windows of each, and languages.
-MAX_TEXTS, WINDOWS_EACH, MAX_LANGUAGES = 1000, 3, 256
+#: Bounds of the sample: labelled texts of each language, and windows of each text.
+MAX_TEXTS, WINDOWS_EACH = 1000, 3
 EMBEDDING = 8
 #: Filters by width in bytes.
 FILTERS = {2: 8, 3: 12, 4: 12, 5: 16}
@@ -122,15 +124,17 @@ class Network:
         return {"embed": embed, "filters": filters, "bias": down.sum(0), "out": pooled.T @ d, "out_bias": d.sum(0)}
 
 
-def sample(docs: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, max_texts: int = MAX_TEXTS, windows_each: int = WINDOWS_EACH) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, windows, the windows' languages) of about max_texts labelled texts of each language outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(counts)
+    labelled = labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = sorted(r[0] for r in counts.select("lang").collect())
     if not languages:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64)
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(min(1.0, max_texts / counts[k])))))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    # rows that repeat an id and a text are drawn together, and counted once
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
+    chosen = labelled.join(F.broadcast(counts), "lang").where(draw < F.lit(float(max_texts)) / F.col("n")).select("doc_id", "lang", "text")
 
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches):
@@ -138,16 +142,16 @@ def sample(docs: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[list[str], np.n
             n = np.bincount(text, minlength=rows.num_rows)
             first = np.cumsum(n) - n
             # evenly over the text, the rest of a division by id among those that fill a window
-            pick = np.unique(np.concatenate([first[t] + (np.arange(min(WINDOWS_EACH, n[t])) * n[t]) // WINDOWS_EACH for t in range(len(n)) if n[t]] or [np.zeros(0, np.int64)]))
+            pick = np.unique(np.concatenate([first[t] + (np.arange(min(windows_each, n[t])) * n[t]) // windows_each for t in range(len(n)) if n[t]] or [np.zeros(0, np.int64)]))
             pick = pick[pick < len(windows)]
             pick = pick[(length[pick] >= 32) | (n[text[pick]] == 1)]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text[pick])), rows.column(1).take(pa.array(text[pick])), pa.array([windows[i].tobytes() for i in pick], pa.binary())], ["doc_id", "lang", "window"])
 
-    chosen = labelled.where(draw < share[F.col("lang")]).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    taken = chosen.mapInArrow(some, "doc_id bigint, lang string, window binary").limit(4 * max_texts * WINDOWS_EACH * len(languages)).collect()
+    taken = chosen.mapInArrow(some, "doc_id bigint, lang string, window binary").distinct().collect()
     taken.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["window"])))
     windows = np.frombuffer(b"".join(r["window"] for r in taken), np.uint8).reshape(-1, WINDOW)
-    return languages, windows, np.array([languages.index(r["lang"]) for r in taken], np.int64)
+    number = {k: i for i, k in enumerate(languages)}
+    return languages, windows, np.array([number[r["lang"]] for r in taken], np.int64)
 
 
 def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Network | None:

@@ -2,8 +2,10 @@
 
 Examples are a bounded sample of labelled documents. A text's terms are the runs of four and of six bytes inside its
 lower-cased words, an edge of a word counting as a byte, so that unseen forms of a word share terms with seen ones; a term
-that a text repeats makes further terms, as a vector's length would hide how often it occurs. Terms that tell the labels apart (chi-squared over the sample) make the vocabulary; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max
-inverted index: postings by word, in blocks of examples, with each block's largest weight. A text's K nearest examples
+that a text repeats makes further terms, as a vector's length would hide how often it occurs. All terms that tell the
+labels apart with significance (chi-squared over the sample, corrected for the number of terms) make the vocabulary, as
+many as they are; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max inverted
+index: postings by word, in blocks of examples, with each block's largest weight. A text's K nearest examples
 by exact cosine are found by reading blocks from the highest upper bound down, until no block left can hold a nearer one.
 Votes weighted by distance, drawn to the labels' prior, give the score; a monotone map fitted on the examples, each
 scored without itself, calibrates it. The voting examples are the evidence.
@@ -24,11 +26,10 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import LOWERED_WORD, fold, small_batches, text_blocks
 
-#: Bounds of what the classifier learns from: labelled documents, and words of its vocabulary.
+#: The bound of what the classifier learns from: labelled documents.
 MAX_EXAMPLES = 4096
-MAX_TERMS = 512
-#: A word's chi-squared must reach this: one chance in ten thousand, so that few of a large sample's words pass by luck.
-LEAST_CHI2 = 15.0
+#: A term's chi-squared must reach this: a chance of five in a hundred that one term among 400,000 does by luck.
+LEAST_CHI2 = 28.0
 K = 32
 BLOCK = 64
 #: A vote's weight is 1 / (distance + SOFT); the prior has PRIOR votes at distance 1.
@@ -234,8 +235,8 @@ def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.nd
     return np.array([sums.get(i, 0) for i in range(len(vocabulary))], np.int64), sums.get(-1, 0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model | None:
-    """The model; None without an example. The driver holds the vocabulary's words of the bounded sample only."""
+def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> Model | None:
+    """The model; None without an example. The driver holds the bounded sample's significant terms only."""
     sample = examples(small_batches(docs), labels, limit).persist()
     rows = sample.where("times = 0").select("doc_id", "toxic").union(sample.where("times > 0").select("doc_id", "toxic")).distinct()
     ids = {r[0]: r[1] for r in rows.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(limit).collect()}
@@ -247,10 +248,10 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_ter
     a, b = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     chi2 = F.lit(float(n)) * F.pow(a * (n - positive - b) - b * (positive - a), 2) / (F.col("n") * (F.lit(float(n)) - F.col("n")) * (positive * (n - positive)))
     best = per_word.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2) if 0 < positive < n else per_word.where("false").withColumn("chi2", F.lit(0.0))
-    chosen = best.orderBy(F.desc("chi2"), "word").limit(max_terms).select("word", "chi2").collect()
-    chosen = [r for r in chosen if r["chi2"] >= LEAST_CHI2] or chosen[:64]
+    chosen = best.where(F.col("chi2") >= LEAST_CHI2).select("word").collect()
     vocabulary = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
-    spread = sample.where(F.col("word").isin([r["word"] for r in chosen])).select("doc_id", "word", "times").distinct() if chosen else sample.where("false").select("doc_id", "word", "times")
+    chosen = sample.sparkSession.createDataFrame(chosen, "word bigint")
+    spread = sample.where("times > 0").join(F.broadcast(chosen), "word").select("doc_id", "word", "times").distinct()
     found: dict[int, dict[int, int]] = {i: {} for i in ids}
     for doc, word, times in spread.collect():
         if doc in found:
@@ -288,9 +289,9 @@ class Scorer:
         return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted, evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit, max_terms))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -304,9 +305,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_
     return rows.mapInArrow(score, SCHEMA)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """The documents, all their columns, that are not predicted toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit, max_terms))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, limit))
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
