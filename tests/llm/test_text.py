@@ -1,7 +1,9 @@
+import glob
 import hashlib
 import json
 import os
 import random
+import tempfile
 import zlib
 from collections import Counter
 from fractions import Fraction as Q
@@ -199,6 +201,35 @@ def test_words_encode_as_whole_texts(text):
     assert np.frombuffer(e.ids(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@needs_tokenizer
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=60) | st.text(alphabet="aBcéÇßÿ.,'!? \n\t<|endoftx>12", max_size=60))
+def test_other_tokenizer_files_go_through_the_library(text):
+    for e in others():
+        assert not e.plain
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+_others = []
+
+
+def others():
+    """Encoders of the other files beside the tokenizer's, and of copies of its own that keep case or are cut otherwise."""
+    if not _others:
+        paths = [p for p in glob.glob(os.path.join(os.path.dirname(TOKENIZER), "*.json")) if p != TOKENIZER]
+        with open(TOKENIZER, encoding="utf-8") as f:
+            parts = json.load(f)
+        cased = parts | {"normalizer": {"type": "NFC"}}
+        spaced = parts | {"pre_tokenizer": {"type": "WhitespaceSplit"}}
+        for changed in (cased, spaced):
+            handle, path = tempfile.mkstemp(suffix=".json")
+            with open(handle, "w", encoding="utf-8") as f:
+                json.dump(changed, f)
+            paths.append(path)
+        _others.extend(map(token_output.Encoder, paths))
+    return _others
+
+
 @needs_tokenizer
 def test_token_output(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(token_output, "SEGMENT_IDS", 500)

@@ -12,6 +12,7 @@ an empty table makes no segment. A text of any length is encoded whole.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -38,11 +39,29 @@ _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _UNSURE = re.compile("[\x1c-\x1f]|<\\|")
 
 
+# What a tokenizer file must say, to the letter, for a text's ids to be its words' ids end to end.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BY_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def words_stand_alone(parts: dict) -> bool:
+    """Whether a tokenizer file lower-cases texts, cuts them at white space and marks, and merges bytes within each piece.
+
+    Any other normaliser, pre-tokenizer or kind of model makes it another tokenizer, for which whole texts go through the library.
+    """
+    model = {k: v for k, v in parts["model"].items() if k in _MODEL}
+    marked = all(t["content"].startswith("<|") for t in parts.get("added_tokens") or ())
+    return marked and parts.get("normalizer") == _NORMALIZER and parts.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_CUTS, _BY_BYTES]} and model == _MODEL
+
+
 class Encoder(dict):
     """Words between white space, to their ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer works on each such word by itself, so a text's ids are its words' ids end to end. Words of plain
-    letters go straight to the tokenizer's model; any other goes through the whole tokenizer.
+    Where the tokenizer's file says that it works on each such word by itself, a text's ids are its words' ids end to end;
+    words of plain letters go straight to the tokenizer's model, any other through the whole tokenizer. With any other
+    tokenizer file each text goes through the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,17 +70,14 @@ class Encoder(dict):
         super().__init__()
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = type(self.tokenizer.model).__name__ == "BPE" and self._splits_at_white_space()
+        with open(path, encoding="utf-8") as f:
+            self.plain = words_stand_alone(json.load(f))
         self.model = self.tokenizer.model
         self.known_marks: dict[str, bytes] = {}
         letters = [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
 
-    def _splits_at_white_space(self) -> bool:
-        whole = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        return all(whole(a + gap + b) == whole(a) + whole(b) for a, b in (("One", "two,"), ("x.", "'s"), ("été", "Ça!")) for gap in (" ", "\n", " \t "))
-
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             # words met early are the frequent ones
