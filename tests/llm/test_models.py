@@ -39,7 +39,7 @@ def toxicity_scores(rows, labels):
     chosen = []
     for t in {t for c in found.values() for t in c}:
         a, b = (sum(t in found[d] for d in ids if truth[d] == y) for y in (1, 0))
-        if 3 <= a + b < n and n * (a * (n - positive - b) - b * (positive - a)) ** 2 / ((a + b) * (n - a - b) * positive * (n - positive)) >= 28:
+        if 3 <= a + b < n and n * (a * (n - positive - b) - b * (positive - a)) ** 2 / ((a + b) * (n - a - b) * positive * (n - positive)) >= 15:
             chosen.append(t)
     chosen.sort()
     every = [term_counts(t) for _, t in rows]
@@ -58,9 +58,9 @@ def toxicity_scores(rows, labels):
         cosine = np.round(matrix @ v, 12)
         if without is not None:
             cosine[without] = 0
-        best = [i for i in np.argsort(-cosine, kind="stable")[:32] if cosine[i] > 0]
-        weight = np.array([1 / (1 - cosine[i] + 0.05) for i in best])
-        return (weight @ y[best] + prior / 1.05) / (weight.sum() + 1 / 1.05)
+        best = [i for i in np.argsort(-cosine, kind="stable")[:8] if cosine[i] > 0]
+        weight = np.array([1 / (1 - cosine[i] + 0.05) ** 2 for i in best])
+        return (weight @ y[best] + prior / 1.05**2) / (weight.sum() + 1 / 1.05**2)
 
     empty = ~matrix.any(1)
     bare = (y[empty].sum() + prior) / (empty.sum() + 1)

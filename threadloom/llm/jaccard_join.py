@@ -185,8 +185,6 @@ def verified(families: DataFrame, threshold: float) -> DataFrame:
         for group in sorted_groups(batches, ["family", "x", "y"]):
             if group.num_rows < 2:
                 continue
-            # repeated rows bring the sets of their class again
-            group = group.take(np.unique(group["c"].to_numpy(), return_index=True)[1])
             c, own, copies = group["c"].to_numpy(), group["own"].to_numpy(), group["copies"].to_numpy()
             sig = matrix(group["signature"], np.uint16, HASHES)
             sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
@@ -239,12 +237,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
     family_of = stored(components(ties).select(F.col("node").alias("c"), F.col("component").alias("family")), "families")
     # each class in a family brings the text of one of its documents
     members = family_of.join(kinds, "c")
-    texts = docs.select(*keys_of_rows(), "text").join(members.select("k", "th", "c"), ["k", "th"])
-    sets = shingle_sets(texts, width)
+    # rows that repeat a document bring its text once
+    texts = docs.select(*keys_of_rows(), "text").join(members.select("k", "th", "c"), ["k", "th"]).groupBy("c").agg(F.first("text").alias("text"))
     sizes = family_of.groupBy("family").agg(F.count("*").alias("n"))
-    # a repeated id may bring texts of other classes; their sets are told apart by the class key of the text
-    sets = texts.select("c", "text")
-    sets = shingle_sets(sets, width)
+    sets = shingle_sets(texts, width)
     rows = members.select("c", "family", "copies", "signature").join(sizes, "family").join(sets, "c")
     links = stored(verified(dealt(rows, ["family"], "n", ["family", "c", "copies", "signature", "shingles"]), threshold), "links")
     per_class = links.groupBy("c").agg(F.sum("links").alias("links"))
@@ -269,8 +265,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The documents, all their columns, that are the smallest of their groups; of repeated rows one."""
-    kept = jaccard_join(docs, threshold, width).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__k"), F.col("text_hash").alias("__th")).distinct()
-    k, th = keys_of_rows()
-    rows = docs.withColumns({"__k": k, "__th": th}).join(kept, ["__k", "__th"], "left_semi")
-    return rows.dropDuplicates(["__k", "__th"]).drop("__k", "__th").select(*docs.columns)
+    """The documents, all their columns, that are the smallest of their groups; of repeated rows one.
+
+    Cases as above; texts without words stay; an empty table stays empty; columns may have any names.
+    """
+    kept = jaccard_join(docs, threshold, width).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.col("text_hash").alias("th")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *keys_of_rows())
+    return rows.join(kept, ["k", "th"], "left_semi").dropDuplicates(["k", "th"]).select("row.*")

@@ -3,7 +3,8 @@
 Each line's key gathers a HyperLogLog sketch of the sites that hold it; sketches merge in partial aggregations, so a line
 that stands everywhere reaches the last aggregation as one row a task. Estimates far from the threshold decide by
 themselves; lines whose estimate lies within BAND of it get an exact distinct count. Documents lose the lines that at
-least `min_sites` sites hold. Only DataFrame functions run.
+least `min_sites` sites hold. Only DataFrame functions run. Texts are cut into lines once, and once more where they lose
+some; a line that stands in a large part of the documents is dealt over many tasks.
 
 Cases: lines are compared without spaces at their ends; blank lines are never boilerplate and stay; a null or empty text
 has no line; null sites are one site; a line that a document repeats is removed each time; repeated rows stay repeated;
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import spread_join, stored
+
 #: Sites that make a line boilerplate.
 MIN_SITES = 5
 #: Estimates within this share of the threshold are counted exactly; the sketch's standard error is about 1.6 %.
@@ -36,24 +39,26 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(a, b) keys of lines that at least min_sites distinct sites hold."""
+    """(a, b, n) keys of lines that at least min_sites distinct sites hold, and how many documents hold them."""
     site = F.xxhash64(F.coalesce("site", F.lit("\0")))
     spread = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.hll_sketch_agg(site, F.lit(LOG_REGISTERS)).alias("sketch"))
     # fewer documents than sites are needed can't do
-    spread = spread.where(F.col("n") >= min_sites).select("a", "b", F.hll_sketch_estimate("sketch").alias("sites"))
-    sure = spread.where(F.col("sites") > min_sites * (1 + BAND)).select("a", "b")
-    near = spread.where(F.col("sites").between(int(min_sites * (1 - BAND)), min_sites * (1 + BAND))).select("a", "b")
-    pairs = rows.join(near, ["a", "b"], "left_semi").select("a", "b", F.coalesce("site", F.lit("\0")).alias("site")).distinct()
+    spread = stored(spread.where(F.col("n") >= min_sites).select("a", "b", "n", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
+    sure = spread.where(F.col("sites") > min_sites * (1 + BAND)).select("a", "b", "n")
+    near = spread.where(F.col("sites").between(int(min_sites * (1 - BAND)), min_sites * (1 + BAND))).select("a", "b", "n")
+    total = near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs = spread_join(rows, near, ["a", "b"], total).select("a", "b", F.coalesce("site", F.lit("\0")).alias("site")).distinct()
     exact = pairs.groupBy("a", "b").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("a", "b")
-    return sure.unionByName(exact)
+    return sure.unionByName(exact.join(near, ["a", "b"]).select("a", "b", "n"))
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """A row per document: doc_id, n_lines (not blank), n_removed, kept_text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(site).cast("string").alias("site"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
-    held = lines(rows)
-    found = held.join(boilerplate(held, min_sites), ["a", "b"], "left_semi")
+    held = stored(lines(rows), "lines")
+    bad = stored(boilerplate(held, min_sites), "boilerplate")
+    found = spread_join(held, bad, ["a", "b"], bad.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     marked = found.groupBy("k", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     out = rows.select("doc_id", "text", "k", "th").join(marked, ["k", "th"], "left")
     gone = lambda x: F.coalesce(F.array_contains("gone", line_key(x)), F.lit(False)) & (F.trim(x) != "")

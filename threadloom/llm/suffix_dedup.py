@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import U64, mix, partitions, prefix_sums, small_batches, span_hash, stored, text_blocks
+from threadloom.llm.common import U64, mix, partitions, prefix_sums, small_batches, span_hash, spread_join, stored, text_blocks
 
 LENGTH, START = 200, 50
 #: Bytes of a text that are ranked at once.
-PIECE = 8 << 20
+PIECE = 4 << 20
 PLACE = U64((1 << 24) - 1)
 #: Runs of one rank that a task takes; a rank with more is dealt over several.
 RUNS = 20_000
@@ -208,17 +208,19 @@ def context(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
 
 def spans(docs: DataFrame, length: int = LENGTH, start: int = START) -> DataFrame:
     """Spans of string starts (k, th, lo, hi) of all repeated strings."""
-    found = anchors(docs, length, start)
+    # written once, as ranking takes the most time of all
+    found = stored(anchors(docs, length, start), "anchors")
     row: Column = F.xxhash64("k", "th", "lo")
     # ranks that occur once are dropped here, before anything else moves
-    ranks = found.groupBy("rank").agg(F.count("*").alias("n_rank"), (F.min("around") != F.max("around")).alias("differ")).where("n_rank > 1")
-    # written once, as several steps read it and each would rank all texts again
-    placed = stored(found.join(ranks, "rank"), "ranks")
+    ranks = found.groupBy("rank").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("differ")).where("n > 1")
+    ranks = stored(ranks.withColumn("n_rank", F.col("n")), "repeated")
+    total = ranks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = stored(spread_join(found, ranks, ["rank"], total), "ranks")
     # where the same surroundings stand around each of a rank's places, all its strings are repeated
     alike = placed.where("not differ").select("k", "th", "lo", "hi")
     mixed = placed.where("differ").select("k", "th", "rank", "around", "lo", "hi", "n_rank")
     kinds = mixed.groupBy("rank", "around").agg(F.count("*").alias("n"), F.max(row).alias("chosen"))
-    mixed = stored(mixed.join(kinds, ["rank", "around"]).drop("around"), "runs")
+    mixed = stored(spread_join(mixed, kinds.withColumn("n_kind", F.col("n")), ["rank", "around"], total).withColumnRenamed("n_kind", "n").drop("around"), "runs")
     copies = alike.union(mixed.where("n > 1").select("k", "th", "lo", "hi"))
     # of surroundings that occur more than once, one run stands for all
     salt = F.pmod(F.xxhash64(F.lit("salt"), "k", "th", "lo"), F.ceil(F.col("n_rank") / RUNS))

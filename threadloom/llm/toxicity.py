@@ -3,8 +3,7 @@
 Examples are a bounded sample of labelled documents. A text's terms are the runs of four and of six bytes inside its
 lower-cased words, an edge of a word counting as a byte, so that unseen forms of a word share terms with seen ones; a term
 that a text repeats makes further terms, as a vector's length would hide how often it occurs. All terms that tell the
-labels apart with significance (chi-squared over the sample, corrected for the number of terms) make the vocabulary, as
-many as they are; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max inverted
+labels apart with significance (chi-squared over the sample) make the vocabulary, as many as they are; their document frequencies come from all documents. Examples are TF-IDF vectors in a block-max inverted
 index: postings by word, in blocks of examples, with each block's largest weight. A text's K nearest examples
 by exact cosine are found by reading blocks from the highest upper bound down, until no block left can hold a nearer one.
 Votes weighted by distance, drawn to the labels' prior, give the score; a monotone map fitted on the examples, each
@@ -28,11 +27,11 @@ from threadloom.llm.common import LOWERED_WORD, fold, small_batches, text_blocks
 
 #: The bound of what the classifier learns from: labelled documents.
 MAX_EXAMPLES = 4096
-#: A term's chi-squared must reach this: a chance of five in a hundred that one term among 400,000 does by luck.
-LEAST_CHI2 = 28.0
-K = 32
+#: A term's chi-squared must reach this: one chance in ten thousand that it does by luck.
+LEAST_CHI2 = 15.0
+K = 8
 BLOCK = 64
-#: A vote's weight is 1 / (distance + SOFT); the prior has PRIOR votes at distance 1.
+#: A vote's weight is 1 / (distance + SOFT) ** 2; the prior has PRIOR votes at distance 1.
 SOFT, PRIOR = 0.05, 1.0
 EVIDENCE = 3
 #: Counts from which a term's repetition is a term of its own.
@@ -193,8 +192,8 @@ class Model:
         if not len(word):
             return self.bare, word, weight
         who, cosine = self.index.nearest(word, weight, K, without)
-        vote = 1 / (1 - cosine + SOFT)
-        prior = PRIOR / (1 + SOFT)
+        vote = 1 / (1 - cosine + SOFT) ** 2
+        prior = PRIOR / (1 + SOFT) ** 2
         return float((vote @ self.toxic[who] + prior * self.prior) / (vote.sum() + prior)), who, cosine
 
     def score(self, word: np.ndarray, times: np.ndarray) -> tuple[float, list[dict]]:
