@@ -1,5 +1,6 @@
 import glob
 import hashlib
+import itertools
 import json
 import os
 import random
@@ -256,16 +257,51 @@ def test_token_output(spark, monkeypatch, tmp_path):
 def test_online_viterbi_is_viterbi():
     rng = random.Random(9)
     pool = ["User: hi", "what is it?", "- a list", "Assistant: " + "x" * 300, "", "plain line", "### Response:", "AI> yes", "note: a", "Q: who?"]
-    for check in (1, 3, 50):
-        for _ in range(25):
-            lines = [rng.choice(pool) for _ in range(rng.randint(1, 60))]
-            reader = chat.Reader(check)
-            got = [x for line in lines for x in reader.give(line)] + reader.end()
-            rows = np.stack([chat.emission(chat.features(x)) for x in lines])
-            path = chat.viterbi(rows)
-            score = lambda p, rows=rows: chat._START[p[0]] + rows[0][p[0]] + sum(chat._MOVES[a, b] + rows[i + 1][b] for i, (a, b) in enumerate(zip(p, p[1:], strict=False)))
-            assert len(got) == len(lines) and abs(score([s for s, _ in got]) - score(path)) < 1e-6
-            assert [line for _, line in got] == [chat.features(x)[5] for x in lines]
+    for model in (chat.Model(), chat.Model([("move", i, j, rng.randint(0, 9)) for i in range(6) for j in range(6)] + [("feature0", i, 0, rng.randint(0, 9)) for i in range(6)])):
+        for check in (1, 3, 50):
+            for _ in range(15):
+                lines = [rng.choice(pool) for _ in range(rng.randint(1, 60))]
+                reader = chat.Reader(model, check)
+                got = [x for line in lines for x in reader.give(line)] + reader.end()
+                rows = np.stack([model.emission(chat.symbols(x)[0]) for x in lines])
+                path = chat.viterbi(model, rows)
+                score = lambda p, rows=rows, m=model: m.start[p[0]] + rows[0][p[0]] + sum(m.moves[a, b] + rows[i + 1][b] for i, (a, b) in enumerate(zip(p, p[1:], strict=False)))
+                assert len(got) == len(lines) and abs(score([s for s, _ in got]) - score(path)) < 1e-6
+                assert [line for _, line in got] == [chat.features(x)[5] for x in lines]
+    # against all paths there are
+    model = chat.Model([("move", i, j, rng.randint(0, 5)) for i in range(6) for j in range(6)])
+    for _ in range(5):
+        lines = [rng.choice(pool) for _ in range(4)]
+        rows = np.stack([model.emission(chat.symbols(x)[0]) for x in lines])
+        best = max(model.start[p[0]] + rows[0][p[0]] + sum(model.moves[a, b] + rows[i + 1][b] for i, (a, b) in enumerate(zip(p, p[1:], strict=False))) for p in itertools.product(range(6), repeat=4))
+        path = chat.viterbi(model, rows)
+        assert abs(model.start[path[0]] + rows[0][path[0]] + sum(model.moves[a, b] + rows[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False))) - best) < 1e-9
+
+
+def test_chat_counts_and_held_out_roles(spark):
+    known = [(1, 0, "System: be brief", "system"), (1, 1, "User: why?\n\nand how", "user"), (1, 2, "because", "assistant"), (None, 0, "User: x", "user"), (2, 0, "what", None), (2, 1, "User: hi", "user")]
+    model = chat.learn(spark.createDataFrame(known, "conv_id long, turn long, text string, role string"))
+    counts = [("start", 0, 0, 1), ("start", 0, 1, 1), ("move", 0, 1, 1), ("move", 1, 4, 1), ("move", 4, 4, 1), ("move", 4, 2, 1), ("feature0", 0, 1, 1), ("feature0", 1, 2, 2), ("feature0", 4, 0, 2), ("feature0", 2, 0, 1)]
+    plain = chat.Model(counts)
+    assert np.allclose(model.start, plain.start) and np.allclose(model.moves, plain.moves) and np.allclose(model.tables[0], plain.tables[0])
+    rng = random.Random(2)
+    rows = []
+    for c in range(200):
+        for t in range(rng.randint(2, 9)):
+            role = "system" if t == 0 and c % 4 == 0 else ("user", "assistant")[(t + (c % 4 == 0)) % 2]
+            said = sentence(rng, rng.randint(2, 6)) + "?" if role == "user" else "\n".join(sentence(rng, 30) for _ in range(rng.randint(1, 4)))
+            rows.append((c, t, role, said))
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    raw = chat.raw_transcripts(talks, ["role"])
+    got = chat.chat_format(raw.drop("role"), raw.where("conv_id % 5 <> 0")).where("conv_id % 5 = 0").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    truth = {}
+    for c, t, role, said in rows:
+        if c % 5 == 0:
+            truth.setdefault(c, []).append((t, role, said))
+    assert sum(sorted(found[c]) == truth[c] for c in truth) >= 0.9 * len(truth)
 
 
 def test_chat_format(spark):
@@ -273,6 +309,11 @@ def test_chat_format(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
     got = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.chat_format(df).orderBy("conv_id", "turn").collect()]
     assert got[:2] == [(None, 0, "user", "hm"), (None, 1, "assistant", "ok")]
+    alone = spark.createDataFrame([(None, 0, "User: a"), (None, 0, "User: a"), (None, 1, "Assistant: b")], "conv_id long, turn long, text string")
+    assert sorted((r["turn"], r["role"], r["text"]) for r in chat.chat_format(alone).collect()) == [(0, "assistant", "b"), (0, "user", "a"), (0, "user", "a")]
+    long = spark.createDataFrame([(5, 0, "User: a\n" + "b\n" * 5000 + "Assistant: c")], "conv_id long, turn long, text string")
+    turns = chat.chat_format(long).orderBy("turn").collect()
+    assert turns[0]["role"] == "user" and (turns[-1]["role"], turns[-1]["text"]) == ("assistant", "c") and "\n".join(r["text"] for r in turns).split("\n") == ["a", *"b" * 5000, "c"]
     assert [x[2:] for x in got if x[0] == 1] == [("user", "hello there"), ("assistant", "fine\nand more"), ("user", "could you help?")]
     assert [x[2:] for x in got if x[0] == 3] == [("system", "be brief"), ("user", "why?"), ("assistant", "because"), ("user", "twice")]
     assert not [x for x in got if x[0] == 2]

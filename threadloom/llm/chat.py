@@ -2,16 +2,18 @@
 
 A transcript is lines of text with or without speaker markers. A hidden Markov model has a state for each role and for
 each half of a role's turn (its first line, a later line); it emits a line's marker and features (a question, its length,
-an opening word that asks, lists and code). Viterbi's path gives each line a role and tells where turns begin; turns are
-then rendered canonically.
+an opening word that asks, lists and code, blankness). Its chances are counted over transcripts whose roles are known, all
+of them, on top of one line's worth of a prior. Viterbi's path gives each line a role and tells where turns begin; turns
+are then rendered canonically.
 
 The path is found online: back-pointers are followed every CHECK lines, and what all surviving paths agree on is final
 and leaves memory. So a transcript of any number of lines is read in bounded memory, with the result of Viterbi over all
 of it.
 
-Cases: rows without a transcript id are one transcript; null and empty texts are blank lines, which belong to the turn
-around them and are dropped at its ends; a transcript of blank lines only has no turn; rows that repeat a place follow
-each other in the order of their texts; an empty table gives no turn; other columns are not read.
+Cases: a row without a transcript id is a transcript by itself; null and empty texts are blank lines, which belong to the
+turn around them and are dropped at its ends; a transcript of blank lines only has no turn; rows that repeat a place
+follow each other in the order of their texts; known turns with a null role or id aren't learned from, and none at all
+leave the prior; an empty table gives no turn; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import partitions
@@ -40,23 +42,10 @@ _LISTS = re.compile(r"^\s*(?:[-*•]|\d+[.)]|```|\|)\s")
 CHECK = 512
 #: States: a role's first line, then a role's later line.
 STATES = [(role, first) for first in (True, False) for role in ROLES]
-_START = np.log(np.array([0.25, 0.6, 0.15, 1e-9, 1e-9, 1e-9]))
 
 
-def transitions() -> np.ndarray:
-    """Log chances from state to state. A turn goes on with STAY; else the other side speaks, seldom anyone else."""
-    follow = {"system": (0.02, 0.9, 0.08), "user": (0.02, 0.03, 0.95), "assistant": (0.02, 0.95, 0.03)}
-    out = np.full((6, 6), 1e-9)
-    for i, (role, _) in enumerate(STATES):
-        stay = 0.6 if role == "assistant" else 0.5
-        for j, other in enumerate(ROLES):
-            out[i, j] = (1 - stay) * follow[role][j]
-            if other == role:
-                out[i, 3 + j] = stay
-    return np.log(out)
-
-
-_MOVES = transitions()
+#: Fixed values of the prior: how a line of each kind of state is marked and looks, before anything is counted.
+_FOLLOW = {"system": (0.02, 0.9, 0.08), "user": (0.02, 0.03, 0.95), "assistant": (0.02, 0.95, 0.03)}
 
 
 def features(line: str) -> tuple[str | None, bool, bool, bool, int, str]:
@@ -68,43 +57,97 @@ def features(line: str) -> tuple[str | None, bool, bool, bool, int, str]:
     return role, bool(_ASKS.match(rest)), rest.rstrip().endswith("?"), bool(_LISTS.match(rest)), 0 if n < 80 else 1 if n < 240 else 2, rest
 
 
-def emission(f: tuple[str | None, bool, bool, bool, int, str]) -> np.ndarray:
-    """Log chances of a line's features in each state, up to a constant."""
-    role, asks, question, lists, size, rest = f
-    out = np.zeros(6)
-    for i, (own, first) in enumerate(STATES):
-        if role is None:
-            p = 0.12 if first else 0.995
-        else:
-            p = 0.86 if first and own == role else 0.01 if first else 0.0005
-        user = own == "user"
-        p *= (0.25 if user else 0.05) if asks else (0.75 if user else 0.95)
-        p *= (0.3 if user else 0.04) if question else (0.7 if user else 0.96)
-        p *= (0.03 if user else 0.12) if lists else (0.97 if user else 0.88)
-        p *= ((0.45, 0.4, 0.15) if user else (0.5, 0.35, 0.15) if own == "system" else (0.25, 0.35, 0.4))[size]
-        if not rest.strip():  # blank lines don't begin turns unless marked
-            p *= 0.02 if first and role is None else 1.0
-        out[i] = np.log(p)
-    return out
+def symbols(line: str) -> tuple[tuple[int, int, int, int, int, int], str]:
+    """(number of each feature's value, the line without its marker). Features are in the order of SIZES."""
+    role, asks, question, lists, size, rest = features(line)
+    return (0 if role is None else 1 + ROLES.index(role), int(asks), int(question), int(lists), size, int(not rest.strip())), rest
 
 
-_memory: dict[tuple, np.ndarray] = {}
+#: Values that each feature has: marker, asks, question, list or code, length, blank.
+SIZES = (4, 2, 2, 2, 3, 2)
+KINDS = ("start", "move", *(f"feature{i}" for i in range(len(SIZES))))
 
 
-def emitted(f: tuple) -> np.ndarray:
-    key = (*f[:5], not f[5].strip())
-    if key not in _memory:
-        _memory[key] = emission(f)
-    return _memory[key]
+def prior() -> dict[str, np.ndarray]:
+    """Chances before anything is counted: by kind, a row a state (start: one row), each of sum 1."""
+    start = np.array([[0.25, 0.6, 0.15, 1e-6, 1e-6, 1e-6]])
+    move = np.full((6, 6), 1e-6)
+    tables = [np.zeros((6, n)) for n in SIZES]
+    for i, (role, first) in enumerate(STATES):
+        stay = 0.6 if role == "assistant" else 0.5
+        for j, other in enumerate(ROLES):
+            move[i, j] = (1 - stay) * _FOLLOW[role][j]
+            if other == role:
+                move[i, 3 + j] = stay
+        own = 1 + ROLES.index(role)
+        mark = [0.12 if first else 0.995] + [0.01 if first else 0.0005] * 3
+        mark[own] = 0.86 if first else 0.0005
+        user = role == "user"
+        for t, row in zip(tables, (mark, (0.8, 0.2) if user else (0.95, 0.05), (0.75, 0.25) if user else (0.96, 0.04), (0.97, 0.03) if user else (0.88, 0.12), (0.45, 0.4, 0.15) if user else (0.3, 0.35, 0.35), (0.95, 0.05)), strict=True):
+            t[i] = row
+    out = {"start": start, "move": move} | {f"feature{i}": t for i, t in enumerate(tables)}
+    return {k: t / t.sum(1, keepdims=True) for k, t in out.items()}
 
 
-def viterbi(rows: np.ndarray) -> list[int]:
+class Model:
+    """Log chances of the first state, of moves between states, and of lines in each state. counts: (kind, row, column, lines)."""
+
+    def __init__(self, counts: Iterable[tuple[str, int, int, int]] = ()) -> None:
+        tables = prior()
+        for kind, i, j, n in counts:
+            tables[kind][i, j] += n
+        logs = {k: np.log(t / t.sum(1, keepdims=True)) for k, t in tables.items()}
+        self.start, self.moves = logs["start"][0], logs["move"]
+        self.tables = [logs[f"feature{i}"] for i in range(len(SIZES))]
+        self.memory: dict[tuple, np.ndarray] = {}
+
+    def emission(self, found: tuple[int, ...]) -> np.ndarray:
+        if found not in self.memory:
+            self.memory[found] = sum(t[:, x] for t, x in zip(self.tables, found, strict=True))
+        return self.memory[found]
+
+
+def learn(known: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text", role: str = "role") -> Model:
+    """The model of transcripts whose rows are turns with their roles. Counted in partial sums; the driver gets the few sums."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int], int] = {}
+
+        def add(kind: str, i: int, j: int) -> None:
+            sums[kind, i, j] = sums.get((kind, i, j), 0) + 1
+
+        for batch in batches:
+            for who, said, before, before_long in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = ROLES.index(who)
+                last = None if before not in ROLES else ROLES.index(before) + 3 * before_long
+                for n, line in enumerate((said or "").split("\n")):
+                    state = now + 3 * (n > 0)
+                    if n == 0 and last is None:
+                        add("start", 0, state)
+                    else:
+                        add("move", last if n == 0 else now + 3 * (n > 1), state)
+                    for f, x in enumerate(symbols(line)[0]):
+                        add(f"feature{f}", state, x)
+        if sums:
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            columns = zip(*((*k, n) for k, n in sums.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "i", "j", "n"])
+
+    rows = known.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"), F.col(role).alias("r")).where(F.col("k").isNotNull() & F.col("r").isin(*ROLES))
+    by = Window.partitionBy("k").orderBy("o", "t")
+    long = F.contains(F.coalesce("t", F.lit("")), F.lit("\n")).cast("int")
+    rows = rows.select("r", "t", F.lag("r").over(by).alias("before"), F.coalesce(F.lag(long).over(by), F.lit(0)).alias("long"))
+    found = rows.mapInArrow(count, "kind string, i int, j int, n bigint").groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+    return Model(tuple(r) for r in found.collect())
+
+
+def viterbi(model: Model, rows: np.ndarray) -> list[int]:
     """The likeliest states of all lines at once; rows: log emissions."""
     if not len(rows):
         return []
-    score, back = _START + rows[0], []
+    score, back = model.start + rows[0], []
     for e in rows[1:]:
-        step = score[:, None] + _MOVES
+        step = score[:, None] + model.moves
         back.append(step.argmax(0))
         score = step.max(0) + e
     path = [int(score.argmax())]
@@ -116,22 +159,22 @@ def viterbi(rows: np.ndarray) -> list[int]:
 class Reader:
     """Online Viterbi over one transcript: give() takes lines and returns (state, line) of those whose state is final."""
 
-    def __init__(self, check: int = CHECK) -> None:
-        self.check, self.score = check, None
+    def __init__(self, model: Model, check: int = CHECK) -> None:
+        self.model, self.check, self.score = model, check, None
         self.back: list[np.ndarray] = []
         self.lines: list[str] = []
 
     def give(self, line: str) -> list[tuple[int, str]]:
-        f = features(line)
-        e = emitted(f)
+        found, said = symbols(line)
+        e = self.model.emission(found)
         if self.score is None:
-            self.score = _START + e
+            self.score = self.model.start + e
         else:
-            step = self.score[:, None] + _MOVES
+            step = self.score[:, None] + self.model.moves
             self.back.append(step.argmax(0))
             self.score = step.max(0) + e
             self.score -= self.score.max()
-        self.lines.append(f[5])
+        self.lines.append(said)
         return self._agreed() if len(self.lines) % self.check == 0 else []
 
     def _agreed(self) -> list[tuple[int, str]]:
@@ -183,11 +226,13 @@ class Turns:
         return out
 
 
-def chat_format(transcripts: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """A row per recovered turn: conv_id, turn (from 0), role, text, rendered. transcripts: rows of lines in their order."""
+def chat_format(transcripts: DataFrame, known: DataFrame | None = None, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """A row per recovered turn: conv_id, turn (from 0), role, text, rendered. transcripts: rows of lines in their order;
+    known: transcripts to learn from, whose rows are turns with their `role`."""
+    model = learn(known, key, order, text) if known is not None else Model()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reader, turns, n = object(), Reader(), Turns(), 0
+        now, reader, turns, n = object(), Reader(model), Turns(), 0
         out: list[tuple] = []
 
         def tell(found: list[tuple[str, str]]) -> None:
@@ -208,10 +253,10 @@ def chat_format(transcripts: DataFrame, key: str = "conv_id", order: str = "turn
         began = False
         for batch in batches:
             for k, chunk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not began or k != now:
+                if not began or k is None or k != now:
                     if began:
                         close()
-                    began, now, reader, turns, n = True, k, Reader(), Turns(), 0
+                    began, now, reader, turns, n = True, k, Reader(model), Turns(), 0
                 for line in (chunk or "").split("\n"):
                     for state, said in reader.give(line):
                         tell(turns.add(state, said))
@@ -224,11 +269,13 @@ def chat_format(transcripts: DataFrame, key: str = "conv_id", order: str = "turn
             yield batch_of()
 
     rows = transcripts.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.col(order).alias("o"))
-    rows = rows.repartition(partitions(transcripts.sparkSession), "k").sortWithinPartitions("k", "o", "t").select("k", "t")
+    # rows without an id are transcripts of their own, wherever they are
+    alone = F.when(F.col("k").isNull(), F.xxhash64("o", "t"))
+    rows = rows.repartition(partitions(transcripts.sparkSession), F.col("k"), alone).sortWithinPartitions("k", "o", "t").select("k", "t")
     return rows.mapInArrow(read, "conv_id bigint, turn bigint, role string, text string, rendered string")
 
 
-def raw_transcripts(conversations: DataFrame) -> DataFrame:
+def raw_transcripts(conversations: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Conversations as raw transcripts would have them: markers in a style of each one's own, every eighth marker lost."""
     styles = [
         {"system": "System: ", "user": "User: ", "assistant": "Assistant: "},
@@ -244,4 +291,4 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
         for role, mark in names.items():
             marker = F.when((style == i) & (F.col("role") == role), F.lit(mark)).otherwise(marker)
     lost = (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0) & (F.col("turn") > 0)
-    return conversations.select("conv_id", "turn", F.concat(F.when(lost, F.lit("")).otherwise(marker), F.coalesce("text", F.lit(""))).alias("text"))
+    return conversations.select("conv_id", "turn", F.concat(F.when(lost, F.lit("")).otherwise(marker), F.coalesce("text", F.lit(""))).alias("text"), *(also or ()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import chat, decontamination, embed_dedup, jaccard_join, language, line_dedup, mixing, suffix_dedup, token_output, toxicity
+from threadloom.llm.common import fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.chat_format(chat.raw_transcripts(table(spark, sf_dir, "conversations")))
+    conversations = table(spark, sf_dir, "conversations")
+    # roles are known, and learned from, outside the held-out fold only
+    known = chat.raw_transcripts(conversations.where(fold(F.col("conv_id")) != 0), ["role"])
+    return chat.chat_format(chat.raw_transcripts(conversations), known)
 
 
 #: Domains of the tables' sources, and target weights of domains and of languages within each.
