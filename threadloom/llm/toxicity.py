@@ -113,7 +113,7 @@ class Index:
         example = np.repeat(np.arange(n), np.diff(starts))
         block = example // BLOCK
         order = np.lexsort((example, word))
-        self.example, self.weight = (example[order] % BLOCK).astype(np.int64), weight[order]
+        self.example, self.weight = example[order], weight[order]
         self.largest = np.zeros((n_words, self.n_blocks))
         np.maximum.at(self.largest, (word, block), weight)
         # postings of word w in block b: [at[w, b], at[w, b + 1])
@@ -127,21 +127,27 @@ class Index:
         """The k examples of the highest cosines over 0, of equal ones the first: (example, cosine)."""
         bound = weight @ self.largest[word]
         order = np.argsort(-bound, kind="stable")
-        best_i, best_s, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best_i) == k and bound[b] < worst - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for w, q in zip(word.tolist(), weight.tolist(), strict=True):
-                span = slice(self.at[w, b], self.end[w, b])
-                score[self.example[span]] += q * self.weight[span]
+        order = order[: np.count_nonzero(bound > 0)]
+        best_i, best_s, worst, at_once = np.zeros(0, np.int64), np.zeros(0), 0.0, 2
+        while len(order):
+            # some of the blocks of the highest bounds together, then twice as many
+            blocks, order, at_once = order[:at_once], order[at_once:], 2 * at_once
+            if len(best_i) == k:
+                blocks = blocks[bound[blocks] >= worst - 1e-12]
+                if not len(blocks):
+                    break
+            start, end = self.at[word[:, None], blocks], self.end[word[:, None], blocks]
+            count = (end - start).ravel()
+            base = np.cumsum(count) - count
+            posting = np.repeat(start.ravel() - base, count) + np.arange(base[-1] + count[-1])
+            score = np.bincount(self.example[posting], np.repeat(weight, (end - start).sum(1)) * self.weight[posting], self.n)
             score = np.round(score, 12)
-            if b == without // BLOCK and without >= 0:
-                score[without % BLOCK] = 0.0
+            if without >= 0:
+                score[without] = 0.0
             hit = np.flatnonzero(score > max(0.0, worst - 1e-12 if len(best_i) == k else 0.0))
             if not len(hit):
                 continue
-            best_i, best_s = np.concatenate([best_i, hit + b * BLOCK]), np.concatenate([best_s, score[hit]])
+            best_i, best_s = np.concatenate([best_i, hit]), np.concatenate([best_s, score[hit]])
             if len(best_i) > k:
                 top = np.lexsort((best_i, -best_s))[:k]
                 best_i, best_s = best_i[top], best_s[top]
