@@ -1,6 +1,7 @@
 """Operators against known results: redaction, labels, capsules, search, graphs, links, packs, targets, catalogs, deltas."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,31 @@ def test_links(spark):
     assert after.count() == len(MULTI) + 2 and links.insert_edges(after, after).count() == after.count()
 
 
+def test_links_asked_together_close_no_cycle(spark):
+    n = "codex:s:"
+    ask = lambda pairs: spark.createDataFrame([(f"{i:03}", "p", [n + x for x in a], n + b, "explicit") for i, (a, b) in enumerate(pairs)], "request string, project_key string, source_ids array<string>, target_id string, mode string").withColumn("confirmed_at", F.timestamp_seconds(F.lit(7)))
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("ae", "c"), ("c", "d"), ("c", "g"), ("b", "a"), ("e", "g"), ("g", "e")]
+    s = sessions(spark, list("abcdeg"))
+    after, result = links.link(ask(pairs), s, edges(spark, []).limit(0))
+    got = [(r["refusal"], r["inserted"], r["existing"]) for r in result.orderBy("request").collect()]
+    assert got == [(None, 1, 0), (None, 1, 0), ("cycle", 0, 0), (None, 1, 0), (None, 2, 0), ("cycle", 0, 0), (None, 1, 0), ("cycle", 0, 0), (None, 1, 0), ("cycle", 0, 0)]
+    assert not graph.has_cycle([(r["source_id"], r["target_id"]) for r in after.collect()])
+    rng = random.Random(4)
+    for _ in range(30):
+        g, stands = links.Acyclic(), []
+        for _ in range(80):
+            e = (rng.randrange(15), rng.randrange(15))
+            ok = e[0] != e[1] and not graph.has_cycle([*stands, e])
+            assert g.add(*e) == ok
+            stands += [e] if ok else []
+    resolved = spark.createDataFrame([("p", "confirmation_required", None)], "project_key string, kind string, source_id string")
+    rows = ask([("a", "b")])
+    assert [r["refusal"] for r in links.link_resolved(rows, resolved, s, edges(spark, []).limit(0))[1].collect()] == ["target-unconfirmed"]
+    sure = spark.createDataFrame([("p", "resolved", n + "g")], "project_key string, kind string, source_id string")
+    after, result = links.link_resolved(rows, sure, s, edges(spark, []).limit(0))
+    assert [tuple(r) for r in after.select("source_id", "target_id", "mode").collect()] == [(n + "a", n + "g", "current")] and json.loads(links.link_document(rows, result).first()["document"])["inserted"] == 1
+
+
 def test_capsules(spark):
     long = "€" * 4000
     rows = [("codex:s:a", i, "user" if i % 2 == 0 else "agent", long, f"jsonl:{i}") for i in range(12)]
@@ -206,13 +232,44 @@ def test_catalog(spark, tmp_path):
     e = spark.createDataFrame([("codex:s:one", "codex:s:x")], "source_id string, target_id string")
     left = {r["source_id"]: r["native_available"] for r in catalog.delete_or_tombstone(s, s.where("adapter = 'codex'"), e).collect()}
     assert left == {"codex:s:one": False, "grok:s:g": True}
-    store = catalog.Catalog(spark, str(tmp_path / "catalog"))
+
+
+def test_catalog_versions(spark, tmp_path, monkeypatch):
+    s = sessions(spark, ["one", "two"]).unionByName(sessions(spark, ["o"], "other"))
+    root = tmp_path / "catalog"
+    store = catalog.Catalog(spark, str(root))
     assert store.tables() == {}
-    store.commit({"sessions": s, "numbers": spark.range(3)})
-    first = store.current()["snapshot"]
-    store.commit({"numbers": spark.range(5)})
-    assert store.current()["snapshot"] != first and store.tables()["sessions"].count() == 4 and store.tables()["numbers"].count() == 5
-    assert store.purge() == {"numbers": 5, "sessions": 4} and store.tables() == {}
+    assert store.commit({"sessions": s, "numbers": spark.range(3)}) == 1
+    kept = {k: v for k, v in store.current()["tables"]["sessions"]["parts"].items()}
+    # a commit that names a project writes the part of that project only, and tables that aren't given not at all
+    numbers = store.current()["tables"]["numbers"]
+    assert store.commit({"sessions": s.where("project_key = 'p' and native_id = 'one'").unionByName(s.where("project_key = 'other'").limit(0))}, projects=["p"]) == 2
+    parts = store.current()["tables"]["sessions"]["parts"]
+    assert parts[store.part_of("other")] == kept[store.part_of("other")] and parts[store.part_of("p")] != kept[store.part_of("p")] and store.current()["tables"]["numbers"] == numbers
+    assert sorted(r["native_id"] for r in store.tables()["sessions"].collect()) == ["o", "one"]
+    assert [r["native_id"] for r in store.tables(["other"])["sessions"].where("project_key = 'other'").collect()] == ["o"]
+    assert store.tables()["sessions"].schema == s.schema
+    # a writer that dies before the version's file, or over it, changes nothing for readers, and the next one goes on
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.commit({"numbers": spark.range(9)})
+    (root / "versions" / f"{3:012d}.json").write_text('{"schema_ver')
+    assert store.tables()["numbers"].count() == 3 and store.current()["number"] == 2
+    assert store.commit({"numbers": spark.range(5)}) == 4 and store.tables()["numbers"].count() == 5 and store.tables()["sessions"].count() == 2
+    with pytest.raises(catalog.Conflict):
+        store._publish(4, "{}")
+    # what no kept version names is gone
+    for i in range(3):
+        store.commit({"numbers": spark.range(i)})
+    named = {x.split("/")[1] for v in store._whole(2) for t in v["tables"].values() for x in t["parts"].values()}
+    assert len(list((root / "versions").glob("0*.json"))) == 2
+    left = {f.name for f in (root / "data").iterdir()}
+    assert named <= left and len(left - named) == 1  # the dead writer's
+    with pytest.raises(ValueError):
+        store.purge()
+    assert list(store.purge(confirmed=True).items()) == [("sessions", 2), ("numbers", 2)] and store.tables() == {}
+    assert not [f for f in root.rglob("*") if f.is_file()]
 
 
 def test_delta(spark):
@@ -223,7 +280,13 @@ def test_delta(spark):
     protected = spark.createDataFrame([("y",)], "source_id string")
     assert [r[0] for r in delta.removed(old, now, protected, True).collect()] == ["x"] and delta.removed(old, now, protected, False).count() == 0
     read = spark.createDataFrame([("b", False), ("c", False), ("d", True)], "source_id string, valid boolean")
-    assert {r["source_id"]: (r["fingerprint"], r["validated"]) for r in delta.next_checkpoint(found, read).collect()} == {"a": ("1", True), "b": ("0", False), "d": ("4", True)}
+    gone = delta.removed(old, now, protected, True)
+    # y is only out of sight; b's new content is invalid, so its last good state stays; c has no other state
+    assert {r["source_id"]: (r["fingerprint"], r["validated"]) for r in delta.next_checkpoint(found, read, gone).collect()} == {"a": ("1", True), "b": ("0", True), "c": ("3", False), "d": ("4", True), "y": ("9", True)}
+    assert {r["source_id"] for r in delta.next_checkpoint(found, read, gone.limit(0)).collect()} == set("abcdxy")
+    assert [r["source_id"] for r in delta.retained_warnings(found, read).collect()] == ["b"]
+    assert delta.checked_batch(now, gone).count() == 0 and [r[0] for r in delta.checked_batch(now, now.limit(1)).collect()] == ["a"]
+    assert [r[0] for r in delta.removed_elsewhere(old, now).orderBy("source_id").collect()] == ["x", "y"]
     versions = spark.createDataFrame([("a", "s", 2, True), ("b", "s", 1, True), ("c", "s", 0, True), ("d", "t", 2, True)], "source_id string, scope string, version int, validated boolean")
     assert {r["source_id"]: r["validated"] for r in delta.usable_checkpoint(versions, "s").collect()} == {"a": True, "b": False}
     assert not delta.may_advance(spark.createDataFrame([("unresolved-project",)], "code string")).first()[0]

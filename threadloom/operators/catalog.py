@@ -1,17 +1,25 @@
-"""Catalog maintenance: upserts, handles, tombstones, titles, purges, and snapshots that switch as a whole."""
+"""Catalog maintenance: upserts, handles, tombstones, titles, purges, and versions that switch as a whole."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from threadloom.functions import redaction, text
 from threadloom.schema import HANDLE_LETTERS, OTHER_LETTER
 
 
+#: Tables in the order in which they go: what refers to another one before it.
+PURGE_ORDER = ("postings", "capsules", "edges", "checkpoints", "sessions")
+
+
 def handle_letter(adapter: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in HANDLE_LETTERS.items() for x in kv))[adapter], F.lit(OTHER_LETTER))
 
@@ -91,8 +99,7 @@ def backfill_titles(sessions: DataFrame, capsules: DataFrame) -> DataFrame:
 
 def purge_report(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, rows) of what a purge removes, children before parents."""
-    order = ["postings", "capsules", "edges", "checkpoints", "sessions"]
-    names = [n for n in order if n in tables] + sorted(set(tables) - set(order))
+    names = [n for n in PURGE_ORDER if n in tables] + sorted(set(tables) - set(PURGE_ORDER))
     counts = [tables[n].agg(F.count("*").alias("rows")).select(F.lit(i).alias("step"), F.lit(n).alias("table"), "rows") for i, n in enumerate(names)]
     out = counts[0]
     for df in counts[1:]:
@@ -100,51 +107,139 @@ def purge_report(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+class Conflict(RuntimeError):
+    """Somebody else has committed meanwhile."""
+
+
 class Catalog:
-    """Tables in versions of a folder. A version is written whole, then one small file names it: readers see all or nothing.
+    """Versioned tables in a folder of any store that Spark reads.
 
-    The name file is written through Spark's file system, so that any store that Spark reads will do.
+    A version is a small numbered file that names, for each table, its schema and the folder of each part. A commit writes
+    the parts that changed into folders of their own and then creates the next number's file, which must not be there yet;
+    no file is ever replaced or renamed. Readers take the highest number whose file is whole, so they see all of a commit
+    or nothing, whenever a writer dies. Rows with a project_key are dealt into PARTS parts by it: what a commit doesn't
+    touch is not written again but named again. Folders that none of the last KEPT versions names are removed.
     """
 
-    VERSION = 1
+    VERSION, PARTS, KEPT = 2, 64, 2
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _fs(self):
         return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def current(self) -> dict | None:
-        if not self._fs().exists(self._path("CURRENT")):
+    def _list(self, name: str) -> list[str]:
+        path = self._path(name)
+        return sorted(s.getPath().getName() for s in self._fs().listStatus(path)) if self._fs().exists(path) else []
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for n in self._list("versions") if (m := re.fullmatch(r"(\d+)\.json", n)))
+
+    def _read(self, number: int) -> dict | None:
+        """A version's file; None if its writer died over it."""
+        stream = self._fs().open(self._path(f"versions/{number:012d}.json"))
+        try:
+            held = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        except ValueError:
             return None
-        held = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()))
+        finally:
+            stream.close()
         if held["schema_version"] > self.VERSION:
             raise ValueError(f"the catalog's version {held['schema_version']} is newer than {self.VERSION}")
-        return held
+        return held if held["schema_version"] == self.VERSION else None
+
+    def _whole(self, most: int) -> list[dict]:
+        """The newest whole versions, at most so many."""
+        found: list[dict] = []
+        for n in reversed(self._numbers()):
+            if len(found) < most and (held := self._read(n)) is not None:
+                found.append(held)
+        return found
+
+    def current(self) -> dict | None:
+        return next(iter(self._whole(1)), None)
+
+    @classmethod
+    def part_of(cls, project_key: str) -> str:
+        return str(zlib.crc32(project_key.encode()) % cls.PARTS)
 
-    def tables(self) -> dict[str, DataFrame]:
+    def tables(self, projects: Iterable[str] | None = None) -> dict[str, DataFrame]:
+        """The tables, typed as they were committed; with `projects` only the parts that may hold them are read."""
         held = self.current()
-        return {n: self.spark.read.parquet(f"{self.root}/{held['snapshot']}/{n}") for n in held["tables"]} if held else {}
-
-    def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Writes the tables, and those of the current version that aren't given, as the next version."""
-        every = self.tables() | tables
-        snapshot = f"snapshot-{uuid.uuid4().hex}"
-        for name, df in every.items():
-            writer = df.write.partitionBy("project_key") if "project_key" in df.columns and len(df.columns) > 1 else df.write
-            writer.parquet(f"{self.root}/{snapshot}/{name}")
-        held = json.dumps({"schema_version": self.VERSION, "snapshot": snapshot, "tables": sorted(every)})
-        out = self._fs().create(self._path("CURRENT.next"), True)
-        out.write(bytearray(held.encode()))
+        wanted = None if projects is None else {self.part_of(p) for p in projects} | {"all"}
+        out = {}
+        for name, table in (held or {"tables": {}})["tables"].items():
+            schema = StructType.fromJson(table["schema"])
+            paths = [f"{self.root}/{x}" for k, x in sorted(table["parts"].items()) if wanted is None or k in wanted]
+            out[name] = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return out
+
+    def commit(self, tables: dict[str, DataFrame], projects: Iterable[str] | None = None, sort: dict[str, list[str]] | None = None) -> int:
+        """Writes the next version; its number. Tables that aren't given stay as they are.
+
+        projects: those whose rows may have changed; the parts of all others are kept unread. sort: columns by which a table's files are sorted.
+        """
+        began = self._numbers()
+        held = self.current() or {"tables": {}}
+        touched = None if projects is None else sorted({self.part_of(p) for p in projects})
+        new = dict(held["tables"])
+        for name, df in tables.items():
+            folder = f"data/{name}-{uuid.uuid4().hex}"
+            schema = df.schema
+            dealt = "project_key" in df.columns
+            if not dealt:
+                df.write.parquet(f"{self.root}/{folder}")
+                parts = {"all": folder}
+            else:
+                part = F.crc32(F.coalesce("project_key", F.lit("")).cast("binary")) % self.PARTS
+                rows = df.withColumn("_part", part)
+                if touched is not None and name in new:
+                    rows = rows.where(F.col("_part").isin([int(x) for x in touched]))
+                if sort and name in sort:
+                    rows = rows.repartition("_part", F.pmod(F.xxhash64(sort[name][0]), F.lit(8))).sortWithinPartitions("_part", *sort[name])
+                rows.write.partitionBy("_part").parquet(f"{self.root}/{folder}")
+                kept = {k: x for k, x in new[name]["parts"].items() if k not in touched} if touched is not None and name in new else {}
+                parts = kept | {n.removeprefix("_part="): f"{folder}/{n}" for n in self._list(folder) if n.startswith("_part=")}
+            new[name] = {"schema": json.loads(schema.json()), "parts": parts}
+        number = (began[-1] if began else 0) + 1
+        self._publish(number, json.dumps({"schema_version": self.VERSION, "number": number, "tables": new}))
+        self._sweep()
+        return number
+
+    def _publish(self, number: int, text: str) -> None:
+        try:
+            out = self._fs().create(self._path(f"versions/{number:012d}.json"), False)
+        except Exception as e:  # the store's own kinds of error
+            raise Conflict(f"version {number} has been written by somebody else") from e
+        out.write(bytearray(text.encode()))
         out.close()
-        self._fs().delete(self._path("CURRENT"), False)
-        self._fs().rename(self._path("CURRENT.next"), self._path("CURRENT"))
-        return snapshot
 
-    def purge(self) -> dict[str, int]:
+    def _sweep(self) -> None:
+        """Removes versions before the last KEPT whole ones, and the data that they name and no kept one does.
+
+        What a dead writer left without a version stays until a purge: it can't be told from a living writer's work.
+        """
+        numbers = self._numbers()
+        whole = self._whole(self.KEPT)
+        folders = lambda v: {x.split("/")[1] for t in v["tables"].values() for x in t["parts"].values()}
+        kept = set().union(*map(folders, whole))
+        for n in numbers:
+            if n < whole[-1]["number"]:
+                old = self._read(n)
+                for folder in sorted(folders(old) - kept) if old else ():
+                    self._fs().delete(self._path(f"data/{folder}"), True)
+                self._fs().delete(self._path(f"versions/{n:012d}.json"), False)
+
+    def purge(self, confirmed: bool = False) -> dict[str, int]:
+        """Removes all versions, then all data, and tells how many rows each table had, children before parents."""
+        if not confirmed:
+            raise ValueError("a purge must be confirmed")
         counts = {n: df.count() for n, df in self.tables().items()}
-        self._fs().delete(self._path("CURRENT"), False)
-        return counts
+        for name in ("versions", "data"):
+            self._fs().delete(self._path(name), True)
+        order = {n: i for i, n in enumerate(PURGE_ORDER)}
+        return dict(sorted(counts.items(), key=lambda x: (order.get(x[0], len(order)), x[0])))

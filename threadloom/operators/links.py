@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.graph import has_cycle
+from threadloom.operators.graph import components
 from threadloom.schema import HARNESSES
 
 # Why a request is refused, in the order in which it is checked.
@@ -22,10 +22,7 @@ def valid_id(c: str):
 
 
 def judge(requests: DataFrame, sessions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(request, refusal): the first reason against each request (request, project_key, source_ids, target_id), null if none.
-
-    Each request is judged against the edges that stand, by itself. Cycles are searched in the request's project only.
-    """
+    """Requests (request, project_key, source_ids, target_id) with the first reason against each but cycles; null if none."""
     known = sessions.select("source_id", F.col("project_key").alias("own"), "adapter", "native_available")
     target = known.select(*(F.col(c).alias(f"t_{c}") for c in known.columns))
     rows = requests.join(target, F.col("target_id") == F.col("t_source_id"), "left")
@@ -54,29 +51,126 @@ def judge(requests: DataFrame, sessions: DataFrame, edges: DataFrame) -> DataFra
         .when(F.col("fresh") & ~F.col("t_native_available"), "unavailable-target")
         .when(F.col("gone"), "unavailable-source")
     )
-    rows = rows.select("request", "project_key", "source_ids", "target_id", refusal.alias("refusal"))
-    open_ = rows.where(F.col("refusal").isNull()).select("request", "project_key", "source_ids", "target_id")
+    return rows.select("request", "project_key", "source_ids", "target_id", refusal.alias("refusal"))
+
+
+class Acyclic:
+    """A graph kept without cycles, with a topological order that an edge changes only between its ends (Pearce and Kelly 2006)."""
+
+    def __init__(self) -> None:
+        self.after: dict[str, set[str]] = {}
+        self.before: dict[str, set[str]] = {}
+        self.place: dict[str, int] = {}
 
-    def cycles(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        standing = list(zip(right["source_id"], right["target_id"], strict=True))
-        out = [(r.request, "cycle" if has_cycle(standing + [(s, r.target_id) for s in r.source_ids]) else None) for r in left.itertuples()]
-        return pd.DataFrame(out, columns=["request", "found"])
+    def _node(self, n: str) -> None:
+        if n not in self.place:
+            self.place[n] = len(self.place)
+            self.after[n], self.before[n] = set(), set()
 
-    cyclic = open_.groupBy("project_key").cogroup(edges.select("project_key", "source_id", "target_id").groupBy("project_key")).applyInPandas(cycles, "request string, found string")
-    return rows.join(cyclic, "request", "left").select("request", F.coalesce("refusal", "found").alias("refusal"))
+    def _reached(self, start: str, ways: dict[str, set[str]], within) -> list[str]:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in ways[todo.pop()]:
+                if n not in seen and within(self.place[n]):
+                    seen.add(n)
+                    todo.append(n)
+        return sorted(seen, key=self.place.__getitem__)
+
+    def add(self, source: str, target: str) -> bool:
+        """Adds the edge unless it would close a cycle; whether it stands."""
+        self._node(source)
+        self._node(target)
+        if source == target:
+            return False
+        low, high = self.place[target], self.place[source]
+        if low < high:
+            forward = self._reached(target, self.after, lambda p: p <= high)
+            if forward[-1] == source:
+                return False
+            back = self._reached(source, self.before, lambda p: p >= low)
+            places = sorted(self.place[n] for n in (*back, *forward))
+            for n, p in zip((*back, *forward), places, strict=True):
+                self.place[n] = p
+        self.after[source].add(target)
+        self.before[target].add(source)
+        return True
+
+    def remove(self, source: str, target: str) -> None:
+        self.after[source].discard(target)
+        self.before[target].discard(source)
+
+
+def settled(checked: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request, refusal, inserted, existing): requests that nothing else speaks against, taken one after another in the order of `request`.
+
+    A request that would close a cycle with the edges that stand, or with those of requests before it, is refused as a
+    whole. Only requests whose sessions hang together, by edges or by requests, can do so: each such group is a call of its own.
+    """
+    open_ = checked.where(F.col("refusal").isNull())
+    asked = open_.select("request", F.explode("source_ids").alias("source_id"), "target_id")
+    standing = edges.select("source_id", "target_id").distinct()
+    group = components(standing.unionByName(asked.select("source_id", "target_id")))
+    near = asked.select("target_id").distinct().join(group.withColumnRenamed("node", "target_id"), "target_id").select("component").distinct()
+    null = F.lit(None).cast("string")
+    rows = standing.select(null.alias("request"), "source_id", "target_id").unionByName(asked.select("request", "source_id", "target_id"))
+    rows = rows.join(group.withColumnRenamed("node", "target_id"), "target_id").join(near, "component", "left_semi")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph, stands = Acyclic(), set()
+        new = pdf["request"].notna()
+        for s, t in sorted(zip(pdf.loc[~new, "source_id"], pdf.loc[~new, "target_id"], strict=True)):
+            graph.add(s, t)
+            stands.add((s, t))
+        out = []
+        for request, own in pdf[new].groupby("request", sort=True):
+            pairs = [(s, t) for s, t in zip(own["source_id"], own["target_id"], strict=True)]
+            fresh = [p for p in pairs if p not in stands]
+            done = []
+            for p in fresh:
+                if not graph.add(*p):
+                    break
+                done.append(p)
+            if len(done) < len(fresh):
+                for p in done:
+                    graph.remove(*p)
+                out.append((request, "cycle", 0, 0))
+            else:
+                stands.update(fresh)
+                out.append((request, None, len(fresh), len(pairs) - len(fresh)))
+        return pd.DataFrame(out, columns=["request", "found", "inserted", "existing"])
+
+    done = rows.groupBy("component").applyInPandas(work, "request string, found string, inserted bigint, existing bigint")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return checked.join(done, "request", "left").select("request", F.coalesce("refusal", "found").alias("refusal"), zero("inserted"), zero("existing"))
 
 
 def link(requests: DataFrame, sessions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges with those of accepted requests, (request, refusal, inserted, existing)). Edges that stand aren't inserted again."""
-    verdict = judge(requests, sessions, edges)
-    asked = requests.join(verdict.where(F.col("refusal").isNull()), "request").select("request", "project_key", F.explode("source_ids").alias("source_id"), "target_id", "mode", "confirmed_at")
+    """(edges with those of accepted requests, (request, refusal, inserted, existing)). Edges that stand aren't inserted again;
+    of requests for one new edge the first one inserts it. The edges stay without cycles, whatever is asked together."""
+    result = settled(judge(requests, sessions, edges), edges)
+    asked = requests.join(result.where(F.col("refusal").isNull()).select("request"), "request").select("request", "project_key", F.explode("source_ids").alias("source_id"), "target_id", "mode", "confirmed_at")
     fresh = asked.join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
     new = fresh.groupBy("source_id", "target_id", "project_key").agg(F.min_by("mode", "request").alias("mode"), F.min_by("confirmed_at", "request").alias("confirmed_at"))
-    counts = asked.groupBy("request").agg(F.count("*").alias("n")).join(fresh.groupBy("request").agg(F.count("*").alias("inserted")), "request", "left")
-    result = verdict.join(counts, "request", "left").select("request", "refusal", F.coalesce("inserted", F.lit(0)).alias("inserted"), (F.coalesce("n", F.lit(0)) - F.coalesce("inserted", F.lit(0))).alias("existing"))
     return edges.unionByName(new.select(*edges.columns)), result
 
 
+def link_resolved(requests: DataFrame, resolved: DataFrame, sessions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As link(), through targets as they were resolved (project_key, kind, source_id): a request (request, project_key,
+    source_ids, confirmed_at) whose project has no resolved or confirmed target is refused before anything else."""
+    target = resolved.where((F.col("kind") == "resolved") & F.col("source_id").isNotNull()).select("project_key", F.col("source_id").alias("target_id"))
+    rows = requests.drop("target_id", "mode").join(target, "project_key", "left").withColumn("mode", F.lit("current"))
+    after, result = link(rows.where(F.col("target_id").isNotNull()), sessions, edges)
+    none = rows.where(F.col("target_id").isNull()).select("request", F.lit("target-unconfirmed").alias("refusal"), F.lit(0).cast("bigint").alias("inserted"), F.lit(0).cast("bigint").alias("existing"))
+    return after, result.unionByName(none)
+
+
+def link_document(requests: DataFrame, result: DataFrame) -> DataFrame:
+    """(request, document): what a request did, as JSON; a refusal's code where it did nothing."""
+    rows = result.join(requests.select("request", "source_ids", "target_id"), "request")
+    body = F.struct(F.col("refusal").alias("error"), "existing", "inserted", F.lit(1).alias("schema_version"), "source_ids", "target_id")
+    return rows.select("request", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def insert_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     """Edges with those of `more` that don't stand yet."""
     return edges.unionByName(more.dropDuplicates(["source_id", "target_id"]).join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti").select(*edges.columns))

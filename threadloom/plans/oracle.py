@@ -140,10 +140,26 @@ FROM f FULL JOIN o ON f.source_id = o.source_id""",
     "tombstones": f"""{_with(SESSIONS, EDGES)} SELECT source_id, native_available AND n % 3 <> 2 AS native_available FROM sess WHERE n % 3 <> 2 OR source_id IN (SELECT source_id FROM edg UNION SELECT target_id FROM edg)""",
     "purge_report": f"""{_with(SESSIONS, EDGES)} SELECT 0 AS step, 'edges' AS "table", (SELECT count(*) FROM edg) AS rows UNION ALL SELECT 1, 'checkpoints', (SELECT count(DISTINCT adapter) FROM sess) UNION ALL SELECT 2, 'sessions', (SELECT count(*) FROM sess)""",
     "fingerprint_delta": f"{_with(FINGERPRINTS)} SELECT source_id, fingerprint, previous, op FROM dlt",
-    "index_counters": f"{_with(FINGERPRINTS)} SELECT count(*) FILTER (WHERE op IN ('new', 'changed')) AS indexed, count(*) FILTER (WHERE op = 'removed') AS deleted, count(*) FILTER (WHERE op = 'unchanged') AS unchanged FROM dlt",
+    "index_counters": f"""{_with(FINGERPRINTS)} SELECT count(*) FILTER (WHERE op IN ('new', 'changed')) AS indexed, count(*) FILTER (WHERE op = 'removed') AS deleted, count(*) FILTER (WHERE op = 'unchanged') AS unchanged,
+(SELECT count(*) FROM documents WHERE doc_id % 6 = 5) AS excluded, (SELECT count(*) FROM documents WHERE doc_id % 17 = 3) AS refreshed, (SELECT count(*) FROM documents WHERE n_chars < 60) AS warnings FROM dlt""",
     "removed_sessions": f"{_with(FINGERPRINTS)} SELECT source_id FROM dlt WHERE op = 'removed' AND doc_id % 4 <> 1",
-    "next_checkpoint": f"""{_with(FINGERPRINTS)}, n AS (SELECT *, coalesce(CASE WHEN doc_id % 7 = 0 AND doc_id % 6 <> 5 THEN doc_id % 21 <> 0 END, op = 'unchanged') AS good FROM dlt WHERE op <> 'removed')
-SELECT source_id, CASE WHEN good THEN fingerprint ELSE previous END AS fingerprint, good AS validated FROM n WHERE CASE WHEN good THEN fingerprint ELSE previous END IS NOT NULL""",
+    # a copy of the checkpoint, in which what was read replaces, and what is known to be gone leaves
+    "next_checkpoint": f"""{_with(FINGERPRINTS)}, run AS (SELECT coalesce(old.source_id, cur.source_id) AS source_id, old.previous, old.validated, cur.fingerprint, coalesce(cur.doc_id, old.doc_id) AS d, cur.doc_id % 7 = 0 AS read, cur.doc_id % 21 <> 0 AS fine
+FROM old FULL JOIN cur ON old.source_id = cur.source_id)
+SELECT source_id, CASE WHEN fingerprint IS NULL OR (previous = fingerprint AND validated) OR NOT read OR (NOT fine AND previous IS NOT NULL) THEN previous ELSE fingerprint END AS fingerprint,
+CASE WHEN fingerprint IS NULL OR (previous = fingerprint AND validated) OR NOT read OR (NOT fine AND previous IS NOT NULL) THEN validated ELSE fine END AS validated
+FROM run WHERE NOT (fingerprint IS NULL AND d % 4 <> 1) AND (previous IS NOT NULL OR read)""",
+    "retained_warnings": f"{_with(FINGERPRINTS)} SELECT 'last-known-good-retained' AS code, source_id FROM dlt WHERE op = 'changed' AND doc_id % 21 = 0",
+    "removed_elsewhere": f"{_with(FINGERPRINTS)} SELECT source_id FROM dlt WHERE op = 'removed' AND doc_id % 12 <> 11",
+    "changed_and_removed": f"{_with(FINGERPRINTS)} SELECT source_id FROM dlt WHERE op = 'changed' AND doc_id % 9 = 0",
+    "told_warnings": """WITH w AS (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN 'duplicate-session-id' ELSE 'malformed-jsonl' END AS code, 'line 1' AS message, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) END AS source_id, CASE WHEN doc_id % 4 <> 0 THEN 'src1' END AS project_hint, doc_id FROM documents
+  UNION ALL SELECT CASE WHEN doc_id % 5 = 0 THEN 'duplicate-session-id' ELSE 'malformed-jsonl' END, 'line 2', NULL, source, doc_id FROM documents),
+t AS (SELECT *, CASE WHEN source_id IS NOT NULL AND doc_id % 2 = 0 THEN doc_id % 8 <> 0 WHEN project_hint IN (SELECT source FROM documents) THEN project_hint NOT LIKE '%1' ELSE false END AS far FROM w)
+SELECT code, message, source_id, project_hint, far AND code <> 'duplicate-session-id' AS "foreign", count(*) AS n FROM t GROUP BY ALL""",
+    "scoped_cursors": """WITH c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 7 = 6 THEN 'checkpoint-scope' WHEN n_nationkey = 4 THEN 'checkpoint-invalid' WHEN n_nationkey % 4 = 1 THEN 'checkpoint-upgraded'
+ WHEN n_nationkey % 4 = 0 OR n_nationkey % 5 = 3 OR n_nationkey % 9 = 8 THEN 'checkpoint-invalid' ELSE 'kept' END AS code FROM nation)
+SELECT code, count(*) AS n, min(CASE WHEN code = 'kept' THEN 'opencode:store:ses_' || n END) AS first, count(*) FILTER (WHERE code = 'kept' AND n % 4 = 2) AS again FROM c GROUP BY 1""",
     "repeated_sources": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) - 1 AS repeats FROM documents GROUP BY 1",
     "term_postings": f"""{_with(TURNS, SEARCH)} SELECT source_id, term, count(*) AS n, min(place) AS "first", CAST(any_value(length) AS BIGINT) AS length FROM pos GROUP BY source_id, term""",
     "search_bm25": _bm25(["of", "the"], "project_key = 'p1'", True),
@@ -195,8 +211,21 @@ ORACLE["link_requests"] = f"""{_with(SESSIONS, EDGES, "walk AS (SELECT s, t FROM
 req AS (SELECT n, project_key, native_available AS there, n % 12 AS k, CASE n % 12 WHEN 3 THEN n - 1 WHEN 4 THEN n + 4 ELSE n - 4 END AS src FROM sess),
 fact AS (SELECT req.*, a.n IS NULL AS unknown, a.project_key <> req.project_key AS far, a.native_available AS open_, EXISTS (SELECT 1 FROM edg WHERE edg.s = src AND edg.t = req.n) AS stands, EXISTS (SELECT 1 FROM walk w WHERE w.s = req.n AND w.t = src) AS back FROM req LEFT JOIN sess a ON a.n = src),
 told AS (SELECT *, CASE WHEN k = 0 THEN 'no-sources' WHEN k = 5 OR (k = 1 AND src < 0) THEN 'invalid-session-id' WHEN k = 1 THEN 'duplicate-source' WHEN k = 2 THEN 'self-link' WHEN k = 6 THEN 'unknown-target'
- WHEN unknown THEN 'unknown-source' WHEN far THEN 'foreign-source' WHEN NOT stands AND NOT there THEN 'unavailable-target' WHEN NOT stands AND NOT open_ THEN 'unavailable-source' WHEN back THEN 'cycle' END AS refusal FROM fact)
-SELECT CAST(n AS VARCHAR) AS request, refusal, CASE WHEN refusal IS NULL AND NOT stands THEN 1 ELSE 0 END AS inserted, CASE WHEN refusal IS NULL AND stands THEN 1 ELSE 0 END AS existing FROM told"""
+ WHEN unknown THEN 'unknown-source' WHEN far THEN 'foreign-source' WHEN NOT stands AND NOT there THEN 'unavailable-target' WHEN NOT stands AND NOT open_ THEN 'unavailable-source' WHEN back THEN 'cycle' END AS refusal FROM fact),
+-- a request from n + 4 to n comes after all others: the one from n to n + 4, where it was taken, refuses it
+last AS (SELECT a.*, coalesce(a.refusal, CASE WHEN a.k = 4 AND EXISTS (SELECT 1 FROM told b WHERE b.n = a.n + 4 AND b.refusal IS NULL) THEN 'cycle' END) AS r FROM told a)
+SELECT CASE WHEN k = 4 THEN 'z' ELSE '' END || n AS request, r AS refusal, CASE WHEN r IS NULL AND NOT stands THEN 1 ELSE 0 END AS inserted, CASE WHEN r IS NULL AND stands THEN 1 ELSE 0 END AS existing FROM last"""
+# first come the requests from the even members of pairs; one that stands refuses its mate's
+ORACLE["link_batch"] = f"""{_with(SESSIONS)}, req AS (SELECT x.*, CASE WHEN (n // 4) % 2 = 0 THEN n + 4 ELSE n - 4 END AS mate, (n // 4) % 2 = 0 AS early FROM sess x),
+j AS (SELECT req.n, req.early, req.mate, y.n IS NULL AS unknown, req.native_available AS s_there, y.native_available AS t_there FROM req LEFT JOIN sess y ON y.n = req.mate)
+SELECT (CASE WHEN early THEN n || 'a' ELSE mate || 'b' END) AS request, CASE WHEN unknown THEN 'unknown-target' WHEN NOT t_there THEN 'unavailable-target' WHEN NOT s_there THEN 'unavailable-source' WHEN NOT early THEN 'cycle' END AS refusal,
+CASE WHEN early AND NOT unknown AND t_there AND s_there THEN 1 ELSE 0 END AS inserted, 0 AS existing FROM j"""
+ORACLE["link_through_target"] = f"""{_with(SESSIONS, EDGES, "walk AS (SELECT s, t FROM edg UNION SELECT walk.s, edg.t FROM walk JOIN edg ON walk.t = edg.s)", recursive=True)},
+k AS (SELECT project_key, count(*) AS c, min(n) AS one FROM sess WHERE adapter = 'codex' AND native_available GROUP BY 1),
+tg AS (SELECT project_key, one AS t FROM k WHERE project_key <> 'p2' OR c = 1),
+f AS (SELECT sess.n, tg.t, sess.native_available AS there, EXISTS (SELECT 1 FROM edg WHERE edg.s = sess.n AND edg.t = tg.t) AS stands, EXISTS (SELECT 1 FROM walk w WHERE w.s = tg.t AND w.t = sess.n) AS back FROM sess LEFT JOIN tg USING (project_key) WHERE sess.n % 3 = 1),
+r AS (SELECT *, CASE WHEN t IS NULL THEN 'target-unconfirmed' WHEN n = t THEN 'self-link' WHEN NOT stands AND NOT there THEN 'unavailable-source' WHEN back THEN 'cycle' END AS refusal FROM f)
+SELECT CAST(n AS VARCHAR) AS request, refusal, CASE WHEN refusal IS NULL AND NOT stands THEN 1 ELSE 0 END AS inserted, CASE WHEN refusal IS NULL AND stands THEN 1 ELSE 0 END AS existing FROM r"""
 
 
 def oracle_sql() -> dict[str, str]:

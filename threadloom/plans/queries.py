@@ -217,12 +217,14 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 @query
 def fingerprint_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.fingerprint_delta(*_fingerprints(spark, sf_dir))
+    return delta.fingerprint_delta(*_fingerprints(spark, sf_dir)).drop("validated")
 
 
 @query
 def index_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.counters(delta.fingerprint_delta(*_fingerprints(spark, sf_dir)))
+    docs = model.table(spark, sf_dir, "documents")
+    found = delta.fingerprint_delta(*_fingerprints(spark, sf_dir))
+    return delta.counters(found, docs.where("doc_id % 6 = 5"), docs.where("doc_id % 17 = 3"), docs.where("n_chars < 60"))
 
 
 @query
@@ -236,7 +238,56 @@ def removed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, old = _fingerprints(spark, sf_dir)
     read = now.select("source_id", (F.col("source_id").cast("bigint") % 21 != 0).alias("valid")).where(F.col("source_id").cast("bigint") % 7 == 0)
-    return delta.next_checkpoint(delta.fingerprint_delta(now, old), read)
+    protected = old.where(F.col("source_id").cast("bigint") % 4 == 1)
+    return delta.next_checkpoint(delta.fingerprint_delta(now, old), read, delta.removed(old, now, protected, complete=True))
+
+
+@query
+def retained_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, old = _fingerprints(spark, sf_dir)
+    read = now.select("source_id", (F.col("source_id").cast("bigint") % 21 != 0).alias("valid")).where(F.col("source_id").cast("bigint") % 7 == 0)
+    return delta.retained_warnings(delta.fingerprint_delta(now, old), read).select("code", "source_id")
+
+
+@query
+def removed_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, old = _fingerprints(spark, sf_dir)
+    gone = delta.removed(old, now, old.limit(0), complete=True)
+    return delta.removed_elsewhere(gone, old.where(F.col("source_id").cast("bigint") % 12 == 11))
+
+
+@query
+def changed_and_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, old = _fingerprints(spark, sf_dir)
+    found = delta.fingerprint_delta(now, old)
+    return delta.checked_batch(found.where("op = 'changed'"), old.where(F.col("source_id").cast("bigint") % 9 == 0))
+
+
+@query
+def told_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = model.table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    sid = n.cast("string")
+    code = F.when(n % 5 == 0, "duplicate-session-id").otherwise("malformed-jsonl")
+    warnings = docs.select(code.alias("code"), F.lit("line 1").alias("message"), F.when(n % 3 != 0, sid).alias("source_id"), F.when(n % 4 != 0, "source").alias("project_hint"))
+    scopes = docs.where(n % 2 == 0).select(sid.alias("source_id"), F.when(n % 8 == 0, "current").otherwise("foreign").alias("scope"))
+    hints = docs.select(F.col("source").alias("project_hint"), F.when(F.endswith("source", F.lit("1")), "current").otherwise("foreign").alias("scope")).distinct()
+    warnings = warnings.withColumn("project_hint", F.when(F.col("project_hint").isNotNull(), F.lit("src1"))).unionByName(docs.select(code.alias("code"), F.lit("line 2").alias("message"), F.lit(None).cast("string").alias("source_id"), F.col("source").alias("project_hint")))
+    rows = delta.told_warnings(warnings, scopes, hints)
+    return rows.groupBy("code", "message", "source_id", "project_hint", "foreign").agg(F.count("*").alias("n"))
+
+
+@query
+def scoped_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_nationkey").cast("bigint")
+    adapter = F.when(n % 7 == 6, "codex").otherwise("opencode")
+    scope = F.when(n % 5 == 3, F.lit("short")).otherwise(F.sha2(n.cast("string").cast("binary"), 256))
+    sid = F.when(n % 9 == 8, F.lit("opencode:other:x")).otherwise(F.concat(F.lit("opencode:store:ses_"), n.cast("string")))
+    body = F.format_string('{"schema_version":%d,"scopes":{"%s":{"%s":"%d"}}}', n % 4, scope, sid, n * 1000)
+    cursors = model.table(spark, sf_dir, "nation").select(adapter.alias("adapter"), F.lit("store").alias("namespace"), F.when(n == 4, F.lit("{")).otherwise(body).alias("cursor"))
+    kept, warnings = delta.scoped_cursors(cursors, "opencode", "store")
+    kept = kept.groupBy(F.lit("kept").alias("code")).agg(F.count("*").alias("n"), F.min("source_id").alias("first"), F.count_if("revalidate").alias("again"))
+    return kept.unionByName(warnings.groupBy("code").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("first"), F.lit(0).cast("bigint").alias("again")))
 
 
 @query
@@ -360,7 +411,9 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(model.source_id(n - 4)))
     )
     target = F.when(n % 12 == 6, model.source_id(n + 100_000_000)).otherwise(model.source_id(n))
-    return rows.select(n.cast("string").alias("request"), "project_key", sources.alias("source_ids"), target.alias("target_id"), F.lit("explicit").alias("mode"), F.lit("2024-03-01").cast("timestamp").alias("confirmed_at"))
+    # requests against the order of time come last
+    name = F.concat(F.when(n % 12 == 4, "z").otherwise(""), n.cast("string"))
+    return rows.select(name.alias("request"), "project_key", sources.alias("source_ids"), target.alias("target_id"), F.lit("explicit").alias("mode"), F.lit("2024-03-01").cast("timestamp").alias("confirmed_at"))
 
 
 @query
@@ -368,6 +421,26 @@ def link_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.link(_requests(spark, sf_dir), model.sessions(spark, sf_dir), model.edges(spark, sf_dir))[1]
 
 
+@query
+def link_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in pairs, the second of each the reverse of the first, over no edges: only together can they close a cycle."""
+    sessions = model.sessions(spark, sf_dir)
+    n = F.col("native_id").cast("bigint")
+    first = F.floor(n / 4) % 2 == 0
+    mate = F.when(first, n + 4).otherwise(n - 4)
+    both = sessions.select(F.concat(F.when(first, n).otherwise(n - 4).cast("string"), F.when(first, F.lit("a")).otherwise(F.lit("b"))).alias("request"), "project_key", F.array(model.source_id(n)).alias("source_ids"), model.source_id(mate).alias("target_id"), F.lit("explicit").alias("mode"), F.lit("2024-03-01").cast("timestamp").alias("confirmed_at"))
+    return links.link(both, sessions, model.edges(spark, sf_dir).limit(0))[1]
+
+
+@query
+def link_through_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = model.sessions(spark, sf_dir)
+    asked = sessions.groupBy("project_key").agg(F.min(F.when((F.col("adapter") == "codex") & F.col("native_available"), F.col("native_id").cast("bigint"))).cast("string").alias("first"))
+    found = targets.resolve_current(sessions, asked.select("project_key", F.when(F.col("project_key") != "p2", F.col("first")).alias("current_native_id")))
+    rows = sessions.where(F.col("native_id").cast("bigint") % 3 == 1).select(F.col("native_id").alias("request"), "project_key", F.array("source_id").alias("source_ids"), F.lit("2024-03-01").cast("timestamp").alias("confirmed_at"))
+    return links.link_resolved(rows, found, sessions, model.edges(spark, sf_dir))[1]
+
+
 @query
 def insert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = model.edges(spark, sf_dir)
