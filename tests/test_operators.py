@@ -243,11 +243,11 @@ def test_catalog_versions(spark, tmp_path, monkeypatch):
     kept = {k: v for k, v in store.current()["tables"]["sessions"]["parts"].items()}
     # a commit that names a project writes the part of that project only, and tables that aren't given not at all
     numbers = store.current()["tables"]["numbers"]
-    assert store.commit({"sessions": s.where("project_key = 'p' and native_id = 'one'").unionByName(s.where("project_key = 'other'").limit(0))}, projects=["p"]) == 2
+    assert store.commit({"sessions": s.where("project_key = 'p' and native_id = 'one'").unionByName(s.where("project_key = 'other'").limit(0))}, parts=[store.part_of("p")]) == 2
     parts = store.current()["tables"]["sessions"]["parts"]
     assert parts[store.part_of("other")] == kept[store.part_of("other")] and parts[store.part_of("p")] != kept[store.part_of("p")] and store.current()["tables"]["numbers"] == numbers
     assert sorted(r["native_id"] for r in store.tables()["sessions"].collect()) == ["o", "one"]
-    assert [r["native_id"] for r in store.tables(["other"])["sessions"].where("project_key = 'other'").collect()] == ["o"]
+    assert [r["native_id"] for r in store.tables([store.part_of("other")])["sessions"].where("project_key = 'other'").collect()] == ["o"]
     assert store.tables()["sessions"].schema == s.schema
     # a writer that dies before the version's file, or over it, changes nothing for readers, and the next one goes on
     with monkeypatch.context() as m:

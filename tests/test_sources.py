@@ -1,10 +1,11 @@
 """The six log loaders, on logs written here in the shapes that the sources have, and the index stream."""
 
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import catalog
+from threadloom.operators import catalog, search
 from threadloom.sources import files, logs
 from threadloom.streaming import index
 
@@ -141,3 +142,24 @@ def test_index_stream(spark, tmp_path):
     store = catalog.Catalog(spark, str(tmp_path / "catalog"))
     assert [r["source_id"] for r in store.tables()["sessions"].collect()] == ["b"]
     assert json.loads(store.tables()["capsules"].first()["content_json"])["display_name"] == "Build it"
+    # the postings follow the capsules, hold redacted text only, and serve a search by themselves
+    assert {r["term"] for r in store.tables()["postings"].collect()} == {"build", "it"}
+    numbers = store.current()["tables"]["sessions"]["parts"]
+    send("four", [("c", "1", "Builds with password: hunter22; fine", "new")])
+    assert run() == [{"indexed": 1, "removed": 0}]
+    spark.createDataFrame([("d", "elsewhere", "codex", "d", "1", None, "unknown", None, None, "new", [(0, "user", "building", "l")])], index.STREAM).withColumn("updated_at", F.timestamp_seconds(F.lit(9))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "five"))
+    for f in (tmp_path / "in" / "five").glob("*.parquet"):
+        f.rename(tmp_path / "in" / f.name)
+    shutil.rmtree(tmp_path / "in" / "five")
+    before = store.current()["tables"]["capsules"]["parts"]
+    assert run() == [{"indexed": 1, "removed": 0}]
+    after = store.current()["tables"]["capsules"]["parts"]
+    assert after[store.part_of("p")] == before[store.part_of("p")] and store.part_of("elsewhere") in after and numbers
+    store.commit({"sessions": store.tables()["sessions"]})
+    found = search.kept(store, "builds", F.col("project_key") == "p")
+    assert [r["source_id"] for r in found.collect()] == ["b", "c"]
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString() and "BatchEvalPython" not in found._jdf.queryExecution().toString()
+    assert search.kept(store, "hunter22", F.lit(True)).count() == 0 and search.hints(search.kept(store, "hunter22", F.lit(True))).count() == len(search.HINTS) and search.hints(found).count() == 0
+    shown = {r["source_id"]: r["snippet"] for r in search.shown(found, store.tables()["capsules"]).collect()}
+    assert shown["b"] == "[Build] it" and shown["c"].startswith("[Builds] with password=[REDACTED:") and "hunter" not in shown["c"]
+    assert search.kept(store, "build", F.lit(True)).count() == 3

@@ -167,10 +167,15 @@ class Catalog:
     def part_of(cls, project_key: str) -> str:
         return str(zlib.crc32(project_key.encode()) % cls.PARTS)
 
-    def tables(self, projects: Iterable[str] | None = None) -> dict[str, DataFrame]:
-        """The tables, typed as they were committed; with `projects` only the parts that may hold them are read."""
+    @classmethod
+    def part(cls, project_key: Column) -> Column:
+        """The number of part_of() as a column."""
+        return F.crc32(F.coalesce(project_key, F.lit("")).cast("binary")) % cls.PARTS
+
+    def tables(self, parts: Iterable[str] | None = None) -> dict[str, DataFrame]:
+        """The tables, typed as they were committed; with `parts` only those are read of tables that have parts."""
         held = self.current()
-        wanted = None if projects is None else {self.part_of(p) for p in projects} | {"all"}
+        wanted = None if parts is None else set(parts) | {"all"}
         out = {}
         for name, table in (held or {"tables": {}})["tables"].items():
             schema = StructType.fromJson(table["schema"])
@@ -178,14 +183,14 @@ class Catalog:
             out[name] = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return out
 
-    def commit(self, tables: dict[str, DataFrame], projects: Iterable[str] | None = None, sort: dict[str, list[str]] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], parts: Iterable[str] | None = None, sort: dict[str, list[str]] | None = None) -> int:
         """Writes the next version; its number. Tables that aren't given stay as they are.
 
-        projects: those whose rows may have changed; the parts of all others are kept unread. sort: columns by which a table's files are sorted.
+        parts: those whose rows may have changed; all others are kept unread. sort: columns by which a table's files are sorted.
         """
         began = self._numbers()
         held = self.current() or {"tables": {}}
-        touched = None if projects is None else sorted({self.part_of(p) for p in projects})
+        touched = None if parts is None else sorted(set(parts))
         new = dict(held["tables"])
         for name, df in tables.items():
             folder = f"data/{name}-{uuid.uuid4().hex}"
@@ -193,18 +198,17 @@ class Catalog:
             dealt = "project_key" in df.columns
             if not dealt:
                 df.write.parquet(f"{self.root}/{folder}")
-                parts = {"all": folder}
+                folders = {"all": folder}
             else:
-                part = F.crc32(F.coalesce("project_key", F.lit("")).cast("binary")) % self.PARTS
-                rows = df.withColumn("_part", part)
+                rows = df.withColumn("_part", self.part(F.col("project_key")))
                 if touched is not None and name in new:
                     rows = rows.where(F.col("_part").isin([int(x) for x in touched]))
                 if sort and name in sort:
                     rows = rows.repartition("_part", F.pmod(F.xxhash64(sort[name][0]), F.lit(8))).sortWithinPartitions("_part", *sort[name])
                 rows.write.partitionBy("_part").parquet(f"{self.root}/{folder}")
                 kept = {k: x for k, x in new[name]["parts"].items() if k not in touched} if touched is not None and name in new else {}
-                parts = kept | {n.removeprefix("_part="): f"{folder}/{n}" for n in self._list(folder) if n.startswith("_part=")}
-            new[name] = {"schema": json.loads(schema.json()), "parts": parts}
+                folders = kept | {n.removeprefix("_part="): f"{folder}/{n}" for n in self._list(folder) if n.startswith("_part=")}
+            new[name] = {"schema": json.loads(schema.json()), "parts": folders}
         number = (began[-1] if began else 0) + 1
         self._publish(number, json.dumps({"schema_version": self.VERSION, "number": number, "tables": new}))
         self._sweep()

@@ -56,8 +56,8 @@ def browse(sessions: DataFrame, turns: DataFrame, where: Column, excluded: DataF
     return rows.join(first_user_excerpt(turns), "source_id", "left").orderBy(*order)
 
 
-def items(rows: DataFrame) -> DataFrame:
-    """Rows as they are shown: redacted again, own and native ids masked, names and snippets bounded."""
+def items(rows: DataFrame, *also: str) -> DataFrame:
+    """Rows as they are shown: redacted again, own and native ids masked, names and snippets bounded; `also`: columns kept as they are."""
 
     def shown(value: Column) -> Column:
         return text.conceal_ids(text.collapse(F.replace(redaction.redacted_text(value), F.col("source_id"), F.lit("[session]"))))
@@ -73,6 +73,7 @@ def items(rows: DataFrame) -> DataFrame:
         "health",
         shown(F.col("title")).alias("title"),
         text.bounded(snippet, text.SNIPPET_LIMIT, "…").alias("snippet"),
+        *also,
     )
 
 
@@ -90,6 +91,32 @@ def page_count(rows: DataFrame, size: int = PAGE) -> DataFrame:
     return rows.agg(F.count("*").alias("results")).select("results", F.greatest(F.lit(1), F.ceil(F.col("results") / size)).cast("bigint").alias("pages"))
 
 
+def checked_page(rows: DataFrame, number: int, order: list[Column], size: int = PAGE) -> DataFrame:
+    """As page(); a page beyond the last one is an error."""
+    last = page_count(rows, size).first()["pages"]
+    if not 1 <= number <= last:
+        raise ValueError(f"pages are from 1 to {last}")
+    return page(rows, number, order, size)
+
+
+def item_documents(rows: DataFrame) -> DataFrame:
+    """(source_id, document): items as JSON with a nested header; columns that a row lacks are null. choice_number only where rows are numbered."""
+    have = set(rows.columns)
+    col = lambda c, kind="string": (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
+    header = F.struct(col("effort"), col("model_id"), col("model_provider"), col("visible_turn_count", "int"))
+    fields = [col("display_name"), col("harness"), col("health"), header.alias("session_header"), col("snippet"), col("title"), text.rfc3339(F.col("updated_at")).alias("updated_at")]
+    if "choice" in have:
+        fields.insert(0, F.col("choice").cast("int").alias("choice_number"))
+    return rows.select("source_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def continuity(sessions: DataFrame, size: int = PAGE) -> DataFrame:
+    """(project_key, recent_handles): each project's newest sessions' handles, newest first. What git knows is the host's to add."""
+    rank = F.row_number().over(Window.partitionBy("project_key").orderBy(F.desc("updated_at"), "source_id"))
+    rows = sessions.select("project_key", "handle", rank.alias("r")).where(F.col("r") <= size)
+    return rows.groupBy("project_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "handle"))), lambda x: x["handle"]).alias("recent_handles"))
+
+
 def chosen(numbered: DataFrame, numbers: list[int]) -> DataFrame:
     """Rows by choice number, in the order shown, each once."""
     return numbered.where(F.col("choice").isin(*dict.fromkeys(numbers))).orderBy("choice")
@@ -108,8 +135,10 @@ def with_capabilities(sessions: DataFrame) -> DataFrame:
 
 def result_document(delta_counts: DataFrame, warnings: DataFrame) -> DataFrame:
     """One row: an index run's counts, its warnings in order, and whether it was whole, as a JSON document."""
-    order = F.array_sort(F.collect_list(F.struct("code", "source_id", "message")))
-    told = warnings.agg(F.count("*").alias("n"), F.slice(order, 1, 8).alias("first"))
+    # the first of all come from the partitions' own first ones; no task gathers a run's warnings
+    order = ("code", F.asc_nulls_first("source_id"), "message")
+    first = warnings.orderBy(*order).limit(8).agg(F.array_sort(F.collect_list(F.struct("code", "source_id", "message"))).alias("first"))
+    told = warnings.agg(F.count("*").alias("n")).join(F.broadcast(first))
     rows = delta_counts.crossJoin(told)
     body = F.struct("deleted", "indexed", F.when(F.col("n") > 0, "partial").otherwise("complete").alias("status"), "unchanged", F.col("n").alias("warning_count"), F.col("first").alias("warnings"))
     return rows.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))

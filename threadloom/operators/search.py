@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.porter import stem, stemmed
+from threadloom.operators import discovery
 
 K1, B = 1.2, 0.75
 SNIPPET_TOKENS = 18
@@ -28,16 +29,16 @@ def words(text: Column) -> Column:
 def postings(documents: DataFrame, stems: bool = True) -> DataFrame:
     """(project_key, source_id, term, positions, length): the inverted index. documents: source_id, project_key, search_text.
 
-    Positions of a term in a document are gathered before the stem is taken of each distinct word, so Python sees a word
-    of a document once. Written partitioned by project and bucketed or sorted by term, a search reads its terms only.
+    Stems are taken of the distinct words of all documents, once each, and joined; nothing else of it runs in Python. Kept
+    in files that are sorted by term, a search reads its terms only, and stems nothing but the query.
     """
     rows = documents.select("project_key", "source_id", words(F.col("search_text")).alias("words"))
     rows = rows.select("project_key", "source_id", F.size("words").alias("length"), F.posexplode("words").alias("position", "word"))
     if not stems:
         return rows.groupBy("project_key", "source_id", "length", F.col("word").alias("term")).agg(F.array_sort(F.collect_list("position")).alias("positions"))
     by_word = rows.groupBy("project_key", "source_id", "length", "word").agg(F.collect_list("position").alias("positions"))
-    by_word = by_word.withColumn("term", stemmed(F.col("word")))
-    return by_word.groupBy("project_key", "source_id", "length", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
+    stems_of = rows.select("word").distinct().withColumn("term", stemmed(F.col("word")))
+    return by_word.join(stems_of, "word").groupBy("project_key", "source_id", "length", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 # ---------------------------------------------------------------- queries
@@ -246,13 +247,42 @@ def snippet(text: Column, hits: Column, tokens: int = SNIPPET_TOKENS) -> Column:
 
 
 def search(index: DataFrame, documents: DataFrame, sessions: DataFrame, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None, stems: bool = True) -> DataFrame:
-    """Sessions by relevance, then recency, then source_id. Snippets are cut for the rows that are left only."""
+    """Sessions by relevance, then recency, then source_id. Snippets are cut for the rows that are left only.
+
+    documents: source_id, search_text, and length, if it is known, so that no posting is read but those of the query's terms.
+    """
     if not 1 <= limit <= 100:
         raise ValueError("a limit is from 1 to 100")
-    scored = score(index, parse(query, stems))
+    # as in the postings, a document without words isn't one
+    totals = documents.where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")) if "length" in documents.columns else None
+    scored = score(index, parse(query, stems), totals)
     rows = sessions.where(where)
     if excluded is not None:
         rows = rows.join(excluded.select("source_id").distinct(), "source_id", "left_anti")
     top = rows.join(scored, ["project_key", "source_id"]).orderBy(F.desc("score"), F.desc("updated_at"), "source_id").limit(limit)
     out = top.join(documents.select("source_id", "search_text"), "source_id")
     return out.withColumn("snippet", snippet(F.col("search_text"), F.col("hits"))).drop("search_text").orderBy(F.desc("score"), F.desc("updated_at"), "source_id")
+
+
+def search_ids(index: DataFrame, documents: DataFrame, sessions: DataFrame, query: str, where: Column, limit: int = 20, stems: bool = True) -> DataFrame:
+    """The ids alone, in the order of search()."""
+    return search(index, documents, sessions, query, where, limit, None, stems).select("source_id")
+
+
+def shown(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """What search() found as it may be shown: names from the capsules, all redacted again, own ids masked, lengths bounded."""
+    names = documents.select("source_id", F.get_json_object("content_json", "$.display_name").alias("display_name"))
+    rows = discovery.items(found.drop("display_name").join(names, "source_id", "left"), "score")
+    return rows.orderBy(F.desc("score"), F.desc("updated_at"), "source_id")
+
+
+def hints(found: DataFrame) -> DataFrame:
+    """(hint): what to try instead, if nothing was found; no row otherwise."""
+    none = found.limit(1).agg(F.count("*").alias("n")).where("n = 0")
+    return none.select(F.explode(F.array(*map(F.lit, HINTS))).alias("hint"))
+
+
+def kept(store, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None) -> DataFrame:
+    """search() over the capsules and postings that a catalog keeps; nothing is indexed, and no text read but that of the results."""
+    held = store.tables()
+    return search(held["postings"], held["capsules"], held["sessions"], query, where, limit, excluded)

@@ -85,6 +85,11 @@ SELECT source_id, round(score, 6) AS score FROM (
 )"""
 
 
+# words that the published stemmer takes to the stems of the query's words: all that its rules of endings allow for them
+STEMMED = """
+stm AS (SELECT *, CASE WHEN regexp_full_match(term, 'thing(s|es|ed|ing)?') THEN 'thing' WHEN term IN ('for', 'fors') THEN 'for' WHEN term IN ('these', 'thesed', 'theses', 'thesing') THEN 'these' END AS st FROM pos)"""
+
+
 def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",".join(parts)
 
@@ -228,5 +233,15 @@ r AS (SELECT *, CASE WHEN t IS NULL THEN 'target-unconfirmed' WHEN n = t THEN 's
 SELECT CAST(n AS VARCHAR) AS request, refusal, CASE WHEN refusal IS NULL AND NOT stands THEN 1 ELSE 0 END AS inserted, CASE WHEN refusal IS NULL AND stands THEN 1 ELSE 0 END AS existing FROM r"""
 
 
+ORACLE["search_stemmed"] = f"""{_with(SESSIONS, TURNS, SEARCH, STEMMED)},
+tf AS (SELECT source_id, length, st, count(*) AS f FROM stm WHERE st IS NOT NULL GROUP BY ALL), df AS (SELECT st, count(*) AS d FROM tf GROUP BY 1), tot AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM plain WHERE len(ws) > 0),
+sc AS (SELECT source_id, sum(greatest(1e-6, ln((docs - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (st), tot GROUP BY 1 HAVING bool_or(st = 'thing') OR (bool_or(st = 'for') AND bool_or(st = 'these')))
+SELECT source_id, round(score, 6) AS score FROM (SELECT sc.source_id, score FROM sc JOIN sess USING (source_id) WHERE project_key = 'p1' ORDER BY score DESC, updated_at DESC, sc.source_id LIMIT 20)"""
+ORACLE["search_index"] = f"{_with(SESSIONS, TURNS, SEARCH)} SELECT source_id, project_key, len(ws) AS length FROM plain JOIN sess USING (source_id)"
+ORACLE["search_shown"] = f"""WITH found AS ({ORACLE["search_bm25"]}), {SESSIONS}
+SELECT source_id, adapter AS harness, health, {TIME.format("updated_at")} AS updated_at, {ITEM.format("title")} AS title, true AS marked FROM found JOIN sess USING (source_id)"""
+ORACLE["search_hints"] = f"""{_with(TURNS, SEARCH)} SELECT CAST(sum(4) AS BIGINT) AS hints FROM (VALUES ('xyzzyx'), ('of')) q(w) WHERE w NOT IN (SELECT term FROM pos)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import redaction, text
 from threadloom.operators import capsules, catalog, context, delta, discovery, graph, links, search, targets
 from threadloom.plans import model
+from threadloom.plans.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -304,10 +305,33 @@ def _search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(model.sessions(spark, sf_dir).select("source_id", "project_key"), "source_id")
 
 
+_kept: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, stems: bool) -> tuple[DataFrame, DataFrame]:
+    """(postings, documents) as a catalog keeps them: written once for a session and a folder, and read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir, stems)
+    if key not in _kept:
+        docs = _search_documents(spark, sf_dir)
+        docs = stored(docs.withColumn("length", F.size(search.words(F.col("search_text")))), "documents")
+        index = search.postings(docs, stems)
+        index = index.repartition(8, "term").sortWithinPartitions("term", "project_key", "source_id")
+        _kept[key] = stored(index, "postings"), docs
+    return _kept[key]
+
+
 def _search(spark: SparkSession, sf_dir: str, words: str, where=None, stems: bool = False) -> DataFrame:
-    docs = _search_documents(spark, sf_dir)
+    index, docs = _index(spark, sf_dir, stems)
     sessions = model.sessions(spark, sf_dir)
-    return search.search(search.postings(docs, stems), docs, sessions, words, discovery.filters("p1") if where is None else where, limit=20, stems=stems)
+    return search.search(index, docs, sessions, words, discovery.filters("p1") if where is None else where, limit=20, stems=stems)
+
+
+@query
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the kept index of stems; how much each document gives."""
+    _kept.pop((spark.sparkContext.applicationId, sf_dir, True), None)
+    _, docs = _index(spark, sf_dir, True)
+    return docs.select("source_id", "project_key", F.col("length").cast("bigint").alias("length"))
 
 
 @query
@@ -329,19 +353,34 @@ def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(_search_documents(spark, sf_dir), stems=False)
+    index, _ = _index(spark, sf_dir, False)
     return search.matches(index, search.parse('"of the"', stems=False)).select("source_id", F.size("at0").cast("bigint").alias("n"))
 
 
 @query
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(_search_documents(spark, sf_dir), stems=False)
+    index, _ = _index(spark, sf_dir, False)
     return search.matches(index, search.parse("ea* NOT der", stems=False)).select("source_id")
 
 
 @query
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir, "thing OR (for the)", stems=True).select("source_id", "score", "snippet")
+    return _search(spark, sf_dir, "things OR (for these)", stems=True).select("source_id", F.round("score", 6).alias("score"))
+
+
+@query
+def search_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search shows, over redacted documents; with the first characters of the snippet without its marks."""
+    found = _search(spark, sf_dir, "of the")
+    names = _index(spark, sf_dir, False)[1].select("source_id", F.lit("{}").alias("content_json"))
+    rows = search.shown(found, names)
+    return rows.select("source_id", "harness", "health", at("updated_at"), "title", F.contains("snippet", F.lit("[")).alias("marked"))
+
+
+@query
+def search_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = search.hints(_search(spark, sf_dir, "xyzzyx"))
+    return none.unionByName(search.hints(_search(spark, sf_dir, "of"))).groupBy().agg(F.count("*").alias("hints"))
 
 
 # ---------------------------------------------------------------- graph

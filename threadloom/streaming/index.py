@@ -7,38 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators import capsules, catalog
+from threadloom.operators import capsules, catalog, search
 
 #: A stream's rows: a whole session in each, as a loader gives it, with its turns.
 STREAM = "source_id string, project_key string, adapter string, native_id string, fingerprint string, title string, health string, started_at timestamp, updated_at timestamp, op string, turns array<struct<ordinal:int,role:string,text:string,locator:string>>"
 
 
+#: Columns by which a table's files are sorted, so that a search's terms are pruned by the files' own statistics.
+SORTED = {"postings": ["term"]}
+
+
 def apply_batch(store: catalog.Catalog, batch: DataFrame) -> dict[str, int]:
-    """One micro-batch: unchanged fingerprints are skipped, changed sessions condensed, removed ones tombstoned, and all of
-    it committed as one version. Given the same batch again, nothing changes, so a retried batch does no harm."""
-    spark = batch.sparkSession
+    """One micro-batch: unchanged fingerprints are skipped, changed sessions condensed and indexed, removed ones tombstoned,
+    and all of it committed as one version. Only the parts that hold the batch's sessions are read and written. Given the
+    same batch again, nothing changes, so a retried batch does no harm."""
     last = batch.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("updated_at"), F.desc("fingerprint")))).where("_n = 1").drop("_n")
     held = store.tables()
-    if held:
-        known = held["sessions"].select("source_id", F.col("fingerprint").alias("was"))
-        last = last.join(known, "source_id", "left").where((F.col("op") == "removed") | F.col("was").isNull() | (F.col("was") != F.col("fingerprint"))).drop("was")
+    was = held["sessions"].select("source_id", F.col("fingerprint").alias("was"), F.col("project_key").alias("was_in")) if held else last.select("source_id", "fingerprint", "project_key").toDF("source_id", "was", "was_in").limit(0)
+    last = last.join(was, "source_id", "left").where((F.col("op") == "removed") | F.col("was").isNull() | (F.col("was") != F.col("fingerprint")))
     last = last.persist()
     try:
         fresh = last.where("op <> 'removed'")
-        n = {"indexed": fresh.count(), "removed": last.where("op = 'removed'").count()}
+        n = {"indexed": fresh.count(), "removed": last.where("op = 'removed' and was is not null").count()}
         if not any(n.values()):
             return n
-        sessions = fresh.drop("op", "turns").withColumn("native_available", F.lit(True))
+        # a session may have moved from another project's part
+        keys = last.select(F.explode(F.array("project_key", "was_in")).alias("p")).where("p is not null")
+        parts = [str(r[0]) for r in keys.select(store.part(F.col("p"))).distinct().collect()]
+        sessions = fresh.drop("op", "turns", "was", "was_in").withColumn("native_available", F.lit(True))
         turns = fresh.select("source_id", F.explode("turns").alias("t")).select("source_id", "t.*")
-        built = capsules.build(sessions, turns)
+        documents = capsules.build(sessions, turns)
+        documents = documents.withColumn("length", F.size(search.words(F.col("search_text"))))
+        index = search.postings(documents)
         if held:
-            all_sessions = catalog.upsert_sessions(held["sessions"], sessions)
-            edges = held.get("edges", spark.createDataFrame([], "source_id string, target_id string"))
-            all_sessions = catalog.delete_or_tombstone(all_sessions, last.where("op = 'removed'"), edges)
-            documents = catalog.upsert(held["capsules"], built, ["source_id"]).join(all_sessions.select("source_id"), "source_id", "left_semi")
-        else:
-            all_sessions, documents = sessions, built
-        store.commit({"sessions": all_sessions, "capsules": documents})
+            mine = store.tables(parts)
+            edges = mine.get("edges", mine["sessions"].select("source_id", F.col("source_id").alias("target_id")).limit(0))
+            gone = last.where("op = 'removed'")
+            sessions = catalog.delete_or_tombstone(catalog.upsert_sessions(mine["sessions"], sessions), gone, edges)
+            kept = sessions.select("source_id")
+            documents = catalog.upsert(mine["capsules"], documents, ["source_id"]).join(kept, "source_id", "left_semi")
+            old = mine["postings"].join(fresh.select("source_id"), "source_id", "left_anti").join(kept, "source_id", "left_semi")
+            index = old.unionByName(index)
+        store.commit({"sessions": sessions, "capsules": documents, "postings": index}, parts, SORTED)
         return n
     finally:
         last.unpersist()
