@@ -28,8 +28,25 @@ RULES = (
 )
 
 
+# What each rule's matches hold at least, in lower case; a text without any of these needs no pattern.
+NEEDS = {
+    "private-key": ("private key-----",), "bearer-token": ("bearer",), "known-token": ("akia", "gh", "sk-", "eyj"),
+    "credential-assignment": ("key", "token", "secret", "passw"), "uri-password": ("://",), "home-path": ("/home/", "users", "/root"),
+}
+
+
+def _may_hold(lower: Column, label: str) -> Column:
+    found = F.lit(False)
+    for part in NEEDS.get(label, ("",)):
+        found = found | F.contains(lower, F.lit(part))
+    return found
+
+
 def redact(text: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
-    """struct(text, count, labels): the text redacted, how many matches, and the rules that matched, in order."""
+    """struct(text, count, labels): the text redacted, how many matches, and the rules that matched, in order.
+
+    A rule's pattern runs only on what the rules before it left, if that holds what the rule's matches must hold.
+    """
     state = F.struct(text.alias("text"), F.lit(0).alias("count"), F.array().cast("array<string>").alias("labels"))
     for rule in rules:
         # through a lambda, which names the state once: used directly, expressions would double with each rule
@@ -39,18 +56,20 @@ def redact(text: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Col
 
 def _step(label: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
     def step(s: Column) -> Column:
-        found = F.coalesce(F.regexp_count(s["text"], F.lit(pattern)), F.lit(0))
-        labels = F.when(found > 0, F.concat(s["labels"], F.array(F.lit(label)))).otherwise(s["labels"])
-        return F.struct(F.regexp_replace(s["text"], pattern, replacement).alias("text"), (s["count"] + found).alias("count"), labels.alias("labels"))
+        return F.when(_may_hold(F.lower(s["text"]), label), _replaced(s, label, pattern, replacement)).otherwise(s)
 
     return step
 
 
+def _replaced(s: Column, label: str, pattern: str, replacement: str) -> Column:
+    found = F.coalesce(F.regexp_count(s["text"], F.lit(pattern)), F.lit(0))
+    labels = F.when(found > 0, F.concat(s["labels"], F.array(F.lit(label)))).otherwise(s["labels"])
+    return F.struct(F.when(found > 0, F.regexp_replace(s["text"], pattern, replacement)).otherwise(s["text"]).alias("text"), (s["count"] + found).alias("count"), labels.alias("labels"))
+
+
 def redacted_text(text: Column) -> Column:
-    out = text
-    for _, pattern, replacement in RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    return out
+    """The text of redact() alone."""
+    return redact(text)["text"]
 
 
 def redact_content(text: Column, kind: Column) -> Column:

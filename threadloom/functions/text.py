@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What marks cut text, and the limits of labels and excerpts in characters.
@@ -57,15 +57,30 @@ def command_label(text: Column, command: str, labels: dict[str, str], other: str
     return F.when(F.rlike(flat, F.lit(rf"\A[$/]{command}(\s|\z)")), F.coalesce(known, F.lit(other)))
 
 
+# The shapes of native session ids, and the tags that hosts put around a goal.
+NATIVE_UUID = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"
+NATIVE_SES = r"(?<![A-Za-z0-9_])ses_[A-Za-z0-9_-]+"
+GOAL_TAGS = r"(?is)<timestamp>.*?</timestamp>\s*|<user_query>\s*|</user_query>"
+
+
 def conceal_ids(text: Column) -> Column:
     """Native session ids (UUIDs, then ses_ ids) as [session]."""
-    uuid = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"
-    return F.regexp_replace(F.regexp_replace(text, uuid, "[session]"), r"(?<![A-Za-z0-9_])ses_[A-Za-z0-9_-]+", "[session]")
+    return F.regexp_replace(F.regexp_replace(text, NATIVE_UUID, "[session]"), NATIVE_SES, "[session]")
+
+
+def compact_id(value: Column) -> Column:
+    """The end of an id, as it is drawn."""
+    return F.right(value, F.lit(12))
+
+
+def merged_header(observed: Column, known: Column) -> Column:
+    """A header's value: what was observed while reading, else what was known before; both sanitised."""
+    return F.coalesce(header_value(observed), header_value(known))
 
 
 def normal_goal(text: Column) -> Column:
     """A goal without the tags that hosts put around it, white space collapsed, in lower case."""
-    return F.lower(collapse(F.regexp_replace(text, r"(?is)<timestamp>.*?</timestamp>\s*|<user_query>\s*|</user_query>", "")))
+    return F.lower(collapse(F.regexp_replace(text, GOAL_TAGS, "")))
 
 
 def token_estimate(text: Column) -> Column:
@@ -78,6 +93,11 @@ def rfc3339(at: Column) -> Column:
     return F.when(micros == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
+def cited_time(turns: DataFrame) -> Column:
+    """The time of a turn as a citation has it; null where the source, or the table, has none."""
+    return rfc3339(F.col("at")) if "at" in turns.columns else F.lit(None).cast("string")
+
+
 def parse_time(text: Column, naive_is_utc: bool = False) -> Column:
     """A timestamp with an offset; one without is null, or UTC where the source says so. Anything else is null."""
     has_offset = F.rlike(text, F.lit(r"(Z|[+-]\d\d:?\d\d)\z"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heapify, heapreplace
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +53,7 @@ def excerpts(turns: DataFrame) -> DataFrame:
         text.bounded(F.col("l.text"), text.LOCATOR_LIMIT).alias("turn_locator"),
         (F.length("l.text") > text.LOCATOR_LIMIT).alias("turn_locator_truncated"),
         (F.col("r.count") + F.col("l.count")).alias("redactions"),
+        text.cited_time(turns).alias("at"),
     )
 
 
@@ -82,7 +85,7 @@ def labels(sessions: DataFrame, turns: DataFrame) -> DataFrame:
 def documents(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     """Capsules before fitting: one row a session, the columns of DDL."""
     one = F.struct(
-        F.struct(F.lit(None).cast("string").alias("timestamp"), "turn_locator", "turn_locator_truncated").alias("citation"),
+        F.struct(F.col("at").alias("timestamp"), "turn_locator", "turn_locator_truncated").alias("citation"),
         "ordinal",
         "role",
         "text",
@@ -125,27 +128,43 @@ def documents(sessions: DataFrame, turns: DataFrame) -> DataFrame:
     )
 
 
-def canonical(content: dict) -> str:
+def canonical(content: object) -> str:
     return json.dumps(content, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def _size(content: dict) -> int:
-    return len(canonical(content).encode())
+def _encoded(value: object) -> int:
+    return len(canonical(value).encode())
 
 
 def fit(content: dict, limit: int = LIMIT) -> dict:
-    """Drops excerpts between the first user's and the last, then halves the longest text, until the document fits."""
-    parts = content["excerpts"]
-    while len(parts) > 2 and _size(content) > limit:
-        del parts[1 if parts[0]["role"] == "user" else 0]
-        content["omitted_visible_turns"] += 1
-    while _size(content) > limit:
-        longest = max(parts, key=lambda p: len(p["text"]), default=None)
-        if longest is None or len(longest["text"]) <= len(text.TRUNCATED) + 1:
+    """The document within the limit: without as many of the excerpts between the first user's and the last as it takes,
+    and if that doesn't do, with its longest text halved, and halved again.
+
+    Sizes are added up, not measured again: a document is encoded once.
+    """
+    parts, omitted = content["excerpts"], content["omitted_visible_turns"]
+    over = _encoded(content) - limit
+    asked = next((i for i, p in enumerate(parts) if p["role"] == "user"), len(parts))
+    spare = [i for i in range(len(parts)) if i != asked][: max(0, len(parts) - 2)]
+    # what is saved by leaving out the first k of them: the texts and their commas, less what the count grows by
+    saved = accumulate((_encoded(parts[i]) + 1 for i in spare), initial=0)
+    grown = (len(str(omitted + k)) - len(str(omitted)) for k in range(len(spare) + 1))
+    left = [over - s + g for s, g in zip(saved, grown, strict=True)]
+    k = next((k for k, x in enumerate(left) if x <= 0), len(spare))
+    gone, over = set(spare[:k]), left[k]
+    parts = [p for i, p in enumerate(parts) if i not in gone]
+    longest = [(-len(p["text"]), i) for i, p in enumerate(parts)]
+    heapify(longest)
+    while over > 0:
+        length, i = longest[0] if longest else (0, 0)
+        if -length <= len(text.TRUNCATED) + 1:
             raise ValueError("what describes the session is longer than the limit")
-        keep = max(1, len(longest["text"]) // 2 - len(text.TRUNCATED))
-        longest |= {"text": longest["text"][:keep].rstrip() + text.TRUNCATED, "truncated": True}
-    return content
+        half = parts[i]["text"][: max(1, -length // 2 - len(text.TRUNCATED))].rstrip() + text.TRUNCATED
+        cut = parts[i] | {"text": half, "truncated": True}
+        over -= _encoded(parts[i]) - _encoded(cut)
+        parts[i] = cut
+        heapreplace(longest, (-len(half), i))
+    return content | {"excerpts": parts, "omitted_visible_turns": omitted + k}
 
 
 def build(sessions: DataFrame, turns: DataFrame, limit: int = LIMIT) -> DataFrame:

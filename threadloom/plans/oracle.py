@@ -33,7 +33,7 @@ edg AS (
 TIME = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 EXCERPT = """
 fst AS (SELECT source_id, arg_min(text, ordinal) AS excerpt FROM trn WHERE role = 'user' GROUP BY 1)"""
-# the patterns of five rules; the sixth needs a look-behind, and no document holds anything like it
+# The redaction rules' patterns as SQL has them; the sixth needs a look-behind, which is written as a group here.
 BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}"
 KEY = r"(?s)-----BEGIN [^-\r\n]*PRIVATE KEY-----.*?-----END [^-\r\n]*PRIVATE KEY-----"
 TOKEN = r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})\b"

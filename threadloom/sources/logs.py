@@ -7,14 +7,20 @@ the file. What can't be read becomes a row of warnings, never an error; the rest
 from __future__ import annotations
 
 import hashlib
+import os
+import sqlite3
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.plans.storage import stored
 from threadloom.schema import SESSIONS, TURNS, WARNINGS
+from threadloom.sources.files import unsafe_entries
 
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: Sources whose read is partial as soon as there is a warning.
@@ -43,10 +49,32 @@ def namespace(root: str) -> str:
     return "store-" + hashlib.sha256(root.rstrip("/").encode()).hexdigest()
 
 
+def _safe(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """Files but for symbolic links and what lies outside the root; their paths prune the scan before anything is read."""
+    bad = unsafe_files(root)
+    return files.where(~F.col("_metadata.file_path").isin(bad)) if bad else files
+
+
+def unsafe_files(root: str) -> list[str]:
+    local = root.removeprefix("file://") if root.startswith("file://") else root
+    if "://" in local or not os.path.isdir(local):
+        return []
+    out = []
+    for path in unsafe_entries(local):
+        inside = [os.path.join(d, f) for d, _, names in os.walk(path, followlinks=True) for f in names] if os.path.isdir(path) else [path]
+        out += [f"file://{quote(os.path.abspath(x))}" for x in inside]
+    return out
+
+
+def unsafe_warnings(spark: SparkSession, root: str) -> DataFrame:
+    rows = [("unsafe-session-source", os.path.basename(x), None, None) for x in unsafe_files(root)]
+    return spark.createDataFrame(rows, WARNINGS)
+
+
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, line, value, complete) of the files below root. A file is one row until its lines are numbered, so that a line's
     place doesn't depend on how files are split; `complete` is false for a last line without its line break."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+    files = _safe(spark, spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True), root)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     cut = F.split("value", "\n")
     rows = files.select("path", "modified", (F.endswith("value", F.lit("\n"))).alias("closed"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "value"))
@@ -55,7 +83,7 @@ def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
 
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, fingerprint): SHA-256 of each whole file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    files = _safe(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root), root)
     return files.select(F.col("path"), F.sha2("content", 256).alias("fingerprint"))
 
 
@@ -146,10 +174,24 @@ def codex(spark: SparkSession, root: str) -> Scan:
     role = F.when((kind == "response_item") & (p["type"] == "message"), F.when(p["role"] == "user", "user").when(p["role"] == "assistant", "agent"))
     said = good.withColumn("role", role).withColumn("text", _blocks(p["content"], F.when(F.col("role") == "user", "input_text").otherwise("output_text")))
     turns = _turns(said.withColumn("locator", F.concat(F.lit("jsonl:"), F.col("line").cast("string"))).withColumn("at", when), 0)
-    warnings = unnamed.unionByName(_malformed(rows, "malformed-jsonl")).unionByName(missing).unionByName(_duplicates(heads))
+    warnings = unnamed.unionByName(_malformed(rows, "malformed-jsonl")).unionByName(missing).unionByName(_duplicates(heads)).unionByName(unsafe_warnings(spark, root))
     return Scan(_sessions(heads), turns, warnings)
 
 
+def _folder_hints(root: str) -> list[tuple[str, str]]:
+    """(URL of a project's folder, what its .cwd file says). Spark's readers pass over names that begin with a dot; there is one such file a project."""
+    local = root.removeprefix("file://") if root.startswith("file://") else root
+    if "://" in local or not os.path.isdir(local):
+        return []
+    out = []
+    for folder in sorted(os.scandir(local), key=lambda e: e.name):
+        path = os.path.join(folder.path, ".cwd")
+        if folder.is_dir(follow_symlinks=False) and os.path.isfile(path) and not os.path.islink(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out.append((f"file://{quote(os.path.abspath(folder.path))}", f.read().strip()))
+    return out
+
+
 def grok(spark: SparkSession, root: str) -> Scan:
     """A folder for each session, below one named by its percent-encoded project: summary.json and updates.jsonl."""
     ns = namespace(root)
@@ -161,11 +203,14 @@ def grok(spark: SparkSession, root: str) -> Scan:
     # a file URL escapes the percent signs of the folder's own name
     folder = text.percent_decoded(F.regexp_replace(group, "%25", "%"))
     heads = heads.select("*", *_identity("grok", ns, F.col("native")), F.col("path").alias("locator"))
+    # a project's folder may say in a file of its own what its name can't
+    hints = spark.createDataFrame(_folder_hints(root), "group_dir string, cwd string")
+    heads = heads.withColumn("group_dir", F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)).join(hints, "group_dir", "left")
     parse = lambda c: text.parse_time(F.col(c))
     drift = heads.where("ok").where(parse("r.created_at").isNull() | parse("r.updated_at").isNull())
     sessions = heads.where("ok").select(
         "*", F.coalesce(parse("r.created_at"), "modified").alias("started_at"), F.coalesce(parse("r.updated_at"), "modified").alias("updated_at"),
-        F.coalesce("r.git_root_dir", folder).alias("project_hint"), F.col("r.generated_title").alias("title"), F.lit("unknown").alias("health"), text.header_value(F.col("r.current_model_id")).alias("model_id"),
+        F.coalesce("r.git_root_dir", text.first_non_blank(F.trim("cwd")), folder).alias("project_hint"), F.col("r.generated_title").alias("title"), F.lit("unknown").alias("health"), text.header_value(F.col("r.current_model_id")).alias("model_id"),
     )
     prints = fingerprints(spark, root, "{summary.json,updates.jsonl}").select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"), F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), "fingerprint").alias("f"))
     prints = prints.groupBy("dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), "\n"), 256).alias("fingerprint"))
@@ -192,9 +237,14 @@ def supported_version(version: Column) -> Column:
     return F.when(ok, (parts >= F.array(*map(F.lit, OPENCODE_LEAST))) & (parts < F.array(*map(F.lit, OPENCODE_BELOW)))).otherwise(False)
 
 
-def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | None = None) -> Scan:
-    """A catalog, one JSON array of sessions, and a JSON export of each session."""
+def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | None = None, version: str | None = None) -> Scan:
+    """A catalog, one JSON array of sessions, and a JSON export of each session. `version`: of the program that wrote them,
+    if it is known; with one whose exports aren't understood nothing is read."""
     ns = namespace(exports)
+    if version is not None:
+        told = spark.createDataFrame([(version,)], "v string").where(~supported_version(F.col("v")))
+        if not told.isEmpty():
+            return Scan(spark.createDataFrame([], SESSIONS), spark.createDataFrame([], TURNS), _warnings(told, "unsupported-version", F.col("v")))
     entry = "array<struct<id:string,directory:string,title:string,version:string,updated:bigint,created:bigint,time:struct<created:bigint,updated:bigint>>>"
     rows = spark.read.text(catalog, wholetext=True).select(F.posexplode(F.from_json("value", entry)).alias("at", "e"))
     crowded = rows.agg(F.count("*").alias("n")).where(F.col("n") > CATALOG_LIMIT)
@@ -229,8 +279,47 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     return Scan(_sessions(sessions), _turns(told, 0, ("created", "mid")), warnings)
 
 
+def workspace_folder(path: Column) -> Column:
+    """The name of a workspace's folder among the chats."""
+    return F.md5(path.cast("binary"))
+
+
+def _store_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The meta row of each chat store, a SQLite file; null where it can't be read."""
+    for batch in batches:
+        out = []
+        for content in batch["content"]:
+            db = sqlite3.connect(":memory:")
+            try:
+                db.deserialize(bytes(content))
+                row = db.execute("SELECT value FROM meta WHERE key = '0'").fetchone()
+                out.append(row[0] if row and isinstance(row[0], str) else None)
+            except sqlite3.Error:
+                out.append(None)
+            finally:
+                db.close()
+        yield pd.DataFrame({"path": batch["path"], "value": out})
+
+
+def _sidecars(spark: SparkSession, chats: str) -> DataFrame:
+    """(nid, workspace, s, store, print, broken_meta, broken_store): what lies beside a chat, by chat and workspace folder."""
+    at = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("nid"), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("workspace")
+    kinds = "title string, createdAtMs bigint, updatedAtMs bigint, cwd string"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{meta.json,store.db}").load(chats).select("path", "content")
+    is_meta = F.endswith("path", F.lit("/meta.json"))
+    meta = files.where(is_meta).select(*at, F.decode("content", "UTF-8").alias("value"), F.sha2("content", 256).alias("meta_print"))
+    meta = meta.withColumn("broken_meta", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull()).withColumn("s", F.from_json("value", kinds)).drop("value")
+    store = files.where(~is_meta)
+    values = store.mapInPandas(_store_values, "path string, value string").select(*at, store_meta(F.col("value")).alias("store"))
+    values = values.withColumn("broken_store", F.col("store").isNull())
+    prints = store.select(*at, F.sha2("content", 256).alias("store_print"))
+    return meta.join(values, ["nid", "workspace"], "full").join(prints, ["nid", "workspace"], "full")
+
+
 def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
-    """agent-transcripts/<id>/<id>.jsonl; titles and times from the chats' meta.json, where there is one."""
+    """<slug>/agent-transcripts/<id>/<id>.jsonl; titles, times and the model from what lies beside the chat, meta.json before
+    the store. A chat's folder is <md5 of the workspace>/<id>: of several of one id that of the transcript's own workspace
+    wins, which its meta.json's folder tells."""
     ns = namespace(root)
     schema = "role string, message struct<content:array<struct<type:string,text:string,name:string,input:struct<model:string>>>>"
     native = F.regexp_extract("path", r"/agent-transcripts/([^/]+)/[^/]+\.jsonl$", 1)
@@ -239,16 +328,29 @@ def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
     model = F.get(F.filter(parts, lambda p: (p["type"] == "tool_use") & (p["name"] == "Task") & p["input"]["model"].isNotNull()), F.lit(0))["input"]["model"]
     heads = rows.groupBy("source_id", "adapter", "namespace", "native_id", F.col("path").alias("locator")).agg(F.max("modified").alias("modified"), text.header_value(F.max_by(model, F.when(model.isNotNull(), F.col("line")))).alias("task_model"))
     heads = heads.join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left")
+    warnings = _malformed(rows, "malformed-turn").unionByName(unsafe_warnings(spark, root))
     if chats is not None:
-        meta = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").text(chats, wholetext=True)
-        meta = meta.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/meta\.json$", 1).alias("nid"), F.from_json("value", "title string, createdAtMs bigint, updatedAtMs bigint, cwd string").alias("s")).dropDuplicates(["nid"])
-        heads = heads.join(meta, F.col("native_id") == F.col("nid"), "left")
+        slug = F.regexp_extract("locator", r"/([^/]+)/agent-transcripts/", 1)
+        beside = heads.select("source_id", "native_id", slug.alias("slug")).join(_sidecars(spark, chats), F.col("native_id") == F.col("nid"))
+        own = (F.col("workspace") == workspace_folder(F.col("s.cwd"))) & (text.path_slug(F.ltrim(F.lit("/"), F.col("s.cwd"))) == F.col("slug"))
+        rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.coalesce(own, F.lit(False)).desc(), "workspace"))
+        beside = beside.withColumn("n", rank).where("n = 1").drop("n", "native_id", "nid", "slug")
+        heads = heads.join(beside, "source_id", "left")
+        drift = heads.select("source_id", F.explode(F.array_compact(F.array(F.when(F.col("broken_meta"), "cursor-meta-drift"), F.when(F.col("broken_store"), "cursor-store-drift")))).alias("code"))
+        warnings = warnings.unionByName(_warnings(drift, F.col("code"), F.lit("what lies beside the chat can't be read")))
+        heads = heads.withColumn("fingerprint", F.sha2(F.concat_ws("\n", "fingerprint", "meta_print", "store_print").cast("binary"), 256))
     else:
-        heads = heads.withColumn("s", F.lit(None).cast("struct<title:string,createdAtMs:bigint,updatedAtMs:bigint,cwd:string>"))
-    sessions = heads.select("*", F.coalesce(text.epoch_time(F.col("s.createdAtMs"), "ms"), "modified").alias("started_at"), F.coalesce(text.epoch_time(F.col("s.updatedAtMs"), "ms"), "modified").alias("updated_at"), F.col("s.title").alias("title"), F.col("s.cwd").alias("project_hint"), F.lit("unknown").alias("health"), F.col("task_model").alias("model_id"))
+        kinds = {"s": "struct<title:string,createdAtMs:bigint,updatedAtMs:bigint,cwd:string>", "store": "struct<name:string,createdAt:bigint,updatedAt:bigint,lastUsedModel:string,mode:string>"}
+        heads = heads.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    ms = lambda c: text.epoch_time(F.col(c), "ms")
+    sessions = heads.select(
+        "*", F.coalesce(ms("s.createdAtMs"), ms("store.createdAt"), "modified").alias("started_at"), F.coalesce(ms("s.updatedAtMs"), ms("store.updatedAt"), "modified").alias("updated_at"),
+        text.first_non_blank(F.trim("s.title"), F.trim("store.name")).alias("title"), F.col("s.cwd").alias("project_hint"), F.lit("unknown").alias("health"),
+        text.merged_header(F.col("task_model"), F.col("store.lastUsedModel")).alias("model_id"), text.header_value(F.col("store.mode")).alias("effort"),
+    )
     role = F.when(F.col("r.role") == "user", "user").when(F.col("r.role") == "assistant", "agent")
     said = rows.where("ok").withColumn("role", role).withColumn("text", _blocks(parts, ["text"])).withColumn("locator", F.concat(F.lit("line:"), F.col("line").cast("string"))).withColumn("at", F.lit(None).cast("timestamp"))
-    return Scan(_sessions(sessions), _turns(said, 1), _malformed(rows, "malformed-turn"))
+    return Scan(_sessions(sessions), _turns(said, 1), warnings)
 
 
 def store_meta(value: Column) -> Column:
@@ -312,10 +414,57 @@ def union(scans: list[Scan]) -> Scan:
     return out
 
 
+#: Loaders by source, in the order in which sources are read.
+REGISTRY = {"codex": codex, "grok": grok, "cursor": cursor, "claude": claude, "antigravity": antigravity, "opencode": opencode}
+
+
+def configured(spark: SparkSession, places: dict[str, dict]) -> Scan:
+    """All sources that have a place (the loader's arguments), in the registry's order."""
+    return union([load(spark, **places[k]) for k, load in REGISTRY.items() if k in places])
+
+
+def has_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> bool:
+    """Whether a project's folder of a source holds any of its files, which is when the source counts as configured."""
+    local = root.removeprefix("file://") if root.startswith("file://") else root
+    if "://" not in local and not os.path.isdir(local):
+        return False
+    return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path").isEmpty()
+
+
+def reread(now: Scan, records: DataFrame, start: int = 0, stop: int | None = None, after: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns of the half-open range, (source_id, read_status), warnings) of chosen records (source_id, adapter, fingerprint, locator).
+
+    now: the source as it is. A record is refused, and has no turn, if it isn't of this source or isn't there any more, if
+    its id stands for another file, or if its content is another; `after`: fingerprints (source_id, fingerprint) taken after
+    the read, by which a source that changed meanwhile is refused, too.
+    """
+    here = now.sessions.select("source_id", F.col("adapter").alias("is_adapter"), F.col("fingerprint").alias("is_print"), F.col("locator").alias("is_locator"))
+    rows = records.join(here, "source_id", "left")
+    own = F.col("is_adapter").isNotNull()
+    changed = F.lit(False)
+    if after is not None:
+        rows = rows.join(after.select("source_id", F.col("fingerprint").alias("then")), "source_id", "left")
+        changed = own & ~F.col("then").eqNullSafe(F.col("is_print"))
+    code = (
+        F.when(~F.col("adapter").isin(*REGISTRY), "wrong-source")
+        .when(~own, "missing-source")
+        .when(F.col("adapter") != F.col("is_adapter"), "wrong-source")
+        .when(F.col("locator") != F.col("is_locator"), "identity-mismatch")
+        .when(F.col("fingerprint") != F.col("is_print"), "source-changed")
+        .when(changed, "source-changed-during-read")
+    )
+    rows = rows.select("source_id", "adapter", code.alias("code"))
+    told = _warnings(rows.where("code is not null"), F.col("code"), F.lit("the record wasn't read"))
+    kept = rows.where("code is null")
+    turns = selected(now.turns.join(kept.select("source_id"), "source_id", "left_semi"), start, stop)
+    whole = now.warnings.join(kept.select("source_id"), "source_id", "left_semi").unionByName(told)
+    n = turns.groupBy("source_id").agg(F.count("*").alias("turns"))
+    w = whole.groupBy("source_id").agg(F.count("*").alias("warned"))
+    rows = rows.join(n, "source_id", "left").join(w, "source_id", "left")
+    status = F.when(F.coalesce("turns", F.lit(0)) == 0, "unavailable").when((F.coalesce("warned", F.lit(0)) > 0) & F.col("adapter").isin(*STRICT), "partial").otherwise("complete")
+    return turns, rows.select("source_id", status.alias("read_status")), whole
+
+
 def selected(turns: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
     """Turns of the half-open range of ordinals."""
     return turns.where((F.col("ordinal") >= start) & (F.lit(stop is None) | (F.col("ordinal") < F.lit(stop if stop is not None else 0))))
-
-
-def empty_warnings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], WARNINGS)
