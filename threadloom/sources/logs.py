@@ -84,7 +84,7 @@ def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, fingerprint): SHA-256 of each whole file."""
     files = _safe(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root), root)
-    return files.select(F.col("path"), F.sha2("content", 256).alias("fingerprint"))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("fingerprint"))
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
