@@ -306,3 +306,43 @@ def test_targets_and_discovery(spark):
     assert item["display_name"] == "password=[REDACTED:credential] [session] [session]" and item["snippet"] == "[session] says"
     with pytest.raises(ValueError):
         discovery.browse(s, turns, discovery.filters("p"), limit=0)
+
+
+def test_fit_leaves_out_the_middle_then_halves():
+    def plain(content, limit):
+        """As fit(), measuring the whole document after each step."""
+        size = lambda: len(capsules.canonical(content).encode())
+        parts = content["excerpts"]
+        while size() > limit and len(parts) > 2:
+            asked = [i for i, p in enumerate(parts) if p["role"] == "user"]
+            parts.pop(min(i for i in range(len(parts)) if not asked or i != asked[0]))
+            content["omitted_visible_turns"] += 1
+        while size() > limit:
+            p = max(parts, key=lambda p: len(p["text"]))
+            p["text"], p["truncated"] = p["text"][: max(1, len(p["text"]) // 2 - len(text.TRUNCATED))].rstrip() + text.TRUNCATED, True
+        return content
+
+    rng = random.Random(1)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        make = lambda: {"excerpts": [{"role": r, "text": t, "truncated": False} for r, t in zip(roles, texts, strict=True)], "omitted_visible_turns": rng0, "z": "ü" * 20}
+        roles, texts, rng0 = [rng.choice(["user", "agent"]) for _ in range(n)], [rng.choice("a€ ") * rng.randint(1, 900) + "x" for _ in range(n)], rng.randint(0, 12)
+        limit = rng.randint(260, 2500)
+        assert capsules.fit(make(), limit) == plain(make(), limit)
+
+
+def test_citations_carry_times(spark):
+    turns = spark.createDataFrame([("codex:s:a", 0, "user", "Fix it", "jsonl:1")], TURN).withColumn("at", F.timestamp_seconds(F.lit(60)))
+    s = sessions(spark, ["a"])
+    assert json.loads(capsules.build(s, turns).first()["content_json"])["excerpts"][0]["citation"]["timestamp"] == "1970-01-01T00:01:00Z"
+    packs = spark.createDataFrame([("k", "codex:s:a")], "pack string, source_id string")
+    assert '"timestamp": "1970-01-01T00:01:00Z"' in context.build_packs(packs, s, turns).first()["document"]
+
+
+def test_pages_and_anchors_out_of_range(spark):
+    s = sessions(spark, list("abc"))
+    with pytest.raises(ValueError):
+        discovery.checked_page(s, 2, [F.desc("updated_at")])
+    assert discovery.checked_page(s.limit(0), 1, [F.desc("updated_at")]).count() == 0
+    with pytest.raises(ValueError):
+        graph.ordered_ancestors(edges(spark, [("a", "b")]), s, s.limit(1), project_key="elsewhere")

@@ -163,3 +163,65 @@ def test_index_stream(spark, tmp_path):
     shown = {r["source_id"]: r["snippet"] for r in search.shown(found, store.tables()["capsules"]).collect()}
     assert shown["b"] == "[Build] it" and shown["c"].startswith("[Builds] with password=[REDACTED:") and "hunter" not in shown["c"]
     assert search.kept(store, "build", F.lit(True)).count() == 3
+
+
+def test_links_out_of_the_root_are_not_read(spark, tmp_path):
+    name = "rollout-2024-01-01T00-00-00-019f6000-1234-7000-8000-00000000000{}.jsonl"
+    line = json.dumps({"type": "session_meta", "payload": {"cwd": "/w"}}) + "\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / name.format(1)).write_text(line)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / name.format(2)).write_text(line)
+    (tmp_path / "in" / name.format(2)).symlink_to(tmp_path / "out" / name.format(2))
+    (tmp_path / "in" / "more").symlink_to(tmp_path / "out")
+    found = logs.codex(spark, str(tmp_path / "in"))
+    assert [r["native_id"][-1] for r in found.sessions.collect()] == ["1"]
+    assert [r["code"] for r in found.warnings.collect()] == ["unsafe-session-source"] * 2
+    assert not logs.has_files(spark, str(tmp_path / "none")) and logs.has_files(spark, str(tmp_path / "out")) and not logs.has_files(spark, str(tmp_path / "out"), "*.json")
+
+
+def test_what_lies_beside_a_chat(spark, tmp_path):
+    import hashlib
+    import sqlite3
+
+    def store(path, meta):
+        path.parent.mkdir(parents=True)
+        db = sqlite3.connect(path)
+        db.execute("CREATE TABLE meta (key TEXT, value TEXT)")
+        db.execute("INSERT INTO meta VALUES ('0', ?)", (json.dumps(meta).encode().hex(),))
+        db.commit()
+        db.close()
+
+    for name in "abc":
+        at = tmp_path / "projects" / "work-x" / "agent-transcripts" / name
+        at.mkdir(parents=True)
+        (at / f"{name}.jsonl").write_text(json.dumps({"role": "user", "message": {"content": [{"type": "text", "text": "hi"}]}}) + "\n")
+    own, other = hashlib.md5(b"/work/x").hexdigest(), "0" * 32
+    store(tmp_path / "chats" / own / "a" / "store.db", {"name": " Named ", "createdAt": 1000, "updatedAt": 2000, "lastUsedModel": "m1", "mode": "agent"})
+    store(tmp_path / "chats" / other / "b" / "store.db", {"name": "wrong one"})
+    (tmp_path / "chats" / own / "b").mkdir()
+    (tmp_path / "chats" / own / "b" / "meta.json").write_text(json.dumps({"title": "Mine", "createdAtMs": 5000, "cwd": "/work/x"}))
+    (tmp_path / "chats" / own / "c").mkdir()
+    (tmp_path / "chats" / own / "c" / "store.db").write_bytes(b"no database")
+    plain = {r["native_id"]: r["fingerprint"] for r in logs.cursor(spark, str(tmp_path / "projects")).sessions.collect()}
+    found = logs.cursor(spark, str(tmp_path / "projects"), str(tmp_path / "chats"))
+    got = {r["native_id"]: r for r in found.sessions.collect()}
+    assert (got["a"]["title"], got["a"]["model_id"], got["a"]["effort"], got["a"]["started_at"].second) == ("Named", "m1", "agent", 1)
+    assert (got["b"]["title"], got["b"]["project_hint"], got["c"]["title"]) == ("Mine", "/work/x", None)
+    assert [(r["code"], r["source_id"][-1]) for r in found.warnings.collect()] == [("cursor-store-drift", "c")]
+    assert len({r["fingerprint"] for r in got.values()} | set(plain.values())) == len(set(plain.values())) + 3
+
+
+def test_versions_and_folders_that_name_projects(spark, tmp_path):
+    (tmp_path / "list.json").write_text("[]")
+    (tmp_path / "ex").mkdir()
+    (tmp_path / "ex" / "x.json").write_text("{}")
+    bad = logs.opencode(spark, str(tmp_path / "list.json"), str(tmp_path / "ex"), version="1.16.0")
+    assert bad.sessions.count() == 0 and [r["code"] for r in bad.warnings.collect()] == ["unsupported-version"]
+    assert logs.opencode(spark, str(tmp_path / "list.json"), str(tmp_path / "ex"), version="v1.17.18").warnings.count() == 0
+    at = tmp_path / "grok" / "group" / "019f6000-1234-7000-8000-000000000001"
+    at.mkdir(parents=True)
+    (tmp_path / "grok" / "group" / ".cwd").write_text("/named/here\n")
+    (at / "summary.json").write_text(json.dumps({"created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"}))
+    (at / "updates.jsonl").write_text("")
+    assert [r["project_hint"] for r in logs.grok(spark, str(tmp_path / "grok")).sessions.collect()] == ["/named/here"]

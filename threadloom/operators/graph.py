@@ -180,6 +180,31 @@ def ancestors(edges: DataFrame, anchors: DataFrame, max_hops: int | None = None)
     return rows.groupBy("component").applyInPandas(each, "anchor string, source_id string, hops int")
 
 
+def ordered_ancestors(edges: DataFrame, sessions: DataFrame, anchors: DataFrame, max_hops: int | None = None, project_key: str | None = None) -> DataFrame:
+    """(anchor, source_id, hops, place): ancestors in the order of their times, then ids. An anchor of another project is an error."""
+    if project_key is not None:
+        own = sessions.where(F.col("project_key") == project_key).select("source_id")
+        if not anchors.select("source_id").join(own, "source_id", "left_anti").isEmpty():
+            raise ValueError("an anchor isn't a session of the project")
+    found = ancestors(edges, anchors, max_hops).join(sessions.select("source_id", "updated_at"), "source_id")
+    place = F.row_number().over(Window.partitionBy("anchor").orderBy("updated_at", "source_id"))
+    return found.withColumn("place", place).select("anchor", "source_id", "hops", "place")
+
+
+def topological(edges: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(component, source_id, depth, place): the order in which a component is drawn: by depth, then time, then id, which never
+    puts a session before what leads to it, as a depth is the longest way from a root."""
+    rows = depths(edges).join(components(edges).withColumnRenamed("node", "source_id"), "source_id").join(sessions.select("source_id", "updated_at"), "source_id")
+    place = F.row_number().over(Window.partitionBy("component").orderBy("depth", "updated_at", "source_id"))
+    return rows.withColumn("place", place).select("component", "source_id", "depth", "place")
+
+
+def edge_records(edges: DataFrame) -> DataFrame:
+    """(target_id, mode, confirmed_at, source_ids): edges of one confirmation as one record."""
+    rows = edges.groupBy("target_id", "mode", "confirmed_at").agg(F.array_sort(F.collect_list("source_id")).alias("source_ids"))
+    return rows.orderBy("confirmed_at", "target_id", "mode")
+
+
 def has_cycle(edges: list[tuple[str, str]]) -> bool:
     """Whether peeling nodes without predecessors leaves any; no recursion, so chains of any length will do."""
     after = _neighbours(edges)

@@ -242,6 +242,53 @@ ORACLE["search_shown"] = f"""WITH found AS ({ORACLE["search_bm25"]}), {SESSIONS}
 SELECT source_id, adapter AS harness, health, {TIME.format("updated_at")} AS updated_at, {ITEM.format("title")} AS title, true AS marked FROM found JOIN sess USING (source_id)"""
 ORACLE["search_hints"] = f"""{_with(TURNS, SEARCH)} SELECT CAST(sum(4) AS BIGINT) AS hints FROM (VALUES ('xyzzyx'), ('of')) q(w) WHERE w NOT IN (SELECT term FROM pos)"""
 
+HANDLES = f"""
+hnd AS (SELECT *, {LETTER} || row_number() OVER (PARTITION BY project_key, {LETTER} ORDER BY started_at, source_id) AS handle FROM sess)"""
+CLOSURE = "walk AS (SELECT s, t, 1 AS hops FROM edg UNION SELECT walk.s, edg.t, hops + 1 FROM walk JOIN edg ON walk.t = edg.s WHERE hops < 60)"
+ORACLE["text_values"] = r"""WITH d AS (SELECT doc_id, text, lang, source, CASE doc_id % 3 WHEN 0 THEN ' m-' || doc_id || ' ' WHEN 1 THEN repeat('x', CAST(doc_id % 256 AS INT)) ELSE 'a b' || doc_id END AS h, '/work/' || source || '/%C3%A9+' || doc_id AS path FROM documents),
+v AS (SELECT *, CASE WHEN regexp_full_match(trim(h, ' '), '[^\s]{1,128}') THEN trim(h, ' ') END AS header FROM d)
+SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate, header, CASE WHEN doc_id % 2 = 0 AND header IS NOT NULL THEN header ELSE 'known' END AS merged, replace(path, '/', '-') AS slug, replace(path, '%C3%A9', 'é') AS decoded, md5(path) AS workspace,
+right('019f6000-1234-7000-8000-' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), 12) AS compact, coalesce(CASE WHEN doc_id % 3 = 0 AND trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END) AS "first",
+sha256(regexp_replace(text, '[^\x00-\x7F]', '?', 'g')) AS ascii, sha256('    ' || regexp_replace(replace(text, chr(13), ''), '\n(.)', chr(10) || '    \1', 'gs')) AS indented, sha256(substr(regexp_replace(text, '\p{C}', '?', 'g'), 1, 80)) AS plain FROM v"""
+_SHOWN = "CASE WHEN {0} IS NOT NULL THEN strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN extract('microseconds' FROM {0}) % 1000000 <> 0 THEN '.' || strftime({0}, '%f') ELSE '' END || 'Z' END"
+ORACLE["time_values"] = f"""WITH w AS (SELECT n_nationkey AS n, CAST('2024-03-0' || (1 + n_nationkey % 9) || ' 10:20:30' || CASE WHEN n_nationkey % 2 = 0 THEN '.25' ELSE '' END AS TIMESTAMP) AS wall FROM nation),
+t AS (SELECT n, CASE n % 3 WHEN 0 THEN wall WHEN 1 THEN wall - INTERVAL 2 HOUR END AS strict, CASE n % 3 WHEN 1 THEN wall - INTERVAL 2 HOUR ELSE wall END AS naive,
+CASE WHEN n >= 3 THEN make_timestamp((CAST(n AS BIGINT) * 100000 - 300000) * 1000000) END AS secs, CASE WHEN n > 0 THEN make_timestamp((CAST(n AS BIGINT) * 100000250 - 1) * 1000) END AS ms FROM w)
+SELECT n, {_SHOWN.format("strict")} AS strict, {_SHOWN.format("naive")} AS naive, {_SHOWN.format("secs")} AS seconds, {_SHOWN.format("ms")} AS millis FROM t"""
+ORACLE["task_labels"] = """SELECT n_nationkey AS n, CASE n_nationkey % 5 WHEN 0 THEN '(Fix the ' || lower(n_name) || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || regexp_replace(n_name, '\\s+', ' ', 'g') WHEN 2 THEN '/thread Search ' || n_name WHEN 3 THEN '$thread' ELSE 'Nothing of ' || n_name || '. Really' END AS task,
+n_nationkey % 5 = 1 AS envelope, CASE n_nationkey % 5 WHEN 2 THEN 'Search' WHEN 3 THEN 'Thread' END AS command,
+lower(CASE n_nationkey % 5 WHEN 0 THEN 'Hello there. (Fix the ' || n_name || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || n_name WHEN 2 THEN '/thread Search ' || n_name WHEN 3 THEN '$thread' ELSE 'Nothing of ' || n_name || '. Really' END) AS goal FROM nation"""
+ORACLE["home_paths"] = """SELECT n_nationkey AS n, CASE n_nationkey % 4 WHEN 0 THEN regexp_replace('see /home/' || lower(n_name) || '/x', '/home/[^/\\s]+', '~') WHEN 1 THEN 'x/home/ann/y ~\\z' WHEN 2 THEN '[REDACTED:private-key] ~' ELSE '/rooted (~' END AS text,
+CASE n_nationkey % 4 WHEN 2 THEN 2 ELSE 1 END AS redactions, CASE n_nationkey % 4 WHEN 2 THEN 'private-key,home-path' ELSE 'home-path' END AS labels FROM nation"""
+ORACLE["context_sources"] = f"""{_with(SESSIONS, EDGES, HANDLES, CLOSURE, recursive=True)},
+lt AS (SELECT project_key, count(DISTINCT t) AS c, min(t) AS t FROM edg e WHERE confirmed_at = (SELECT max(confirmed_at) FROM edg f WHERE f.project_key = e.project_key) GROUP BY 1),
+q AS (SELECT h.n, h.source_id, h.project_key, h.n % 8 AS k, CASE h.n % 8 WHEN 5 THEN lt.t WHEN 6 THEN h.n + 1 ELSE h.n END AS a, coalesce(lt.c, 0) AS c, CASE h.n % 8 WHEN 2 THEN 1 WHEN 6 THEN 2 ELSE 60 END AS most FROM hnd h LEFT JOIN lt USING (project_key)),
+r AS (SELECT *, CASE WHEN k = 4 THEN 'unknown-session' WHEN k = 3 THEN 'bad-depth' WHEN k = 7 THEN 'anchor-with-handles' WHEN k = 5 AND c = 0 THEN 'no-confirmed-target' WHEN k = 5 AND c > 1 THEN 'ambiguous-target' WHEN k = 6 THEN 'foreign-anchor' END AS refusal FROM q),
+led AS (SELECT DISTINCT r.n, sess.source_id FROM r JOIN walk ON walk.t = r.a AND walk.hops <= r.most JOIN sess ON sess.n = walk.s WHERE r.k IN (1, 2, 5) AND refusal IS NULL)
+SELECT CAST(n AS VARCHAR) AS request, source_id, refusal FROM r WHERE k = 0 UNION ALL SELECT CAST(n AS VARCHAR), NULL, refusal FROM r WHERE refusal IS NOT NULL
+UNION ALL SELECT CAST(n AS VARCHAR), source_id, NULL FROM led UNION ALL SELECT CAST(n AS VARCHAR), NULL, 'no-predecessors' FROM r WHERE k IN (1, 2, 5) AND refusal IS NULL AND n NOT IN (SELECT n FROM led)"""
+ORACLE["continuity"] = f"""{_with(SESSIONS, HANDLES)}, r AS (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY updated_at DESC, source_id) AS k FROM hnd) SELECT project_key, string_agg(handle, ' ' ORDER BY k) AS handles FROM r WHERE k <= 5 GROUP BY 1"""
+ORACLE["source_warnings"] = """WITH w AS (SELECT source AS source_id, lang AS code, repeat('w', CAST(doc_id % 150 AS INT)) || doc_id AS message FROM documents WHERE n_chars < 400 AND source IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY code NULLS FIRST, message) AS k, concat_ws(': ', code, message) AS told FROM w)
+SELECT source_id, string_agg(CASE WHEN length(told) <= 120 THEN told ELSE regexp_replace(substr(told, 1, 108), '\\s+$', '') || '…[Truncated]' END, ' | ' ORDER BY k) AS warnings FROM r WHERE k <= 3 GROUP BY 1"""
+ORACLE["link_documents"] = ORACLE["link_requests"]
+ORACLE["item_documents"] = f"""{_with(SESSIONS)} SELECT source_id, choice AS choice_number, adapter AS harness, health, title, {TIME.format("updated_at")} AS updated_at FROM (SELECT *, row_number() OVER (ORDER BY sess.updated_at DESC, source_id) AS choice FROM sess WHERE project_key = 'p0') WHERE choice BETWEEN 6 AND 10"""
+ORACLE["chosen_items"] = f"{_with(SESSIONS)} SELECT choice, source_id FROM (SELECT source_id, row_number() OVER (ORDER BY updated_at DESC, source_id) AS choice FROM sess WHERE project_key = 'p1') WHERE choice IN (7, 9)"
+ORACLE["graph_nodes"] = f"""{_with(SESSIONS)}, member AS ({ORACLE["component_of_anchor"]}), lab AS ({ORACLE["capsule_labels"]})
+SELECT source_id, adapter AS harness, native_id, coalesce(nullif(trim(display_name), ''), nullif(trim(title), '')) AS title, {TIME.format("updated_at")} AS updated_at, health, native_available, source_id = 'claude:store:4' AS active FROM sess JOIN member USING (source_id) LEFT JOIN lab USING (source_id)"""
+ORACLE["induced_edges"] = f"{_with(SESSIONS, EDGES)} SELECT source_id, target_id, {TIME.format('confirmed_at')} AS confirmed_at FROM edg WHERE s % 8 <> 0 AND t % 8 <> 0"
+ORACLE["edge_records"] = f"""{_with(SESSIONS, EDGES)} SELECT target_id, 'explicit' AS mode, {TIME.format("confirmed_at")} AS confirmed_at, string_agg(source_id, ' ' ORDER BY source_id) AS source_ids FROM edg GROUP BY target_id, edg.confirmed_at"""
+ORACLE["ordered_ancestors"] = f"""{_with(SESSIONS, EDGES, CLOSURE, recursive=True)}, p AS (SELECT DISTINCT s, t FROM walk WHERE t % 5 = 0)
+SELECT b.source_id AS anchor, a.source_id, row_number() OVER (PARTITION BY p.t ORDER BY a.updated_at, a.source_id) AS place FROM p JOIN sess a ON a.n = p.s JOIN sess b ON b.n = p.t"""
+ORACLE["topological_order"] = f"""WITH dep AS ({ORACLE["graph_depth"]}), com AS ({ORACLE["weak_components"]}), {SESSIONS}
+SELECT component, source_id, row_number() OVER (PARTITION BY component ORDER BY depth, updated_at, source_id) AS place FROM dep JOIN com ON com.node = dep.source_id JOIN sess USING (source_id)"""
+ORACLE["advance"] = "SELECT doc_id % 2 AS k, NOT bool_or(doc_id % 10 = 3) AS advance FROM documents GROUP BY 1"
+ORACLE["usable_checkpoint"] = "SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id % 3 <> 0 AND doc_id % 4 = 2 AS validated FROM documents WHERE source = 'src1' AND doc_id % 4 IN (1, 2)"
+ORACLE["confirmed_targets"] = f"{_with(SESSIONS)} SELECT project_key, source_id FROM sess WHERE adapter = 'codex' AND native_available AND n % 4 = 0"
+ORACLE["kept_checkpoints"] = """SELECT CAST(doc_id AS VARCHAR) AS source_id, source AS scope, CASE WHEN doc_id % 6 <> 1 THEN 'new' ELSE 'old' END AS fingerprint FROM documents WHERE doc_id % 6 <> 1 OR doc_id % 4 <> 2"""
+ORACLE["committed_catalog"] = f"""{_with(SESSIONS, EDGES)}, k AS (SELECT target_id, count(*) AS c FROM edg WHERE project_key = 'p2' GROUP BY 1)
+SELECT source_id, project_key, CASE WHEN project_key = 'p1' THEN 'unknown' ELSE health END AS health, {TIME.format("updated_at")} AS updated_at, coalesce(c, 0) AS n_in FROM sess LEFT JOIN k ON target_id = source_id WHERE project_key <> 'p1' OR n % 8 = 1"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -52,7 +52,12 @@ def namespace(root: str) -> str:
 def _safe(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """Files but for symbolic links and what lies outside the root; their paths prune the scan before anything is read."""
     bad = unsafe_files(root)
-    return files.where(~F.col("_metadata.file_path").isin(bad)) if bad else files
+    return files.where(~_local(F.col("_metadata.file_path")).isin(bad)) if bad else files
+
+
+def _local(url: Column) -> Column:
+    """A local file's URL as a path that is still escaped; URLs come with one slash or three."""
+    return F.regexp_replace(url, r"\Afile:/+", "/")
 
 
 def unsafe_files(root: str) -> list[str]:
@@ -62,7 +67,7 @@ def unsafe_files(root: str) -> list[str]:
     out = []
     for path in unsafe_entries(local):
         inside = [os.path.join(d, f) for d, _, names in os.walk(path, followlinks=True) for f in names] if os.path.isdir(path) else [path]
-        out += [f"file://{quote(os.path.abspath(x))}" for x in inside]
+        out += [quote(os.path.abspath(x)) for x in inside]
     return out
 
 
@@ -179,7 +184,7 @@ def codex(spark: SparkSession, root: str) -> Scan:
 
 
 def _folder_hints(root: str) -> list[tuple[str, str]]:
-    """(URL of a project's folder, what its .cwd file says). Spark's readers pass over names that begin with a dot; there is one such file a project."""
+    """(escaped path of a project's folder, what its .cwd file says). Spark's readers pass over names that begin with a dot; there is one such file a project."""
     local = root.removeprefix("file://") if root.startswith("file://") else root
     if "://" in local or not os.path.isdir(local):
         return []
@@ -188,7 +193,7 @@ def _folder_hints(root: str) -> list[tuple[str, str]]:
         path = os.path.join(folder.path, ".cwd")
         if folder.is_dir(follow_symlinks=False) and os.path.isfile(path) and not os.path.islink(path):
             with open(path, encoding="utf-8", errors="replace") as f:
-                out.append((f"file://{quote(os.path.abspath(folder.path))}", f.read().strip()))
+                out.append((quote(os.path.abspath(folder.path)), f.read().strip()))
     return out
 
 
@@ -205,7 +210,7 @@ def grok(spark: SparkSession, root: str) -> Scan:
     heads = heads.select("*", *_identity("grok", ns, F.col("native")), F.col("path").alias("locator"))
     # a project's folder may say in a file of its own what its name can't
     hints = spark.createDataFrame(_folder_hints(root), "group_dir string, cwd string")
-    heads = heads.withColumn("group_dir", F.regexp_extract("path", r"^(.*)/[^/]+/[^/]+$", 1)).join(hints, "group_dir", "left")
+    heads = heads.withColumn("group_dir", F.regexp_extract(_local(F.col("path")), r"^(.*)/[^/]+/[^/]+$", 1)).join(hints, "group_dir", "left")
     parse = lambda c: text.parse_time(F.col(c))
     drift = heads.where("ok").where(parse("r.created_at").isNull() | parse("r.updated_at").isNull())
     sessions = heads.where("ok").select(
@@ -279,11 +284,6 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     return Scan(_sessions(sessions), _turns(told, 0, ("created", "mid")), warnings)
 
 
-def workspace_folder(path: Column) -> Column:
-    """The name of a workspace's folder among the chats."""
-    return F.md5(path.cast("binary"))
-
-
 def _store_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The meta row of each chat store, a SQLite file; null where it can't be read."""
     for batch in batches:
@@ -332,7 +332,7 @@ def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
     if chats is not None:
         slug = F.regexp_extract("locator", r"/([^/]+)/agent-transcripts/", 1)
         beside = heads.select("source_id", "native_id", slug.alias("slug")).join(_sidecars(spark, chats), F.col("native_id") == F.col("nid"))
-        own = (F.col("workspace") == workspace_folder(F.col("s.cwd"))) & (text.path_slug(F.ltrim(F.lit("/"), F.col("s.cwd"))) == F.col("slug"))
+        own = (F.col("workspace") == text.workspace_folder(F.col("s.cwd"))) & (text.path_slug(F.ltrim(F.col("s.cwd"), F.lit("/"))) == F.col("slug"))
         rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.coalesce(own, F.lit(False)).desc(), "workspace"))
         beside = beside.withColumn("n", rank).where("n = 1").drop("n", "native_id", "nid", "slug")
         heads = heads.join(beside, "source_id", "left")
