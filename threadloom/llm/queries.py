@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontamination, embed_dedup, jaccard_join, language, line_dedup, mixing, suffix_dedup, token_output, toxicity
+from threadloom.llm import chat, decontamination, embed_dedup, jaccard_join, language, line_dedup, mixing, oracle, suffix_dedup, token_output, toxicity
 from threadloom.llm.common import fold
 
 
@@ -32,11 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.sha2(F.array_join(F.array_sort("item_ids"), ",").cast("binary"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated", "longest_match")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", names, "contaminated")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE}
+    return oracle.oracle_sql()
