@@ -453,36 +453,3 @@ def test_line_dedup(spark):
     got = [tuple(r) for r in line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_removed", "kept_text").collect()]
     assert key(got) == key(expected)
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
-
-
-# ---------------------------------------------------------------- pipeline
-
-
-@needs_tokenizer
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    rows, labels, langs = labelled(300, 13)
-    rng = random.Random(14)
-    item = sentence(rng, 30)
-    copies = [(800 + i, rows[1][1]) for i in range(3)]
-    rows += [*copies, (900, item + " ok"), (901, "you idiot moron scum"), (902, None)]
-    frame(spark, rows, langs).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["toxicity", "jaccard", "decontamination", "mixing", "tokens"]
-    seen = {}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        seen[name] = [r["doc_id"] for r in docs.select("doc_id").collect()]
-    assert 901 not in seen["toxicity"] and not set(range(0, 300, 6)) & set(seen["toxicity"]) and {1, 800, 900, 902} <= set(seen["toxicity"])
-    assert 1 in seen["jaccard"] and not {800, 801, 802} & set(seen["jaccard"])
-    assert 900 not in seen["decontamination"] and set(seen["jaccard"]) - {900} == set(seen["decontamination"])
-    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(r["doc_id"] for r in final if r["doc_id"] is not None) == sorted(x for x in seen["mixing"] if x is not None)
-    assert json.dumps(sorted(r["start"] for r in final)) and corpus_pipeline.ORACLE_SQL is None
