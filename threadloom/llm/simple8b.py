@@ -20,24 +20,43 @@ _COUNTS = np.array([*COUNT, 0], np.int64)
 _LIMITS = np.array([1 << b for b in range(64)], np.uint64)
 
 
+#: The length in bits of small numbers.
+_BITS = np.searchsorted(_LIMITS, np.arange(1 << 17, dtype=np.uint64), "right").astype(np.uint8)
+
+
+def lengths(ids: np.ndarray) -> np.ndarray:
+    """Each id's length in bits."""
+    return _BITS[ids] if ids.max() < len(_BITS) else np.searchsorted(_LIMITS, ids, "right").astype(np.uint8)
+
+
+def choices(bits: np.ndarray) -> np.ndarray:
+    """The selector with which a word that begins at each id holds the most; what lies behind the end takes no bits."""
+    n = len(bits)
+    longest = {1: np.concatenate([bits, np.zeros(max(COUNT) - 1, np.uint8)])}
+    for size in (1, 2, 4, 8, 16):
+        # the longest of twice as many from each id on
+        longest[2 * size] = np.maximum(longest[size][:-size], longest[size][size:])
+    choice = np.full(n, ESCAPE, np.uint8)
+    choice[bits <= BITS[14]] = 14
+    least = int(bits.min())
+    for s in range(13, 0, -1):
+        if least > BITS[s]:
+            break
+        count = COUNT[s]
+        half = 1 << (count.bit_length() - 1)
+        most = np.maximum(longest[half][:n], longest[half][count - half : count - half + n])
+        choice[most <= BITS[s]] = s
+    return choice
+
+
 def encode_block(ids: np.ndarray) -> np.ndarray:
     """The words of at most BLOCK_IDS ids."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
     ids = ids.astype(np.uint64, copy=False)
-    bits = np.searchsorted(_LIMITS, ids, "right")  # the id's length in bits
-    here = np.arange(n)
-    choice = np.full(n, ESCAPE, np.uint8)
-    choice[bits <= 60] = 14
-    for s in range(13, 0, -1):
-        wide = bits > BITS[s]
-        if n - np.count_nonzero(wide) < min(COUNT[s], n):
-            continue
-        stop = np.where(wide, here, n)
-        stop = np.minimum.accumulate(stop[::-1])[::-1]
-        choice[(stop - here >= COUNT[s]) | ((stop == n) & ~wide)] = s
-    step = _COUNTS[choice].tolist()
+    choice = choices(lengths(ids))
+    step = _COUNTS.astype(np.uint8)[choice].tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
