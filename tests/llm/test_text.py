@@ -351,17 +351,18 @@ def test_dealt(spark, monkeypatch, bucket):
     rng = random.Random(5)
     cases = [(10, [1, 1], [100, 100]), (10, [1, 1], [2, 100]), (10, [0, 1], [100, 4]), (10, [0, 0, 1], [100, 100, 4]), (500, [1, 2], [10, 20]), (1, [1] * 3, [5] * 3), (0, [1], [3]), (7, [1], [0]), (10**15, [3, 1], [4 * 10**14, 9 * 10**14])]
     cases += [(rng.randint(0, 400), [rng.choice([0, 1, 2, 5]) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)]) for n in (1, 2, 5, 9, 30, 200)]
-    rows = [(f"p{p}", f"p{p}-{i}", r, w * mixing.ONE) for p, (_, ws, rs) in enumerate(cases) for i, (w, r) in enumerate(zip(ws, rs, strict=True))]
-    children = spark.createDataFrame(rows, "parent string, node string, room long, weight long")
-    got = dict(map(tuple, mixing.dealt(children, spark.createDataFrame([(f"p{p}", c[0]) for p, c in enumerate(cases)], "parent string, budget long")).collect()))
+    rows = [(p, 1000 * p + i, r, w * mixing.ONE) for p, (_, ws, rs) in enumerate(cases) for i, (w, r) in enumerate(zip(ws, rs, strict=True))]
+    children = spark.createDataFrame(rows, "parent long, node long, room long, weight long")
+    got = dict(map(tuple, mixing.dealt(children, spark.createDataFrame([(p, c[0]) for p, c in enumerate(cases)], "parent long, budget long")).collect()))
     for p, (amount, ws, rs) in enumerate(cases):
-        mine = [got.get(f"p{p}-{i}", 0) for i in range(len(rs))]
+        mine = [got.get(1000 * p + i, 0) for i in range(len(rs))]
         assert sum(mine) == min(amount, sum(rs)) and all(abs(m - x) < 1 and m <= r for m, x, r in zip(mine, shared_out(amount, ws, rs), rs, strict=True)), (amount, ws, rs, mine)
 
 
 def test_budgets_redistribute_among_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 1000), ("a", "y", "1", 1000), ("b", "x", "1", 5)], "domain string, lang string, source string, tokens long")
-    out = {tuple(n.split(mixing.BETWEEN)): b for n, b in mixing.budgets(leaves, {("a",): 0.5, ("b",): 0.5}, 200, 1).collect()}
+    out = mixing.budgets(leaves, {("a",): 0.5, ("b",): 0.5}, 200, 1).join(leaves.withColumn("node", mixing.number(3)), "node")
+    out = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in out.collect()}
     # b can give 5; a takes the rest, halves it between x and y, and source 2 takes what source 1 lacks
     assert out[("b", "x", "1")] == 5 and out[("a", "x", "1")] == 10 and sum(out.values()) == 200
     assert {out[("a", "x", "2")], out[("a", "y", "1")]} <= {87, 88, 97, 98} and abs(out[("a", "y", "1")] - 97.5) < 1

@@ -83,8 +83,9 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how
     plain = [c for c, kind in rows.dtypes if kind in ("bigint", "int", "string", "binary", "boolean")]
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = keys.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot", "n")
+    salts = F.when(F.col("n") * MANY > F.lit(total), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # a broadcast of the keys would be held by the driver, and build its table there
+    right = keys.withColumn("_salt", F.explode(salts)).drop("n").hint("merge")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 

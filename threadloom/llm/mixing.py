@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import spread_join, stored
 
-BUCKET = 2048
+BUCKET, SALTS = 2048, 16
 LEVELS = ("domain", "lang", "source")
-NONE, BETWEEN = "\0", "\1"
+NONE = "\0"
 #: A weight of 1 as a whole number.
 ONE = 1_000_000
 NO_ID = -(1 << 63)
@@ -49,51 +49,59 @@ def _bucket(hashed: Column, buckets: Column) -> Column:
 def dealt(children: DataFrame, budgets: DataFrame) -> DataFrame:
     """(node, budget) of children (parent, node, room, weight) from budgets (parent, budget): by weight, none above its room.
 
-    Whole numbers; a parent's children get all of its budget that they have room for.
+    Whole numbers; a parent's children get all of its budget that they have room for. Nodes are numbers, and so are the
+    keys of all joins here: what is small enough for Spark to broadcast stays small then.
     """
     rows = children.where("room > 0").withColumn("tier", F.when(F.col("weight") > 0, 0).otherwise(1)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1))
-    rows = rows.withColumn("ratio", F.col("room") / F.col("weight"))
-    pools = rows.groupBy("parent", "tier").agg(F.sum("room").alias("all"), F.count("*").alias("n"))
+    rows = rows.select("node", "parent", "tier", F.xxhash64("parent", "tier").alias("g"), "room", "weight", (F.col("room") / F.col("weight")).alias("ratio"))
+    pools = rows.groupBy("parent", "tier", "g").agg(F.sum("room").alias("all"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("all").over(Window.partitionBy("parent").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pools = pools.withColumn("before", before).join(budgets, "parent")
-    pools = pools.select("parent", "tier", "n", F.greatest(F.lit(0), F.least("all", F.col("budget") - F.col("before"))).alias("amount"))
+    pools = pools.select("g", "n", F.greatest(F.lit(0), F.least("all", F.col("budget") - F.col("before"))).alias("amount"))
     # children are full up to some ratio: those whose room is less than their share of what the fuller ones leave
-    ratios = rows.groupBy("parent", "tier", "ratio").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"))
-    by = Window.partitionBy("parent", "tier").orderBy("ratio")
+    ratios = rows.groupBy("g", "ratio").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight"))
+    by = Window.partitionBy("g").orderBy("ratio")
     ratios = ratios.withColumn("up_to", F.sum("room").over(by)).withColumn("from", F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     full = (wide("amount") - (wide("up_to") - wide("room"))) * wide("weight") >= wide("from") * wide("room")
-    level = ratios.join(pools, ["parent", "tier"]).groupBy("parent", "tier").agg(
+    level = ratios.join(pools, "g").groupBy("g").agg(
         F.first("n").alias("n"),
         F.max(F.when(full, F.col("ratio"))).alias("level"),
         (F.first("amount") - F.coalesce(F.sum(F.when(full, F.col("room"))), F.lit(0))).alias("left"),
         F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("shares"),
     )
-    n = children.count()
-    rows = spread_join(rows, level.withColumn("n_", F.col("n")), ["parent", "tier"], n).withColumnRenamed("n_", "n")
-    is_full = F.coalesce(F.col("ratio") <= F.col("level"), F.lit(False))
-    filled = rows.where(is_full).select("node", F.col("room").alias("budget"))
+    # a parent's children are dealt over SALTS tasks, as one may have nearly all of them
+    level = level.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("gs", F.xxhash64("g", "salt")).drop("g", "salt")
+    rows = rows.withColumn("gs", F.xxhash64("g", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))).join(level, "gs")
+    rows = stored(rows.withColumn("full", F.coalesce(F.col("ratio") <= F.col("level"), F.lit(False))).drop("gs"), "dealt")
+    filled = rows.where("full").select("node", F.col("room").alias("budget"))
     # the others' shares as differences of rounded running sums, in the order of a hash
-    open_ = rows.where(~is_full).withColumn("h", F.xxhash64("node"))
-    open_ = open_.withColumn("bucket", _bucket(F.col("h"), F.ceil(F.col("n") / BUCKET)))
-    sums = open_.groupBy("parent", "tier", "bucket").agg(F.sum("weight").alias("own"))
-    sums = sums.select("parent", "tier", "bucket", (F.sum("own").over(Window.partitionBy("parent", "tier").orderBy("bucket")) - F.col("own")).alias("base"))
-    open_ = open_.join(sums, ["parent", "tier", "bucket"])
-    upto = F.col("base") + F.sum("weight").over(Window.partitionBy("parent", "tier", "bucket").orderBy("h", "node"))
+    open_ = rows.where("not full").withColumn("h", F.xxhash64("node"))
+    open_ = open_.withColumn("bucket", _bucket(F.col("h"), F.ceil(F.col("n") / BUCKET))).withColumn("gb", F.xxhash64("g", "bucket"))
+    sums = open_.groupBy("g", "bucket", "gb").agg(F.sum("weight").alias("own"))
+    sums = sums.select("gb", (F.sum("own").over(Window.partitionBy("g").orderBy("bucket")) - F.col("own")).alias("base"))
+    open_ = open_.join(sums, "gb")
+    upto = F.col("base") + F.sum("weight").over(Window.partitionBy("gb").orderBy("h", "node"))
     open_ = open_.withColumn("upto", upto)
     share = lambda c: F.expr(f"(cast(left as decimal(19,0)) * cast({c} as decimal(19,0))) div shares")
     return filled.unionByName(open_.select("node", (share("upto") - share("upto - weight")).cast("bigint").alias("budget")))
 
 
+def number(depth: int) -> Column:
+    """The number of a node at a depth: a hash of its path."""
+    return F.xxhash64(F.lit(depth), *LEVELS[:depth])
+
+
 def budgets(leaves: DataFrame, weights: Mapping[tuple, float], budget: int, max_epochs: int) -> DataFrame:
-    """(node, budget) of leaves (domain, lang, source, tokens), no level null: the node is its path, joined by BETWEEN."""
+    """(node, budget) of leaves (domain, lang, source, tokens), no level null; a node is its number()."""
     spark = leaves.sparkSession
-    listed = [(BETWEEN.join(NONE if x is None else str(x) for x in path), round(w * ONE)) for path, w in weights.items()]
-    listed = spark.createDataFrame(listed, "node string, weight bigint")
-    now = spark.createDataFrame([("", budget)], "parent string, budget bigint")
+    now = spark.range(1).select(F.lit(0).cast("bigint").alias("parent"), F.lit(budget).cast("bigint").alias("budget"))
     for depth in range(1, len(LEVELS) + 1):
-        path = lambda k: F.concat_ws(BETWEEN, *LEVELS[:k]) if k else F.lit("")
-        children = leaves.groupBy(path(depth - 1).alias("parent"), path(depth).alias("node")).agg((F.sum("tokens") * max_epochs).alias("room"))
+        listed = [(*(NONE if x is None else str(x) for x in path), round(w * ONE)) for path, w in weights.items() if len(path) == depth]
+        listed = spark.createDataFrame(listed, ", ".join(f"{c} string" for c in LEVELS[:depth]) + ", weight bigint")
+        listed = listed.select(number(depth).alias("node"), "weight")
+        parent = number(depth - 1) if depth > 1 else F.lit(0).cast("bigint")
+        children = leaves.groupBy(parent.alias("parent"), number(depth).alias("node")).agg((F.sum("tokens") * max_epochs).alias("room"))
         children = stored(children.join(listed, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(ONE))), "children")
         now = stored(dealt(children, now), "budgets").withColumnRenamed("node", "parent")
     return now.withColumnRenamed("parent", "node")
@@ -106,8 +114,8 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget:
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), domain.cast("string").alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), tokens(text).alias("n_tokens"), F.xxhash64(text).alias("text_hash"))
-    path = F.concat_ws(BETWEEN, *(F.coalesce(F.col(c), F.lit(NONE)) for c in LEVELS))
-    rows = stored(rows.withColumn("node", path), "mixing")
+    path = (F.coalesce(F.col(c), F.lit(NONE)) for c in LEVELS)
+    rows = stored(rows.withColumn("node", F.xxhash64(F.lit(len(LEVELS)), *path)), "mixing")
     leaves = rows.groupBy("node", *(F.coalesce(F.col(c), F.lit(NONE)).alias(c) for c in LEVELS)).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     leaves = stored(leaves, "leaves")
     every = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
