@@ -52,6 +52,11 @@ def dropped(table: DataFrame) -> None:
         drop_path(table.sparkSession, path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage: only then does Spark drop the broadcasts and shuffles of steps that are done."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import dropped, spread_join, stored
+from threadloom.llm.common import collected, dropped, spread_join, stored
 
 MAX_ROUNDS = 60
 
@@ -34,6 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = spread_join(large, least, ["u"], state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         last, now = now, stored(small, "links")
         dropped(last)
+        collected(now.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     members = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")

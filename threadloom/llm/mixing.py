@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import spread_join, stored
+from threadloom.llm.common import collected, spread_join, stored
 
 BUCKET, SALTS = 2048, 16
 LEVELS = ("domain", "lang", "source")
@@ -104,6 +104,7 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, float], budget: int, max_
         children = leaves.groupBy(parent.alias("parent"), number(depth).alias("node")).agg((F.sum("tokens") * max_epochs).alias("room"))
         children = stored(children.join(listed, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(ONE))), "children")
         now = stored(dealt(children, now), "budgets").withColumnRenamed("node", "parent")
+        collected(spark)
     return now.withColumnRenamed("parent", "node")
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import LOWERED_WORD, fold, small_batches, text_blocks
+from threadloom.llm.common import LOWERED_WORD, collected, fold, small_batches, text_blocks
 
 #: The bound of what the classifier learns from: labelled documents.
 MAX_EXAMPLES = 4096
@@ -253,21 +253,29 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> Mode
     a, b = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     chi2 = F.lit(float(n)) * F.pow(a * (n - positive - b) - b * (positive - a), 2) / (F.col("n") * (F.lit(float(n)) - F.col("n")) * (positive * (n - positive)))
     best = per_word.where((F.col("n") >= 3) & (F.col("n") < n)).withColumn("chi2", chi2) if 0 < positive < n else per_word.where("false").withColumn("chi2", F.lit(0.0))
-    chosen = best.where(F.col("chi2") >= LEAST_CHI2).select("word").collect()
-    vocabulary = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
-    chosen = sample.sparkSession.createDataFrame(chosen, "word bigint")
-    spread = sample.where("times > 0").join(F.broadcast(chosen), "word").select("doc_id", "word", "times").distinct()
-    found: dict[int, dict[int, int]] = {i: {} for i in ids}
-    for doc, word, times in spread.collect():
-        if doc in found:
-            at = int(np.searchsorted(vocabulary, np.uint64(word % (1 << 64))))
-            found[doc][at] = max(times, found[doc].get(at, 0))
+    # as Arrow tables: rows as Python objects take many times their size
+    chosen = best.where(F.col("chi2") >= LEAST_CHI2).select("word").toArrow()
+    vocabulary = np.sort(chosen["word"].to_numpy().view(np.uint64))
+    chosen = sample.sparkSession.createDataFrame(chosen)
+    spread = sample.where("times > 0").join(F.broadcast(chosen), "word").select("doc_id", "word", "times").distinct().toArrow()
     sample.unpersist()
+    numbers = np.array(sorted(ids), np.int64)
+    doc, word, times = spread["doc_id"].to_numpy(), spread["word"].to_numpy().view(np.uint64), spread["times"].to_numpy()
+    at = np.minimum(np.searchsorted(numbers, doc), len(numbers) - 1)
+    known = numbers[at] == doc
+    at, word, times = at[known], np.searchsorted(vocabulary, word[known]), times[known]
+    # of a repeated id's texts the one that repeats a term most
+    by = np.lexsort((word, at))
+    at, word, times = at[by], word[by], times[by]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (word[1:] != word[:-1])])[: len(at)])
+    times = np.maximum.reduceat(times, first).astype(np.float64) if len(first) else np.zeros(0)
+    at, word = at[first], word[first]
+    cuts = np.searchsorted(at, np.arange(len(numbers) + 1))
     df, total = document_frequencies(docs, vocabulary)
+    collected(sample.sparkSession)
     idf = np.log((total + 1) / (df + 1)) + 1e-3
-    order = list(ids)
-    vectors = [(np.array(sorted(found[i]), np.int64), np.array([found[i][w] for w in sorted(found[i])], np.float64)) for i in order]
-    return Model(np.array(order, np.int64), np.array([ids[i] for i in order], np.int64), vectors, vocabulary, idf)
+    vectors = [(word[a:b].astype(np.int64), times[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return Model(numbers, np.array([ids[i] for i in numbers.tolist()], np.int64), vectors, vocabulary, idf)
 
 
 class Scorer:
