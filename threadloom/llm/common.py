@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
@@ -94,6 +94,26 @@ def spread_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, how
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: What monotonically_increasing_id counts the rows of a partition with.
+ROW_BITS = 33
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with `i`, the place in their group by `order` from 0, and `n`, the group's rows."""
+    keys = [group, *order, "_tie"]
+    # equal rows may be many: what they are dealt by is no part of the result
+    dealt = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    held = stored(dealt.drop("_tie").withColumn("at", F.monotonically_increasing_id()), name).withColumn("block", F.shiftright("at", ROW_BITS))
+    # a row for each partition and group; written, so that its size is known where it is joined
+    blocks = stored(held.groupBy(group, "block").agg(F.min("at").alias("first"), F.count("*").alias("rows")), f"{name}-blocks")
+    # a group has a row a partition here, so its window is small however many rows it has
+    earlier = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+    totals = blocks.groupBy(group).agg(F.sum("rows").alias("n"))
+    places = stored(before.join(totals, group), f"{name}-places")
+    return held.join(places, [group, "block"]).withColumn("i", F.col("before") + F.col("at") - F.col("first")).drop("at", "block", "first", "before")
+
+
 #: Bytes and rows of texts that Spark hands to Python at once.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 

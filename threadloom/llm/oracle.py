@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.llm import line_dedup
+from threadloom.llm import divergence, line_dedup, merkle
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -41,4 +41,4 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": CONTAMINATION, "op4_jaccard_join": SIMILARITY, "op9_embed_dedup": EMBEDDINGS, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op3_decontamination": CONTAMINATION, "op4_jaccard_join": SIMILARITY, "op9_embed_dedup": EMBEDDINGS, "op10_line_dedup": line_dedup.ORACLE, "op12_divergence": divergence.ORACLE, "op13_merkle": merkle.ORACLE}

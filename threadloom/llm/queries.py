@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontamination, embed_dedup, jaccard_join, language, line_dedup, mixing, oracle, suffix_dedup, token_output, toxicity
+from threadloom.llm import chat, decontamination, divergence, embed_dedup, jaccard_join, language, license_scan, line_dedup, merkle, mixing, oracle, suffix_dedup, token_output, toxicity
 from threadloom.llm.common import fold
 
 
@@ -76,8 +76,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language, op7_chat, op8_mixing, op9_embed_dedup, op10_line_dedup)
+    named = (op1_suffix_dedup, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_token_output, op6_language, op7_chat, op8_mixing, op9_embed_dedup, op10_line_dedup, op11_license_scan, op12_divergence, op13_merkle)
     return {f.__name__: f for f in named}
 
 
