@@ -41,6 +41,44 @@ def postings(documents: DataFrame, stems: bool = True) -> DataFrame:
     return by_word.join(stems_of, "word").groupBy("project_key", "source_id", "length", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
+#: Documents of about one length that one block of an index holds, more or less; lengths of a block differ by this power of 2.
+BLOCK, BANDS = 1024, 4
+#: Blocks of the highest bounds from which a search takes its first results.
+SEED = 32
+
+
+def with_blocks(index: DataFrame, documents: DataFrame) -> DataFrame:
+    """Postings with `block`: the project's documents of about one length, dealt into groups of some BLOCK of them."""
+    band = F.when(F.col("length") > 0, F.floor(BANDS * F.log2("length"))).otherwise(0).cast("bigint")
+    counts = documents.withColumn("band", band).groupBy("project_key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+    rows = index.withColumn("band", band).join(counts, ["project_key", "band"])
+    return rows.withColumn("block", F.shiftleft("band", 40) + F.pmod(F.xxhash64("source_id"), F.col("slots"))).drop("band", "slots")
+
+
+def maxima(index: DataFrame) -> DataFrame:
+    """(project_key, source_id, term, block, documents, top, shortest, of): for each term and block what bounds its scores.
+
+    source_id is null; `of` is only told by withdrawn().
+    """
+    null = F.lit(None)
+    best = index.groupBy("project_key", "term", "block").agg(F.count("*").alias("documents"), F.max(F.size("positions")).alias("top"), F.min("length").alias("shortest"))
+    return best.select("project_key", null.cast("string").alias("source_id"), "term", "block", "documents", "top", "shortest", null.cast("bigint").alias("of"))
+
+
+def withdrawn(documents: DataFrame, stems: bool = True) -> DataFrame:
+    """As maxima(), what documents that are replaced take from the numbers of their terms. documents: with `_at`, the segment that they came in."""
+    null = F.lit(None)
+    terms = postings(documents, stems).select("project_key", "source_id", "term").join(documents.select("project_key", "source_id", "_at"), ["project_key", "source_id"])
+    rows = terms.groupBy("project_key", "term", "_at").agg((-F.count("*")).alias("documents"))
+    return rows.select("project_key", null.cast("string").alias("source_id"), "term", null.cast("bigint").alias("block"), "documents", null.cast("int").alias("top"), null.cast("int").alias("shortest"), F.col("_at").alias("of"))
+
+
+def joined_maxima(made: dict[str, DataFrame], own: DataFrame, starts: DataFrame, part) -> DataFrame:
+    """maxima of joined segments: made anew, and what is withdrawn from segments before them."""
+    older = own.where("of is not null").withColumn("_part", part(F.col("project_key"))).join(starts, "_part").where("of < _from")
+    return maxima(made["postings"]).unionByName(older.drop("_part", "_from"))
+
+
 # ---------------------------------------------------------------- queries
 
 
@@ -217,13 +255,7 @@ def score(index: DataFrame, tree: Phrase | Node, statistics: DataFrame | None =
     totals = statistics if statistics is not None else index.select("project_key", "source_id", "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     frequencies = found.agg(*(F.count_if(F.size(f"at{i}") > 0).alias(f"df{i}") for i in counted))
     rows = found.where(_holds(tree, number)).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(frequencies))
-    total = F.lit(0.0)
-    for i in counted:
-        tf = F.size(f"at{i}").cast("double")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)))
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    spans = F.array_sort(F.flatten(F.array(*(F.transform(f"at{i}", _span(len(every[i].terms))) for i in counted))))
-    return rows.select("project_key", "source_id", total.alias("score"), spans.alias("hits"))
+    return _relevant(rows, every, counted)
 
 
 def snippet(text: Column, hits: Column, tokens: int = SNIPPET_TOKENS) -> Column:
@@ -246,29 +278,113 @@ def snippet(text: Column, hits: Column, tokens: int = SNIPPET_TOKENS) -> Column:
     return F.when(n > 0, F.concat(F.when(start > 0, " … ").otherwise(""), body, F.when(end < n, " … ").otherwise("")))
 
 
-def search(index: DataFrame, documents: DataFrame, sessions: DataFrame, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None, stems: bool = True) -> DataFrame:
+def _single(tree: Phrase | Node) -> list[str] | None:
+    """The terms that count for relevance, if each is a whole word."""
+    found = list(dict.fromkeys(phrases(tree)))
+    return [p.terms[0] for p in found] if all(len(p.terms) == 1 and not p.prefix for p in found) else None
+
+
+def _may_hold(tree: Phrase | Node) -> Column:
+    """Whether a block, which has a column for each whole word that it holds, can hold what the query wants."""
+    if isinstance(tree, Phrase):
+        whole = tree.terms[:-1] if tree.prefix else tree.terms
+        out = F.lit(bool(tree.terms))
+        for t in whole:
+            out = out & F.map_contains_key("has", F.lit(t))
+        return out
+    if tree.kind == "not":
+        return _may_hold(tree.left)
+    left, right = _may_hold(tree.left), _may_hold(tree.right)
+    return left & right if tree.kind == "and" else left | right
+
+
+def bounds(best: DataFrame, tree: Phrase | Node, totals: DataFrame, project_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """((project_key, block, bound) of blocks that can hold the query, one row of the numbers of documents of its terms)."""
+    terms = _single(tree)
+    words_of = sorted({t for p in all_phrases(tree) for i, t in enumerate(p.terms) if not (p.prefix and i == len(p.terms) - 1)})
+    rows = best.where(F.col("term").isin(*words_of)).select("project_key", "term", "block", "documents", "top", "shortest")
+    df = rows.agg(*(F.coalesce(F.sum(F.when(F.col("term") == t, F.col("documents"))), F.lit(0)).alias(f"df{i}") for i, t in enumerate(terms)))
+    if project_key is not None:
+        rows = rows.where(F.col("project_key") == project_key)
+    by_term = rows.where("block is not null").groupBy("project_key", "block", "term").agg(F.max("top").alias("top"), F.min("shortest").alias("shortest"))
+    held = by_term.groupBy("project_key", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("top", "shortest")))).alias("has"))
+    held = held.where(_may_hold(tree)).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(df))
+    bound = F.lit(0.0)
+    for i, t in enumerate(terms):
+        one = F.col("has")[t]
+        bound = bound + F.when(one.isNotNull(), _weight(one["top"], one["shortest"], F.col(f"df{i}"))).otherwise(0.0)
+    return held.select("project_key", "block", bound.alias("bound")), df
+
+
+def _weight(tf: Column, length: Column, df: Column) -> Column:
+    """What a term that stands tf times adds to a document's score; it grows with tf and falls with the length."""
+    tf = tf.cast("double")
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - df + 0.5) / (df + 0.5)))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("mean")))
+
+
+def best_blocks(index: DataFrame, best: DataFrame, tree: Phrase | Node, totals: DataFrame, rows: DataFrame, limit: int, project_key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings of the blocks that a query's first `limit` rows can be in, the numbers of documents of its terms).
+
+    The SEED blocks of the highest bounds are scored first. If they hold `limit` of the wanted rows, a block whose bound is
+    below the last one's score can't add to them, and isn't read; bounds that equal it can, as ties go by time.
+    """
+    found, df = bounds(best, tree, totals, project_key)
+    seed = found.orderBy(F.desc("bound"), "project_key", "block").limit(SEED).collect()
+    chosen = index.where(F.col("block").isin([r["block"] for r in seed])) if seed else index.limit(0)
+    first = rows.join(_scored(chosen, tree, totals, df), ["project_key", "source_id"]).orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+    wanted = found if first["n"] < limit else found.where(F.col("bound") >= first["least"] - 1e-9)
+    # the blocks' numbers run with length, so their range alone prunes files that are sorted by term and block
+    low, high = wanted.agg(F.min("block"), F.max("block")).first()
+    if low is None:
+        return index.limit(0), df
+    return index.where(F.col("block").between(low, high)).join(wanted.select("project_key", "block"), ["project_key", "block"], "left_semi"), df
+
+
+def _scored(index: DataFrame, tree: Phrase | Node, totals: DataFrame, df: DataFrame) -> DataFrame:
+    """As score(), of some blocks, with the numbers of documents of the query's terms as they are over all of them."""
+    every = list(dict.fromkeys(all_phrases(tree)))
+    counted = [every.index(p) for p in dict.fromkeys(phrases(tree))]
+    # only the columns that the terms are told by are renamed to the places that phrases have among all
+    told = df.toDF(*(f"df{i}" for i in counted))
+    found = matches(index, tree).crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(told))
+    return _relevant(found, every, counted)
+
+
+def _relevant(found: DataFrame, every: list[Phrase], counted: list[int]) -> DataFrame:
+    total = F.lit(0.0)
+    for i in counted:
+        total = total + F.when(F.size(f"at{i}") > 0, _weight(F.size(f"at{i}"), F.col("length"), F.col(f"df{i}"))).otherwise(0.0)
+    spans = F.array_sort(F.flatten(F.array(*(F.transform(f"at{i}", _span(len(every[i].terms))) for i in counted))))
+    return found.select("project_key", "source_id", total.alias("score"), spans.alias("hits"))
+
+
+def search(index: DataFrame, documents: DataFrame, sessions: DataFrame, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None, stems: bool = True, best: DataFrame | None = None, project_key: str | None = None) -> DataFrame:
     """Sessions by relevance, then recency, then source_id. Snippets are cut for the rows that are left only.
 
     documents: source_id, search_text, and length, if it is known, so that no posting is read but those of the query's terms.
+    best: maxima() of the index, if it has blocks: then postings are read only where they can matter for the first `limit`
+    rows, if the query's scored phrases are whole words; how often others stand must be counted in all documents. project_key:
+    the project that `where` keeps to, if it does.
     """
     if not 1 <= limit <= 100:
         raise ValueError("a limit is from 1 to 100")
+    tree = parse(query, stems)
     # as in the postings, a document without words isn't one
     totals = documents.where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")) if "length" in documents.columns else None
-    scored = score(index, parse(query, stems), totals)
     rows = sessions.where(where)
     if excluded is not None:
         rows = rows.join(excluded.select("source_id").distinct(), "source_id", "left_anti")
+    if best is not None and totals is not None and _single(tree):
+        index, df = best_blocks(index, best, tree, totals, rows, limit, project_key)
+        scored = _scored(index, tree, totals, df)
+    else:
+        scored = score(index, tree, totals)
     top = rows.join(scored, ["project_key", "source_id"]).orderBy(F.desc("score"), F.desc("updated_at"), "source_id").limit(limit)
     out = top.join(documents.select("source_id", "search_text"), "source_id")
     return out.withColumn("snippet", snippet(F.col("search_text"), F.col("hits"))).drop("search_text").orderBy(F.desc("score"), F.desc("updated_at"), "source_id")
 
 
-def search_ids(index: DataFrame, documents: DataFrame, sessions: DataFrame, query: str, where: Column, limit: int = 20, stems: bool = True) -> DataFrame:
-    """The ids alone, in the order of search()."""
-    return search(index, documents, sessions, query, where, limit, None, stems).select("source_id")
-
-
 def shown(found: DataFrame, documents: DataFrame) -> DataFrame:
     """What search() found as it may be shown: names from the capsules, all redacted again, own ids masked, lengths bounded."""
     names = documents.select("source_id", F.get_json_object("content_json", "$.display_name").alias("display_name"))
@@ -282,7 +398,13 @@ def hints(found: DataFrame) -> DataFrame:
     return none.select(F.explode(F.array(*map(F.lit, HINTS))).alias("hint"))
 
 
-def kept(store, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None) -> DataFrame:
-    """search() over the capsules and postings that a catalog keeps; nothing is indexed, and no text read but that of the results."""
+def kept(store, query: str, where: Column, limit: int = 20, excluded: DataFrame | None = None, project_key: str | None = None) -> DataFrame:
+    """search() over the capsules and postings that a catalog keeps; nothing is indexed, and no text read but that of the results.
+
+    project_key: if `where` is of one project, its part alone is read for results; numbers of documents are of all.
+    """
     held = store.tables()
-    return search(held["postings"], held["capsules"], held["sessions"], query, where, limit, excluded)
+    if "maxima" not in held or not _single(parse(query)):
+        return search(held["postings"], held["capsules"], held["sessions"], query, where, limit, excluded)
+    mine = held if project_key is None else store.tables([store.part_of(project_key)])
+    return search(mine["postings"], held["capsules"], mine["sessions"], query, where, limit, excluded, best=held["maxima"], project_key=project_key)

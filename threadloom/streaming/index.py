@@ -14,18 +14,33 @@ STREAM = "source_id string, project_key string, adapter string, native_id string
 
 
 #: Columns by which a table's files are sorted, so that a search's terms are pruned by the files' own statistics.
-SORTED = {"postings": ["term"]}
+SORTED = {"postings": ["term", "project_key", "block", "source_id"], "maxima": ["term", "project_key", "block"]}
+#: How often a batch is derived again from what another writer has committed meanwhile.
+TRIES = 20
 
 
 def apply_batch(store: catalog.Catalog, batch: DataFrame) -> dict[str, int]:
     """One micro-batch: unchanged fingerprints are skipped, changed sessions condensed and indexed, removed ones tombstoned,
-    and all of it committed as one version. Only the parts that hold the batch's sessions are read and written. Given the
-    same batch again, nothing changes, so a retried batch does no harm."""
+    and all of it committed as one version. What is written grows with the batch: new rows are a segment of their own, and
+    keys take the rows of earlier segments away. If another writer has committed to the same parts meanwhile, the batch is
+    derived again from what is there now. Given the same batch again, nothing changes, so a retried batch does no harm."""
     last = batch.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("updated_at"), F.desc("fingerprint")))).where("_n = 1").drop("_n")
+    last = last.persist()
+    try:
+        for _ in range(TRIES):
+            try:
+                return _applied(store, last)
+            except catalog.Conflict:
+                continue
+        raise catalog.Conflict(f"the batch was refused {TRIES} times")
+    finally:
+        last.unpersist()
+
+
+def _applied(store: catalog.Catalog, last: DataFrame) -> dict[str, int]:
     held = store.tables()
     was = held["sessions"].select("source_id", F.col("fingerprint").alias("was"), F.col("project_key").alias("was_in")) if held else last.select("source_id", "fingerprint", "project_key").toDF("source_id", "was", "was_in").limit(0)
-    last = last.join(was, "source_id", "left").where((F.col("op") == "removed") | F.col("was").isNull() | (F.col("was") != F.col("fingerprint")))
-    last = last.persist()
+    last = last.join(was, "source_id", "left").where((F.col("op") == "removed") | F.col("was").isNull() | (F.col("was") != F.col("fingerprint"))).persist()
     try:
         fresh = last.where("op <> 'removed'")
         n = {"indexed": fresh.count(), "removed": last.where("op = 'removed' and was is not null").count()}
@@ -38,17 +53,30 @@ def apply_batch(store: catalog.Catalog, batch: DataFrame) -> dict[str, int]:
         turns = fresh.select("source_id", F.explode("turns").alias("t")).select("source_id", "t.*")
         documents = capsules.build(sessions, turns)
         documents = documents.withColumn("length", F.size(search.words(F.col("search_text"))))
-        index = search.postings(documents)
+        index = search.with_blocks(search.postings(documents), documents)
+        best = search.maxima(index)
+        # the rows that a session had in the part where it was
+        touched = last.where("was_in is not null").select(F.col("was_in").alias("project_key"), "source_id", "op")
+        gone = {}
         if held:
             mine = store.tables(parts)
             edges = mine.get("edges", mine["sessions"].select("source_id", F.col("source_id").alias("target_id")).limit(0))
-            gone = last.where("op = 'removed'")
-            sessions = catalog.delete_or_tombstone(catalog.upsert_sessions(mine["sessions"], sessions), gone, edges)
-            kept = sessions.select("source_id")
-            documents = catalog.upsert(mine["capsules"], documents, ["source_id"]).join(kept, "source_id", "left_semi")
-            old = mine["postings"].join(fresh.select("source_id"), "source_id", "left_anti").join(kept, "source_id", "left_semi")
-            index = old.unionByName(index)
-        store.commit({"sessions": sessions, "capsules": documents, "postings": index}, parts, SORTED)
+            near = mine["sessions"].join(touched.select("source_id"), "source_id", "left_semi")
+            after = catalog.delete_or_tombstone(catalog.upsert_sessions(near, sessions), last.where("op = 'removed'"), edges)
+            # of a removed session that is still linked to only the mark changes
+            left = touched.join(after.select("source_id").join(last.where("op = 'removed'").select("source_id"), "source_id", "left_semi"), "source_id", "left_anti").drop("op")
+            old = store.numbered("capsules", parts, mine.version).join(left, ["project_key", "source_id"], "left_semi").select("project_key", "source_id", "search_text", "_at")
+            best = best.unionByName(search.withdrawn(old)) if "maxima" in mine else best
+            gone = {"sessions": touched, "capsules": left, "postings": left}
+            sessions = after
+        new = {"sessions": sessions, "capsules": documents, "postings": index}
+        if not held or "maxima" in held:
+            new["maxima"] = best
+        store.change(new, gone, parts, SORTED, held.version)
+        try:
+            store.merge(sort=SORTED, derived={"maxima": search.joined_maxima})
+        except catalog.Conflict:  # the next batch joins them
+            pass
         return n
     finally:
         last.unpersist()
