@@ -86,7 +86,7 @@ def share(count: str, total: str, terms: str) -> Column:
     return F.expr(f"1 + (cast({UNIT} as decimal(38, 0)) * ({count} + {ADDED})) div ({total} + {ADDED} * {terms})")
 
 
-def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def overlaps(batches: Iterable[pa.RecordBatch], sources: int) -> Iterator[pa.RecordBatch]:
     """(lang, i, j, value, both): for two sources of the blocks what the terms of both add, and their number. Rows: lang, a, b, term, i, p, z, sorted."""
     for free in RELEASE:
         free()
@@ -95,7 +95,7 @@ def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(both)
         if key and len(at):
-            i, j = at // SOURCES + key[1] * SOURCES, at % SOURCES + key[2] * SOURCES
+            i, j = at // sources + key[1] * sources, at % sources + key[2] * sources
             yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), *map(pa.array, (i, j, value[at], both[at]))], ["lang", "i", "j", "value", "both"])
 
     for table in chunks(batches, ["lang", "a", "b", "term"], 1 << 14):
@@ -106,30 +106,30 @@ def overlaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = (part["lang"][0].as_py(), part["a"][0].as_py(), part["b"][0].as_py())
             if now != key:
                 yield from told()
-                key, value, both = now, np.zeros(SOURCES * SOURCES, np.int64), np.zeros(SOURCES * SOURCES, np.int64)
+                key, value, both = now, np.zeros(sources * sources, np.int64), np.zeros(sources * sources, np.int64)
             term = group_numbers(part, ["term"])
             i, p, z = (part[c].to_numpy() for c in ("i", "p", "z"))
             _, a, b = now
-            block = i // SOURCES
+            block = i // sources
             for d in range(1, int(np.bincount(term).max())):
                 x = np.flatnonzero(term[d:] == term[:-d])
                 y = x + d
                 if a != b:
                     meet = (block[x] == a) & (block[y] == b)
                     x, y = x[meet], y[meet]
-                cell = (i[x] - a * SOURCES) * SOURCES + i[y] - b * SOURCES
+                cell = (i[x] - a * sources) * sources + i[y] - b * sources
                 np.add.at(value, cell, np.abs(p[x] - p[y]) - np.abs(p[x] - z[y]) - np.abs(z[x] - p[y]))
                 np.add.at(both, cell, 1)
     yield from told()
 
 
-def divergence(docs: DataFrame) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, sources: int = SOURCES) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank: distances to the language's other sources, and the terms that a source has too often."""
     texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     counted = small_batches(texts).mapInArrow(count_terms, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = stored(counted, "audit-counts")
     terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
-    terms = stored(terms.where(F.col("docs") >= MIN_DOCS).drop("docs"), "audit-terms")
+    terms = stored(terms.where(F.col("docs") >= min_docs).drop("docs"), "audit-terms")
     langs = stored(terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("all_size")), "audit-langs")
     postings = stored(counts.where("term is not null").drop("docs").join(terms, ["lang", "term"]), "audit-postings")
 
@@ -142,9 +142,9 @@ def divergence(docs: DataFrame) -> DataFrame:
 
     over = priced.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    over = over.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= TOP)
+    over = over.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
-    pairs = distances(groups, priced, stored(priced.groupBy("lang", "i", "p").agg(F.count("*").alias("m")), "audit-histograms"))
+    pairs = distances(groups, priced, stored(priced.groupBy("lang", "i", "p").agg(F.count("*").alias("m")), "audit-histograms"), sources)
     names = groups.select("lang", "i", "source")
     told = pairs.select("lang", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("x"), "value").select("lang", "x.*", "value")
     told = told.join(names, ["lang", "i"]).join(names.select("lang", F.col("i").alias("j"), F.col("source").alias("item")), ["lang", "j"])
@@ -152,7 +152,7 @@ def divergence(docs: DataFrame) -> DataFrame:
     return told.unionByName(over)
 
 
-def distances(groups: DataFrame, priced: DataFrame, histograms: DataFrame) -> DataFrame:
+def distances(groups: DataFrame, priced: DataFrame, histograms: DataFrame, sources: int) -> DataFrame:
     """(lang, i, j, value) for any two sources of a language, i < j."""
     one, two = groups.alias("g"), groups.alias("h")
     meet = one.join(two, (F.col("g.lang") == F.col("h.lang")) & (F.col("g.i") != F.col("h.i")))
@@ -169,13 +169,13 @@ def distances(groups: DataFrame, priced: DataFrame, histograms: DataFrame) -> Da
     low, high = F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")
     sided = sided.select("lang", low, high, F.col("cost").alias("value"), F.lit(0).cast("bigint").alias("both"), "none", "apart")
 
-    block = F.expr(f"i div {SOURCES}")
-    blocks = groups.groupBy("lang").agg(F.expr(f"max(i) div {SOURCES}").alias("last"))
+    block = F.expr(f"i div {sources}")
+    blocks = groups.groupBy("lang").agg(F.expr(f"max(i) div {sources}").alias("last"))
     rows = priced.join(blocks, "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
     rows = rows.select("lang", F.least(block, "other").alias("a"), F.greatest(block, "other").alias("b"), "term", "i", "p", "z")
     deal = ["lang", "a", "b", F.pmod(F.xxhash64("term"), F.lit(SALTS))]
     rows = rows.repartition(*deal).sortWithinPartitions("lang", "a", "b", "term", "i")
-    shared = rows.mapInArrow(overlaps, "lang string, i long, j long, value long, both long")
+    shared = rows.mapInArrow(lambda batches: overlaps(batches, sources), "lang string, i long, j long, value long, both long")
     shared = shared.select("*", null.alias("none"), null.alias("apart"))
     sums = sided.unionByName(shared).groupBy("lang", "i", "j").agg(*(F.sum(c).alias(c) for c in ("value", "both")), *(F.max(c).alias(c) for c in ("none", "apart")))
     return sums.select("lang", "i", "j", (F.col("value") + (F.col("none") + F.col("both")) * F.col("apart")).alias("value"))
