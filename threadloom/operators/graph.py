@@ -1,20 +1,21 @@
 """Graph queries over continuation edges: components, ancestors, root-to-leaf paths, depths, cycles, shapes.
 
-Edges never join sessions of two projects. Components come from alternating stars over all edges at once; everything that
-walks a component runs on that component's edges in one call, all components in parallel, so a long chain costs no round
-of jobs for each hop.
+Edges never join sessions of two projects, and close no cycle. Components come from alternating stars over all edges at
+once. What follows edges does so over chains: a run of nodes where each has one edge out and the next one edge in is found
+by doubling pointers, in as many rounds as the logarithm of its length, and is one node from then on; between chains, a
+round of joins follows all edges of the nodes that the last round has reached. So a component of any size or shape is many
+small rows in many tasks, and a chain of a million hops some twenty rounds; every component goes the same way.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.plans.storage import stored
+from threadloom.plans.storage import dropped, folder, numbered, spread_join, stored
 
 PATH_LIMIT = 256
 MAX_ROUNDS = 60
@@ -25,16 +26,18 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).where("u <> v").distinct(), "stars")
     before = None
     for _ in range(MAX_ROUNDS):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        sums = [F.sum(F.xxhash64(*x).cast("decimal(38,0)")) for x in (("u", "v"), ("v", "u"))]
+        state = now.agg(F.count("*"), *sums).first()
         if state == before or not state[0]:
             break
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = stored(small, "stars")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least, ["u"], 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], state[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        last, now = now, stored(small, "stars")
+        dropped(last)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
@@ -74,16 +77,99 @@ def nodes(found: DataFrame, capsules: DataFrame, active: str | None = None) -> D
     )
 
 
-def _by_component(edges: DataFrame, work: Callable[[list[tuple[str, str]]], list[tuple]], schema: str) -> DataFrame:
-    """Rows that work() gives for each component's edges."""
-    found = components(edges)
-    rows = edges.select("source_id", "target_id").distinct().join(found.withColumnRenamed("node", "source_id"), "source_id")
-    names = [x.split()[0] for x in schema.split(", ")]
+# ---------------------------------------------------------------- chains
+
+
+@dataclass(frozen=True)
+class Chains:
+    """nodes: (node, chain, offset), a chain's name being its first node; sizes: (chain, size, n_in), n_in counting the edges
+    that lead into it; edges: (a, b), from the end of chain a to the beginning of chain b. Nodes of a cycle without any other
+    edge are in no chain."""
+
+    nodes: DataFrame
+    sizes: DataFrame
+    edges: DataFrame
+
+
+def chains(edges: DataFrame) -> Chains:
+    """Edges contracted: of a run without branches and merges its ends are left."""
+    edges = stored(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).where("s <> t").distinct(), "edges")
+    n_out, n_in = edges.groupBy("s").agg(F.count("*").alias("n_out")), edges.groupBy("t").agg(F.count("*").alias("n_in"))
+    edges = stored(edges.join(n_out, "s").join(n_in, "t").select("s", "t", ((F.col("n_out") == 1) & (F.col("n_in") == 1)).alias("inner")), "edges")
+    all_ = edges.select(F.explode(F.array("s", "t")).alias("node")).distinct()
+    back = edges.where("inner").select(F.col("t").alias("node"), F.col("s").alias("to"))
+    held = all_.join(back, "node", "left")
+    held = stored(held.select("node", F.coalesce("to", "node").alias("chain"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("offset"), F.col("to").isNull().alias("done")), "pointers")
+    for _ in range(MAX_ROUNDS):
+        # a pointer that has got to the beginning stays; all others go twice as far, no two of them over the same node
+        far = held.select(F.col("node").alias("chain"), F.col("chain").alias("next"), F.col("offset").alias("more"), F.col("done").alias("ends"))
+        moved = held.where("not done").join(far, "chain").select("node", F.col("next").alias("chain"), (F.col("offset") + F.col("more")).alias("offset"), F.col("ends").alias("done"))
+        left, width = moved.agg(F.count_if(~F.col("done")), F.max("offset")).first()
+        last, held = held, stored(held.where("done").unionByName(moved), "pointers")
+        dropped(last)
+        # a pointer that has gone further than there are nodes goes round
+        if not left or width > held.count():
+            break
+    held = held.where("done").drop("done")
+    between = edges.where("not inner")
+    ends = held.select(F.col("node").alias("s"), F.col("chain").alias("a"))
+    between = stored(between.join(ends, "s").select("a", F.col("t").alias("b")), "between")
+    sizes = held.groupBy("chain").agg(F.count("*").alias("size")).join(between.groupBy(F.col("b").alias("chain")).agg(F.count("*").alias("n_in")), "chain", "left").na.fill(0, ["n_in"])
+    return Chains(held, stored(sizes, "sizes"), between)
+
+
+class _Waves:
+    """Rows that rounds add, in a folder that each round writes a part of."""
+
+    def __init__(self, like: DataFrame) -> None:
+        self.spark, self.path, self.n = like.sparkSession, folder(like.sparkSession, "waves"), 0
+        self.schema = like.schema
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """A round's rows, written."""
+        at = f"{self.path}/wave-{self.n}"
+        rows.write.parquet(at)
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(work(sorted(zip(pdf["source_id"], pdf["target_id"], strict=True))), columns=names)
 
-    return rows.groupBy("component").applyInPandas(each, schema)
+def _chain_depths(found: Chains) -> DataFrame:
+    """(chain, depth): the longest way to the beginning of each chain that no cycle leads to, by waves from the roots.
+
+    Each edge is followed once, when the chain that it comes from is done; a chain waits until all that leads into it is.
+    """
+    ready = found.sizes.where("n_in = 0").select("chain", F.lit(0).cast("bigint").alias("depth"))
+    waves = _Waves(ready)
+    ready = waves.add(ready)
+    waiting = None
+    while not ready.isEmpty():
+        told = ready.join(found.sizes.select("chain", "size"), "chain").select(F.col("chain").alias("a"), (F.col("depth") + F.col("size")).alias("depth"))
+        told = found.edges.join(told, "a").groupBy(F.col("b").alias("chain")).agg(F.count("*").alias("got"), F.max("depth").alias("depth"))
+        if waiting is not None:
+            told = told.unionByName(waiting).groupBy("chain").agg(F.sum("got").alias("got"), F.max("depth").alias("depth"))
+        told = stored(told.join(found.sizes.select("chain", "n_in"), "chain"), "told")
+        ready = waves.add(told.where("got = n_in").select("chain", "depth"))
+        waiting = told.where("got < n_in").select("chain", "got", "depth")
+    return waves.all()
+
+
+def _upwards(found: Chains, anchors: DataFrame, max_hops: int | None) -> DataFrame:
+    """(anchor, chain, hops): the chains that lead to each anchor (anchor, chain, offset), with the hops to their last node."""
+    within = F.lit(True) if max_hops is None else F.col("hops") <= max_hops
+    into = found.edges.select(F.col("b").alias("chain"), F.col("a").alias("from"))
+    front = anchors.join(into, "chain").groupBy("anchor", F.col("from").alias("chain")).agg(F.min(F.col("offset") + 1).alias("hops")).where(within)
+    waves = _Waves(front)
+    front = waves.add(front)
+    while not front.isEmpty():
+        more = front.join(found.sizes.select("chain", "size"), "chain").join(into, "chain")
+        more = more.groupBy("anchor", F.col("from").alias("chain")).agg(F.min(F.col("hops") + F.col("size")).alias("hops")).where(within)
+        known = waves.all().groupBy("anchor", "chain").agg(F.min("hops").alias("known"))
+        more = more.join(known, ["anchor", "chain"], "left").where("known is null or hops < known").select("anchor", "chain", "hops")
+        front = waves.add(more)
+    return waves.all().groupBy("anchor", "chain").agg(F.min("hops").alias("hops"))
 
 
 def _neighbours(edges: list[tuple[str, str]], forward: bool = True) -> dict[str, list[str]]:
@@ -121,63 +207,52 @@ def paths(edges: list[tuple[str, str]], limit: int = PATH_LIMIT) -> Iterator[lis
 
 
 def timelines(edges: DataFrame, limit: int = PATH_LIMIT) -> DataFrame:
-    """(component, path, truncated): each component's root-to-leaf paths, the first `limit` of them in depth-first order."""
+    """(component, path, truncated): each component's root-to-leaf paths, the first `limit` of them in depth-first order.
 
-    def work(own: list[tuple[str, str]]) -> list[tuple]:
-        found = list(paths(own, limit + 1))
-        name = min(min(e) for e in own)
-        return [(name, p, len(found) > limit) for p in sorted(found[:limit])]
-
-    return _by_component(edges, work, "component string, path array<string>, truncated boolean")
+    Paths grow from all roots at once, a chain a round. As each of them ends somewhere, the first ones of all paths begin
+    with the first ones of their beginnings; so no more than these are kept of a component.
+    """
+    found = chains(edges)
+    depth = _chain_depths(found).select("chain")
+    whole = components(found.edges.select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
+    group = found.sizes.select("chain").join(whole.withColumnRenamed("node", "chain"), "chain", "left").select("chain", F.coalesce("component", "chain").alias("group"))
+    names = found.nodes.join(group, "chain").groupBy("group").agg(F.min("node").alias("component"))
+    group = stored(group.join(names, "group").drop("group"), "groups")
+    after = stored(found.edges.join(depth.withColumnRenamed("chain", "b"), "b").select(F.col("a").alias("last"), F.col("b").alias("next")), "after")
+    order = Window.partitionBy("component").orderBy("path")
+    roots = found.sizes.where("n_in = 0").select("chain").join(group, "chain")
+    rows = roots.select("component", F.array("chain").alias("path"), F.col("chain").alias("last"), F.lit(False).alias("done"))
+    while True:
+        now = stored(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit + 1).drop("n"), "paths")
+        if now.where("not done").isEmpty():
+            break
+        grown = now.where("not done").join(after, "last", "left")
+        grown = grown.select("component", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"), F.coalesce("next", "last").alias("last"), F.col("next").isNull().alias("done"))
+        rows = now.where("done").unionByName(grown)
+    kept = now.withColumn("n", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy("component")) > limit).where(F.col("n") <= limit)
+    steps = kept.select("component", "n", "truncated", F.posexplode("path").alias("step", "chain")).join(found.nodes, "chain")
+    own = steps.groupBy("component", "n", "truncated").agg(F.array_sort(F.collect_list(F.struct("step", "offset", "node"))).alias("path"))
+    return own.select("component", F.col("path.node").alias("path"), "truncated")
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """(source_id, depth): the longest path from a root to each node, by peeling roots."""
-
-    def work(own: list[tuple[str, str]]) -> list[tuple]:
-        after = _neighbours(own)
-        waiting = {n: 0 for n in after}
-        for _, t in own:
-            waiting[t] += 1
-        depth = dict.fromkeys((n for n, k in waiting.items() if not k), 0)
-        ready = deque(sorted(depth))
-        while ready:
-            node = ready.popleft()
-            for t in after[node]:
-                depth[t] = max(depth.get(t, 0), depth[node] + 1)
-                waiting[t] -= 1
-                if not waiting[t]:
-                    ready.append(t)
-        return sorted(depth.items())
-
-    return _by_component(edges, work, "source_id string, depth int")
+    """(source_id, depth): the longest path from a root to each node."""
+    found = chains(edges)
+    return found.nodes.join(_chain_depths(found), "chain").select(F.col("node").alias("source_id"), (F.col("depth") + F.col("offset")).cast("int").alias("depth"))
 
 
 def ancestors(edges: DataFrame, anchors: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(anchor, source_id, hops): all that lead to each anchor within max_hops edges; the anchor itself isn't one."""
     if max_hops is not None and max_hops < 1:
         raise ValueError("a depth is at least 1")
-    found = components(edges)
-    wanted = found.join(anchors.select(F.col("source_id").alias("node")), "node").groupBy("component").agg(F.collect_set("node").alias("anchors"))
-    rows = edges.select("source_id", "target_id").distinct().join(found.withColumnRenamed("node", "source_id"), "source_id").join(wanted, "component")
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        before = _neighbours(list(zip(pdf["source_id"], pdf["target_id"], strict=True)), forward=False)
-        out = []
-        for anchor in sorted(pdf["anchors"].iloc[0]):
-            hops, pending = {anchor: 0}, deque([anchor])
-            while pending:
-                node = pending.popleft()
-                if max_hops is not None and hops[node] >= max_hops:
-                    continue
-                for s in before.get(node, ()):
-                    if s not in hops:
-                        hops[s] = hops[node] + 1
-                        pending.append(s)
-            out += [(anchor, s, h) for s, h in hops.items() if s != anchor]
-        return pd.DataFrame(out, columns=["anchor", "source_id", "hops"])
-
-    return rows.groupBy("component").applyInPandas(each, "anchor string, source_id string, hops int")
+    found = chains(edges)
+    mine = stored(anchors.select(F.col("source_id").alias("node")).distinct().join(found.nodes, "node").withColumnRenamed("node", "anchor"), "anchors")
+    up = _upwards(found, mine, max_hops).join(found.sizes.select("chain", "size"), "chain").join(found.nodes, "chain")
+    up = up.select("anchor", F.col("node").alias("source_id"), (F.col("hops") + F.col("size") - 1 - F.col("offset")).alias("hops"))
+    before = mine.join(found.nodes.select("chain", "node", F.col("offset").alias("at")), "chain").where("at < offset")
+    rows = up.unionByName(before.select("anchor", F.col("node").alias("source_id"), (F.col("offset") - F.col("at")).alias("hops")))
+    within = F.lit(True) if max_hops is None else F.col("hops") <= max_hops
+    return rows.where(within & (F.col("anchor") != F.col("source_id"))).select("anchor", "source_id", F.col("hops").cast("int").alias("hops"))
 
 
 def ordered_ancestors(edges: DataFrame, sessions: DataFrame, anchors: DataFrame, max_hops: int | None = None, project_key: str | None = None) -> DataFrame:
@@ -187,16 +262,14 @@ def ordered_ancestors(edges: DataFrame, sessions: DataFrame, anchors: DataFrame,
         if not anchors.select("source_id").join(own, "source_id", "left_anti").isEmpty():
             raise ValueError("an anchor isn't a session of the project")
     found = ancestors(edges, anchors, max_hops).join(sessions.select("source_id", "updated_at"), "source_id")
-    place = F.row_number().over(Window.partitionBy("anchor").orderBy("updated_at", "source_id"))
-    return found.withColumn("place", place).select("anchor", "source_id", "hops", "place")
+    return numbered(found, "anchor", ["updated_at", "source_id"], "ordered").select("anchor", "source_id", "hops", (F.col("i") + 1).cast("int").alias("place"))
 
 
 def topological(edges: DataFrame, sessions: DataFrame) -> DataFrame:
     """(component, source_id, depth, place): the order in which a component is drawn: by depth, then time, then id, which never
     puts a session before what leads to it, as a depth is the longest way from a root."""
     rows = depths(edges).join(components(edges).withColumnRenamed("node", "source_id"), "source_id").join(sessions.select("source_id", "updated_at"), "source_id")
-    place = F.row_number().over(Window.partitionBy("component").orderBy("depth", "updated_at", "source_id"))
-    return rows.withColumn("place", place).select("component", "source_id", "depth", "place")
+    return numbered(rows, "component", ["depth", "updated_at", "source_id"], "topological").select("component", "source_id", "depth", (F.col("i") + 1).cast("int").alias("place"))
 
 
 def edge_records(edges: DataFrame) -> DataFrame:
@@ -227,11 +300,27 @@ def cycle_candidates(edges: DataFrame, candidates: DataFrame) -> DataFrame:
 
     A candidate closes a cycle if its target already leads to its source: target is an ancestor of source.
     """
-    reach = ancestors(edges, candidates.select("source_id").distinct()).select(F.col("anchor").alias("source_id"), F.col("source_id").alias("target_id"), F.lit(True).alias("back"))
+    found = chains(edges)
+    asked = candidates.select("source_id", "target_id").distinct()
+    place = found.nodes.select(F.col("node").alias("source_id"), "chain", "offset")
+    asked = stored(asked.join(place, "source_id").join(found.nodes.select(F.col("node").alias("target_id"), F.col("chain").alias("up"), F.col("offset").alias("at")), "target_id"), "candidates")
+    up = _upwards(found, asked.select(F.col("source_id").alias("anchor"), "chain", "offset").distinct(), None).select(F.col("anchor").alias("source_id"), F.col("chain").alias("up"), F.lit(True).alias("leads"))
+    reach = asked.join(up, ["source_id", "up"], "left").where(F.col("leads") | ((F.col("chain") == F.col("up")) & (F.col("at") < F.col("offset")))).select("source_id", "target_id", F.lit(True).alias("back"))
     rows = candidates.join(reach, ["source_id", "target_id"], "left")
     return rows.select("source_id", "target_id", F.when(F.col("source_id") == F.col("target_id"), "self-link").when(F.col("back"), "cycle").otherwise("ok").alias("verdict"))
 
 
+def knots(edges: DataFrame) -> DataFrame:
+    """(node, knot): nodes that lie on cycles or between them, with the smallest node of those that hang together.
+
+    Nodes that no cycle leads to go first, then those that lead to none of what is left.
+    """
+    for _ in range(2):
+        calm = depths(edges).select("source_id")
+        edges = stored(edges.join(calm, "source_id", "left_anti").join(calm.withColumnRenamed("source_id", "target_id"), "target_id", "left_anti").select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")), "knots")
+    return components(edges).withColumnRenamed("component", "knot")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(source_id, n_in, n_out) of each node of an edge: one aggregation over both ends."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target_id").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))

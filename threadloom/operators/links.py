@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.operators.graph import components
+from threadloom.operators.graph import knots
+from threadloom.plans.storage import stored
 from threadloom.schema import HARNESSES
 
 # Why a request is refused, in the order in which it is checked.
@@ -104,16 +105,16 @@ def settled(checked: DataFrame, edges: DataFrame) -> DataFrame:
     """(request, refusal, inserted, existing): requests that nothing else speaks against, taken one after another in the order of `request`.
 
     A request that would close a cycle with the edges that stand, or with those of requests before it, is refused as a
-    whole. Only requests whose sessions hang together, by edges or by requests, can do so: each such group is a call of its own.
+    whole. An edge can only do so if it lies on a cycle of all that stands and is asked for; only these knots are taken in
+    order, each by a call of its own, and all other requests need none.
     """
     open_ = checked.where(F.col("refusal").isNull())
-    asked = open_.select("request", F.explode("source_ids").alias("source_id"), "target_id")
+    asked = stored(open_.select("request", F.explode("source_ids").alias("source_id"), "target_id"), "asked")
     standing = edges.select("source_id", "target_id").distinct()
-    group = components(standing.unionByName(asked.select("source_id", "target_id")))
-    near = asked.select("target_id").distinct().join(group.withColumnRenamed("node", "target_id"), "target_id").select("component").distinct()
+    knot = stored(knots(standing.unionByName(asked.select("source_id", "target_id"))), "knots")
     null = F.lit(None).cast("string")
     rows = standing.select(null.alias("request"), "source_id", "target_id").unionByName(asked.select("request", "source_id", "target_id"))
-    rows = rows.join(group.withColumnRenamed("node", "target_id"), "target_id").join(near, "component", "left_semi")
+    rows = rows.join(knot.withColumnRenamed("node", "target_id"), "target_id").join(knot.select(F.col("node").alias("source_id"), F.col("knot").alias("same")), "source_id").where("knot = same").drop("same")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         graph, stands = Acyclic(), set()
@@ -123,8 +124,7 @@ def settled(checked: DataFrame, edges: DataFrame) -> DataFrame:
             stands.add((s, t))
         out = []
         for request, own in pdf[new].groupby("request", sort=True):
-            pairs = [(s, t) for s, t in zip(own["source_id"], own["target_id"], strict=True)]
-            fresh = [p for p in pairs if p not in stands]
+            fresh = [p for p in zip(own["source_id"], own["target_id"], strict=True) if p not in stands]
             done = []
             for p in fresh:
                 if not graph.add(*p):
@@ -133,15 +133,19 @@ def settled(checked: DataFrame, edges: DataFrame) -> DataFrame:
             if len(done) < len(fresh):
                 for p in done:
                     graph.remove(*p)
-                out.append((request, "cycle", 0, 0))
+                out.append((request, "cycle"))
             else:
                 stands.update(fresh)
-                out.append((request, None, len(fresh), len(pairs) - len(fresh)))
-        return pd.DataFrame(out, columns=["request", "found", "inserted", "existing"])
-
-    done = rows.groupBy("component").applyInPandas(work, "request string, found string, inserted bigint, existing bigint")
+        return pd.DataFrame(out, columns=["request", "found"])
+
+    refused = stored(rows.groupBy("knot").applyInPandas(work, "request string, found string"), "refused")
+    # of those that are left the first one inserts an edge that doesn't stand
+    taken = asked.join(refused.select("request"), "request", "left_anti").join(standing.withColumn("old", F.lit(True)), ["source_id", "target_id"], "left")
+    first = taken.where("old is null").groupBy("source_id", "target_id").agg(F.min("request").alias("first"))
+    taken = taken.join(first, ["source_id", "target_id"], "left")
+    done = taken.groupBy("request").agg(F.count_if(F.col("first") == F.col("request")).alias("inserted"), F.count_if(~F.col("first").eqNullSafe(F.col("request"))).alias("existing"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return checked.join(done, "request", "left").select("request", F.coalesce("refusal", "found").alias("refusal"), zero("inserted"), zero("existing"))
+    return checked.join(refused, "request", "left").join(done, "request", "left").select("request", F.coalesce("refusal", "found").alias("refusal"), zero("inserted"), zero("existing"))
 
 
 def link(requests: DataFrame, sessions: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

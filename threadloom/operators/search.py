@@ -326,19 +326,31 @@ def _weight(tf: Column, length: Column, df: Column) -> Column:
 def best_blocks(index: DataFrame, best: DataFrame, tree: Phrase | Node, totals: DataFrame, rows: DataFrame, limit: int, project_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings of the blocks that a query's first `limit` rows can be in, the numbers of documents of its terms).
 
-    The SEED blocks of the highest bounds are scored first. If they hold `limit` of the wanted rows, a block whose bound is
-    below the last one's score can't add to them, and isn't read; bounds that equal it can, as ties go by time.
+    The SEED blocks of the highest bounds are scored first, then four times as many, until no block but those can add to the
+    first rows: if there are `limit` of them, a block whose bound is below the last one's score can't, and isn't read; bounds
+    that equal it can, as ties go by time. So it depends on the query how much is read: little of words that some documents
+    are about, most of words that stand alike everywhere.
     """
     found, df = bounds(best, tree, totals, project_key)
-    seed = found.orderBy(F.desc("bound"), "project_key", "block").limit(SEED).collect()
-    chosen = index.where(F.col("block").isin([r["block"] for r in seed])) if seed else index.limit(0)
-    first = rows.join(_scored(chosen, tree, totals, df), ["project_key", "source_id"]).orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
-    wanted = found if first["n"] < limit else found.where(F.col("bound") >= first["least"] - 1e-9)
-    # the blocks' numbers run with length, so their range alone prunes files that are sorted by term and block
-    low, high = wanted.agg(F.min("block"), F.max("block")).first()
-    if low is None:
+    wanted, looked_at = found, 0
+    while True:
+        could, low, high = wanted.agg(F.count("*"), F.min("block"), F.max("block")).first()
+        if could <= max(looked_at, SEED):
+            break
+        looked_at = max(SEED, 4 * looked_at)
+        top = found.orderBy(F.desc("bound"), "project_key", "block").limit(looked_at)
+        scored = _scored(_in_blocks(index, top), tree, totals, df)
+        first = rows.join(scored, ["project_key", "source_id"]).orderBy(F.desc("score")).limit(limit).agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        wanted = found if first["n"] < limit else found.where(F.col("bound") >= first["least"] - 1e-9)
+    if not could:
         return index.limit(0), df
-    return index.where(F.col("block").between(low, high)).join(wanted.select("project_key", "block"), ["project_key", "block"], "left_semi"), df
+    # the blocks' numbers run with length, so their range alone prunes files that are sorted by term and block
+    return _in_blocks(index.where(F.col("block").between(low, high)), wanted), df
+
+
+def _in_blocks(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of some blocks."""
+    return index.join(wanted.select("project_key", "block"), ["project_key", "block"], "left_semi")
 
 
 def _scored(index: DataFrame, tree: Phrase | Node, totals: DataFrame, df: DataFrame) -> DataFrame:

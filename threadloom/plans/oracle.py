@@ -290,5 +290,32 @@ ORACLE["committed_catalog"] = f"""{_with(SESSIONS, EDGES)}, k AS (SELECT target_
 SELECT source_id, project_key, CASE WHEN project_key = 'p1' THEN 'unknown' ELSE health END AS health, {TIME.format("updated_at")} AS updated_at, coalesce(c, 0) AS n_in FROM sess LEFT JOIN k ON target_id = source_id WHERE project_key <> 'p1' OR n % 8 = 1"""
 
 
+# the words of capsules: title and chosen turns, bounded; the numbers are of the documents that stay
+CAPSULE_TEXT = f"""
+cap AS ({ORACLE["capsule_excerpts"]}),
+capdoc AS (
+  SELECT source_id, n, concat_ws(chr(10), CASE WHEN coalesce(title, '') <> '' THEN title END, body) AS body
+  FROM (SELECT source_id, string_agg(text, chr(10) ORDER BY ordinal) AS body FROM cap GROUP BY 1) JOIN sess USING (source_id) WHERE n % 13 <> 5
+),
+plain AS (SELECT source_id, n, regexp_extract_all(translate(lower(body), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{{L}}\\p{{N}}]+') AS ws FROM capdoc),
+pos AS (SELECT source_id, n, len(ws) AS length, unnest(ws) AS term, unnest(range(len(ws))) AS place FROM plain),
+tot AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM plain WHERE len(ws) > 0)"""
+_WEIGHT = "greatest(1e-6, ln((docs - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))"
+ORACLE["search_segments"] = f"""{_with(SESSIONS, CAPSULE_TEXT, STEMMED)},
+tf AS (SELECT source_id, length, st, count(*) AS f FROM stm WHERE st IS NOT NULL GROUP BY ALL), df AS (SELECT st, count(*) AS d FROM tf GROUP BY 1),
+sc AS (SELECT source_id, sum({_WEIGHT}) AS score FROM tf JOIN df USING (st), tot GROUP BY 1 HAVING bool_or(st = 'thing') OR (bool_or(st = 'for') AND bool_or(st = 'these')))
+SELECT source_id, round(score, 6) AS score FROM (SELECT sc.source_id, score FROM sc JOIN sess USING (source_id) WHERE project_key = 'p1' ORDER BY score DESC, updated_at DESC, sc.source_id LIMIT 20)"""
+ORACLE["search_capsules"] = f"""{_with(SESSIONS, CAPSULE_TEXT)}, lab AS ({ORACLE["capsule_labels"]}),
+tf AS (SELECT source_id, length, count(*) AS f FROM pos WHERE term IN ('the', 'thes') GROUP BY ALL), df AS (SELECT count(*) AS d FROM tf),
+sc AS (SELECT source_id, {_WEIGHT} AS score FROM tf, df, tot),
+found AS (SELECT sc.source_id FROM sc JOIN sess USING (source_id) WHERE health = 'complete' ORDER BY score DESC, updated_at DESC, sc.source_id LIMIT 20),
+shown AS (SELECT source_id, adapter, health, updated_at, {ITEM.format("display_name")} AS name FROM found JOIN sess USING (source_id) JOIN lab USING (source_id))
+SELECT source_id, CASE WHEN length(name) <= 96 THEN name ELSE rtrim(substr(name, 1, 95)) || '…' END AS display_name, adapter AS harness, health, {TIME.format("updated_at")} AS updated_at, 'the' AS hit FROM shown"""
+ORACLE["segment_postings"] = f"""{_with(SESSIONS, CAPSULE_TEXT)}
+SELECT substr(term, 1, len(stem)) AS term, count(DISTINCT source_id) AS found, count(*) AS places, max(length) AS longest, count(DISTINCT source_id) AS documents
+FROM pos JOIN (VALUES ('der'), ('of')) q(stem) ON term IN (stem, stem || 's', stem || 'ed', stem || 'ing') GROUP BY 1"""
+ORACLE["two_writers"] = f"""{_with(SESSIONS)} SELECT source_id, project_key, CASE WHEN project_key = 'p1' AND n % 3 = 0 THEN 'first' WHEN project_key = 'p2' AND n % 3 = 1 THEN 'second' WHEN project_key = 'p3' AND n % 3 = 0 THEN 'first' WHEN project_key = 'p3' AND n % 3 = 1 THEN 'second' ELSE health END AS health, true AS refused FROM sess"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -12,6 +12,7 @@ from threadloom.functions import redaction, text
 from threadloom.operators import capsules, catalog, context, delta, discovery, graph, links, search, targets
 from threadloom.plans import model
 from threadloom.plans.storage import shared_dir, stored
+from threadloom.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -777,5 +778,78 @@ def committed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "project_key", "health", at("updated_at"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
+@query
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog that two writers have read alike and change: on two parts both stand, on one the later is refused and goes on from what it finds."""
+    at_ = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    first, second = catalog.Catalog(spark, at_), catalog.Catalog(spark, at_)
+    first.commit({"sessions": model.sessions(spark, sf_dir)})
+    n = F.col("native_id").cast("bigint")
+
+    def marked(held: catalog.Tables, project: str, rest: int, health: str) -> DataFrame:
+        return held["sessions"].withColumn("health", F.when((F.col("project_key") == project) & (n % 3 == rest), health).otherwise(F.col("health")))
+
+    one, two = first.tables(), second.tables()
+    first.commit({"sessions": marked(one, "p1", 0, "first")}, [first.part_of("p1")], read=one.version)
+    second.commit({"sessions": marked(two, "p2", 1, "second")}, [second.part_of("p2")], read=two.version)
+    one, two = first.tables(), second.tables()
+    first.commit({"sessions": marked(one, "p3", 0, "first")}, [first.part_of("p3")], read=one.version)
+    refused = False
+    try:
+        second.commit({"sessions": marked(two, "p3", 1, "second")}, [second.part_of("p3")], read=two.version)
+    except catalog.Conflict:
+        refused = True
+        second.commit({"sessions": marked(second.tables(), "p3", 1, "second")}, [second.part_of("p3")])
+    return first.tables()["sessions"].select("source_id", "project_key", "health", F.lit(refused).alias("refused"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
+    turns = model.turns(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").cast("int").alias("ordinal"), "role", "text", "locator"))).alias("turns"))
+    rows = model.sessions(spark, sf_dir).join(turns, "source_id")
+    return rows.select("source_id", "project_key", "adapter", "native_id", F.lit("1").alias("fingerprint"), "title", "health", "started_at", "updated_at", F.lit(op).alias("op"), "turns")
+
+
+_streamed: dict[tuple[str, str], str] = {}
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """A catalog that batches of sessions have made: all of them with other words first, then some removed, some as they are now, some moved."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _streamed:
+        store = catalog.Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+        rows = stored(_stream(spark, sf_dir, "new"), "stream")
+        n = F.col("native_id").cast("bigint")
+        other = F.transform("turns", lambda t: t.withField("text", F.concat(F.lit("these things of old for the "), t["text"])))
+        index.apply_batch(store, rows.withColumn("turns", F.when(n % 3 == 1, other).otherwise(F.col("turns"))).withColumn("project_key", F.when(n % 5 == 2, "p9").otherwise(F.col("project_key"))))
+        index.apply_batch(store, rows.where(n % 13 == 5).withColumn("op", F.lit("removed")))
+        index.apply_batch(store, rows.where((n % 13 != 5) & ((n % 3 == 1) | (n % 5 == 2))).withColumn("fingerprint", F.lit("2")))
+        _streamed[key] = store.root
+    return catalog.Catalog(spark, _streamed[key])
+
+
+@query
+def search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over the redacted capsules and the postings that a catalog of several segments keeps."""
+    found = search.kept(_segments(spark, sf_dir), "things OR (for these)", discovery.filters("p1"), project_key="p1")
+    return found.select("source_id", F.round("score", 6).alias("score"))
+
+
+@query
+def search_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as it is shown, over all projects."""
+    store = _segments(spark, sf_dir)
+    found = search.shown(search.kept(store, "the", F.col("health") == "complete"), store.tables()["capsules"])
+    return found.select("source_id", "display_name", "harness", "health", at("updated_at"), F.lower(F.regexp_extract("snippet", r"\[(\w+)\]", 1)).alias("hit"))
+
+
+@query
+def segment_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the segments hold of each document's whole words, and the numbers of documents that are kept beside them."""
+    held = _segments(spark, sf_dir).tables()
+    count = held["maxima"].groupBy("term").agg(F.sum("documents").alias("documents"))
+    rows = held["postings"].groupBy("term").agg(F.count("*").alias("found"), F.sum(F.size("positions")).cast("bigint").alias("places"), F.max("length").cast("bigint").alias("longest"))
+    return rows.join(count, "term").where(F.col("term").rlike("^(der|of)$"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTERED)
