@@ -33,7 +33,7 @@ MIN_DOCS, ADDED, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of a text that are cut into terms at once; entries and bytes of a task's table at most.
 PIECE, ENTRIES, HELD_BYTES = 1 << 22, 1 << 19, 1 << 26
 #: Sources of a block, and places over which a pair of blocks is dealt by term.
-SOURCES, SALTS = 256, 64
+SOURCES, SALTS = 256, 1024
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
