@@ -1,7 +1,7 @@
 """Logs of the six sources made of the driver's conversations, loaded, and the same rows as SQL over the conversations.
 
 A conversation is a session; its user and assistant turns are what the logs hold. Every third has a title, every fifth
-log a broken last line. Files are written through Spark's file system into the shared folder, once for a session.
+log a broken last line. Tasks write the files into the shared folder, each those of some conversations, once for a session.
 """
 
 from __future__ import annotations
@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.plans import model
-from threadloom.plans.storage import shared_dir
-from threadloom.sources import logs
+from threadloom.plans.storage import folder
+from threadloom.sources import logs, sink
 
 #: The first time of a conversation, in seconds; its turns follow a second apart.
 BEGIN = 1704067200
@@ -82,31 +83,36 @@ WRITERS: dict[str, Callable] = {"codex": _codex, "grok": _grok, "cursor": _curso
 _written: dict[tuple[str, str], str] = {}
 
 
+def _files(n: int, turns: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """(name, body) of all sources' files of a conversation."""
+    for source, writer in WRITERS.items():
+        for name, lines in writer(n, turns):
+            body = "\n".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in lines)
+            yield f"{source}/{name}", body if n % 5 == 0 or name.endswith(".json") else body + "\n"
+
+
+def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [f for n, turns in zip(batch["conv_id"], batch["turns"], strict=True) for f in _files(int(n), [(t["role"], t["text"]) for t in turns])]
+        yield pd.DataFrame(found, columns=["name", "body"])
+
+
 def written(spark: SparkSession, sf_dir: str) -> str:
     """The folder with all sources' logs."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        root = f"{shared_dir(spark)}/logs-{abs(hash(key)) % 10**12}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(path(root), True)
-        rows = model.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant")).orderBy("conv_id", "turn")
-        talks: dict[int, list[tuple[str, str]]] = {}
-        for r in rows.toLocalIterator():
-            talks.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
-
-        def put(name: str, body: str) -> None:
-            out = fs.create(path(f"{root}/{name}"), True)
-            out.write(bytearray(body.encode()))
-            out.close()
-
-        for source, writer in WRITERS.items():
-            for n, turns in talks.items():
-                for name, lines in writer(n, turns):
-                    body = "\n".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in lines)
-                    put(f"{source}/{name}", body if n % 5 == 0 or name.endswith(".json") else body + "\n")
-        entries = [{"id": f"ses_{n}", "directory": f"/work/p{n % 4}", "title": f"Title {n}", "version": "1.18.0", "time": {"created": (BEGIN + n) * 1000, "updated": (BEGIN + n + 9) * 1000}} for n in sorted(talks)]
-        put("opencode/session-list.json", json.dumps(entries))
+        root = folder(spark, "logs")
+        spoken = model.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+        talks = spoken.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"], t["text"])).alias("turns"))
+        sink.write_files(talks.mapInPandas(_bodies, "name string, body string"), root)
+        # a catalog names one session more than a reader takes, at most
+        n = F.col("conv_id")
+        entry = F.struct(
+            F.concat(F.lit("ses_"), n).alias("id"), F.concat(F.lit("/work/p"), n % 4).alias("directory"), F.concat(F.lit("Title "), n).alias("title"), F.lit("1.18.0").alias("version"),
+            F.struct(((BEGIN + n) * 1000).alias("created"), ((BEGIN + n + 9) * 1000).alias("updated")).alias("time"),
+        )
+        listed = spoken.select("conv_id").distinct().orderBy("conv_id").limit(logs.CATALOG_LIMIT + 1).agg(F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e")))).alias("all"))
+        sink.write_files(listed.select(F.lit("opencode/session-list.json").alias("name"), F.to_json(F.col("all.e")).alias("body")), root)
         _written[key] = root
     return _written[key]
 

@@ -25,7 +25,3 @@ def unsafe_entries(root: str) -> list[str]:
 def to_json_documents(rows: DataFrame) -> DataFrame:
     """One canonical JSON document a row: fields in the order of their names, nulls kept."""
     return rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
-
-
-def to_markdown(rows: DataFrame, title: str, body: str) -> DataFrame:
-    return rows.select(F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body)).alias("value"))

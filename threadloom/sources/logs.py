@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import sqlite3
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,19 +78,44 @@ def unsafe_warnings(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, line, value, complete) of the files below root. A file is one row until its lines are numbered, so that a line's
-    place doesn't depend on how files are split; `complete` is false for a last line without its line break."""
-    files = _safe(spark, spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True), root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    cut = F.split("value", "\n")
-    rows = files.select("path", "modified", (F.endswith("value", F.lit("\n"))).alias("closed"), F.size(cut).alias("n"), F.posexplode(cut).alias("at", "value"))
-    return rows.where(F.trim("value") != "").select("path", "modified", (F.col("at") + 1).alias("line"), "value", (F.col("closed") | (F.col("at") + 1 < F.col("n"))).alias("complete"))
+    """(path, line, value, complete) of the files below root, numbered from 1 in each file; blank lines count but have no row.
+
+    Files are read in ranges, many tasks a file: a range tells how many lines it has, the sum of those before it in its file
+    is where its own numbers begin. `complete` is false for a last line without its line break, which the bytes of all lines
+    tell: with a break each, they are the file's size.
+    """
+    files = _safe(spark, spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root), root)
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("range"), "value", F.monotonically_increasing_id().alias("at"),
+    )
+    ranges = rows.groupBy("path", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
+    whole = Window.partitionBy("path")
+    earlier = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # Spark's reader leaves out a byte order mark
+    missing = F.sum("bytes").over(whole) - F.col("size")
+    ranges = ranges.select("path", "range", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("lines"), missing.isin(0, -3).alias("closed"))
+    ranges = stored(ranges, "ranges")
+    line = F.col("before") + F.col("at") - F.col("first") + 1
+    rows = rows.join(ranges, ["path", "range"]).select("path", "modified", line.cast("int").alias("line"), "value", (F.col("closed") | (line < F.col("lines"))).alias("complete"))
+    return rows.where(F.trim("value") != "")
+
+
+#: Bytes up to which a file's fingerprint is that of its content, read as one row.
+WHOLE = 64 << 20
 
 
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, fingerprint): SHA-256 of each whole file."""
+    """(path, fingerprint): SHA-256 of each whole file; of one of more than WHOLE bytes that of its lines' digests, each with its number, summed."""
     files = _safe(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root), root)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("fingerprint"))
+    small = files.where(F.col("length") <= WHOLE).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("fingerprint"))
+    if files.where(F.col("length") > WHOLE).select("path").isEmpty():
+        return small
+    large = files.where(F.col("length") > WHOLE).select(F.col("_metadata.file_path").alias("path"))
+    digest = F.sha2(F.concat_ws(":", "line", "complete", "value").cast("binary"), 256)
+    number = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
+    sums = lines(spark, root, pattern).join(large, "path", "left_semi").groupBy("path").agg(F.concat_ws(":", F.count("*"), *(number(k) for k in range(4))).alias("sums"))
+    return small.unionByName(sums.select("path", F.sha2(F.col("sums").cast("binary"), 256).alias("fingerprint")))
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
@@ -183,20 +209,29 @@ def codex(spark: SparkSession, root: str) -> Scan:
     return Scan(_sessions(heads), turns, warnings)
 
 
-def _folder_hints(root: str) -> list[tuple[str, str]]:
+def _folder_hints(spark: SparkSession, root: str) -> list[tuple[str, str]]:
     """(escaped path of a project's folder, what its .cwd file says). Spark's readers pass over names that begin with a dot; there is one such file a project."""
-    local = root.removeprefix("file://") if root.startswith("file://") else root
-    if "://" in local or not os.path.isdir(local):
-        return []
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/.cwd")
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = []
-    for folder in sorted(os.scandir(local), key=lambda e: e.name):
-        path = os.path.join(folder.path, ".cwd")
-        if folder.is_dir(follow_symlinks=False) and os.path.isfile(path) and not os.path.islink(path):
-            with open(path, encoding="utf-8", errors="replace") as f:
-                out.append((quote(os.path.abspath(folder.path)), f.read().strip()))
+    for found in store.globStatus(at) or ():
+        path = found.getPath()
+        if found.isFile() and not store.getFileLinkStatus(path).isSymlink():
+            stream = store.open(path)
+            try:
+                text_ = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+            finally:
+                stream.close()
+            out.append((_escaped(path.getParent().toString()), text_.strip()))
     return out
 
 
+def _escaped(path: str) -> str:
+    """A path as the reader's columns have it, without a local file's scheme."""
+    return quote(re.sub(r"\Afile:/+", "/", path), safe="/:")
+
+
 def grok(spark: SparkSession, root: str) -> Scan:
     """A folder for each session, below one named by its percent-encoded project: summary.json and updates.jsonl."""
     ns = namespace(root)
@@ -209,7 +244,7 @@ def grok(spark: SparkSession, root: str) -> Scan:
     folder = text.percent_decoded(F.regexp_replace(group, "%25", "%"))
     heads = heads.select("*", *_identity("grok", ns, F.col("native")), F.col("path").alias("locator"))
     # a project's folder may say in a file of its own what its name can't
-    hints = spark.createDataFrame(_folder_hints(root), "group_dir string, cwd string")
+    hints = spark.createDataFrame(_folder_hints(spark, root), "group_dir string, cwd string")
     heads = heads.withColumn("group_dir", F.regexp_extract(_local(F.col("path")), r"^(.*)/[^/]+/[^/]+$", 1)).join(hints, "group_dir", "left")
     parse = lambda c: text.parse_time(F.col(c))
     drift = heads.where("ok").where(parse("r.created_at").isNull() | parse("r.updated_at").isNull())
