@@ -189,3 +189,12 @@ def test_embedding_tables_meet_the_permitted_miss():
     y = 0.93 * x + (1 - 0.93**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
     signs = rng.normal(size=(32, embed_dedup.SIGNS))
     assert (((x @ signs > 0) != (y @ signs > 0)).sum(1) <= embed_dedup.most_signs()).all()
+
+
+def test_embed_labels_of_any_type(spark):
+    v = [1.0, 0.5, 0.0]
+    rows = [(1, 5_000_000_000, v), (2, 5_000_000_000, v), (3, 705_032_704, v), (4, None, v)]
+    for label in ("label", "cast(label as string) as label", "cast(label as double) as label", "concat('name ', label) as label", "cast(label as decimal(20,3)) as label"):
+        df = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").selectExpr("vec_id", label, "embedding")
+        got = [tuple(r) for r in embed_dedup.embed_dedup(df).orderBy("vec_id").collect()]
+        assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]

@@ -14,7 +14,7 @@ them and nothing is capped.
 
 Cases: null or zero vectors, vectors with null or non-finite components, and rows with a null label link with nothing;
 equal vectors link; vectors of different lengths never link; rows that repeat a vec_id are vectors of their own that share
-it; an empty table gives none; other columns are not read.
+it; ids are whole numbers, labels of any type; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from threadloom.llm.common import U64, Forest, blobs, chunks, group_numbers, mix, partitions, stored
 from threadloom.llm.components import components
@@ -71,6 +72,13 @@ def usable(vector: Column) -> Column:
     return finite & F.exists(v, lambda x: x != 0)
 
 
+def label_number(vectors: DataFrame) -> Column:
+    """A label as 64 bits: a whole number as it is, anything else by the hash of its text, which two labels share with a chance of 2**-64."""
+    whole = isinstance(vectors.schema["label"].dataType, IntegralType)
+    text = F.col("label").cast("string")
+    return F.col("label").cast("bigint") if whole else F.when(text.isNotNull(), F.xxhash64(text))
+
+
 def hashed(vectors: DataFrame, k: int, tables: int) -> DataFrame:
     """(r, h1, h2, s1, s2, keys, unit): what tells classes apart, the sketch, each table's bucket, the unit vector."""
 
@@ -219,7 +227,7 @@ def verified(families: DataFrame, threshold: float) -> DataFrame:
 
 def embed_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), "embedding")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), label_number(vectors).alias("label"), "embedding")
     rows = rows.withColumn("ok", F.col("label").isNotNull() & usable(F.col("embedding")))
     # a number for each row, fixed by writing it: ids may repeat or be null
     rows = stored(rows.withColumn("r", F.monotonically_increasing_id()), "vectors")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import fold, small_batches, text_blocks
 
+#: Bytes that a window needs to be learned from, where its text has others; all windows are classified.
+LEAST = 32
 WINDOW = 128
 #: Bounds of the sample: labelled texts of each language, and windows of each text.
 MAX_TEXTS, WINDOWS_EACH = 1000, 3
@@ -144,7 +146,7 @@ def sample(docs: DataFrame, max_texts: int = MAX_TEXTS, windows_each: int = WIND
             # evenly over the text, the rest of a division by id among those that fill a window
             pick = np.unique(np.concatenate([first[t] + (np.arange(min(windows_each, n[t])) * n[t]) // windows_each for t in range(len(n)) if n[t]] or [np.zeros(0, np.int64)]))
             pick = pick[pick < len(windows)]
-            pick = pick[(length[pick] >= 32) | (n[text[pick]] == 1)]
+            pick = pick[(length[pick] >= LEAST) | (n[text[pick]] == 1)]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text[pick])), rows.column(1).take(pa.array(text[pick])), pa.array([windows[i].tobytes() for i in pick], pa.binary())], ["doc_id", "lang", "window"])
 
     taken = chosen.mapInArrow(some, "doc_id bigint, lang string, window binary").distinct().collect()
