@@ -225,3 +225,47 @@ def test_versions_and_folders_that_name_projects(spark, tmp_path):
     (at / "summary.json").write_text(json.dumps({"created_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-01T00:00:00Z"}))
     (at / "updates.jsonl").write_text("")
     assert [r["project_hint"] for r in logs.grok(spark, str(tmp_path / "grok")).sessions.collect()] == ["/named/here"]
+
+
+def test_values_of_other_types_are_null_and_take_nothing_with_them(spark, tmp_path):
+    """Truth values for texts, texts for numbers, numbers for objects: in all six sources the rest of the record stands."""
+    block = lambda kind, x: {"timestamp": 5, "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": kind, "text": x}, {"type": kind, "text": True}, "loose", {"type": 7, "text": "no"}]}}
+    write(tmp_path / f"codex/rollout-{ID}1.jsonl", [{"timestamp": True, "type": "session_meta", "payload": {"cwd": ["/w"], "model_provider": 5, "timestamp": {}}}, {"type": "turn_context", "payload": {"model": 4, "effort": "high"}}, block("input_text", "said"), {"type": "response_item", "payload": "text"}, {"type": 9}])
+    scan = logs.codex(spark, str(tmp_path / "codex"))
+    s = scan.sessions.first()
+    assert (s["project_hint"], s["model_provider"], s["model_id"], s["effort"], s["started_at"]) == (None, None, None, "high", None)
+    assert told(scan) == [(0, "user", "said", "jsonl:3")] and codes(scan) == []
+    at = tmp_path / "grok/%2Fw" / (ID + "2")
+    chunk = lambda n, content: {"method": "session/update", "timestamp": n, "params": {"sessionId": ID + "2", "update": {"sessionUpdate": "user_message_chunk", "content": content}}}
+    write(at / "summary.json", [{"created_at": "2024-01-01T00:00:00Z", "updated_at": 5, "generated_title": False, "git_root_dir": 3}])
+    write(at / "updates.jsonl", [chunk("1", {"type": "text", "text": "one"}), chunk(2, {"type": "text", "text": 2}), chunk(3, "three"), {"method": 1}])
+    scan = logs.grok(spark, str(tmp_path / "grok"))
+    assert scan.sessions.select("title", "project_hint").first()[:] == (None, "/w") and [(r["text"], r["at"]) for r in scan.turns.collect()] == [("one", None)]
+    write(tmp_path / "open/list.json", [json.dumps([{"id": "ses_a", "directory": 4, "title": "A", "created": 1, "updated": 5}, {"id": "ses_b", "title": "B", "created": "1", "updated": 5}, "loose", {"id": "ses_c", "title": True, "created": 1, "updated": 1}])])
+    said = lambda i, parts, role="user": {"info": {"id": i, "sessionID": "ses_a", "role": role, "time": {"created": 7}}, "parts": parts}
+    write(tmp_path / "open/ex/a.json", [json.dumps({"info": {"id": "ses_a", "model": "m", "time": {"updated": 5}}, "messages": [said("m1", [{"type": "text", "text": "hi", "ignored": "yes"}, {"type": "text", "text": 1}, 3]), said("m2", "parts"), said("m3", [], True), 4]})])
+    scan = logs.opencode(spark, str(tmp_path / "open/list.json"), str(tmp_path / "open/ex"))
+    assert [(r["native_id"], r["project_hint"], r["model_id"]) for r in scan.sessions.collect()] == [("ses_a", None, None)]
+    assert told(scan) == [(0, "user", "hi", "message:m1")] and codes(scan).count("unsupported-session") == 3 and codes(scan).count("malformed-message") == 2
+    write(tmp_path / "cursor/projects/-w/agent-transcripts/s/s.jsonl", [{"role": "user", "message": {"content": [{"type": "text", "text": "q"}, {"type": "text", "text": None}, 5]}}, {"role": True, "message": {"content": [{"type": "text", "text": "no"}]}}, {"role": "user", "message": {"content": "flat"}}, {"role": "assistant", "message": {"content": [{"type": "tool_use", "name": "Task", "input": {"model": 7}}, {"type": "text", "text": "a"}]}}])
+    write(tmp_path / "cursor/chats/x/s/meta.json", [{"title": 9, "createdAtMs": "1000", "updatedAtMs": 2000, "cwd": "/w"}])
+    scan = logs.cursor(spark, str(tmp_path / "cursor/projects"), str(tmp_path / "cursor/chats"))
+    s = scan.sessions.first()
+    assert (s["title"], s["model_id"], s["project_hint"], s["updated_at"].second) == (None, None, "/w", 2) and [x[2] for x in told(scan)] == ["q", "a"]
+    write(tmp_path / "claude" / f"{ID}4.jsonl", [{"type": "ai-title", "aiTitle": 5}, {"type": "user", "cwd": 7, "message": {"content": 5}}, {"type": "user", "timestamp": 9, "message": {"content": {"a": 1}}}, {"type": "user", "message": {"content": [{"type": "text", "text": "x"}, {"type": "text", "text": 3}]}}, {"type": "assistant", "message": {"model": True, "content": "y"}}, {"type": "user", "message": "flat"}])
+    scan = logs.claude(spark, str(tmp_path / "claude"))
+    assert scan.sessions.select("title", "project_hint", "model_id").first()[:] == (None, None, None) and told(scan) == [(1, "user", "x", "line:4"), (2, "agent", "y", "line:5")]
+    write(tmp_path / "anti/history.jsonl", [{"display": 5, "timestamp": "1000", "workspace": "/w", "conversationId": ID + "5"}, {"display": "named", "timestamp": 2000, "workspace": 3, "conversationId": ID + "5"}, {"conversationId": 5}])
+    write(tmp_path / "anti/brain" / (ID + "5") / "transcript.jsonl", [{"source": "USER_EXPLICIT", "type": "USER_INPUT", "content": 5, "created_at": 7}, {"source": "USER_EXPLICIT", "type": "USER_INPUT", "content": "do", "created_at": 7}])
+    scan = logs.antigravity(spark, str(tmp_path / "anti/history.jsonl"), str(tmp_path / "anti/brain"))
+    s = scan.sessions.first()
+    assert (s["title"], s["started_at"].second, s["updated_at"].second) == ("named", 2, 2) and [(r["text"], r["at"]) for r in scan.turns.collect()] == [("do", None)]
+
+
+def test_guarded_values(spark):
+    from threadloom.functions.guarded import parsed
+
+    rows = ['{"a":"x","b":5,"c":true,"d":{"e":"y","f":[{"n":2},{"n":"2"},7]}}', '{"a":5,"b":"5","c":1,"d":"no"}', '{"b":true,"c":"true","d":{"e":null,"f":{}}}', "nope", "[1]", "null", '{"b":1.5,"a":null}', '{"b":12345678901234567890}', None, ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "v string").select(parsed(F.col("v"), "a string, b bigint, c boolean, d struct<e:string,f:array<struct<n:bigint>>>").alias("r")).collect()]
+    plain = [r and (r["a"], r["b"], r["c"], r["d"] and (r["d"]["e"], r["d"]["f"] and [x and x["n"] for x in r["d"]["f"]])) for r in got]
+    assert plain == [("x", 5, True, ("y", [2, None, None])), (None,) * 4, (None, None, None, (None, None)), None, None, None, (None,) * 4, (None,) * 4, None, None]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import text
+from threadloom.functions import guarded, text
 from threadloom.plans.storage import stored
 from threadloom.schema import SESSIONS, TURNS, WARNINGS
 from threadloom.sources.files import unsafe_entries
@@ -119,9 +119,10 @@ def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Da
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
-    """Lines with their record r; ok is false where a line isn't a JSON object."""
-    good = F.try_parse_json("value").isNotNull() & F.startswith(F.ltrim(F.col("value")), F.lit("{"))
-    return rows.withColumn("ok", good).withColumn("r", F.from_json("value", schema))
+    """Lines with their record r; ok is false where a line isn't a JSON object. A field of another type than the schema's is null."""
+    rows = rows.withColumn("v", F.try_parse_json("value"))
+    good = F.coalesce(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.lit(False))
+    return rows.withColumn("ok", good).withColumn("r", guarded.guarded(F.col("v"), schema)).drop("v")
 
 
 def _stem(path: Column) -> Column:
@@ -239,7 +240,7 @@ def grok(spark: SparkSession, root: str) -> Scan:
     summary = "created_at string, updated_at string, git_root_dir string, generated_title string, current_model_id string"
     heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").text(root, wholetext=True)
     heads = heads.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    heads = heads.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("r", F.from_json("value", summary)).withColumn("native", native).where("native <> ''")
+    heads = heads.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("r", guarded.parsed(F.col("value"), summary)).withColumn("native", native).where("native <> ''")
     # a file URL escapes the percent signs of the folder's own name
     folder = text.percent_decoded(F.regexp_replace(group, "%25", "%"))
     heads = heads.select("*", *_identity("grok", ns, F.col("native")), F.col("path").alias("locator"))
@@ -286,7 +287,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
         if not told.isEmpty():
             return Scan(spark.createDataFrame([], SESSIONS), spark.createDataFrame([], TURNS), _warnings(told, "unsupported-version", F.col("v")))
     entry = "array<struct<id:string,directory:string,title:string,version:string,updated:bigint,created:bigint,time:struct<created:bigint,updated:bigint>>>"
-    rows = spark.read.text(catalog, wholetext=True).select(F.posexplode(F.from_json("value", entry)).alias("at", "e"))
+    rows = spark.read.text(catalog, wholetext=True).select(F.posexplode(guarded.parsed(F.col("value"), entry)).alias("at", "e"))
     crowded = rows.agg(F.count("*").alias("n")).where(F.col("n") > CATALOG_LIMIT)
     rows = rows.where(F.col("at") < CATALOG_LIMIT)
     if directory is not None:
@@ -297,7 +298,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     good = F.coalesce(good, F.lit(False))
     one = "info struct<id:string,directory:string,model:struct<id:string,providerID:string,variant:string>,time:struct<created:bigint,updated:bigint>>, messages array<struct<info:struct<id:string,sessionID:string,role:string,time:struct<created:bigint>>,parts:array<struct<type:string,text:string,ignored:boolean>>>>"
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", F.from_json("value", one)).where("r.info.id is not null and path not like '%session-list%'")
+    files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", guarded.parsed(F.col("value"), one)).where("r.info.id is not null and path not like '%session-list%'")
     ids = rows.select("source_id", F.col("native_id").alias("nid"), "u")
     files = files.join(ids, F.col("r.info.id") == F.col("nid"))
     m = F.col("r.info.model")
@@ -343,7 +344,7 @@ def _sidecars(spark: SparkSession, chats: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{meta.json,store.db}").load(chats).select("path", "content")
     is_meta = F.endswith("path", F.lit("/meta.json"))
     meta = files.where(is_meta).select(*at, F.decode("content", "UTF-8").alias("value"), F.sha2("content", 256).alias("meta_print"))
-    meta = meta.withColumn("broken_meta", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull()).withColumn("s", F.from_json("value", kinds)).drop("value")
+    meta = meta.withColumn("broken_meta", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull()).withColumn("s", guarded.parsed(F.col("value"), kinds)).drop("value")
     store = files.where(~is_meta)
     values = store.mapInPandas(_store_values, "path string, value string").select(*at, store_meta(F.col("value")).alias("store"))
     values = values.withColumn("broken_store", F.col("store").isNull())
@@ -390,13 +391,13 @@ def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
 
 def store_meta(value: Column) -> Column:
     """A chat store's meta row, JSON in hexadecimal: struct(name, createdAt, updatedAt, lastUsedModel, mode)."""
-    return F.from_json(F.decode(F.unhex(value), "UTF-8"), "name string, createdAt bigint, updatedAt bigint, lastUsedModel string, mode string")
+    return guarded.parsed(F.decode(F.unhex(value), "UTF-8"), "name string, createdAt bigint, updatedAt bigint, lastUsedModel string, mode string")
 
 
 def claude(spark: SparkSession, root: str) -> Scan:
     """projects/<slug>/<id>.jsonl; the last ai-title is the title, content is a text or a list of blocks."""
     ns = namespace(root)
-    schema = "type string, timestamp string, sessionId string, cwd string, aiTitle string, message struct<role:string,model:string,content:string>"
+    schema = "type string, timestamp string, sessionId string, cwd string, aiTitle string, message struct<role:string,model:string,content:variant>"
     rows = parsed(lines(spark, root), schema).select("*", *_identity("claude", ns, _stem(F.col("path"))))
     good, when, line = rows.where("ok"), text.parse_time(F.col("r.timestamp"), naive_is_utc=True), F.col("line")
     heads = good.groupBy("source_id", "adapter", "namespace", "native_id", F.col("path").alias("locator")).agg(
@@ -404,11 +405,10 @@ def claude(spark: SparkSession, root: str) -> Scan:
         F.min_by("r.cwd", F.when(F.col("r.cwd").isNotNull(), line)).alias("project_hint"), text.header_value(F.max_by("r.message.model", F.when(F.col("r.message.model").isNotNull(), line))).alias("model_id"),
     )
     heads = heads.join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left").withColumn("model_provider", F.lit("anthropic")).withColumn("health", F.lit("unknown"))
-    content = F.get_json_object("value", "$.message.content")
-    blocks = F.from_json(content, "array<struct<type:string,text:string>>")
-    is_list = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.message.content", "variant")).startswith("ARRAY")
+    content = F.col("r.message.content")
+    body = F.coalesce(guarded.guarded(content, "string"), _blocks(guarded.guarded(content, "array<struct<type:string,text:string>>"), ["text"]))
     role = F.when(F.col("r.type") == "user", "user").when(F.col("r.type") == "assistant", "agent")
-    said = good.withColumn("role", role).withColumn("text", F.when(is_list, _blocks(blocks, ["text"])).otherwise(content)).withColumn("locator", F.concat(F.lit("line:"), line.cast("string"))).withColumn("at", when)
+    said = good.withColumn("role", role).withColumn("text", body).withColumn("locator", F.concat(F.lit("line:"), line.cast("string"))).withColumn("at", when)
     return Scan(_sessions(heads), _turns(said, 1), _malformed(rows, "malformed-turn").unionByName(_duplicates(heads)))
 
 
