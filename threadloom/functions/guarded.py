@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What schema_of_variant calls a value that a type takes.
-KINDS = {T.StringType: "STRING", T.LongType: "BIGINT", T.BooleanType: "BOOLEAN"}
+KINDS = {T.StringType: "STRING", T.LongType: "BIGINT", T.IntegerType: "BIGINT", T.BooleanType: "BOOLEAN"}
 
 
 def guarded(value: Column, kind: T.DataType | str) -> Column:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import redaction, text
+from threadloom.functions import guarded, redaction, text
 from threadloom.plans.storage import stored
 
 # The document's limit, and the versions of its label and header.
@@ -193,14 +193,14 @@ def build(sessions: DataFrame, turns: DataFrame, limit: int = LIMIT) -> DataFram
 
 def stale(capsules: DataFrame) -> DataFrame:
     """Capsules whose label or header is of an earlier version."""
-    body = F.from_json("content_json", "display_name_version int, session_header struct<version:int>")
+    body = guarded.parsed(F.col("content_json"), "display_name_version int, session_header struct<version:int>")
     old = F.coalesce(body["display_name_version"] != LABEL_VERSION, F.lit(True)) | F.coalesce(body["session_header"]["version"] != HEADER_VERSION, F.lit(True))
     return capsules.where(old)
 
 
 def refresh_labels(capsules: DataFrame) -> DataFrame:
     """Stale capsules with a label derived anew from what they hold; their search text stays."""
-    rows = stale(capsules).withColumn("b", F.from_json("content_json", DDL)).where(F.col("b.session_header").isNotNull() & F.col("b.excerpts").isNotNull() & F.col("b.harness").isNotNull())
+    rows = stale(capsules).withColumn("b", guarded.parsed(F.col("content_json"), DDL)).where(F.col("b.session_header").isNotNull() & F.col("b.excerpts").isNotNull() & F.col("b.harness").isNotNull())
     first = F.get(F.filter("b.excerpts", lambda e: (e["role"] == "user") & ~text.is_envelope(e["text"])), F.lit(0))["text"]
     new = label(F.coalesce("b.source_title", F.lit("")), first, F.col("b.harness"))
     rows = rows.withColumn("new", new)

@@ -317,5 +317,27 @@ FROM pos JOIN (VALUES ('der'), ('of')) q(stem) ON term IN (stem, stem || 's', st
 ORACLE["two_writers"] = f"""{_with(SESSIONS)} SELECT source_id, project_key, CASE WHEN project_key = 'p1' AND n % 3 = 0 THEN 'first' WHEN project_key = 'p2' AND n % 3 = 1 THEN 'second' WHEN project_key = 'p3' AND n % 3 = 0 THEN 'first' WHEN project_key = 'p3' AND n % 3 = 1 THEN 'second' ELSE health END AS health, true AS refused FROM sess"""
 
 
+ORACLE["git_projects"] = r"""WITH src AS (SELECT DISTINCT source AS s FROM documents),
+h AS (SELECT DISTINCT CASE doc_id % 8 WHEN 0 THEN '/work/' || source || '/a/b//' WHEN 1 THEN '/work/' || source || '/lib/./x' || (doc_id % 16) || '/' WHEN 2 THEN 'file:///trees/' || source || '/c%20d' WHEN 3 THEN '/elsewhere/' || source || '/'
+      WHEN 4 THEN '/work/../work/' || source || '/lib/../libx' WHEN 5 THEN 'relative/' || source WHEN 6 THEN '/work/' || source || '/sub/deep' END AS hint FROM documents),
+repo AS (SELECT '/work/' || s AS root, '/work/' || s || '/.git' AS common FROM src UNION ALL SELECT '/work/' || s || '/lib', '/work/' || s || '/lib/.git' FROM src WHERE s LIKE '%1'
+      UNION ALL SELECT '/trees/' || s, '/work/' || s || '/.git' FROM src UNION ALL SELECT '/work/' || s || '/sub', '/work/' || s || '/.git/modules/sub' FROM src),
+p AS (SELECT hint, CASE WHEN hint LIKE 'file:///%' THEN replace(substr(hint, 8), '%20', ' ') ELSE hint END AS q FROM h),
+c AS (SELECT hint, regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '/+', '/', 'g'), '/\./', '/', 'g'), '/[^/]+/\.\./', '/', 'g'), '/$', '') AS path FROM p WHERE q LIKE '/%'),
+b AS (SELECT hint, any_value(path) AS path, arg_max(common, length(root)) AS common FROM c LEFT JOIN repo ON path = root OR starts_with(path, root || '/') GROUP BY hint),
+k AS (SELECT hint, CASE WHEN common IS NULL THEN 'directory' ELSE 'git' END AS kind, coalesce(common, path) AS place FROM b)
+SELECT h.hint AS project_hint, kind || ':sha256:' || sha256(place) AS project_key, kind, regexp_extract(regexp_replace(place, '/\.git$', ''), '([^/]*)$', 1) AS display_name,
+       CASE WHEN kind IS NULL THEN 'unresolved' WHEN place = '/work/src1/.git' THEN 'current' ELSE 'foreign' END AS scope FROM h LEFT JOIN k ON h.hint IS NOT DISTINCT FROM k.hint"""
+ORACLE["guarded_values"] = """WITH j AS (SELECT doc_id, CASE WHEN doc_id % 11 = 10 THEN '{broken' ELSE
+  '{"a":' || CASE doc_id % 5 WHEN 0 THEN '' || doc_id WHEN 1 THEN 'true' WHEN 2 THEN '["' || source || '"]' ELSE '"' || source || '"' END ||
+  ',"b":' || CASE doc_id % 7 WHEN 0 THEN '"' || doc_id || '"' WHEN 1 THEN 'null' WHEN 2 THEN doc_id || '.5' ELSE '' || doc_id END ||
+  ',"c":' || CASE doc_id % 3 WHEN 0 THEN '{"t":"' || source || '","n":' || doc_id || '}' WHEN 1 THEN '"' || source || '"' ELSE '[{"t":1},{"t":"' || source || '"}]' END || '}' END AS v FROM documents),
+g AS (SELECT doc_id, json_valid(v) AS whole, CASE WHEN json_valid(v) THEN CAST(v AS JSON) END AS v FROM j)
+SELECT doc_id, whole, CASE WHEN json_type(v, '$.a') = 'VARCHAR' THEN v ->> '$.a' END AS a, CASE WHEN json_type(v, '$.b') IN ('UBIGINT', 'BIGINT') THEN CAST(v ->> '$.b' AS BIGINT) END AS b,
+       CASE WHEN json_type(v, '$.c.t') = 'VARCHAR' THEN v ->> '$.c.t' END AS t, CASE WHEN json_type(v, '$.c.n') = 'UBIGINT' THEN CAST(v ->> '$.c.n' AS BIGINT) END AS n,
+       CASE WHEN json_type(v, '$.c') = 'ARRAY' THEN array_to_string([CASE WHEN json_type(x, '$.t') = 'VARCHAR' THEN x ->> '$.t' ELSE '-' END for x in CAST(v -> '$.c' AS JSON[])], ',') END AS many FROM g"""
+ORACLE["written_documents"] = f"""{_with(REDACTED)} SELECT 'doc-' || doc_id || '.md' AS name, sha256('# ' || lang || chr(10) || chr(10) || t5 || chr(10)) AS body FROM r5 JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

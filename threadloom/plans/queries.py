@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions import redaction, text
-from threadloom.operators import capsules, catalog, context, delta, discovery, graph, links, search, targets
+from threadloom.functions import guarded, redaction, text
+from threadloom.operators import capsules, catalog, context, delta, discovery, graph, links, projects, search, targets
 from threadloom.plans import model
-from threadloom.plans.storage import shared_dir, stored
+from threadloom.plans.storage import folder, shared_dir, stored
+from threadloom.sources import sink
 from threadloom.streaming import index
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +126,30 @@ def project_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.project_map(hints, "/work/src1").select("project_key", "scope")
 
 
+@query
+def git_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects of folders, by the innermost repository around each: nested ones, worktrees, submodules, URLs and dots."""
+    docs = model.table(spark, sf_dir, "documents")
+    n, s = F.col("doc_id"), F.col("source")
+    at_ = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c for c in x))
+    hint = (
+        F.when(n % 8 == 0, at_("/work/", s, "/a/b//"))
+        .when(n % 8 == 1, at_("/work/", s, "/lib/./x", (n % 16).cast("string"), "/"))
+        .when(n % 8 == 2, at_("file:///trees/", s, "/c%20d"))
+        .when(n % 8 == 3, at_("/elsewhere/", s, "/"))
+        .when(n % 8 == 4, at_("/work/../work/", s, "/lib/../libx"))
+        .when(n % 8 == 5, at_("relative/", s))
+        .when(n % 8 == 6, at_("/work/", s, "/sub/deep"))
+    )
+    of = docs.select("source").distinct()
+    one = lambda path, body: of.select(path.alias("path"), body.alias("body"))
+    head = F.lit("ref: refs/heads/main\n")
+    files = one(at_("/work/", s, "/.git/HEAD"), head).unionByName(one(at_("/work/", s, "/lib/.git/HEAD"), head).where(F.endswith("path", F.lit("1/lib/.git/HEAD"))))
+    files = files.unionByName(one(at_("/trees/", s, "/.git"), at_("gitdir: /work/", s, "/.git/worktrees/t\n"))).unionByName(one(at_("/work/", s, "/.git/worktrees/t/commondir"), F.lit("../..\n")))
+    files = files.unionByName(one(at_("/work/", s, "/sub/.git"), F.lit("gitdir: ../.git/modules/sub\n")))
+    return projects.resolve(docs.select(hint.alias("project_hint")), projects.repositories(files), "/work/src1")
+
+
 # ---------------------------------------------------------------- redaction
 
 
@@ -778,6 +803,30 @@ def committed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "project_key", "health", at("updated_at"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
+@query
+def guarded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON whose values are of one type or another, read by type."""
+    n, s = F.col("doc_id"), F.col("source")
+    quoted = F.concat(F.lit('"'), s, F.lit('"'))
+    a = F.when(n % 5 == 0, n.cast("string")).when(n % 5 == 1, "true").when(n % 5 == 2, F.concat(F.lit("["), quoted, F.lit("]"))).otherwise(quoted)
+    b = F.when(n % 7 == 0, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).when(n % 7 == 1, F.lit("null")).when(n % 7 == 2, F.concat(n.cast("string"), F.lit(".5"))).otherwise(n.cast("string"))
+    c = F.when(n % 3 == 0, F.concat(F.lit('{"t":'), quoted, F.lit(',"n":'), n.cast("string"), F.lit("}"))).when(n % 3 == 1, quoted).otherwise(F.concat(F.lit('[{"t":1},{"t":'), quoted, F.lit("}]")))
+    body = F.when(n % 11 == 10, F.lit("{broken")).otherwise(F.concat(F.lit('{"a":'), a, F.lit(',"b":'), b, F.lit(',"c":'), c, F.lit("}")))
+    r = guarded.parsed(body, "a string, b bigint, c variant")
+    rows = model.table(spark, sf_dir, "documents").select("doc_id", r.alias("r"))
+    one, many = guarded.guarded(F.col("r.c"), "struct<t:string,n:bigint>"), guarded.guarded(F.col("r.c"), "array<struct<t:string>>")
+    return rows.select("doc_id", F.col("r").isNotNull().alias("whole"), "r.a", "r.b", one["t"].alias("t"), one["n"].alias("n"), F.array_join(F.transform(many, lambda x: F.coalesce(x["t"], F.lit("-"))), ",").alias("many"))
+
+
+@query
+def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as Markdown files by a job that writes all or nothing, and read again."""
+    rows = _documents(spark, sf_dir).join(model.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    at_ = folder(spark, "documents")
+    sink.write_files(sink.documents(rows, F.concat(F.lit("by-lang/"), "lang", F.lit("/doc-"), "doc_id", F.lit(".md")), F.col("lang"), F.col("text")), at_)
+    return sink.read_documents(spark, at_, "doc-*.md").select("name", F.sha2(F.col("body").cast("binary"), 256).alias("body"))
+
+
 @query
 def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalog that two writers have read alike and change: on two parts both stand, on one the later is refused and goes on from what it finds."""
