@@ -333,8 +333,8 @@ ORACLE["guarded_values"] = """WITH j AS (SELECT doc_id, CASE WHEN doc_id % 11 =
   ',"b":' || CASE doc_id % 7 WHEN 0 THEN '"' || doc_id || '"' WHEN 1 THEN 'null' WHEN 2 THEN doc_id || '.5' ELSE '' || doc_id END ||
   ',"c":' || CASE doc_id % 3 WHEN 0 THEN '{"t":"' || source || '","n":' || doc_id || '}' WHEN 1 THEN '"' || source || '"' ELSE '[{"t":1},{"t":"' || source || '"}]' END || '}' END AS v FROM documents),
 g AS (SELECT doc_id, json_valid(v) AS whole, CASE WHEN json_valid(v) THEN CAST(v AS JSON) END AS v FROM j)
-SELECT doc_id, whole, CASE WHEN json_type(v, '$.a') = 'VARCHAR' THEN v ->> '$.a' END AS a, CASE WHEN json_type(v, '$.b') IN ('UBIGINT', 'BIGINT') THEN CAST(v ->> '$.b' AS BIGINT) END AS b,
-       CASE WHEN json_type(v, '$.c.t') = 'VARCHAR' THEN v ->> '$.c.t' END AS t, CASE WHEN json_type(v, '$.c.n') = 'UBIGINT' THEN CAST(v ->> '$.c.n' AS BIGINT) END AS n,
+SELECT doc_id, whole, CASE WHEN json_type(v, '$.a') = 'VARCHAR' THEN v ->> '$.a' END AS a, CASE WHEN json_type(v, '$.b') IN ('UBIGINT', 'BIGINT') THEN v ->> '$.b' END AS b,
+       CASE WHEN json_type(v, '$.c.t') = 'VARCHAR' THEN v ->> '$.c.t' END AS t, CASE WHEN json_type(v, '$.c.n') = 'UBIGINT' THEN v ->> '$.c.n' END AS n,
        CASE WHEN json_type(v, '$.c') = 'ARRAY' THEN array_to_string([CASE WHEN json_type(x, '$.t') = 'VARCHAR' THEN x ->> '$.t' ELSE '-' END for x in CAST(v -> '$.c' AS JSON[])], ',') END AS many FROM g"""
 ORACLE["written_documents"] = f"""{_with(REDACTED)} SELECT 'doc-' || doc_id || '.md' AS name, sha256('# ' || lang || chr(10) || chr(10) || t5 || chr(10)) AS body FROM r5 JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"""
 

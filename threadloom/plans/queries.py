@@ -815,7 +815,7 @@ def guarded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = guarded.parsed(body, "a string, b bigint, c variant")
     rows = model.table(spark, sf_dir, "documents").select("doc_id", r.alias("r"))
     one, many = guarded.guarded(F.col("r.c"), "struct<t:string,n:bigint>"), guarded.guarded(F.col("r.c"), "array<struct<t:string>>")
-    return rows.select("doc_id", F.col("r").isNotNull().alias("whole"), "r.a", "r.b", one["t"].alias("t"), one["n"].alias("n"), F.array_join(F.transform(many, lambda x: F.coalesce(x["t"], F.lit("-"))), ",").alias("many"))
+    return rows.select("doc_id", F.col("r").isNotNull().alias("whole"), "r.a", F.col("r.b").cast("string").alias("b"), one["t"].alias("t"), one["n"].cast("string").alias("n"), F.array_join(F.transform(many, lambda x: F.coalesce(x["t"], F.lit("-"))), ",").alias("many"))
 
 
 @query
