@@ -67,12 +67,6 @@ def usable_checkpoint(checkpoint: DataFrame, scope: str) -> DataFrame:
     return rows.withColumn("validated", F.col("validated") & (F.col("version") == CHECKPOINT_VERSION))
 
 
-def changed_while_read(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Sources whose fingerprint is another one after the read; their turns aren't to be trusted."""
-    old = before.select("source_id", F.col("fingerprint").alias("was"))
-    return old.join(after.select("source_id", "fingerprint"), "source_id").where("was <> fingerprint").select("source_id")
-
-
 def may_advance(warnings: DataFrame) -> DataFrame:
     """One row: whether a checkpoint may advance; an unresolved project hint holds it back."""
     return warnings.agg((~F.coalesce(F.bool_or(F.col("code") == "unresolved-project"), F.lit(False))).alias("advance"))

@@ -161,6 +161,11 @@ def log_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("source").agg(F.count_distinct("fingerprint").alias("n"), F.count_if(F.col("fingerprint").isNull()).alias("without"))
 
 
+def claude_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's fingerprint, which is that of its file's bytes."""
+    return scan(spark, sf_dir, "claude").sessions.select("native_id", "fingerprint")
+
+
 def reread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen records of one source read again from turn 1 on; some are of other sources, gone, elsewhere or changed."""
     now = scan(spark, sf_dir, "claude")
@@ -178,7 +183,7 @@ def reread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"log_warnings": log_warnings, "log_fingerprints": log_fingerprints, "reread_records": reread_records}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"log_warnings": log_warnings, "log_fingerprints": log_fingerprints, "claude_fingerprints": claude_fingerprints, "reread_records": reread_records}
     for s in WRITERS:
         out |= {f"{s}_turns": _turns(s), f"{s}_sessions": _sessions(s)}
     return out
@@ -233,6 +238,11 @@ def oracle_sql() -> dict[str, str]:
     codes = {"codex": "truncated-jsonl", "grok": "truncated-update", "cursor": "truncated-turn", "claude": "truncated-turn", "antigravity": "truncated-turn", "opencode": "malformed-message"}
     out["log_warnings"] = f"WITH {TALK} " + " UNION ALL ".join(f"SELECT '{s}' AS source, '{c}' AS code, ({broken}) AS n" for s, c in codes.items())
     out["log_fingerprints"] = f"WITH {TALK} " + " UNION ALL ".join(f"SELECT '{s}' AS source, (SELECT count(*) FROM talk) AS n, 0 AS without" for s in WRITERS)
+    quoted = "CAST(to_json(text) AS VARCHAR)"
+    line = f"""'{{"type": "' || role || '", "timestamp": "' || {_AT.format(f"{BEGIN} + n + i")} || '", "sessionId": "' || id || '", "cwd": "/work/p' || (n % 4) || '", "message": {{"role": "' || role || '", "model": ' || CASE role WHEN 'assistant' THEN '"m' || (n % 3) || '"' ELSE 'null' END
+|| ', "content": ' || CASE role WHEN 'user' THEN {quoted} ELSE '[{{"type": "text", "text": ' || {quoted} || '}}, {{"type": "thinking", "text": "HIDDEN"}}]' END || '}}}}'"""
+    out["claude_fingerprints"] = f"""WITH {TALK}, b AS (SELECT n, id, string_agg({line}, chr(10) ORDER BY i) AS body FROM say JOIN talk USING (n) GROUP BY ALL)
+SELECT id AS native_id, sha256(CASE WHEN n % 3 = 0 THEN '{{"type": "ai-title", "aiTitle": "Title ' || n || '"}}' || chr(10) ELSE '' END || body || chr(10) || CASE WHEN n % 5 = 0 THEN '{{broken' ELSE '' END) AS fingerprint FROM b"""
     out["reread_records"] = f"""WITH {TALK}, s AS (SELECT n, id, count(*) AS k FROM say JOIN talk USING (n) GROUP BY 1, 2),
 c AS (SELECT *, CASE n % 7 WHEN 1 THEN 'missing-source' WHEN 2 THEN 'wrong-source' WHEN 3 THEN 'source-changed' WHEN 4 THEN 'identity-mismatch' WHEN 5 THEN 'source-changed-during-read' END AS code FROM s)
 SELECT CASE n % 7 WHEN 1 THEN id || 'x' ELSE id END AS native_id, CASE WHEN code IS NOT NULL THEN 'unavailable' ELSE 'complete' END AS read_status, code, CASE WHEN code IS NULL THEN least(k, 2) ELSE 0 END AS turns FROM c"""

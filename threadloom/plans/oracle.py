@@ -118,10 +118,11 @@ SELECT source_id, concat_ws(' · ', concat_ws('/', CASE WHEN n % 2 = 1 THEN adap
     "index_result": f"""{_with(FINGERPRINTS)}, w AS (SELECT count(*) AS k, min(CAST(doc_id AS VARCHAR)) AS first FROM documents WHERE n_chars < 60)
 SELECT CAST((SELECT count(*) FROM dlt WHERE op IN ('new', 'changed')) AS VARCHAR) AS indexed, CASE WHEN k > 0 THEN 'partial' ELSE 'complete' END AS status, CAST(k AS VARCHAR) AS warning_count, first FROM w""",
     "current_exclusion": f"{_with(SESSIONS)} SELECT count(*) AS matches, CASE WHEN count(*) = 1 THEN min(source_id) END AS source_id FROM sess WHERE adapter = 'claude' AND native_id = '10'",
-    "readiness": f"""{_with(SESSIONS, TURNS, EDGES)}, c AS (
-SELECT 'sessions' AS component, (SELECT count(*) FROM sess) AS rows UNION ALL SELECT 'capsules', (SELECT count(DISTINCT source_id) FROM trn) UNION ALL SELECT 'edges', (SELECT count(*) FROM edg))
-SELECT component, rows, CASE WHEN rows > 0 THEN 'ready' ELSE 'empty' END AS status FROM c
-UNION ALL SELECT 'capsules_without_session', 0, 'ready' UNION ALL SELECT 'edge_ends_without_session', 0, 'ready'""",
+    "readiness": f"""{_with(SESSIONS, TURNS, EDGES)}, lost AS (SELECT source_id FROM sess WHERE n % 17 = 3), c AS (
+SELECT 'sessions' AS component, (SELECT count(*) FROM sess) - (SELECT count(*) FROM lost) AS rows UNION ALL SELECT 'capsules', (SELECT count(DISTINCT source_id) FROM trn) UNION ALL SELECT 'edges', (SELECT count(*) FROM edg)),
+l AS (SELECT 'capsules_without_session' AS component, (SELECT count(DISTINCT source_id) FROM trn WHERE source_id IN (SELECT source_id FROM lost)) AS rows
+UNION ALL SELECT 'edge_ends_without_session', (SELECT count(*) FROM (SELECT source_id AS x FROM edg UNION ALL SELECT target_id FROM edg) WHERE x IN (SELECT source_id FROM lost)))
+SELECT component, rows, CASE WHEN rows > 0 THEN 'ready' ELSE 'empty' END AS status FROM c UNION ALL SELECT component, rows, CASE WHEN rows > 0 THEN 'broken' ELSE 'ready' END FROM l""",
     "project_scopes": """WITH h AS (SELECT DISTINCT CASE WHEN doc_id % 5 <> 0 THEN '/work/' || source || '//' END AS hint FROM documents)
 SELECT 'directory:sha256:' || sha256(regexp_replace(hint, '/+$', '')) AS project_key, CASE WHEN hint IS NULL THEN 'unresolved' WHEN regexp_replace(hint, '/+$', '') = '/work/src1' THEN 'current' ELSE 'foreign' END AS scope FROM h""",
     "redact_documents": f"""{_with(REDACTED)} SELECT doc_id, t5 AS text, CAST(c1 + c2 + c3 + c4 + c5 AS BIGINT) AS redactions,
@@ -162,8 +163,8 @@ FROM run WHERE NOT (fingerprint IS NULL AND d % 4 <> 1) AND (previous IS NOT NUL
   UNION ALL SELECT CASE WHEN doc_id % 5 = 0 THEN 'duplicate-session-id' ELSE 'malformed-jsonl' END, 'line 2', NULL, source, doc_id FROM documents),
 t AS (SELECT *, CASE WHEN source_id IS NOT NULL AND doc_id % 2 = 0 THEN doc_id % 8 <> 0 WHEN project_hint IN (SELECT source FROM documents) THEN project_hint NOT LIKE '%1' ELSE false END AS far FROM w)
 SELECT code, message, source_id, project_hint, far AND code <> 'duplicate-session-id' AS "foreign", count(*) AS n FROM t GROUP BY ALL""",
-    "scoped_cursors": """WITH c AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 7 = 6 THEN 'checkpoint-scope' WHEN n_nationkey = 4 THEN 'checkpoint-invalid' WHEN n_nationkey % 4 = 1 THEN 'checkpoint-upgraded'
- WHEN n_nationkey % 4 = 0 OR n_nationkey % 5 = 3 OR n_nationkey % 9 = 8 THEN 'checkpoint-invalid' ELSE 'kept' END AS code FROM nation)
+    "scoped_cursors": """WITH c AS (SELECT doc_id AS n, CASE WHEN doc_id % 7 = 6 THEN 'checkpoint-scope' WHEN doc_id = 4 THEN 'checkpoint-invalid' WHEN doc_id % 4 = 1 THEN 'checkpoint-upgraded'
+ WHEN doc_id % 4 = 0 OR doc_id % 5 = 3 OR doc_id % 9 = 8 THEN 'checkpoint-invalid' ELSE 'kept' END AS code FROM documents)
 SELECT code, count(*) AS n, min(CASE WHEN code = 'kept' THEN 'opencode:store:ses_' || n END) AS first, count(*) FILTER (WHERE code = 'kept' AND n % 4 = 2) AS again FROM c GROUP BY 1""",
     "repeated_sources": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) - 1 AS repeats FROM documents GROUP BY 1",
     "term_postings": f"""{_with(TURNS, SEARCH)} SELECT source_id, term, count(*) AS n, min(place) AS "first", CAST(any_value(length) AS BIGINT) AS length FROM pos GROUP BY source_id, term""",
@@ -237,10 +238,21 @@ ORACLE["search_stemmed"] = f"""{_with(SESSIONS, TURNS, SEARCH, STEMMED)},
 tf AS (SELECT source_id, length, st, count(*) AS f FROM stm WHERE st IS NOT NULL GROUP BY ALL), df AS (SELECT st, count(*) AS d FROM tf GROUP BY 1), tot AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM plain WHERE len(ws) > 0),
 sc AS (SELECT source_id, sum(greatest(1e-6, ln((docs - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM tf JOIN df USING (st), tot GROUP BY 1 HAVING bool_or(st = 'thing') OR (bool_or(st = 'for') AND bool_or(st = 'these')))
 SELECT source_id, round(score, 6) AS score FROM (SELECT sc.source_id, score FROM sc JOIN sess USING (source_id) WHERE project_key = 'p1' ORDER BY score DESC, updated_at DESC, sc.source_id LIMIT 20)"""
-ORACLE["search_index"] = f"{_with(SESSIONS, TURNS, SEARCH)} SELECT source_id, project_key, len(ws) AS length FROM plain JOIN sess USING (source_id)"
-ORACLE["search_shown"] = f"""WITH found AS ({ORACLE["search_bm25"]}), {SESSIONS}
-SELECT source_id, adapter AS harness, health, {TIME.format("updated_at")} AS updated_at, {ITEM.format("title")} AS title, true AS marked FROM found JOIN sess USING (source_id)"""
-ORACLE["search_hints"] = f"""{_with(TURNS, SEARCH)} SELECT CAST(sum(4) AS BIGINT) AS hints FROM (VALUES ('xyzzyx'), ('of')) q(w) WHERE w NOT IN (SELECT term FROM pos)"""
+ORACLE["search_index"] = f"{_with(SESSIONS, TURNS, SEARCH)} SELECT source_id, project_key, len(ws) AS length, places, last FROM plain JOIN sess USING (source_id) JOIN (SELECT source_id, count(*) AS places, max(place) AS last FROM pos GROUP BY 1) USING (source_id)"
+# the window of 18 words with most hits, the first of the best; hits in brackets, cut ends marked; then collapsed and bounded
+ORACLE["search_shown"] = f"""{_with(SESSIONS, TURNS, SEARCH)}, found AS ({ORACLE["search_bm25"]}),
+w AS (SELECT source_id, body, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+') AS ws, string_split_regex(body, '[\\p{{L}}\\p{{N}}]+') AS gaps FROM sdoc JOIN found USING (source_id)),
+hit AS (SELECT source_id, place FROM pos JOIN found USING (source_id) WHERE term IN ('of', 'the')),
+cand AS (SELECT DISTINCT source_id, greatest(0, least(place, len(ws) - 18)) AS s FROM hit JOIN w USING (source_id)),
+held AS (SELECT c.source_id, c.s, count(*) AS k FROM cand c JOIN hit h ON h.source_id = c.source_id AND h.place >= c.s AND h.place < c.s + 18 GROUP BY ALL),
+best AS (SELECT source_id, s FROM held QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY k DESC, s) = 1),
+word AS (SELECT source_id, s, least(len(ws), s + 18) AS e, len(ws) AS n, ws, gaps, unnest(range(s, least(len(ws), s + 18))) AS i FROM best JOIN w USING (source_id)),
+cut AS (SELECT word.source_id, CASE WHEN any_value(s) > 0 THEN ' … ' ELSE '' END || string_agg(CASE WHEN place IS NULL THEN ws[i + 1] ELSE '[' || ws[i + 1] || ']' END || CASE WHEN i + 1 < e THEN gaps[i + 2] ELSE '' END, '' ORDER BY i) || CASE WHEN any_value(e) < any_value(n) THEN ' … ' ELSE '' END AS snip
+  FROM word LEFT JOIN hit ON hit.source_id = word.source_id AND place = i GROUP BY word.source_id),
+flat AS (SELECT source_id, {ITEM.format("snip")} AS t FROM (SELECT word.source_id, snip FROM (SELECT DISTINCT source_id FROM word) word JOIN cut USING (source_id)))
+SELECT source_id, adapter AS harness, health, {TIME.format("updated_at")} AS updated_at, {ITEM.format("title")} AS title, CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 239)) || '…' END AS snippet FROM flat JOIN sess USING (source_id)"""
+ORACLE["search_hints"] = f"""{_with(TURNS, SEARCH)} SELECT w AS query, unnest(['Try fewer or more general words.', 'Quote words that must stand together.', 'End a word with * to match its beginnings.', 'Remove filters.']) AS hint
+FROM (VALUES ('xyzzyx'), ('of')) q(w) WHERE w NOT IN (SELECT term FROM pos)"""
 
 HANDLES = f"""
 hnd AS (SELECT *, {LETTER} || row_number() OVER (PARTITION BY project_key, {LETTER} ORDER BY started_at, source_id) AS handle FROM sess)"""
@@ -251,15 +263,15 @@ SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate, header, CAS
 right('019f6000-1234-7000-8000-' || lpad(CAST(doc_id AS VARCHAR), 12, '0'), 12) AS compact, coalesce(CASE WHEN doc_id % 3 = 0 AND trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END) AS "first",
 sha256(regexp_replace(text, '[^\x00-\x7F]', '?', 'g')) AS ascii, sha256('    ' || regexp_replace(replace(text, chr(13), ''), '\n(.)', chr(10) || '    \1', 'gs')) AS indented, sha256(substr(regexp_replace(text, '\p{C}', '?', 'g'), 1, 80)) AS plain FROM v"""
 _SHOWN = "CASE WHEN {0} IS NOT NULL THEN strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN extract('microseconds' FROM {0}) % 1000000 <> 0 THEN '.' || strftime({0}, '%f') ELSE '' END || 'Z' END"
-ORACLE["time_values"] = f"""WITH w AS (SELECT n_nationkey AS n, CAST('2024-03-0' || (1 + n_nationkey % 9) || ' 10:20:30' || CASE WHEN n_nationkey % 2 = 0 THEN '.25' ELSE '' END AS TIMESTAMP) AS wall FROM nation),
+ORACLE["time_values"] = f"""WITH w AS (SELECT doc_id AS n, CAST('2024-03-0' || (1 + doc_id % 9) || ' 10:20:30' || CASE WHEN doc_id % 2 = 0 THEN '.25' ELSE '' END AS TIMESTAMP) AS wall FROM documents),
 t AS (SELECT n, CASE n % 3 WHEN 0 THEN wall WHEN 1 THEN wall - INTERVAL 2 HOUR END AS strict, CASE n % 3 WHEN 1 THEN wall - INTERVAL 2 HOUR ELSE wall END AS naive,
 CASE WHEN n >= 3 THEN make_timestamp((CAST(n AS BIGINT) * 100000 - 300000) * 1000000) END AS secs, CASE WHEN n > 0 THEN make_timestamp((CAST(n AS BIGINT) * 100000250 - 1) * 1000) END AS ms FROM w)
 SELECT n, {_SHOWN.format("strict")} AS strict, {_SHOWN.format("naive")} AS naive, {_SHOWN.format("secs")} AS seconds, {_SHOWN.format("ms")} AS millis FROM t"""
-ORACLE["task_labels"] = """SELECT n_nationkey AS n, CASE n_nationkey % 5 WHEN 0 THEN '(Fix the ' || lower(n_name) || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || regexp_replace(n_name, '\\s+', ' ', 'g') WHEN 2 THEN '/thread Search ' || n_name WHEN 3 THEN '$thread' ELSE 'Nothing of ' || n_name || '. Really' END AS task,
-n_nationkey % 5 = 1 AS envelope, CASE n_nationkey % 5 WHEN 2 THEN 'Search' WHEN 3 THEN 'Thread' END AS command,
-lower(CASE n_nationkey % 5 WHEN 0 THEN 'Hello there. (Fix the ' || n_name || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || n_name WHEN 2 THEN '/thread Search ' || n_name WHEN 3 THEN '$thread' ELSE 'Nothing of ' || n_name || '. Really' END) AS goal FROM nation"""
-ORACLE["home_paths"] = """SELECT n_nationkey AS n, CASE n_nationkey % 4 WHEN 0 THEN regexp_replace('see /home/' || lower(n_name) || '/x', '/home/[^/\\s]+', '~') WHEN 1 THEN 'x/home/ann/y ~\\z' WHEN 2 THEN '[REDACTED:private-key] ~' ELSE '/rooted (~' END AS text,
-CASE n_nationkey % 4 WHEN 2 THEN 2 ELSE 1 END AS redactions, CASE n_nationkey % 4 WHEN 2 THEN 'private-key,home-path' ELSE 'home-path' END AS labels FROM nation"""
+ORACLE["task_labels"] = """SELECT doc_id AS n, CASE doc_id % 5 WHEN 0 THEN '(Fix the ' || lower(source) || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || regexp_replace(source, '\\s+', ' ', 'g') WHEN 2 THEN '/thread Search ' || source WHEN 3 THEN '$thread' ELSE 'Nothing of ' || source || '. Really' END AS task,
+doc_id % 5 = 1 AS envelope, CASE doc_id % 5 WHEN 2 THEN 'Search' WHEN 3 THEN 'Thread' END AS command,
+lower(CASE doc_id % 5 WHEN 0 THEN 'Hello there. (Fix the ' || source || '!) Then rest.' WHEN 1 THEN '<environment_context> ' || source WHEN 2 THEN '/thread Search ' || source WHEN 3 THEN '$thread' ELSE 'Nothing of ' || source || '. Really' END) AS goal FROM documents"""
+ORACLE["home_paths"] = """SELECT doc_id AS n, CASE doc_id % 4 WHEN 0 THEN regexp_replace('see /home/' || lower(source) || '/x', '/home/[^/\\s]+', '~') WHEN 1 THEN 'x/home/ann/y ~\\z' WHEN 2 THEN '[REDACTED:private-key] ~' ELSE '/rooted (~' END AS text,
+CASE doc_id % 4 WHEN 2 THEN 2 ELSE 1 END AS redactions, CASE doc_id % 4 WHEN 2 THEN 'private-key,home-path' ELSE 'home-path' END AS labels FROM documents"""
 ORACLE["context_sources"] = f"""{_with(SESSIONS, EDGES, HANDLES, CLOSURE, recursive=True)},
 lt AS (SELECT project_key, count(DISTINCT t) AS c, min(t) AS t FROM edg e WHERE confirmed_at = (SELECT max(confirmed_at) FROM edg f WHERE f.project_key = e.project_key) GROUP BY 1),
 q AS (SELECT h.n, h.source_id, h.project_key, h.n % 8 AS k, CASE h.n % 8 WHEN 5 THEN lt.t WHEN 6 THEN h.n + 1 ELSE h.n END AS a, coalesce(lt.c, 0) AS c, CASE h.n % 8 WHEN 2 THEN 1 WHEN 6 THEN 2 ELSE 60 END AS most FROM hnd h LEFT JOIN lt USING (project_key)),

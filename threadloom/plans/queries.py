@@ -117,7 +117,9 @@ def current_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions, turns = model.sessions(spark, sf_dir), model.turns(spark, sf_dir)
     spoken = sessions.join(turns.select("source_id").distinct(), "source_id", "left_semi").select("source_id", "project_key")
-    return discovery.readiness(sessions, spoken, model.edges(spark, sf_dir))
+    # some sessions have got lost, and their capsules and edges have not
+    left = sessions.where(F.col("native_id").cast("bigint") % 17 != 3)
+    return discovery.readiness(left, spoken, model.edges(spark, sf_dir))
 
 
 @query
@@ -307,12 +309,12 @@ def told_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scoped_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey").cast("bigint")
+    n = F.col("doc_id").cast("bigint")
     adapter = F.when(n % 7 == 6, "codex").otherwise("opencode")
     scope = F.when(n % 5 == 3, F.lit("short")).otherwise(F.sha2(n.cast("string").cast("binary"), 256))
     sid = F.when(n % 9 == 8, F.lit("opencode:other:x")).otherwise(F.concat(F.lit("opencode:store:ses_"), n.cast("string")))
     body = F.format_string('{"schema_version":%d,"scopes":{"%s":{"%s":"%d"}}}', n % 4, scope, sid, n * 1000)
-    cursors = model.table(spark, sf_dir, "nation").select(adapter.alias("adapter"), F.lit("store").alias("namespace"), F.when(n == 4, F.lit("{")).otherwise(body).alias("cursor"))
+    cursors = model.table(spark, sf_dir, "documents").select(adapter.alias("adapter"), F.lit("store").alias("namespace"), F.when(n == 4, F.lit("{")).otherwise(body).alias("cursor"))
     kept, warnings = delta.scoped_cursors(cursors, "opencode", "store")
     kept = kept.groupBy(F.lit("kept").alias("code")).agg(F.count("*").alias("n"), F.min("source_id").alias("first"), F.count_if("revalidate").alias("again"))
     return kept.unionByName(warnings.groupBy("code").agg(F.count("*").alias("n"), F.lit(None).cast("string").alias("first"), F.lit(0).cast("bigint").alias("again")))
@@ -357,8 +359,9 @@ def _search(spark: SparkSession, sf_dir: str, words: str, where=None, stems: boo
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Builds the kept index of stems; how much each document gives."""
     _kept.pop((spark.sparkContext.applicationId, sf_dir, True), None)
-    _, docs = _index(spark, sf_dir, True)
-    return docs.select("source_id", "project_key", F.col("length").cast("bigint").alias("length"))
+    index, docs = _index(spark, sf_dir, True)
+    places = index.groupBy("source_id").agg(F.sum(F.size("positions")).alias("places"), F.max(F.array_max("positions")).cast("bigint").alias("last"))
+    return docs.select("source_id", "project_key", F.col("length").cast("bigint").alias("length")).join(places, "source_id")
 
 
 @query
@@ -401,13 +404,13 @@ def search_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _search(spark, sf_dir, "of the")
     names = _index(spark, sf_dir, False)[1].select("source_id", F.lit("{}").alias("content_json"))
     rows = search.shown(found, names)
-    return rows.select("source_id", "harness", "health", at("updated_at"), "title", F.contains("snippet", F.lit("[")).alias("marked"))
+    return rows.select("source_id", "harness", "health", at("updated_at"), "title", "snippet")
 
 
 @query
 def search_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = search.hints(_search(spark, sf_dir, "xyzzyx"))
-    return none.unionByName(search.hints(_search(spark, sf_dir, "of"))).groupBy().agg(F.count("*").alias("hints"))
+    return none.withColumn("query", F.lit("xyzzyx")).unionByName(search.hints(_search(spark, sf_dir, "of")).withColumn("query", F.lit("of")))
 
 
 # ---------------------------------------------------------------- graph
@@ -622,10 +625,10 @@ def text_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times in the forms that the sources write."""
-    n = F.col("n_nationkey").cast("bigint")
+    n = F.col("doc_id").cast("bigint")
     written = F.concat(F.lit("2024-03-0"), (1 + n % 9).cast("string"), F.lit("T10:20:30"), F.when(n % 2 == 0, ".250000").otherwise(""), F.when(n % 3 == 0, "Z").when(n % 3 == 1, "+02:00").otherwise(""))
     shown = lambda c: F.when(c.isNotNull(), text.rfc3339(c))
-    return model.table(spark, sf_dir, "nation").select(
+    return model.table(spark, sf_dir, "documents").select(
         n.alias("n"),
         shown(text.parse_time(written)).alias("strict"),
         shown(text.parse_time(written, naive_is_utc=True)).alias("naive"),
@@ -637,15 +640,15 @@ def time_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def task_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a text asks for: the first sentence with a task's verb, a called command, whether it is a host's envelope."""
-    n = F.col("n_nationkey").cast("bigint")
+    n = F.col("doc_id").cast("bigint")
     said = (
-        F.when(n % 5 == 0, F.concat(F.lit("Hello there.  (Fix the "), F.lower("n_name"), F.lit("!) Then rest.")))
-        .when(n % 5 == 1, F.concat(F.lit(" <environment_context> "), F.col("n_name")))
-        .when(n % 5 == 2, F.concat(F.lit("/thread  Search "), F.col("n_name")))
+        F.when(n % 5 == 0, F.concat(F.lit("Hello there.  (Fix the "), F.lower("source"), F.lit("!) Then rest.")))
+        .when(n % 5 == 1, F.concat(F.lit(" <environment_context> "), F.col("source")))
+        .when(n % 5 == 2, F.concat(F.lit("/thread  Search "), F.col("source")))
         .when(n % 5 == 3, F.lit("$thread"))
-        .otherwise(F.concat(F.lit("Nothing\n of "), F.col("n_name"), F.lit(". Really")))
+        .otherwise(F.concat(F.lit("Nothing\n of "), F.col("source"), F.lit(". Really")))
     )
-    return model.table(spark, sf_dir, "nation").select(
+    return model.table(spark, sf_dir, "documents").select(
         n.alias("n"), text.task_sentence(said).alias("task"), text.is_envelope(said).alias("envelope"),
         text.command_label(said, "thread", {"search": "Search", "link": "Link"}, "Thread").alias("command"),
         text.normal_goal(F.concat(F.lit("<user_query>"), said, F.lit("</user_query>"))).alias("goal"),
@@ -655,10 +658,10 @@ def task_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def home_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redaction of paths below people's folders, which need a look behind them, and of keys over several lines."""
-    n = F.col("n_nationkey").cast("bigint")
-    body = F.when(n % 4 == 0, F.concat(F.lit("see /home/"), F.lower("n_name"), F.lit("/x"))).when(n % 4 == 1, F.lit("x/home/ann/y C:\\Users\\bo\\z")).when(n % 4 == 2, F.lit("-----BEGIN RSA PRIVATE KEY-----\nab\ncd\n-----END RSA PRIVATE KEY----- /root")).otherwise(F.lit("/rooted (/Users/zoe)"))
+    n = F.col("doc_id").cast("bigint")
+    body = F.when(n % 4 == 0, F.concat(F.lit("see /home/"), F.lower("source"), F.lit("/x"))).when(n % 4 == 1, F.lit("x/home/ann/y C:\\Users\\bo\\z")).when(n % 4 == 2, F.lit("-----BEGIN RSA PRIVATE KEY-----\nab\ncd\n-----END RSA PRIVATE KEY----- /root")).otherwise(F.lit("/rooted (/Users/zoe)"))
     r = redaction.redact(body)
-    return model.table(spark, sf_dir, "nation").select(n.alias("n"), r["text"].alias("text"), r["count"].cast("bigint").alias("redactions"), F.array_join(r["labels"], ",").alias("labels"))
+    return model.table(spark, sf_dir, "documents").select(n.alias("n"), r["text"].alias("text"), r["count"].cast("bigint").alias("redactions"), F.array_join(r["labels"], ",").alias("labels"))
 
 
 # ---------------------------------------------------------------- choices and documents
