@@ -351,5 +351,14 @@ SELECT doc_id, whole, CASE WHEN json_type(v, '$.a') = 'VARCHAR' THEN v ->> '$.a'
 ORACLE["written_documents"] = f"""{_with(REDACTED)} SELECT 'doc-' || doc_id || '.md' AS name, sha256('# ' || lang || chr(10) || chr(10) || t5 || chr(10)) AS body FROM r5 JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"""
 
 
+ORACLE["stream_changes"] = """WITH one AS (SELECT doc_id AS n, sha256(text) AS f, doc_id % 13 <> 0 AS valid FROM documents WHERE doc_id % 10 <> 0),
+two AS (SELECT doc_id AS n, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS f, CASE WHEN doc_id % 21 <> 7 THEN doc_id % 14 <> 0 END AS valid FROM documents WHERE doc_id % 6 <> 5),
+met AS (SELECT n, one.f AS was, one.valid AS good, two.f AS f, two.valid AS valid, CASE WHEN one.f IS NULL THEN 'new' WHEN one.f = two.f AND one.valid THEN 'unchanged' ELSE 'changed' END AS op FROM two LEFT JOIN one USING (n)),
+took AS (SELECT *, op = 'unchanged' OR coalesce(valid, false) OR (valid IS NOT NULL AND was IS NULL) AS taken FROM met)
+SELECT CAST(n AS VARCHAR) AS source_id, 1 AS run, 'new' AS op, f AS fingerprint, valid AS validated, false AS retained FROM one
+UNION ALL SELECT CAST(n AS VARCHAR), 2, op, CASE WHEN taken THEN f ELSE was END, coalesce(CASE WHEN taken THEN op = 'unchanged' OR valid ELSE good END, false), op = 'changed' AND coalesce(NOT valid, false) FROM took
+UNION ALL SELECT CAST(n AS VARCHAR), 2, 'removed', f, valid, false FROM one WHERE n NOT IN (SELECT n FROM two) AND n % 4 <> 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -13,7 +13,7 @@ from threadloom.operators import capsules, catalog, context, delta, discovery, g
 from threadloom.plans import model
 from threadloom.plans.storage import folder, shared_dir, stored
 from threadloom.sources import sink
-from threadloom.streaming import index
+from threadloom.streaming import changes, index
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -806,6 +806,35 @@ def committed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "project_key", "health", at("updated_at"), F.coalesce("n_in", F.lit(0)).alias("n_in"))
 
 
+@query
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over documents as a stream of what they see: what is new, changed, unchanged and gone, by a state for each document."""
+    docs = model.table(spark, sf_dir, "documents")
+    n, none = F.col("doc_id"), F.lit(None)
+    place = folder(spark, "runs")
+
+    def send(k: int, rows: DataFrame) -> None:
+        rows.write.parquet(f"{place}/sent/{k}")
+
+    def seen(run: int, which, text_, valid) -> DataFrame:
+        print_ = F.sha2(text_.cast("binary"), 256)
+        return docs.where(which).select(n.cast("string").alias("source_id"), F.lit(run).cast("bigint").alias("run"), F.lit(run - 1).cast("bigint").alias("closed"), F.lit("seen").alias("kind"), print_.alias("fingerprint"), valid.alias("valid"))
+
+    def told(run: int, kind: str, rows: DataFrame, name) -> DataFrame:
+        return rows.select(name.cast("string").alias("source_id"), F.lit(run).cast("bigint").alias("run"), F.lit(run - 1).cast("bigint").alias("closed"), F.lit(kind).alias("kind"), none.cast("string").alias("fingerprint"), none.cast("boolean").alias("valid"))
+
+    one = spark.range(1)
+    send(1, seen(1, n % 10 != 0, F.col("text"), n % 13 != 0))
+    send(2, told(1, "closed", one, none))
+    later = F.when(n % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    send(3, seen(2, n % 6 != 5, later, F.when(n % 21 != 7, n % 14 != 0)).unionByName(told(2, "protected", docs.where(n % 4 == 1), n)))
+    send(4, told(2, "closed", one, none))
+    send(5, told(3, "closed", one, none))
+    changes.change_stream(spark, f"{place}/sent/*", f"{place}/told", f"{place}/state").awaitTermination()
+    rows = spark.read.schema(changes.CHANGES).parquet(f"{place}/told").where("run <= 2")
+    return rows.select("source_id", "run", "op", "fingerprint", F.coalesce("validated", F.lit(False)).alias("validated"), "retained")
+
+
 @query
 def guarded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON whose values are of one type or another, read by type."""
