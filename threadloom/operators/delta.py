@@ -72,6 +72,31 @@ def may_advance(warnings: DataFrame) -> DataFrame:
     return warnings.agg((~F.coalesce(F.bool_or(F.col("code") == "unresolved-project"), F.lit(False))).alias("advance"))
 
 
+def skipped(delta: DataFrame, spoken: DataFrame, built: DataFrame) -> DataFrame:
+    """Warnings of new and changed sources that a run passes over: without a readable turn (spoken: those with one), or without a capsule (built)."""
+    mark = lambda df, c: df.select("source_id", F.lit(True).alias(c)).distinct()
+    rows = delta.where(F.col("op").isin("new", "changed")).join(mark(spoken, "spoken"), "source_id", "left").join(mark(built, "built"), "source_id", "left")
+    code = F.when(F.col("spoken").isNull(), "session-not-indexed").when(F.col("built").isNull(), "capsule-not-built")
+    rows = rows.withColumn("code", code).where("code is not null")
+    message = F.when(F.col("code") == "session-not-indexed", "no turn of the changed session can be read").otherwise("no capsule can be made of the changed session")
+    return rows.select("code", message.alias("message"), "source_id", F.lit(None).cast("string").alias("project_hint"))
+
+
+def gated(prior: DataFrame, following: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The checkpoint that a run leaves: the following one, past sources that couldn't be read or built, so that one bad record
+    doesn't hold a source back for ever; the prior one while a project's folder isn't resolved."""
+    may = F.broadcast(may_advance(warnings))
+    columns = [c for c in prior.columns if c in following.columns]
+    return following.select(*columns).join(may.where("advance")).drop("advance").unionByName(prior.select(*columns).join(may.where("not advance")).drop("advance"))
+
+
+def rolled_up(statuses: DataFrame, by: list[str]) -> DataFrame:
+    """(by, status) of many statuses: broken or unavailable if all are, complete or ready if all are, else partial; of none unavailable."""
+    good, bad = F.col("status").isin("complete", "ready"), F.col("status").isin("unavailable", "broken")
+    status = F.when(F.coalesce(F.every(bad), F.lit(True)), "unavailable").when(F.every(good), "complete").otherwise("partial")
+    return statuses.groupBy(*by).agg(status.alias("status"))
+
+
 def counters(delta: DataFrame, excluded: DataFrame | None = None, refreshed: DataFrame | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """One row of a run's counters; those of tables that are given: sources of other projects, capsules relabelled, warnings."""
     rows = delta.agg(

@@ -360,5 +360,21 @@ UNION ALL SELECT CAST(n AS VARCHAR), 2, op, CASE WHEN taken THEN f ELSE was END,
 UNION ALL SELECT CAST(n AS VARCHAR), 2, 'removed', f, valid, false FROM one WHERE n NOT IN (SELECT n FROM two) AND n % 4 <> 1"""
 
 
+ORACLE["checkpoint_gate"] = f"""{_with(FINGERPRINTS)}, fresh AS (SELECT * FROM dlt WHERE op IN ('new', 'changed')),
+told AS (SELECT source_id, CASE WHEN doc_id % 21 = 0 THEN 'session-not-indexed' WHEN doc_id % 12 = 1 THEN 'capsule-not-built' END AS code FROM fresh)
+SELECT 0 AS run, code, count(*) AS n, max(source_id) AS last FROM told WHERE code IS NOT NULL GROUP BY code UNION ALL SELECT 1, 'checkpoint', count(*), max(fingerprint) FROM cur
+UNION ALL SELECT 2, 'checkpoint', count(*), max(previous) FROM old"""
+ORACLE["status_rollups"] = """WITH s AS (SELECT lang, source, CASE WHEN doc_id % 4 = 0 THEN 'partial' WHEN doc_id % 5 = 0 OR source IN ('src3', 'src4') THEN 'unavailable' ELSE 'complete' END AS status FROM documents WHERE NOT (lang = 'fr' AND doc_id % 20 <> 1))
+SELECT lang, source, CASE WHEN count(*) FILTER (WHERE status <> 'unavailable') = 0 THEN 'unavailable' WHEN count(*) FILTER (WHERE status <> 'complete') = 0 THEN 'complete' ELSE 'partial' END AS status FROM s GROUP BY ALL"""
+ORACLE["target_dispatch"] = f"""{_with(SESSIONS)}, free AS (SELECT project_key, native_id FROM sess WHERE adapter = 'codex' AND native_available AND n <> 2), k AS (SELECT project_key, count(*) AS c FROM free GROUP BY 1),
+q AS (SELECT n, native_id, adapter, project_key, native_available, coalesce(c, 0) AS c, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN 'none' ELSE native_id END AS cur FROM sess LEFT JOIN k USING (project_key)),
+r AS (SELECT *, CASE WHEN adapter = 'codex' THEN CASE WHEN c = 0 THEN 'no_eligible_target' WHEN cur IN (SELECT native_id FROM free f WHERE f.project_key = q.project_key) THEN 'host_id_match' WHEN cur IS NOT NULL THEN 'host_id_unknown' WHEN c = 1 THEN 'unique_candidate' ELSE 'ambiguous_target' END
+  WHEN adapter <> 'opencode' THEN 'unsupported-harness' WHEN n % 7 = 6 THEN 'missing-host-context' WHEN n % 7 IN (0, 2) THEN 'malformed-host-context' WHEN n % 7 = 3 THEN 'host-source-mismatch' WHEN n % 7 = 1 THEN 'host-project-mismatch'
+  WHEN n = 2 THEN 'selected_source' WHEN NOT native_available THEN 'unavailable_target' WHEN n % 7 = 4 THEN 'stale_index' ELSE 'host_id_match' END AS code FROM q)
+SELECT native_id AS request, CASE WHEN adapter = 'codex' THEN CASE WHEN code = 'no_eligible_target' THEN 'unavailable' WHEN code IN ('host_id_match', 'unique_candidate') THEN 'resolved' ELSE 'confirmation_required' END WHEN code = 'host_id_match' THEN 'confirmation_required' ELSE 'unavailable' END AS kind,
+       code, CAST(CASE WHEN adapter = 'codex' THEN c WHEN code = 'host_id_match' THEN 1 ELSE 0 END AS VARCHAR) AS candidates FROM r"""
+ORACLE["target_candidates"] = f"""{_with(SESSIONS)} SELECT source_id, CASE WHEN n % 5 = 0 THEN 'project-hint-unavailable' ELSE 'candidate' END AS code FROM sess WHERE adapter = 'codex' AND (n % 5 = 0 OR project_key = 'p2')"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

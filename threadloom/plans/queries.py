@@ -128,6 +128,65 @@ def project_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.project_map(hints, "/work/src1").select("project_key", "scope")
 
 
+@query
+def checkpoint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two runs leave as their checkpoint, one of which has met a folder that it can't resolve; both pass over bad sources."""
+    now, old = _fingerprints(spark, sf_dir)
+    n = F.col("source_id").cast("bigint")
+    found = delta.fingerprint_delta(now, old)
+    told = delta.skipped(found, now.where(n % 21 != 0), now.where(n % 12 != 1))
+    following = now.withColumn("validated", F.lit(True))
+    unresolved = model.table(spark, sf_dir, "documents").where("doc_id = 3").select(F.lit("unresolved-project").alias("code"))
+    runs = [delta.gated(old, following, w).groupBy(F.lit(k).alias("run"), F.lit("checkpoint").alias("code")).agg(F.count("*").alias("n"), F.max("fingerprint").alias("last")) for k, w in ((1, told.select("code")), (2, told.select("code").unionByName(unresolved)))]
+    return runs[0].unionByName(runs[1]).unionByName(told.groupBy(F.lit(0).alias("run"), "code").agg(F.count("*").alias("n"), F.max("source_id").alias("last"))).select(F.col("run").cast("bigint").alias("run"), "code", "n", "last")
+
+
+@query
+def status_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sources were read, by language and source, rolled up."""
+    n = F.col("doc_id")
+    status = F.when(n % 4 == 0, "partial").when((n % 5 == 0) | F.col("source").isin("src3", "src4"), "unavailable").otherwise("complete")
+    rows = model.table(spark, sf_dir, "documents").where(~((F.col("lang") == "fr") & (n % 20 != 1))).select("lang", "source", status.alias("status"))
+    return delta.rolled_up(rows, ["lang", "source"])
+
+
+@query
+def target_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of requests by harness, as documents: by what the host tells, where its harness has a host that tells."""
+    n = F.col("native_id").cast("bigint")
+    sid = F.concat(F.lit("ses_"), n.cast("string"))
+    sessions = model.sessions(spark, sf_dir).withColumn("native_id", F.when(F.col("adapter") == "opencode", sid).otherwise(F.col("native_id"))).withColumn("fingerprint", F.concat(F.lit("f"), "native_id"))
+    base = model.sessions(spark, sf_dir)
+    project = F.concat(F.lit("/work/"), "project_key")
+    known = base.select(project.alias("root"), F.concat(project, F.lit("/.git")).alias("common")).distinct()
+    keyed = projects.resolve(base.select(project.alias("project_hint")), known).select(F.regexp_extract("project_hint", r"/work/(.*)$", 1).alias("project_key"), F.col("project_key").alias("key"))
+    sessions = sessions.join(keyed, "project_key").drop("project_key").withColumnRenamed("key", "project_key")
+    asked = base.join(keyed, "project_key").select("native_id", F.col("adapter").alias("harness"), F.col("key").alias("project_key"), project.alias("root"))
+    current = F.when(n % 4 == 0, F.lit(None).cast("string")).when(n % 4 == 1, "none").otherwise(F.col("native_id"))
+    requests = asked.select(F.col("native_id").alias("request"), "harness", "project_key", current.alias("current_native_id"))
+    hosts = asked.where((F.col("harness") == "opencode") & (n % 7 != 6)).select(
+        F.col("native_id").alias("request"),
+        F.when(n % 7 == 0, F.concat(F.lit("bad "), sid)).otherwise(sid).alias("session_id"),
+        F.when(n % 7 == 1, F.concat("root", F.lit("x"))).when(n % 7 == 2, F.lit("nowhere")).otherwise(F.concat("root", F.lit("/src/"))).alias("directory"),
+        F.col("root").alias("worktree"), F.lit("opencode").alias("adapter"),
+        F.when(n % 7 == 3, F.lit("ses_other")).otherwise(sid).alias("native_id"), F.concat("root", F.lit("//")).alias("project_hint"), F.when(n % 7 == 4, "old").otherwise(F.concat(F.lit("f"), sid)).alias("fingerprint"),
+    )
+    found = targets.dispatch(requests, sessions, targets.host_context(hosts, known), sessions.where(F.col("source_id") == model.source_id(F.lit(2)).cast("string")))
+    rows = targets.document(found)
+    return rows.select("request", F.get_json_object("document", "$.kind").alias("kind"), F.get_json_object("document", "$.code").alias("code"), F.get_json_object("document", "$.candidate_count").alias("candidates"))
+
+
+@query
+def target_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a project's folders, and warnings of those whose folder leads nowhere."""
+    n = F.col("native_id").cast("bigint")
+    hint = F.when(n % 5 == 0, F.lit("nowhere")).when(n % 5 == 1, F.concat(F.lit("/work/"), "project_key", F.lit("/src//"))).otherwise(F.concat(F.lit("/work/"), "project_key"))
+    records = model.sessions(spark, sf_dir).withColumn("project_hint", hint)
+    known = records.select(F.concat(F.lit("/work/"), "project_key").alias("root"), F.concat(F.lit("/work/"), "project_key", F.lit("/.git")).alias("common")).distinct()
+    found, told = targets.discovered(records, known, "/work/p2/deep")
+    return found.select("source_id", F.lit("candidate").alias("code")).unionByName(told.select("source_id", "code"))
+
+
 @query
 def git_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects of folders, by the innermost repository around each: nested ones, worktrees, submodules, URLs and dots."""
