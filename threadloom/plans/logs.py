@@ -182,8 +182,43 @@ def reread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.element_at(F.split("source_id", ":"), -1).alias("native_id"), "read_status", "code", F.coalesce("turns", F.lit(0)).alias("turns"))
 
 
+def reread_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one source read again by their exports, some of which are refused for each reason that there is."""
+    root = written(spark, sf_dir)
+    n = F.substring("native_id", 5, 20).cast("bigint")
+    records = scan(spark, sf_dir, "opencode").sessions.select(
+        "source_id", F.when(n % 8 == 1, "codex").otherwise(F.col("adapter")).alias("adapter"), F.when(n % 8 == 2, F.concat("native_id", F.lit("x"))).otherwise(F.col("native_id")).alias("native_id"),
+        F.when(n % 8 == 3, "sha").when(n % 8 == 4, "7").otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(n % 8 == 5, "session:other").when(n % 8 == 2, F.concat("locator", F.lit("x"))).otherwise(F.col("locator")).alias("locator"), F.when(n % 8 == 6, "/elsewhere").otherwise(F.concat("project_hint", F.lit("//"))).alias("project_hint"),
+    )
+    turns, heads, warnings = logs.reread_exports(spark, records, f"{root}/opencode/exports", 0, 2)
+    told = warnings.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    count = turns.groupBy("source_id").agg(F.count("*").alias("turns"))
+    rows = heads.join(told, "source_id", "left").join(count, "source_id", "left")
+    return rows.select(F.element_at(F.split("source_id", ":"), -1).alias("native_id"), "read_status", "model_id", "codes", F.coalesce("turns", F.lit(0)).alias("turns"))
+
+
+def antigravity_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of one workspace alone."""
+    root = f"{written(spark, sf_dir)}/antigravity"
+    found = logs.antigravity(spark, f"{root}/history", f"{root}/brain", "/work/p1/")
+    return found.sessions.join(found.turns.groupBy("source_id").agg(F.count("*").alias("turns")), "source_id").select("native_id", "title", "project_hint", "turns")
+
+
+def export_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of exports by the version of the program that wrote them."""
+    root = f"{written(spark, sf_dir)}/opencode"
+    out = None
+    for version in ("1.17.17", "v1.17.18", "1.99.0", "2.0.0", "new"):
+        found = logs.opencode(spark, f"{root}/session-list.json", f"{root}/exports", version=version)
+        code = found.warnings.where("code = 'unsupported-version'").agg(F.count("*").alias("refused"))
+        row = found.sessions.agg(F.count("*").alias("sessions")).join(F.broadcast(code)).select(F.lit(version).alias("version"), "sessions", "refused")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"log_warnings": log_warnings, "log_fingerprints": log_fingerprints, "claude_fingerprints": claude_fingerprints, "reread_records": reread_records}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"log_warnings": log_warnings, "log_fingerprints": log_fingerprints, "claude_fingerprints": claude_fingerprints, "reread_records": reread_records, "reread_exports": reread_exports, "antigravity_workspace": antigravity_workspace, "export_versions": export_versions}
     for s in WRITERS:
         out |= {f"{s}_turns": _turns(s), f"{s}_sessions": _sessions(s)}
     return out
@@ -246,4 +281,12 @@ SELECT id AS native_id, sha256(CASE WHEN n % 3 = 0 THEN '{{"type": "ai-title", "
     out["reread_records"] = f"""WITH {TALK}, s AS (SELECT n, id, count(*) AS k FROM say JOIN talk USING (n) GROUP BY 1, 2),
 c AS (SELECT *, CASE n % 7 WHEN 1 THEN 'missing-source' WHEN 2 THEN 'wrong-source' WHEN 3 THEN 'source-changed' WHEN 4 THEN 'identity-mismatch' WHEN 5 THEN 'source-changed-during-read' END AS code FROM s)
 SELECT CASE n % 7 WHEN 1 THEN id || 'x' ELSE id END AS native_id, CASE WHEN code IS NOT NULL THEN 'unavailable' ELSE 'complete' END AS read_status, code, CASE WHEN code IS NULL THEN least(k, 2) ELSE 0 END AS turns FROM c"""
+    out["reread_exports"] = f"""WITH {TALK}, s AS (SELECT n, count(*) AS k FROM say GROUP BY 1),
+c AS (SELECT *, CASE n % 8 WHEN 1 THEN 'wrong-source' WHEN 2 THEN 'missing-source' WHEN 3 THEN 'unsupported-fingerprint' WHEN 5 THEN 'identity-mismatch' WHEN 6 THEN 'project-mismatch' END AS code FROM s)
+SELECT 'ses_' || n AS native_id, CASE WHEN code IS NOT NULL THEN 'unavailable' WHEN n % 8 = 4 OR n % 5 = 0 THEN 'partial' ELSE 'complete' END AS read_status, CASE WHEN code IS NULL THEN 'm' || (n % 3) END AS model_id,
+       coalesce(code, nullif(concat_ws(',', CASE WHEN n % 5 = 0 THEN 'malformed-message' END, CASE WHEN n % 8 = 4 THEN 'source-changed' END), '')) AS codes, CASE WHEN code IS NULL THEN least(k, 2) ELSE 0 END AS turns FROM c"""
+    out["antigravity_workspace"] = f"""WITH {TALK} SELECT id AS native_id, CASE n % 3 WHEN 0 THEN 'Title ' || n END AS title, '/work/p1' AS project_hint, count(*) AS turns FROM say JOIN talk USING (n)
+WHERE n % 4 = 1 AND (role = 'user' OR length(text) <= 4096) AND trim(text) <> '' GROUP BY n, id"""
+    out["export_versions"] = f"""WITH {TALK}, v AS (SELECT version, version IN ('v1.17.18', '1.99.0') AS good FROM (VALUES ('1.17.17'), ('v1.17.18'), ('1.99.0'), ('2.0.0'), ('new')) q(version))
+SELECT version, CASE WHEN good THEN (SELECT least(count(*), 500) FROM talk) ELSE 0 END AS sessions, CASE WHEN good THEN 0 ELSE 1 END AS refused FROM v"""
     return out

@@ -278,6 +278,57 @@ def supported_version(version: Column) -> Column:
     return F.when(ok, (parts >= F.array(*map(F.lit, OPENCODE_LEAST))) & (parts < F.array(*map(F.lit, OPENCODE_BELOW)))).otherwise(False)
 
 
+#: An export: what is known of a session, and its messages.
+EXPORT = "info struct<id:string,directory:string,model:struct<id:string,providerID:string,variant:string>,time:struct<created:bigint,updated:bigint>>, messages array<struct<info:struct<id:string,sessionID:string,role:string,time:struct<created:bigint>>,parts:array<struct<type:string,text:string,ignored:boolean>>>>"
+
+
+def _export_turns(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns of exports (source_id, nid, r) with created and mid, messages that aren't of that session or lack what a turn needs)."""
+    said = files.select("source_id", "nid", F.posexplode("r.messages").alias("at_", "m"))
+    info = F.col("m.info")
+    fine = info["id"].isNotNull() & (info["sessionID"] == F.col("nid")) & info["time"]["created"].isNotNull() & info["role"].isin("user", "assistant")
+    told = said.where(fine).withColumn("n", F.row_number().over(Window.partitionBy("source_id", info["id"]).orderBy("at_"))).where("n = 1")
+    parts = F.filter("m.parts", lambda p: (p["type"] == "text") & ~F.coalesce(p["ignored"], F.lit(False)) & p["text"].isNotNull())
+    told = told.select("source_id", F.when(info["role"] == "user", "user").otherwise("agent").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.concat(F.lit("message:"), info["id"]).alias("locator"), text.epoch_time(info["time"]["created"], "ms").alias("at"), info["time"]["created"].alias("created"), info["id"].alias("mid"))
+    return told, said.where(~F.coalesce(fine, F.lit(False)))
+
+
+def reread_exports(spark: SparkSession, records: DataFrame, exports: str, start: int = 0, stop: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(turns of the half-open range, (source_id, read_status, model_id, model_provider, effort), warnings) of chosen records, each by its own export.
+
+    records: source_id, adapter, native_id, fingerprint (the time of the last update, as a number), locator, project_hint.
+    An export is a file of its session's name. A record is refused if it isn't of this source, isn't told by such a number,
+    or has another place, if there is no export that can be read, or if that is of another session or project. An export
+    that has been updated since is read, and told.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
+    files = files.select(_stem(F.col("_metadata.file_path")).alias("file"), guarded.parsed(F.col("value"), EXPORT).alias("r"))
+    rows = records.join(files, F.col("native_id") == F.col("file"), "left")
+    folder = lambda c: F.regexp_replace(c, r"/+\z", "")
+    info = F.col("r.info")
+    code = (
+        F.when(~F.coalesce(F.col("adapter") == "opencode", F.lit(False)), "wrong-source")
+        .when(~F.coalesce(F.rlike("fingerprint", F.lit(r"\A[0-9]+\z")), F.lit(False)), "unsupported-fingerprint")
+        .when(~F.coalesce(F.col("locator") == F.concat(F.lit("session:"), "native_id"), F.lit(False)), "identity-mismatch")
+        .when(F.col("file").isNull(), "missing-source")
+        .when(F.col("r.messages").isNull(), "malformed-export")
+        .when(~F.coalesce(info["id"] == F.col("native_id"), F.lit(False)), "identity-mismatch")
+        .when(~F.coalesce(folder(info["directory"]) == folder(F.col("project_hint")), F.lit(False)), "project-mismatch")
+    )
+    rows = stored(rows.withColumn("code", code).withColumn("nid", F.col("native_id")), "exports")
+    kept = rows.where("code is null")
+    told, broken = _export_turns(kept)
+    turns = selected(_turns(told, 0, ("created", "mid")), start, stop)
+    refused = _warnings(rows.where("code is not null"), F.col("code"), F.lit("the record wasn't read"))
+    changed = _warnings(kept.where(~info["time"]["updated"].cast("string").eqNullSafe(F.col("fingerprint"))), "source-changed", F.lit("the export is newer than the record"))
+    warnings = refused.unionByName(changed).unionByName(_warnings(broken, "malformed-message", F.col("at_").cast("string")))
+    n, w = turns.groupBy("source_id").agg(F.count("*").alias("turns")), warnings.groupBy("source_id").agg(F.count("*").alias("warned"))
+    heads = rows.select("source_id", *(text.header_value(F.when(F.col("code").isNull(), info["model"][f])).alias(c) for f, c in (("id", "model_id"), ("providerID", "model_provider"), ("variant", "effort"))))
+    heads = heads.join(n, "source_id", "left").join(w, "source_id", "left")
+    status = F.when(F.coalesce("turns", F.lit(0)) == 0, "unavailable").when(F.col("warned").isNotNull(), "partial").otherwise("complete")
+    return turns, heads.select("source_id", status.alias("read_status"), "model_id", "model_provider", "effort"), warnings
+
+
 def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | None = None, version: str | None = None) -> Scan:
     """A catalog, one JSON array of sessions, and a JSON export of each session. `version`: of the program that wrote them,
     if it is known; with one whose exports aren't understood nothing is read."""
@@ -296,9 +347,8 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     rows = rows.select("e", updated.alias("u"), created.alias("c"), *_identity("opencode", ns, F.col("e.id")), F.concat(F.lit("session:"), F.col("e.id")).alias("locator"))
     good = F.rlike("e.id", F.lit(r"^ses_[A-Za-z0-9_-]{1,128}$")) & (F.trim("e.title") != "") & (F.col("u") >= 0) & (F.col("c") >= 0)
     good = F.coalesce(good, F.lit(False))
-    one = "info struct<id:string,directory:string,model:struct<id:string,providerID:string,variant:string>,time:struct<created:bigint,updated:bigint>>, messages array<struct<info:struct<id:string,sessionID:string,role:string,time:struct<created:bigint>>,parts:array<struct<type:string,text:string,ignored:boolean>>>>"
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", guarded.parsed(F.col("value"), one)).where("r.info.id is not null and path not like '%session-list%'")
+    files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", guarded.parsed(F.col("value"), EXPORT)).where("r.info.id is not null and path not like '%session-list%'")
     ids = rows.select("source_id", F.col("native_id").alias("nid"), "u")
     files = files.join(ids, F.col("r.info.id") == F.col("nid"))
     m = F.col("r.info.model")
@@ -307,16 +357,11 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
         "source_id", "adapter", "namespace", "native_id", "locator", F.col("u").cast("string").alias("fingerprint"), F.col("e.directory").alias("project_hint"), text.epoch_time(F.col("c"), "ms").alias("started_at"),
         text.epoch_time(F.col("u"), "ms").alias("updated_at"), F.col("e.title").alias("title"), F.lit("unknown").alias("health"), "model_id", "model_provider", "effort",
     )
-    said = files.select("source_id", "nid", F.posexplode("r.messages").alias("at_", "m"))
-    info = F.col("m.info")
-    fine = info["id"].isNotNull() & (info["sessionID"] == F.col("nid")) & info["time"]["created"].isNotNull() & info["role"].isin("user", "assistant")
-    told = said.where(fine).withColumn("n", F.row_number().over(Window.partitionBy("source_id", info["id"]).orderBy("at_"))).where("n = 1")
-    parts = F.filter("m.parts", lambda p: (p["type"] == "text") & ~F.coalesce(p["ignored"], F.lit(False)) & p["text"].isNotNull())
-    told = told.select("source_id", F.when(info["role"] == "user", "user").otherwise("agent").alias("role"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.concat(F.lit("message:"), info["id"]).alias("locator"), text.epoch_time(info["time"]["created"], "ms").alias("at"), info["time"]["created"].alias("created"), info["id"].alias("mid"))
+    told, broken_messages = _export_turns(files)
     stale = files.where(F.col("r.info.time.updated") != F.col("u"))
     broken = files.where("r.messages is null")
     warnings = _warnings(rows.where(~good), "unsupported-session", F.col("locator")).unionByName(_warnings(stale, "source-changed", F.col("path"))).unionByName(_warnings(broken, "malformed-export", F.col("path")))
-    warnings = warnings.unionByName(_warnings(crowded, "catalog-limit", F.concat(F.lit("more than "), F.lit(str(CATALOG_LIMIT))))).unionByName(_warnings(said.where(~F.coalesce(fine, F.lit(False))), "malformed-message", F.col("at_").cast("string")))
+    warnings = warnings.unionByName(_warnings(crowded, "catalog-limit", F.concat(F.lit("more than "), F.lit(str(CATALOG_LIMIT))))).unionByName(_warnings(broken_messages, "malformed-message", F.col("at_").cast("string")))
     return Scan(_sessions(sessions), _turns(told, 0, ("created", "mid")), warnings)
 
 
