@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions import redaction, text
+from threadloom.functions import guarded, redaction, text
 from threadloom.schema import CAPABILITIES, CAPABILITY_FLAGS, HEALTH_LABELS
 
 PAGE = 5
@@ -56,6 +56,24 @@ def browse(sessions: DataFrame, turns: DataFrame, where: Column, excluded: DataF
     return rows.join(first_user_excerpt(turns), "source_id", "left").orderBy(*order)
 
 
+def browse_kept(capsules: DataFrame, sessions: DataFrame, where: Column, excluded: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """As browse(), from the capsules that a catalog keeps: sessions with a capsule, its label, header and first words of a user. No turn is read, and no
+    capsule but those of the rows that are left."""
+    if limit is not None and limit < 1:
+        raise ValueError("a limit is at least 1")
+    rows = sessions.where(where)
+    if excluded is not None:
+        rows = without(rows, excluded)
+    rows = rows.join(capsules.select("source_id").distinct(), "source_id", "left_semi")
+    order = (F.desc("updated_at"), F.asc("source_id"))
+    if limit is not None:
+        rows = rows.orderBy(*order).limit(limit)
+    body = "display_name string, excerpts array<struct<role:string,text:string>>, session_header struct<effort:string,model_id:string,model_provider:string,visible_turn_count:bigint>"
+    held = capsules.select("source_id", guarded.parsed(F.col("content_json"), body).alias("c"))
+    asked = F.get(F.filter("c.excerpts", lambda e: (e["role"] == "user") & ~text.is_envelope(e["text"])), F.lit(0))["text"]
+    return rows.join(held, "source_id").select(*rows.columns, "c.display_name", "c.session_header.*", asked.alias("excerpt")).orderBy(*order)
+
+
 def items(rows: DataFrame, *also: str) -> DataFrame:
     """Rows as they are shown: redacted again, own and native ids masked, names and snippets bounded; `also`: columns kept as they are."""
 

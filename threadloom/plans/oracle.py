@@ -376,5 +376,11 @@ SELECT native_id AS request, CASE WHEN adapter = 'codex' THEN CASE WHEN code = '
 ORACLE["target_candidates"] = f"""{_with(SESSIONS)} SELECT source_id, CASE WHEN n % 5 = 0 THEN 'project-hint-unavailable' ELSE 'candidate' END AS code FROM sess WHERE adapter = 'codex' AND (n % 5 = 0 OR project_key = 'p2')"""
 
 
+ORACLE["browse_kept"] = f"""{_with(SESSIONS, TURNS)}, cap AS ({ORACLE["capsule_excerpts"]}), lab AS ({ORACLE["capsule_labels"]}),
+own AS (SELECT source_id, arg_min(cap.text, ordinal) AS excerpt FROM cap JOIN (SELECT source_id, ordinal, role FROM trn) USING (source_id, ordinal) WHERE role = 'user' GROUP BY 1), k AS (SELECT source_id, count(*) AS k FROM trn GROUP BY 1)
+SELECT source_id, display_name, adapter, health, {TIME.format("updated_at")} AS updated_at, k AS visible_turn_count, excerpt FROM sess JOIN lab USING (source_id) JOIN k USING (source_id) LEFT JOIN own USING (source_id)
+WHERE project_key = 'p1' AND n % 13 <> 5 ORDER BY sess.updated_at DESC, source_id LIMIT 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -982,6 +982,14 @@ def search_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "display_name", "harness", "health", at("updated_at"), F.lower(F.regexp_extract("snippet", r"\[(\w+)\]", 1)).alias("hit"))
 
 
+@query
+def browse_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project's newest sessions from the capsules of a catalog of several segments."""
+    held = _segments(spark, sf_dir).tables()
+    rows = discovery.browse_kept(held["capsules"], held["sessions"], discovery.filters("p1"), limit=20)
+    return rows.select("source_id", "display_name", "adapter", "health", at("updated_at"), "visible_turn_count", "excerpt")
+
+
 @query
 def segment_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the segments hold of each document's whole words, and the numbers of documents that are kept beside them."""
