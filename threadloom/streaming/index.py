@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.operators import capsules, catalog, search
+from threadloom.plans.storage import dropped, stored
 
 #: A stream's rows: a whole session in each, as a loader gives it, with its turns.
 STREAM = "source_id string, project_key string, adapter string, native_id string, fingerprint string, title string, health string, started_at timestamp, updated_at timestamp, op string, turns array<struct<ordinal:int,role:string,text:string,locator:string>>"
@@ -41,6 +42,7 @@ def _applied(store: catalog.Catalog, last: DataFrame) -> dict[str, int]:
     held = store.tables()
     was = held["sessions"].select("source_id", F.col("fingerprint").alias("was"), F.col("project_key").alias("was_in")) if held else last.select("source_id", "fingerprint", "project_key").toDF("source_id", "was", "was_in").limit(0)
     last = last.join(was, "source_id", "left").where((F.col("op") == "removed") | F.col("was").isNull() | (F.col("was") != F.col("fingerprint"))).persist()
+    made: list[DataFrame] = []
     try:
         fresh = last.where("op <> 'removed'")
         n = {"indexed": fresh.count(), "removed": last.where("op = 'removed' and was is not null").count()}
@@ -52,8 +54,10 @@ def _applied(store: catalog.Catalog, last: DataFrame) -> dict[str, int]:
         sessions = fresh.drop("op", "turns", "was", "was_in").withColumn("native_available", F.lit(True))
         turns = fresh.select("source_id", F.explode("turns").alias("t")).select("source_id", "t.*")
         documents = capsules.build(sessions, turns)
-        documents = documents.withColumn("length", F.size(search.words(F.col("search_text"))))
-        index = search.with_blocks(search.postings(documents), documents)
+        # written once: a sort by ranges looks at its rows before it deals them, and several tables come of each
+        documents = stored(documents.withColumn("length", F.size(search.words(F.col("search_text")))), "batch-capsules")
+        index = stored(search.with_blocks(search.postings(documents), documents), "batch-postings")
+        made += [documents, index]
         best = search.maxima(index)
         # the rows that a session had in the part where it was
         touched = last.where("was_in is not null").select(F.col("was_in").alias("project_key"), "source_id", "op")
@@ -80,6 +84,8 @@ def _applied(store: catalog.Catalog, last: DataFrame) -> dict[str, int]:
         return n
     finally:
         last.unpersist()
+        for table in made:
+            dropped(table)
 
 
 def index_stream(spark: SparkSession, incoming: str, root: str, checkpoint: str, on_batch: Callable[[dict[str, int]], None] | None = None):
