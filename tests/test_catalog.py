@@ -62,9 +62,16 @@ def test_two_writers_on_two_parts_both_stand(spark, tmp_path):
 def test_writers_at_once(spark, tmp_path):
     """Eight writers that each add a row to one part, at the same time, again until they succeed."""
     catalog.Catalog(spark, str(tmp_path / "c")).commit({"t": rows(spark, ("x", "p", 0))})
-    refused = []
+    refused, died = [], []
 
     def work(i):
+        try:
+            add(i)
+        except BaseException as e:
+            died.append(e)
+            raise
+
+    def add(i):
         store = catalog.Catalog(spark, str(tmp_path / "c"))
         while True:
             try:
@@ -80,17 +87,40 @@ def test_writers_at_once(spark, tmp_path):
     for t in threads:
         t.join()
     store = catalog.Catalog(spark, str(tmp_path / "c"))
-    assert ids(store) == sorted(["x", *(f"w{i}" for i in range(8))]) and store.current()["number"] == 9
+    assert not died and ids(store) == sorted(["x", *(f"w{i}" for i in range(8))]) and store.current()["number"] == 9
     assert not list((tmp_path / "c" / "versions").glob("*.draft"))
 
 
+def test_a_swept_number_is_not_taken_again(spark, tmp_path, monkeypatch):
+    """A writer that stops between its look at the newest version and its own, while others write and sweep that number."""
+    one, two = (catalog.Catalog(spark, str(tmp_path / "c")) for _ in range(2))
+    a, b = projects_apart()
+    one.commit({"t": rows(spark, ("x", a, 1), ("y", b, 1))})
+    held, real, done = two.tables(), catalog.Catalog._publish, []
+
+    def slow(self, number, text):
+        if self is two and not done:
+            done.append(1)
+            for i in range(3):
+                one.change({"t": rows(spark, (f"n{i}", a, i))}, {}, [one.part_of(a)])
+        return real(self, number, text)
+
+    monkeypatch.setattr(catalog.Catalog, "_publish", slow)
+    with pytest.raises(catalog.Conflict):
+        two.change({"t": rows(spark, ("late", b, 1))}, {}, [two.part_of(b)], read=held.version)
+    assert ids(one) == ["n0", "n1", "n2", "x", "y"]
+    two.tables()
+    two.change({"t": rows(spark, ("late", b, 1))}, {}, [two.part_of(b)])
+    assert ids(one) == ["late", "n0", "n1", "n2", "x", "y"]
+
+
 def test_a_number_is_taken_once(spark, tmp_path):
     store = catalog.Catalog(spark, str(tmp_path / "c"))
     done, lost = [], []
 
     def work(i):
         try:
-            store._publish(7, json.dumps({"schema_version": 3, "number": 7, "by": i, "tables": {}}))
+            store._publish(7, json.dumps({"schema_version": 3, "number": 7, "id": "i", "by": i, "tables": {}}))
             done.append(i)
         except catalog.Conflict:
             lost.append(i)

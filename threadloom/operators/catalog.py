@@ -166,6 +166,8 @@ class Catalog:
     """
 
     VERSION, PARTS, KEPT, PATIENCE = 3, 64, 2, 86400
+    #: Numbers of swept versions that are remembered, so that a slow writer can't take one again.
+    MARKS = 10_000
     #: A segment is joined with those after it if it is at most so many times their size.
     GROWTH = 2
     #: From each form to the next; a form is a whole version file, so a crash between two steps loses nothing.
@@ -191,7 +193,13 @@ class Catalog:
         return sorted(int(m[1]) for n in self._list("versions") if (m := re.fullmatch(r"(\d+)\.json", n)))
 
     def _text(self, name: str) -> str:
-        stream = self._fs().open(self._path(name))
+        """A file's text; FileNotFoundError if it has gone meanwhile."""
+        try:
+            stream = self._fs().open(self._path(name))
+        except Exception as e:  # the store's own kinds of error
+            if self._fs().exists(self._path(name)):
+                raise
+            raise FileNotFoundError(name) from e
         try:
             return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
         finally:
@@ -208,24 +216,37 @@ class Catalog:
         held = self._parsed(f"versions/{number:012d}.json")
         return held if held and held["schema_version"] == self.VERSION else None
 
+    def _listed(self, most: int) -> tuple[list[dict], int]:
+        """The newest whole versions of whatever form, at most so many, and the highest number that is taken, of one listing.
+
+        A version that goes while it is read has been followed by others, so they are listed again.
+        """
+        while True:
+            numbers, found = self._numbers(), []
+            try:
+                for n in reversed(numbers):
+                    if len(found) < most and (held := self._parsed(f"versions/{n:012d}.json")) is not None:
+                        found.append(held)
+                if not numbers and self._fs().exists(self._path("CURRENT")):
+                    found = [x for x in [self._parsed("CURRENT")] if x is not None]
+                return found, max([0, *numbers])
+            except FileNotFoundError:
+                continue
+
     def _latest(self) -> dict | None:
         """The newest whole version of whatever form."""
-        for n in reversed(self._numbers()):
-            if (held := self._parsed(f"versions/{n:012d}.json")) is not None:
-                return held
-        return self._parsed("CURRENT") if self._fs().exists(self._path("CURRENT")) else None
+        return next(iter(self._listed(1)[0]), None)
 
-    def _whole(self, most: int) -> list[dict]:
-        """The newest whole versions, at most so many. A catalog of an unknown form is an error, and so is one that wants a migration."""
-        held = self._latest()
-        if held is not None and held["schema_version"] != self.VERSION:
-            newer = held["schema_version"] > self.VERSION
+    def _checked(self, found: list[dict]) -> list[dict]:
+        """Versions of the present form. A catalog of an unknown form is an error, and so is one that wants a migration."""
+        if found and found[0]["schema_version"] != self.VERSION:
+            held, newer = found[0], found[0]["schema_version"] > self.VERSION
             raise ValueError(f"the catalog's version {held['schema_version']} is {'newer' if newer else 'older'} than {self.VERSION}" + ("" if newer else ": migrate() it"))
-        found: list[dict] = []
-        for n in reversed(self._numbers()):
-            if len(found) < most and (held := self._read(n)) is not None:
-                found.append(held)
-        return found
+        return [x for x in found if x["schema_version"] == self.VERSION]
+
+    def _whole(self, most: int) -> list[dict]:
+        """The newest whole versions, at most so many."""
+        return self._checked(self._listed(most)[0])
 
     def current(self) -> dict | None:
         return next(iter(self._whole(1)), None)
@@ -242,7 +263,7 @@ class Catalog:
             if step is None:
                 raise ValueError(f"no migration leads on from {held['schema_version']}")
             number = max([0, *self._numbers()]) + 1
-            self._publish(number, json.dumps(step(self, held) | {"number": number}))
+            self._publish(number, json.dumps(step(self, held) | {"number": number, "id": uuid.uuid4().hex}))
             done.append(held["schema_version"] + 1)
         self.current()
         return done
@@ -447,21 +468,35 @@ class Catalog:
     def _settle(self, read: dict, touched: list[str] | None, reads: Iterable[str] | None, put, folders: list[str]) -> int:
         """Publishes what put() makes of the newest version, unless what was read has changed in it."""
         while True:
-            now = self.current() or EMPTY
+            # of one listing: a number that is taken after it can't be taken again
+            found, last = self._listed(1)
+            now = next(iter(self._checked(found)), EMPTY)
             names = {*read["tables"], *now["tables"]} if reads is None else set(reads)
             if now["number"] != read["number"] and any(self._state(read, n, touched) != self._state(now, n, touched) for n in names):
                 self._remove(folders)
                 raise Conflict(f"what was read in version {read['number']} isn't so in version {now['number']}")
-            numbers = self._numbers()
-            version = {"schema_version": self.VERSION, "number": (numbers[-1] if numbers else 0) + 1, "tables": put(now["tables"])}
+            version = {"schema_version": self.VERSION, "number": last + 1, "id": uuid.uuid4().hex, "tables": put(now["tables"])}
             try:
                 self._publish(version["number"], json.dumps(version))
             except Conflict:
                 continue  # somebody was faster: whether that matters shows when the newest version is looked at again
+            if self._used(version["number"]) not in (None, version["id"]):
+                # so many versions have come since the listing that this number's has been swept already
+                self._fs().delete(self._path(f"versions/{version['number']:012d}.json"), False)
+                self._remove(folders)
+                raise Conflict(f"version {version['number']} has been written by somebody else")
             self.seen = version
             self._sweep()
             return version["number"]
 
+    def _used(self, number: int) -> str | None:
+        """The id of the version that had this number before it was swept."""
+        name = f"versions/{number:012d}.gone"
+        try:
+            return self._text(name)
+        except FileNotFoundError:
+            return None
+
     @staticmethod
     def _state(version: dict, name: str, touched: list[str] | None) -> dict | None:
         """What a version says of a table's parts."""
@@ -507,16 +542,35 @@ class Catalog:
         kept = set().union(*map(self._folders, whole))
         for n in self._numbers():
             if n < whole[-1]["number"]:
-                old = self._read(n)  # the data of an earlier form goes by its age
+                try:
+                    old = self._read(n)  # the data of an earlier form goes by its age
+                except FileNotFoundError:  # somebody else is sweeping
+                    continue
+                # a number that has been used says so before it is free
+                self._marked(n, old.get("id", "") if old else "")
                 for folder in sorted(self._folders(old) - kept) if old else ():
                     self._fs().delete(self._path(f"data/{folder}"), True)
                 self._fs().delete(self._path(f"versions/{n:012d}.json"), False)
+        for name in self._list("versions"):
+            if name.endswith(".gone") and int(name.removesuffix(".gone")) < whole[-1]["number"] - self.MARKS:
+                self._fs().delete(self._path(f"versions/{name}"), False)
         if self._fs().exists(self._path("data")):
             now = self.spark.sparkContext._jvm.java.lang.System.currentTimeMillis()
             for s in self._fs().listStatus(self._path("data")):
                 if s.getPath().getName() not in kept and now - s.getModificationTime() > 1000 * self.PATIENCE:
                     self._fs().delete(s.getPath(), True)
 
+    def _marked(self, number: int, text: str) -> None:
+        path = self._path(f"versions/{number:012d}.gone")
+        if self._fs().exists(path):
+            return
+        try:
+            out = self._fs().create(path, False)
+        except Exception:  # noqa: BLE001  somebody else is sweeping
+            return
+        out.write(bytearray(text.encode()))
+        out.close()
+
     @staticmethod
     def _folders(version: dict) -> set[str]:
         """The folders of data that a version names."""
