@@ -8,6 +8,7 @@ paths; one that leads out of the folder is an error. Any store that pyarrow open
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -25,7 +26,9 @@ FORMAT = "threadloom_files"
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The store and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"\Afile:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def checked(name: str) -> str:
@@ -46,6 +49,8 @@ class Written(WriterCommitMessage):
 class FileWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
         self.path, self.stage = path.rstrip("/"), f"_staged-{uuid.uuid4().hex}"
+        store, root = opened(self.path)
+        store.create_dir(f"{root}/{self.stage}", recursive=True)
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext
@@ -56,6 +61,8 @@ class FileWriter(DataSourceWriter):
         names, made = [], set()
         for row in rows:
             at = f"{folder}/{checked(row['name'])}"
+            if store.get_file_info(f"{root}/{self.stage}").type == fs.FileType.NotFound:
+                raise RuntimeError("the job has been given up")  # a task that outlives it must not write again
             if (parent := posixpath.dirname(at)) not in made:
                 store.create_dir(parent, recursive=True)
                 made.add(parent)
