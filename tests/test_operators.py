@@ -56,6 +56,13 @@ def test_redaction(spark):
         value(spark, redaction.required_redaction(F.lit("x"), F.lit("file_body")))
 
 
+def test_header_sizes_round_ties_to_even(spark):
+    none = F.lit(None).cast("string")
+    rows = spark.range(0, 300_000, 64).select("id", text.header_label(none, F.lit("m"), none, F.lit(2), F.col("id"), F.lit("native")).alias("x"))
+    assert {r["id"]: r["x"] for r in rows.collect()} == {n: f"m · 2 turns · ~{n / 1024:.1f} KiB · native" for n in range(0, 300_000, 64)}
+    assert value(spark, text.header_label(none, F.lit("m"), none, F.lit(1), F.lit(123_456_789_184), F.lit("x"))) == f"m · 1 turns · ~{123_456_789_184 / 1024:.1f} KiB · x"
+
+
 def test_scalar_functions(spark):
     assert value(spark, text.collapse(F.lit(" a\u00a0 b\n"))) == "a b"
     assert value(spark, text.bounded(F.lit("a" * 20 + " " * 30), 24)) == "a" * 12 + "…[Truncated]"

@@ -148,5 +148,6 @@ def first_non_blank(*values: Column) -> Column:
 
 
 def header_label(provider: Column, model: Column, effort: Column, turns: Column, size: Column, origin: Column) -> Column:
-    """A session's facts in one line; what is null is left out."""
-    return F.concat_ws(" · ", F.concat_ws("/", provider, model), effort, F.format_string("%d turns", turns), F.format_string("~%.1f KiB", size / 1024), origin)
+    """A session's facts in one line; what is null is left out. Sizes halfway between two tenths become the even one."""
+    kib = F.format_string("~%.1f KiB", F.bround(size / 1024, 1))
+    return F.concat_ws(" · ", F.concat_ws("/", provider, model), effort, F.format_string("%d turns", turns), kib, origin)
