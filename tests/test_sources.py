@@ -79,6 +79,22 @@ def test_opencode(spark, tmp_path):
     assert all(r["ok"] == r["got"] for r in versions.withColumn("got", logs.supported_version(F.col("v"))).collect())
 
 
+def test_opencode_catalogs_of_many_pages(spark, tmp_path):
+    entry = lambda n, at: {"id": f"ses_{n}", "directory": "/w", "title": f"T{n} {at}", "time": {"created": 1, "updated": at}}
+    write(tmp_path / "pages/a.json", [json.dumps([entry(n, 5) for n in range(500)])])
+    write(tmp_path / "pages/b.json", [json.dumps([entry(n, 7) for n in range(498, 700)])])
+    said = {"info": {"id": "m", "sessionID": "ses_499", "role": "user", "time": {"created": 1}}, "parts": [{"type": "text", "text": "once"}]}
+    write(tmp_path / "exports/x.json", [json.dumps({"info": {"id": "ses_499", "time": {"created": 1, "updated": 7}}, "messages": [said]})])
+    scan = logs.opencode(spark, str(tmp_path / "pages"), str(tmp_path / "exports"))
+    titles = {r["native_id"]: r["title"] for r in scan.sessions.collect()}
+    assert titles == {f"ses_{n}": f"T{n} {5 if n < 498 else 7}" for n in range(700)} and scan.sessions.count() == 700
+    assert told(scan) == [(0, "user", "once", "message:m")] and codes(scan) == []
+    # a page of more than what is read of a file is told
+    write(tmp_path / "pages/c.json", [json.dumps([entry(n, 9) for n in range(700, 1201)])])
+    scan = logs.opencode(spark, str(tmp_path / "pages"), str(tmp_path / "exports"))
+    assert scan.sessions.count() == 1200 and codes(scan) == ["catalog-limit"]
+
+
 def test_cursor(spark, tmp_path):
     said = lambda role, *parts: {"role": role, "message": {"content": list(parts)}}
     write(tmp_path / "projects/-w/agent-transcripts/s1/s1.jsonl", [said("user", {"type": "text", "text": "q"}), said("assistant", {"type": "text", "text": "a"}, {"type": "tool_use", "name": "Task", "input": {"model": "fast"}}), said("system", {"type": "text", "text": "no"})])

@@ -105,21 +105,24 @@ def written(spark: SparkSession, sf_dir: str) -> str:
         spoken = model.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
         talks = spoken.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"], t["text"])).alias("turns"))
         sink.write_files(talks.mapInPandas(_bodies, "name string, body string"), root)
-        # a catalog names one session more than a reader takes, at most
+        # a page of a catalog names as many sessions as a reader takes, and all pages all of them; one catalog alone names one more
         n = F.col("conv_id")
         entry = F.struct(
             F.concat(F.lit("ses_"), n).alias("id"), F.concat(F.lit("/work/p"), n % 4).alias("directory"), F.concat(F.lit("Title "), n).alias("title"), F.lit("1.18.0").alias("version"),
             F.struct(((BEGIN + n) * 1000).alias("created"), ((BEGIN + n + 9) * 1000).alias("updated")).alias("time"),
         )
-        listed = spoken.select("conv_id").distinct().orderBy("conv_id").limit(logs.CATALOG_LIMIT + 1).agg(F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e")))).alias("all"))
-        sink.write_files(listed.select(F.lit("opencode/session-list.json").alias("name"), F.to_json(F.col("all.e")).alias("body")), root)
+        named, listed = spoken.select("conv_id").distinct(), F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e")))).alias("all")
+        page = F.concat(F.lit("opencode/catalogs/page-"), F.floor(n / logs.CATALOG_LIMIT), F.lit(".json")).alias("name")
+        pages = named.groupBy(page).agg(listed)
+        alone = named.orderBy("conv_id").limit(logs.CATALOG_LIMIT + 1).agg(listed).select(F.lit("opencode/session-list.json").alias("name"), "all")
+        sink.write_files(pages.unionByName(alone).select("name", F.to_json(F.col("all.e")).alias("body")), root)
         _written[key] = root
     return _written[key]
 
 
 def scan(spark: SparkSession, sf_dir: str, source: str) -> logs.Scan:
     root = f"{written(spark, sf_dir)}/{source}"
-    places = {"cursor": {"root": f"{root}/projects", "chats": f"{root}/chats"}, "antigravity": {"history": f"{root}/history", "brain": f"{root}/brain"}, "opencode": {"catalog": f"{root}/session-list.json", "exports": f"{root}/exports", "version": "1.18.2"}}
+    places = {"cursor": {"root": f"{root}/projects", "chats": f"{root}/chats"}, "antigravity": {"history": f"{root}/history", "brain": f"{root}/brain"}, "opencode": {"catalog": f"{root}/catalogs", "exports": f"{root}/exports", "version": "1.18.2"}}
     return logs.configured(spark, {source: places.get(source, {"root": root})})
 
 

@@ -330,20 +330,23 @@ def reread_exports(spark: SparkSession, records: DataFrame, exports: str, start:
 
 
 def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | None = None, version: str | None = None) -> Scan:
-    """A catalog, one JSON array of sessions, and a JSON export of each session. `version`: of the program that wrote them,
-    if it is known; with one whose exports aren't understood nothing is read."""
+    """Catalogs, JSON arrays of sessions, and a JSON export of each session. `catalog`: a file, or a folder of the pages of
+    one that is longer than what is read of a file; a session that several pages name counts once, as it was updated last.
+    `version`: of the program that wrote them, if it is known; with one whose exports aren't understood nothing is read."""
     ns = namespace(exports)
     if version is not None:
         told = spark.createDataFrame([(version,)], "v string").where(~supported_version(F.col("v")))
         if not told.isEmpty():
             return Scan(spark.createDataFrame([], SESSIONS), spark.createDataFrame([], TURNS), _warnings(told, "unsupported-version", F.col("v")))
     entry = "array<struct<id:string,directory:string,title:string,version:string,updated:bigint,created:bigint,time:struct<created:bigint,updated:bigint>>>"
-    rows = spark.read.text(catalog, wholetext=True).select(F.posexplode(guarded.parsed(F.col("value"), entry)).alias("at", "e"))
-    crowded = rows.agg(F.count("*").alias("n")).where(F.col("n") > CATALOG_LIMIT)
+    rows = spark.read.text(catalog, wholetext=True).select(F.col("_metadata.file_path").alias("page"), F.posexplode(guarded.parsed(F.col("value"), entry)).alias("at", "e"))
+    crowded = rows.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > CATALOG_LIMIT)
     rows = rows.where(F.col("at") < CATALOG_LIMIT)
     if directory is not None:
         rows = rows.where(F.regexp_replace("e.directory", r"/+$", "") == directory.rstrip("/"))
     updated, created = F.coalesce("e.time.updated", "e.updated"), F.coalesce("e.time.created", "e.created")
+    latest = F.row_number().over(Window.partitionBy("e.id").orderBy(updated.desc_nulls_last(), "page", "at"))
+    rows = rows.withColumn("again", latest).where((F.col("again") == 1) | F.col("e.id").isNull())
     rows = rows.select("e", updated.alias("u"), created.alias("c"), *_identity("opencode", ns, F.col("e.id")), F.concat(F.lit("session:"), F.col("e.id")).alias("locator"))
     good = F.rlike("e.id", F.lit(r"^ses_[A-Za-z0-9_-]{1,128}$")) & (F.trim("e.title") != "") & (F.col("u") >= 0) & (F.col("c") >= 0)
     good = F.coalesce(good, F.lit(False))
