@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import delta
 from threadloom.streaming import changes
 
@@ -53,3 +55,18 @@ def test_state_equals_the_batch_functions(spark, tmp_path):
     assert sorted(x for x in rows if x[1] < 7) == sorted(ops)
     state = {(r["source_id"], r["fingerprint"], r["validated"]) for r in changes.checkpoint_of(got.where("run < 7")).collect()}
     assert state == {tuple(r) for r in want.collect()}
+
+
+def test_a_call_of_python_serves_many_sources(spark, tmp_path, monkeypatch):
+    """6000 sources in 8 places: a source that is gone is told, one that is protected isn't."""
+    monkeypatch.setattr(changes, "PLACES", 8)
+    n = spark.range(6000).select(F.col("id").cast("string").alias("source_id"))
+    event = lambda rows, run, kind, f: rows.select("source_id", F.lit(run).cast("bigint").alias("run"), F.lit(run - 1).cast("bigint").alias("closed"), F.lit(kind).alias("kind"), f.cast("string").alias("fingerprint"), F.lit(True).alias("valid"))
+    none, one = F.lit(None), spark.range(1).select(F.lit(None).cast("string").alias("source_id"))
+    runs = [event(n, 1, "seen", F.lit("a")), event(one, 1, "closed", none), event(n.where("source_id % 3 = 0"), 2, "seen", F.col("source_id") % 2).unionByName(event(n.where("source_id % 3 = 1"), 2, "protected", none)), event(one, 2, "closed", none), event(one, 3, "closed", none)]
+    for k, rows in enumerate(runs):
+        rows.coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    query = changes.change_stream(spark, str(tmp_path / "in/*"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).where("run <= 2").groupBy("run", "op").count().collect()
+    assert {tuple(r) for r in got} == {(1, "new", 6000), (2, "changed", 2000), (2, "removed", 2000)}

@@ -872,8 +872,11 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, none = F.col("doc_id"), F.lit(None)
     place = folder(spark, "runs")
 
+    # a file is a batch of the stream: one for a million sources, not one for each task that reads documents
+    files = docs.count() // 1_000_000 + 1
+
     def send(k: int, rows: DataFrame) -> None:
-        rows.write.parquet(f"{place}/sent/{k}")
+        rows.repartition(files).write.parquet(f"{place}/sent/{k}")
 
     def seen(run: int, which, text_, valid) -> DataFrame:
         print_ = F.sha2(text_.cast("binary"), 256)

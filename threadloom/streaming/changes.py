@@ -11,6 +11,8 @@ close; a restart goes on from the checkpoint. A close takes effect with the next
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ STATE = "fingerprint string, validated boolean, seen bigint, protected bigint"
 
 #: Seconds of event time from one run to the next, from a close to the rows after it, and of the watermark's delay, by which rows of one run never make each other late.
 RUN, AFTER, DELAY = 1000, 500, 400
+#: Over how many places sources are dealt; a place is what one call of Python works on, and never needs more than its own states.
+PLACES = 1024
 
 
 def close_time(run: int) -> int:
@@ -34,70 +38,80 @@ def close_time(run: int) -> int:
 
 
 class Changes(StatefulProcessor):
-    """One source's changes from run to run."""
+    """Changes of a place's sources from run to run, a state for each; timers are the place's, and find what a close leaves behind."""
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", STATE)
+        self.states = handle.getMapState("states", "source_id string", STATE)
 
     def _wait(self, closed: int) -> None:
-        """Wakes the state when a run after `closed` closes."""
-        at = close_time(closed) + (AFTER + 1) * 1000
-        for old in list(self.handle.listTimers()):
-            if old != at:
-                self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+        """Wakes the place when a run after `closed` closes; other times that it waits for stay."""
+        self.handle.registerTimer(close_time(closed) + (AFTER + 1) * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        print_, validated, seen, protected = held if held is not None else (None, None, 0, 0)
-        out, closed = [], 0
-        every = pd.concat(list(rows)).sort_values(["run", "kind"])
-        for r in every.itertuples(index=False):
-            run, closed = int(r.run), max(closed, int(r.closed))
-            if max(seen, protected) < int(r.closed):  # a run has closed without it; its timer would come after these rows
-                out += [(key[0], int(r.closed), "removed", print_, validated, False)] if print_ is not None else []
-                print_, validated, seen, protected = None, None, 0, 0
-            if r.kind == "protected":
-                protected = max(protected, run)
-                continue
-            if run <= seen:  # told before
-                continue
-            seen = run
-            valid = None if pd.isna(r.valid) else bool(r.valid)
-            op = "new" if print_ is None else "unchanged" if r.fingerprint == print_ and validated else "changed"
-            retained = op == "changed" and valid is False
-            if op == "unchanged" or valid or (valid is not None and print_ is None):
-                print_, validated = r.fingerprint, op == "unchanged" or valid
-            out.append((key[0], run, op, print_, validated, retained))
-        # a source that has never been read has no state to lose
-        if print_ is None and not protected:
-            self.state.clear()
-        else:
-            self.state.update((print_, validated, seen, protected))
+        out, waits = [], set()
+        every = pd.concat(list(rows))
+        every = every[every["kind"] != "closed"].sort_values(["source_id", "run", "kind"])
+        names = [every[c].tolist() for c in ("source_id", "run", "closed", "kind", "fingerprint", "valid")]
+        for source, of_source in groupby(zip(*names, strict=True), key=itemgetter(0)):
+            held = self.states.getValue((source,))
+            print_, validated, seen, protected = held if held is not None else (None, None, 0, 0)
+            last = 0
+            for _, run, closed, kind, fingerprint, valid in of_source:
+                last = max(last, closed)
+                if max(seen, protected) < closed:  # a run has closed without it; its timer would come after these rows
+                    out += [(source, closed, "removed", print_, validated, False)] if print_ is not None else []
+                    print_, validated, seen, protected = None, None, 0, 0
+                if kind == "protected":
+                    protected = max(protected, run)
+                    continue
+                if run <= seen:  # told before
+                    continue
+                seen = run
+                valid = None if pd.isna(valid) else bool(valid)
+                op = "new" if print_ is None else "unchanged" if fingerprint == print_ and validated else "changed"
+                retained = op == "changed" and valid is False
+                if op == "unchanged" or valid or (valid is not None and print_ is None):
+                    print_, validated = fingerprint, op == "unchanged" or valid
+                out.append((source, run, op, print_, validated, retained))
+            # a source that has never been read has no state to lose
+            if print_ is not None or protected:
+                self.states.updateValue((source,), (print_, validated, seen, protected))
+                waits.add(last)
+            elif held is not None:
+                self.states.removeKey((source,))
+        for closed in waits:
             self._wait(closed)
-        yield pd.DataFrame(out, columns=["source_id", "run", "op", "fingerprint", "validated", "retained"]).astype({"validated": "boolean"})
+        yield _told(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         run = timerValues.getCurrentWatermarkInMs() // close_time(1)
-        print_, validated, seen, protected = self.state.get()
-        out = []
-        if max(seen, protected) >= run:
+        out, stay = [], False
+        for (source,), (print_, validated, seen, protected) in list(self.states.iterator()):
+            if max(seen, protected) >= run:
+                stay = True
+                continue
+            self.states.removeKey((source,))
+            out += [(source, run, "removed", print_, validated, False)] if print_ is not None else []
+        if stay:
             self._wait(run)
-        else:
-            self.state.clear()
-            out = [(key[0], run, "removed", print_, validated, False)] if print_ is not None else []
-        yield pd.DataFrame(out, columns=["source_id", "run", "op", "fingerprint", "validated", "retained"]).astype({"validated": "boolean"})
+        yield _told(out)
 
     def close(self) -> None:
         pass
 
 
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["source_id", "run", "op", "fingerprint", "validated", "retained"]).astype({"validated": "boolean"})
+
+
 def changes(events: DataFrame) -> DataFrame:
     """CHANGES of a stream of EVENTS. The session's state store must be the one that keeps states apart: stateful_session()."""
     second = F.when(F.col("kind") == "closed", F.col("run") * RUN + DELAY).otherwise(F.col("closed") * RUN + AFTER)
     rows = events.withColumn("at", F.timestamp_seconds(second)).withWatermark("at", f"{DELAY} seconds")
-    told = rows.groupBy("source_id").transformWithStateInPandas(Changes(), CHANGES, "Append", "EventTime")
+    # sources are dealt over places, so that a call of Python serves many of them
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("source_id"), F.lit(PLACES)).cast("int"))
+    told = rows.groupBy("place").transformWithStateInPandas(Changes(), CHANGES, "Append", "EventTime")
     return told.where("source_id <> ''")
 
 
