@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.sources import logs, sink
+from threadloom.sources import files, logs, sink
 
 
 @pytest.fixture()
@@ -80,6 +80,22 @@ def test_fingerprints_of_large_files(spark, tmp_path, monkeypatch, small_ranges)
     assert prints == {r["path"][-7]: r["fingerprint"] for r in logs.fingerprints(spark, str(tmp_path)).collect()}
 
 
+def test_many_files_are_read_batch_by_batch(spark, tmp_path, monkeypatch):
+    """More files than a plan reads give the rows of one plan, whatever their names; no plan has more than BATCH of them."""
+    names = [f"d{i % 3}/%2Fx {i}" + ["", "[a]", "{b}", "*", "é?"][i % 5] + ".jsonl" for i in range(23)] + [".h/a.jsonl", "_h/a.jsonl", "d0/_a.jsonl", "d0/a.txt"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("".join(f"{i} {k}\n" for k in range(i)) + "open")
+    rows = lambda: sorted(map(tuple, logs.lines(spark, str(tmp_path)).collect()))
+    prints = lambda: sorted(map(tuple, logs.fingerprints(spark, str(tmp_path)).collect()))
+    whole, digests = rows(), prints()
+    monkeypatch.setattr(files, "BATCH", 7)
+    read, seen = files.read_files, []
+    monkeypatch.setattr(logs, "read_files", lambda s, root, p, load: read(s, root, p, lambda r, at: (seen.append(at), load(r, at))[1]))
+    assert rows() == whole and prints() == digests and len(digests) == 23
+    assert {len(x) for x in seen} == {7, 2} and len(seen) == 12
+
+
 def test_sink_writes_all_or_nothing(spark, tmp_path):
     root = tmp_path / "out"
     rows = spark.range(200).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/f"), "id", F.lit(".md")).alias("name"), F.concat(F.lit("body é "), "id").alias("body")).repartition(9)
@@ -112,3 +128,20 @@ def test_documents(spark, tmp_path):
     assert read["x-2.json"] == {"body": None, "schema_version": 1, "title": None} and "hunter" not in read["x-1.json"]["body"]
     with pytest.raises(ValueError):
         sink.documents(rows, name, F.col("title"), F.col("body"), "other")
+
+
+def test_a_commit_holds_no_list_of_all_names(spark, tmp_path):
+    """What tasks tell the driver doesn't grow with the number of files."""
+    import pickle
+    from types import SimpleNamespace
+    from unittest import mock
+
+    sizes = []
+    for n in (10, 2500):
+        writer = sink.FileWriter(str(tmp_path / str(n)))
+        with mock.patch("pyspark.TaskContext.get", return_value=SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)):
+            message = writer.write(iter([{"name": f"a\n{i:05}/b", "body": "x"} for i in range(n)]))
+        sizes.append(len(pickle.dumps(message)))
+        writer.commit([message, None])
+        assert len(list((tmp_path / str(n)).glob("*/b"))) == n and not list((tmp_path / str(n)).glob("_staged*"))
+    assert max(sizes) < min(sizes) + 50

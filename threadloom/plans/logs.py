@@ -93,8 +93,10 @@ def _files(n: int, turns: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [f for n, turns in zip(batch["conv_id"], batch["turns"], strict=True) for f in _files(int(n), [(t["role"], t["text"]) for t in turns])]
-        yield pd.DataFrame(found, columns=["name", "body"])
+        for start in range(0, len(batch), 500):
+            some = batch.iloc[start : start + 500]
+            found = [f for n, turns in zip(some["conv_id"], some["turns"], strict=True) for f in _files(int(n), [(t["role"], t["text"]) for t in turns])]
+            yield pd.DataFrame(found, columns=["name", "body"])
 
 
 def written(spark: SparkSession, sf_dir: str) -> str:

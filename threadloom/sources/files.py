@@ -3,11 +3,70 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable, Iterator
+from fnmatch import fnmatchcase
+from itertools import chain, islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.plans.storage import folder
+
+#: Files that one plan reads, whose paths and sizes the driver holds; of more, plans read so many after each other.
+BATCH = 10_000
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's readers pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _matches(name: str, pattern: str) -> bool:
+    """A name by a glob, of which braces may list several."""
+    return any(fnmatchcase(name, p) for p in (pattern[1:-1].split(",") if pattern.startswith("{") else [pattern]))
+
+
+def file_paths(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
+    """Paths of the files below a folder, one after the other; no more than one folder's are held."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(top):
+        return
+    if store.getUri().getScheme() == "file":
+        for at, dirs, names in os.walk(top.toUri().getPath(), followlinks=True):
+            dirs[:] = [d for d in dirs if not _hidden(d)]
+            yield from (f"file://{os.path.join(at, n)}" for n in names if not _hidden(n) and _matches(n, pattern))
+        return
+    found, within = store.listFiles(top, True), store.makeQualified(top).toString().rstrip("/")
+    while found.hasNext():
+        path = found.next().getPath().toString()
+        *dirs, name = path[len(within) + 1 :].split("/")
+        if not any(map(_hidden, [*dirs, name])) and _matches(name, pattern):
+            yield path
+
+
+def read_files(spark: SparkSession, root: str, pattern: str, load: Callable[[DataFrameReader, str | list[str]], DataFrame]) -> DataFrame:
+    """What `load` makes of the files below a folder whose names match; of more than BATCH files it is written BATCH by BATCH.
+
+    Spark's readers keep what they know of each file on the driver, so the number of files of one plan is bounded.
+    """
+    reader = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    paths = file_paths(spark, root, pattern)
+    first = list(islice(paths, BATCH + 1))
+    if len(first) <= BATCH:
+        return load(reader(), root)
+    at, schema, paths = folder(spark, "files"), None, chain(first, paths)
+    tasks = max(64, 2 * spark.sparkContext.defaultParallelism)
+    while batch := list(islice(paths, BATCH)):
+        # a path is taken to the letter
+        rows = load(reader(), [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in batch])
+        schema = rows.schema
+        rows.coalesce(tasks).write.mode("append").parquet(at)
+    return spark.read.schema(schema).parquet(at)
+
 
 def unsafe_entries(root: str) -> list[str]:
     """Symbolic links below a local root, and what resolves to a place outside it. Other stores have no links to refuse."""

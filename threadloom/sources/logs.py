@@ -10,7 +10,7 @@ import hashlib
 import os
 import re
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import guarded, text
 from threadloom.plans.storage import stored
 from threadloom.schema import SESSIONS, TURNS, WARNINGS
-from threadloom.sources.files import unsafe_entries
+from threadloom.sources.files import read_files, unsafe_entries
 
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: Sources whose read is partial as soon as there is a warning.
@@ -50,10 +50,10 @@ def namespace(root: str) -> str:
     return "store-" + hashlib.sha256(root.rstrip("/").encode()).hexdigest()
 
 
-def _safe(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """Files but for symbolic links and what lies outside the root; their paths prune the scan before anything is read."""
+def _safe(root: str) -> Callable[[DataFrame], DataFrame]:
+    """Leaves out symbolic links and what lies outside the root; their paths prune the scan before anything is read."""
     bad = unsafe_files(root)
-    return files.where(~_local(F.col("_metadata.file_path")).isin(bad)) if bad else files
+    return lambda files: files.where(~_local(F.col("_metadata.file_path")).isin(bad)) if bad else files
 
 
 def _local(url: Column) -> Column:
@@ -84,11 +84,11 @@ def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
     is where its own numbers begin. `complete` is false for a last line without its line break, which the bytes of all lines
     tell: with a break each, they are the file's size.
     """
-    files = _safe(spark, spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root), root)
-    rows = files.select(
+    safe = _safe(root)
+    rows = read_files(spark, root, pattern, lambda r, at: safe(r.option("lineSep", "\n").text(at)).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("range"), "value", F.monotonically_increasing_id().alias("at"),
-    )
+    ))
     ranges = rows.groupBy("path", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
     whole = Window.partitionBy("path")
     earlier = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,11 +107,11 @@ WHOLE = 64 << 20
 
 def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(path, fingerprint): SHA-256 of each whole file; of one of more than WHOLE bytes that of its lines' digests, each with its number, summed."""
-    files = _safe(spark, spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root), root)
-    small = files.where(F.col("length") <= WHOLE).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("fingerprint"))
-    if files.where(F.col("length") > WHOLE).select("path").isEmpty():
+    safe, path = _safe(root), F.col("_metadata.file_path").alias("path")
+    small = read_files(spark, root, pattern, lambda r, at: safe(r.format("binaryFile").load(at)).where(F.col("length") <= WHOLE).select(path, F.sha2("content", 256).alias("fingerprint")))
+    large = read_files(spark, root, pattern, lambda r, at: safe(r.format("binaryFile").load(at)).where(F.col("length") > WHOLE).select(path))
+    if large.isEmpty():
         return small
-    large = files.where(F.col("length") > WHOLE).select(F.col("_metadata.file_path").alias("path"))
     digest = F.sha2(F.concat_ws(":", "line", "complete", "value").cast("binary"), 256)
     number = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
     sums = lines(spark, root, pattern).join(large, "path", "left_semi").groupBy("path").agg(F.concat_ws(":", F.count("*"), *(number(k) for k in range(4))).alias("sums"))
@@ -238,8 +238,7 @@ def grok(spark: SparkSession, root: str) -> Scan:
     ns = namespace(root)
     native, group = F.lower(F.regexp_extract("path", rf"(?i)/({UUID})/[^/]+$", 1)), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1)
     summary = "created_at string, updated_at string, git_root_dir string, generated_title string, current_model_id string"
-    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "summary.json").text(root, wholetext=True)
-    heads = heads.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    heads = read_files(spark, root, "summary.json", lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value"))
     heads = heads.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("r", guarded.parsed(F.col("value"), summary)).withColumn("native", native).where("native <> ''")
     # a file URL escapes the percent signs of the folder's own name
     folder = text.percent_decoded(F.regexp_replace(group, "%25", "%"))
@@ -282,6 +281,11 @@ def supported_version(version: Column) -> Column:
 EXPORT = "info struct<id:string,directory:string,model:struct<id:string,providerID:string,variant:string>,time:struct<created:bigint,updated:bigint>>, messages array<struct<info:struct<id:string,sessionID:string,role:string,time:struct<created:bigint>>,parts:array<struct<type:string,text:string,ignored:boolean>>>>"
 
 
+def _exports(spark: SparkSession, exports: str) -> DataFrame:
+    """(path, value) of the files of exports."""
+    return read_files(spark, exports, "*.json", lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def _export_turns(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(turns of exports (source_id, nid, r) with created and mid, messages that aren't of that session or lack what a turn needs)."""
     said = files.select("source_id", "nid", F.posexplode("r.messages").alias("at_", "m"))
@@ -301,8 +305,7 @@ def reread_exports(spark: SparkSession, records: DataFrame, exports: str, start:
     or has another place, if there is no export that can be read, or if that is of another session or project. An export
     that has been updated since is read, and told.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
-    files = files.select(_stem(F.col("_metadata.file_path")).alias("file"), guarded.parsed(F.col("value"), EXPORT).alias("r"))
+    files = _exports(spark, exports).select(_stem(F.col("path")).alias("file"), guarded.parsed(F.col("value"), EXPORT).alias("r"))
     rows = records.join(files, F.col("native_id") == F.col("file"), "left")
     folder = lambda c: F.regexp_replace(c, r"/+\z", "")
     info = F.col("r.info")
@@ -350,8 +353,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     rows = rows.select("e", updated.alias("u"), created.alias("c"), *_identity("opencode", ns, F.col("e.id")), F.concat(F.lit("session:"), F.col("e.id")).alias("locator"))
     good = F.rlike("e.id", F.lit(r"^ses_[A-Za-z0-9_-]{1,128}$")) & (F.trim("e.title") != "") & (F.col("u") >= 0) & (F.col("c") >= 0)
     good = F.coalesce(good, F.lit(False))
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(exports, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), "value").withColumn("r", guarded.parsed(F.col("value"), EXPORT)).where("r.info.id is not null and path not like '%session-list%'")
+    files = _exports(spark, exports).withColumn("r", guarded.parsed(F.col("value"), EXPORT)).where("r.info.id is not null and path not like '%session-list%'")
     ids = rows.select("source_id", F.col("native_id").alias("nid"), "u")
     files = files.join(ids, F.col("r.info.id") == F.col("nid"))
     m = F.col("r.info.model")
@@ -389,7 +391,7 @@ def _sidecars(spark: SparkSession, chats: str) -> DataFrame:
     """(nid, workspace, s, store, print, broken_meta, broken_store): what lies beside a chat, by chat and workspace folder."""
     at = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("nid"), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("workspace")
     kinds = "title string, createdAtMs bigint, updatedAtMs bigint, cwd string"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{meta.json,store.db}").load(chats).select("path", "content")
+    files = read_files(spark, chats, "{meta.json,store.db}", lambda r, at: r.format("binaryFile").load(at).select("path", "content"))
     is_meta = F.endswith("path", F.lit("/meta.json"))
     meta = files.where(is_meta).select(*at, F.decode("content", "UTF-8").alias("value"), F.sha2("content", 256).alias("meta_print"))
     meta = meta.withColumn("broken_meta", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull()).withColumn("s", guarded.parsed(F.col("value"), kinds)).drop("value")

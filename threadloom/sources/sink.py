@@ -1,18 +1,23 @@
 """A sink of named files: each row is a file below a folder, and a job's files appear when all of its tasks are done.
 
 Tasks write into a folder of the job's own beside the place where the files go; the commit moves them there, and an abort
-removes that folder, so a failed task or job leaves nothing and a task that is done twice counts once. Names are relative
-paths; one that leads out of the folder is an error. Any store that pyarrow opens will do.
+removes that folder, so a failed task or job leaves nothing and a task that is done twice counts once. Rows of one name come
+to one task, in the order of names, which finds repeated ones; it lists its names in a file, which the commit reads piece by
+piece, so nothing holds the names of all files. Names are relative paths; one that leads out of the folder is an error. Any
+store that pyarrow opens will do.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import posixpath
 import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from threadloom.functions import redaction
+from threadloom.sources.files import read_files
 
 FORMAT = "threadloom_files"
+#: Names that a commit holds at once.
+MOVED = 1000
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -40,10 +48,10 @@ def checked(name: str) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's folder and the files that it has written there."""
+    """A task's folder, and the file beside it that lists the files in it; none if there are none."""
 
     folder: str
-    names: list[str]
+    listed: str | None
 
 
 class FileWriter(DataSourceWriter):
@@ -58,30 +66,41 @@ class FileWriter(DataSourceWriter):
         store, root = opened(self.path)
         task = TaskContext.get()
         folder = f"{root}/{self.stage}/{task.partitionId()}-{task.taskAttemptId()}"
-        names, made = [], set()
-        for row in rows:
-            at = f"{folder}/{checked(row['name'])}"
-            if store.get_file_info(f"{root}/{self.stage}").type == fs.FileType.NotFound:
-                raise RuntimeError("the job has been given up")  # a task that outlives it must not write again
-            if (parent := posixpath.dirname(at)) not in made:
-                store.create_dir(parent, recursive=True)
-                made.add(parent)
-            with store.open_output_stream(at) as out:
-                out.write((row["body"] or "").encode())
-            names.append(row["name"])
-        return Written(folder, names)
+        names, before, made = None, None, None
+        try:
+            for row in rows:
+                at = f"{folder}/{checked(row['name'])}"
+                if row["name"] == before:
+                    raise ValueError("two rows have the same name")
+                if store.get_file_info(f"{root}/{self.stage}").type == fs.FileType.NotFound:
+                    raise RuntimeError("the job has been given up")  # a task that outlives it must not write again
+                if (parent := posixpath.dirname(at)) != made:
+                    store.create_dir(parent, recursive=True)
+                    made = parent
+                with store.open_output_stream(at) as out:
+                    out.write((row["body"] or "").encode())
+                names = names or store.open_output_stream(f"{folder}.names")
+                names.write(f"{json.dumps(before := row['name'])}\n".encode())
+        finally:
+            if names is not None:
+                names.close()
+        return Written(folder, names and f"{folder}.names")
 
     def commit(self, messages: list[Written | None]) -> None:
         store, root = opened(self.path)
-        done = [(m.folder, n) for m in messages if m is not None for n in m.names]
-        names = [n for _, n in done]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("two rows have the same name")
-        for parent in {posixpath.dirname(f"{root}/{n}") for n in names}:
-            store.create_dir(parent, recursive=True)
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda x: store.move(f"{x[0]}/{x[1]}", f"{root}/{x[1]}"), done))
+            for m in messages:
+                if m is None or m.listed is None:
+                    continue
+                made = None
+                with store.open_input_stream(m.listed) as f:
+                    lines = io.BufferedReader(f, 1 << 20)
+                    while some := [json.loads(x) for x in islice(lines, MOVED)]:
+                        for name in some:
+                            if (parent := posixpath.dirname(f"{root}/{name}")) != made:
+                                store.create_dir(parent, recursive=True)
+                                made = parent
+                        list(pool.map(lambda n: store.move(f"{m.folder}/{n}", f"{root}/{n}"), some))
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -105,7 +124,10 @@ class FileSink(DataSource):
 def write_files(rows: DataFrame, path: str) -> None:
     """Writes rows (name, body) as files below a folder; files of other names stay as they are."""
     rows.sparkSession.dataSource.register(FileSink)
-    rows.select("name", F.col("body").cast("string").alias("body")).write.format(FORMAT).option("path", path).mode("append").save()
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = rows.select("name", F.col("body").cast("string").alias("body")).repartition(tasks, "name").sortWithinPartitions("name")
+    rows.write.format(FORMAT).option("path", path).mode("append").save()
 
 
 def documents(rows: DataFrame, name: Column, title: Column, body: Column, kind: str = "markdown") -> DataFrame:
@@ -121,5 +143,4 @@ def documents(rows: DataFrame, name: Column, title: Column, body: Column, kind:
 
 def read_documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(name, body) of the files below a folder, by the last part of their names."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body"))
+    return read_files(spark, path, pattern, lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body")))
