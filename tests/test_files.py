@@ -145,3 +145,43 @@ def test_a_commit_holds_no_list_of_all_names(spark, tmp_path):
         writer.commit([message, None])
         assert len(list((tmp_path / str(n)).glob("*/b"))) == n and not list((tmp_path / str(n)).glob("_staged*"))
     assert max(sizes) < min(sizes) + 50
+
+
+def test_what_is_known_of_files_goes_with_their_batch(spark, tmp_path, monkeypatch):
+    """Neither a job's tasks nor the session's cache nor plans that are done with grow with the number of files; nothing of it stays set."""
+    import gc
+    import weakref
+
+    for i in range(90):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.jsonl").write_text(f"{i}\n")
+    keys = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.filesourcePartitionFileCacheSize")
+    before, seen, plans = {k: spark.conf.get(k) for k in keys}, [], []
+
+    def load(reader, at):
+        rows = reader.text(at)
+        seen.append((int(spark.conf.get(keys[0])), spark.conf.get(keys[1]), sum(p() is not None for p in plans)))
+        plans.append(weakref.ref(rows))
+        rows.cycle = [rows]  # a handle that only the collector of cycles would drop
+        return rows
+
+    gc.disable()
+    try:
+        monkeypatch.setattr(files, "BATCH", 40)
+        assert files.read_files(spark, str(tmp_path), "*.jsonl", load).count() == 90
+    finally:
+        gc.enable()
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert seen == [(few, "0", 0)] * 3 and {k: spark.conf.get(k) for k in keys} == before
+
+
+def test_a_plan_that_is_not_written_reads_few_files(spark, tmp_path, monkeypatch):
+    """A query holds many plans at once: from LAZY files on they are written, and from WIDE on never broadcast."""
+    for i in range(9):
+        (tmp_path / f"{i}.jsonl").write_text(f"{i}\n")
+    monkeypatch.setattr(files, "LAZY", 8)
+    monkeypatch.setattr(files, "WIDE", 8)
+    rows = files.read_files(spark, str(tmp_path), "*.jsonl", lambda r, at: r.text(at))
+    assert len(rows.inputFiles()) > 0 and not any(f.endswith(".jsonl") for f in rows.inputFiles()) and sorted(r["value"] for r in rows.collect()) == [str(i) for i in range(9)]
+    keys = spark.range(9).select(F.col("id").cast("string").alias("value"))
+    assert "BroadcastHashJoin" not in (plan := keys.join(rows, "value")._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" in plan

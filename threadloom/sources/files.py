@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from fnmatch import fnmatchcase
 from itertools import chain, islice
 from pathlib import Path
@@ -16,6 +18,10 @@ from threadloom.plans.storage import folder
 
 #: Files that one plan reads, whose paths and sizes the driver holds; of more, plans read so many after each other.
 BATCH = 10_000
+#: Files that a plan which isn't written may read: a query holds many such plans at once.
+LAZY = 1000
+#: Files from which on what is read of them is never broadcast, however small it is when compressed.
+WIDE = 50_000
 
 
 def _hidden(name: str) -> bool:
@@ -28,17 +34,28 @@ def _matches(name: str, pattern: str) -> bool:
     return any(fnmatchcase(name, p) for p in (pattern[1:-1].split(",") if pattern.startswith("{") else [pattern]))
 
 
+def _local_files(top: str) -> Iterator[os.DirEntry]:
+    """Files below a local folder; not even the names of one folder are held."""
+    with os.scandir(top) as found:
+        for e in found:
+            if _hidden(e.name):
+                continue
+            if e.is_dir():
+                yield from _local_files(e.path)
+            else:
+                yield e
+
+
 def file_paths(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
-    """Paths of the files below a folder, one after the other; no more than one folder's are held."""
+    """Paths of the files below a folder, one after the other."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(top):
         return
     if store.getUri().getScheme() == "file":
-        for at, dirs, names in os.walk(top.toUri().getPath(), followlinks=True):
-            dirs[:] = [d for d in dirs if not _hidden(d)]
-            yield from (f"file://{os.path.join(at, n)}" for n in names if not _hidden(n) and _matches(n, pattern))
+        at = top.toUri().getPath()
+        yield from (f"file://{e.path}" for e in (_local_files(at) if os.path.isdir(at) else ()) if _matches(e.name, pattern))
         return
     found, within = store.listFiles(top, True), store.makeQualified(top).toString().rstrip("/")
     while found.hasNext():
@@ -48,37 +65,56 @@ def file_paths(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
             yield path
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """While a plan's files are listed: by as many tasks as run at once, not one a path, and without the session's cache, which keeps what it is told of files."""
+    few = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(2 * spark.sparkContext.defaultParallelism), "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
+    before = {k: spark.conf.get(k, None) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read_files(spark: SparkSession, root: str, pattern: str, load: Callable[[DataFrameReader, str | list[str]], DataFrame]) -> DataFrame:
-    """What `load` makes of the files below a folder whose names match; of more than BATCH files it is written BATCH by BATCH.
+    """What `load` makes of the files below a folder whose names match; of more than LAZY files it is written, BATCH by BATCH.
 
     Spark's readers keep what they know of each file on the driver, so the number of files of one plan is bounded.
     """
     reader = lambda: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    paths = file_paths(spark, root, pattern)
-    first = list(islice(paths, BATCH + 1))
-    if len(first) <= BATCH:
-        return load(reader(), root)
-    at, schema, paths = folder(spark, "files"), None, chain(first, paths)
+    paths, lazy = file_paths(spark, root, pattern), min(LAZY, BATCH)
+    first = list(islice(paths, lazy + 1))
+    if len(first) <= lazy:
+        with _listing(spark):
+            return load(reader(), root)
+    at, schema, paths, n = folder(spark, "files"), None, chain(first, paths), 0
     tasks = max(64, 2 * spark.sparkContext.defaultParallelism)
     while batch := list(islice(paths, BATCH)):
         # a path is taken to the letter
-        rows = load(reader(), [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in batch])
-        schema = rows.schema
+        with _listing(spark):
+            rows = load(reader(), [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in batch])
+        schema, n = rows.schema, n + len(batch)
         rows.coalesce(tasks).write.mode("append").parquet(at)
-    return spark.read.schema(schema).parquet(at)
+        del rows
+        gc.collect()  # the plans of earlier batches, and all that they know of their files, live as long as Python's handles of them
+    out = spark.read.schema(schema).parquet(at)
+    return out.hint("merge") if n > WIDE else out
 
 
 def unsafe_entries(root: str) -> list[str]:
-    """Symbolic links below a local root, and what resolves to a place outside it. Other stores have no links to refuse."""
-    top = Path(root).resolve()
-    found = []
-    for folder, dirs, names in os.walk(root):
-        for name in sorted([*dirs, *names]):
-            path = Path(folder, name)
-            if path.is_symlink() or not path.resolve().is_relative_to(top):
-                found.append(str(path))
-        dirs[:] = sorted(d for d in dirs if not Path(folder, d).is_symlink())
-    return found
+    """Symbolic links below a local root, by which alone something there can lie outside it. Other stores have no links to refuse."""
+    found, below = [], [root]
+    while below:
+        with os.scandir(below.pop()) as entries:
+            for e in entries:
+                if e.is_symlink():
+                    found.append(str(Path(e.path)))
+                elif e.is_dir():
+                    below.append(e.path)
+    return sorted(found)
 
 
 def to_json_documents(rows: DataFrame) -> DataFrame:
