@@ -185,3 +185,16 @@ def test_a_plan_that_is_not_written_reads_few_files(spark, tmp_path, monkeypatch
     assert len(rows.inputFiles()) > 0 and not any(f.endswith(".jsonl") for f in rows.inputFiles()) and sorted(r["value"] for r in rows.collect()) == [str(i) for i in range(9)]
     keys = spark.range(9).select(F.col("id").cast("string").alias("value"))
     assert "BroadcastHashJoin" not in (plan := keys.join(rows, "value")._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" in plan
+
+
+def test_a_query_writes_the_logs_of_its_source_alone(spark, tmp_path):
+    from pathlib import Path
+
+    from threadloom.plans import logs as plans
+
+    spark.createDataFrame([(n, t, r, f"{r} {t}") for n in range(4) for t, r in enumerate(("user", "assistant"))], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for source, each in (("grok", 2), ("opencode", 1)):
+        root = Path(plans.written(spark, str(tmp_path), source).removeprefix("file://"))
+        names = [str(f.relative_to(root)) for f in root.rglob("*.json*") if not f.name.startswith(".")]
+        assert [d.name for d in root.parent.iterdir()] == [source] and len(names) == 4 * each + 2 * (source == "opencode")
+        assert plans.written(spark, str(tmp_path), source) == str(root) and plans.scan(spark, str(tmp_path), source).sessions.count() == 4

@@ -1,7 +1,7 @@
 """Logs of the six sources made of the driver's conversations, loaded, and the same rows as SQL over the conversations.
 
 A conversation is a session; its user and assistant turns are what the logs hold. Every third has a title, every fifth
-log a broken last line. Tasks write the files into the shared folder, each those of some conversations, once for a session.
+log a broken last line. Tasks write a source's files into the shared folder, each those of some conversations, once for a session.
 """
 
 from __future__ import annotations
@@ -80,50 +80,56 @@ def _opencode(n: int, turns: list[tuple[str, str]]) -> Iterator[tuple[str, list]
 
 
 WRITERS: dict[str, Callable] = {"codex": _codex, "grok": _grok, "cursor": _cursor, "claude": _claude, "antigravity": _antigravity, "opencode": _opencode}
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
 
 
-def _files(n: int, turns: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
-    """(name, body) of all sources' files of a conversation."""
-    for source, writer in WRITERS.items():
-        for name, lines in writer(n, turns):
-            body = "\n".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in lines)
-            yield f"{source}/{name}", body if n % 5 == 0 or name.endswith(".json") else body + "\n"
+def _files(source: str, n: int, turns: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """(name, body) of a source's files of a conversation."""
+    for name, lines in WRITERS[source](n, turns):
+        body = "\n".join(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in lines)
+        yield name, body if n % 5 == 0 or name.endswith(".json") else body + "\n"
 
 
-def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for start in range(0, len(batch), 500):
-            some = batch.iloc[start : start + 500]
-            found = [f for n, turns in zip(some["conv_id"], some["turns"], strict=True) for f in _files(int(n), [(t["role"], t["text"]) for t in turns])]
-            yield pd.DataFrame(found, columns=["name", "body"])
+def _bodies(source: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 500):
+                some = batch.iloc[start : start + 500]
+                found = [f for n, turns in zip(some["conv_id"], some["turns"], strict=True) for f in _files(source, int(n), [(t["role"], t["text"]) for t in turns])]
+                yield pd.DataFrame(found, columns=["name", "body"])
 
+    return bodies
 
-def written(spark: SparkSession, sf_dir: str) -> str:
-    """The folder with all sources' logs."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+
+def written(spark: SparkSession, sf_dir: str, source: str) -> str:
+    """The folder with a source's logs."""
+    key = (spark.sparkContext.applicationId, sf_dir, source)
     if key not in _written:
-        root = folder(spark, "logs")
+        root = f"{folder(spark, 'logs')}/{source}"
         spoken = model.table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
         talks = spoken.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"], t["text"])).alias("turns"))
-        sink.write_files(talks.mapInPandas(_bodies, "name string, body string"), root)
-        # a page of a catalog names as many sessions as a reader takes, and all pages all of them; one catalog alone names one more
-        n = F.col("conv_id")
-        entry = F.struct(
-            F.concat(F.lit("ses_"), n).alias("id"), F.concat(F.lit("/work/p"), n % 4).alias("directory"), F.concat(F.lit("Title "), n).alias("title"), F.lit("1.18.0").alias("version"),
-            F.struct(((BEGIN + n) * 1000).alias("created"), ((BEGIN + n + 9) * 1000).alias("updated")).alias("time"),
-        )
-        named, listed = spoken.select("conv_id").distinct(), F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e")))).alias("all")
-        page = F.concat(F.lit("opencode/catalogs/page-"), F.floor(n / logs.CATALOG_LIMIT), F.lit(".json")).alias("name")
-        pages = named.groupBy(page).agg(listed)
-        alone = named.orderBy("conv_id").limit(logs.CATALOG_LIMIT + 1).agg(listed).select(F.lit("opencode/session-list.json").alias("name"), "all")
-        sink.write_files(pages.unionByName(alone).select("name", F.to_json(F.col("all.e")).alias("body")), root)
+        sink.write_files(talks.mapInPandas(_bodies(source), "name string, body string"), root)
+        if source == "opencode":
+            sink.write_files(_catalogs(spoken.select("conv_id").distinct()), root)
         _written[key] = root
     return _written[key]
 
 
+def _catalogs(named: DataFrame) -> DataFrame:
+    """(name, body): a page of a catalog names as many sessions as a reader takes, and all pages all of them; one catalog alone names one more."""
+    n = F.col("conv_id")
+    entry = F.struct(
+        F.concat(F.lit("ses_"), n).alias("id"), F.concat(F.lit("/work/p"), n % 4).alias("directory"), F.concat(F.lit("Title "), n).alias("title"), F.lit("1.18.0").alias("version"),
+        F.struct(((BEGIN + n) * 1000).alias("created"), ((BEGIN + n + 9) * 1000).alias("updated")).alias("time"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("conv_id", entry.alias("e")))).alias("all")
+    page = F.concat(F.lit("catalogs/page-"), F.floor(n / logs.CATALOG_LIMIT), F.lit(".json")).alias("name")
+    alone = named.orderBy("conv_id").limit(logs.CATALOG_LIMIT + 1).agg(listed).select(F.lit("session-list.json").alias("name"), "all")
+    return named.groupBy(page).agg(listed).unionByName(alone).select("name", F.to_json(F.col("all.e")).alias("body"))
+
+
 def scan(spark: SparkSession, sf_dir: str, source: str) -> logs.Scan:
-    root = f"{written(spark, sf_dir)}/{source}"
+    root = written(spark, sf_dir, source)
     places = {"cursor": {"root": f"{root}/projects", "chats": f"{root}/chats"}, "antigravity": {"history": f"{root}/history", "brain": f"{root}/brain"}, "opencode": {"catalog": f"{root}/catalogs", "exports": f"{root}/exports", "version": "1.18.2"}}
     return logs.configured(spark, {source: places.get(source, {"root": root})})
 
@@ -189,14 +195,14 @@ def reread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reread_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one source read again by their exports, some of which are refused for each reason that there is."""
-    root = written(spark, sf_dir)
+    root = written(spark, sf_dir, "opencode")
     n = F.substring("native_id", 5, 20).cast("bigint")
     records = scan(spark, sf_dir, "opencode").sessions.select(
         "source_id", F.when(n % 8 == 1, "codex").otherwise(F.col("adapter")).alias("adapter"), F.when(n % 8 == 2, F.concat("native_id", F.lit("x"))).otherwise(F.col("native_id")).alias("native_id"),
         F.when(n % 8 == 3, "sha").when(n % 8 == 4, "7").otherwise(F.col("fingerprint")).alias("fingerprint"),
         F.when(n % 8 == 5, "session:other").when(n % 8 == 2, F.concat("locator", F.lit("x"))).otherwise(F.col("locator")).alias("locator"), F.when(n % 8 == 6, "/elsewhere").otherwise(F.concat("project_hint", F.lit("//"))).alias("project_hint"),
     )
-    turns, heads, warnings = logs.reread_exports(spark, records, f"{root}/opencode/exports", 0, 2)
+    turns, heads, warnings = logs.reread_exports(spark, records, f"{root}/exports", 0, 2)
     told = warnings.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
     count = turns.groupBy("source_id").agg(F.count("*").alias("turns"))
     rows = heads.join(told, "source_id", "left").join(count, "source_id", "left")
@@ -205,14 +211,14 @@ def reread_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def antigravity_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of one workspace alone."""
-    root = f"{written(spark, sf_dir)}/antigravity"
+    root = written(spark, sf_dir, "antigravity")
     found = logs.antigravity(spark, f"{root}/history", f"{root}/brain", "/work/p1/")
     return found.sessions.join(found.turns.groupBy("source_id").agg(F.count("*").alias("turns")), "source_id").select("native_id", "title", "project_hint", "turns")
 
 
 def export_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is read of exports by the version of the program that wrote them."""
-    root = f"{written(spark, sf_dir)}/opencode"
+    root = written(spark, sf_dir, "opencode")
     out = None
     for version in ("1.17.17", "v1.17.18", "1.99.0", "2.0.0", "new"):
         found = logs.opencode(spark, f"{root}/session-list.json", f"{root}/exports", version=version)
