@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text
 from threadloom.plans import model
-from threadloom.plans.storage import folder
+from threadloom.plans.storage import folder, stored
 from threadloom.sources import logs, sink
 
 #: The first time of a conversation, in seconds; its turns follow a second apart.
@@ -155,8 +155,8 @@ def _sessions(source: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def log_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Warnings of all sources by code."""
-    parts = [scan(spark, sf_dir, s).warnings.groupBy("code").agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), "code", "n") for s in WRITERS]
+    """Warnings of all sources by code, one source after the other: a plan of all of them would hold all their broadcasts at once."""
+    parts = [stored(scan(spark, sf_dir, s).warnings.groupBy("code").agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), "code", "n"), "warnings") for s in WRITERS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -165,7 +165,7 @@ def log_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct fingerprints by source: every session's content is its own."""
-    parts = [scan(spark, sf_dir, s).sessions.select(F.lit(s).alias("source"), "fingerprint") for s in ("codex", "grok", "cursor", "claude", "antigravity", "opencode")]
+    parts = [stored(scan(spark, sf_dir, s).sessions.select(F.lit(s).alias("source"), "fingerprint"), "prints") for s in ("codex", "grok", "cursor", "claude", "antigravity", "opencode")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
