@@ -198,3 +198,32 @@ def test_a_query_writes_the_logs_of_its_source_alone(spark, tmp_path):
         names = [str(f.relative_to(root)) for f in root.rglob("*.json*") if not f.name.startswith(".")]
         assert [d.name for d in root.parent.iterdir()] == [source] and len(names) == 4 * each + 2 * (source == "opencode")
         assert plans.written(spark, str(tmp_path), source) == str(root) and plans.scan(spark, str(tmp_path), source).sessions.count() == 4
+
+
+def test_documents_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A plan knows of lists of names and of no document; names are taken to the letter, bytes as they are."""
+    monkeypatch.setattr(sink, "LISTED", 7)
+    monkeypatch.setattr(sink, "READ", 40)
+    made = {f"d{i % 3}/doc-%2Fx {i}" + ["", "[a]", "{b}", "*", "é?\n"][i % 5] + ".md": ("é\r\n" * i).encode() + b"\xff" for i in range(23)} | {"d1/e/doc-none.md": b""}
+    for name, body in (made | dict.fromkeys([".h/doc-a.md", "_h/doc-a.md", "d0/_doc-a.md", "d0/doc-a.txt"], b"no")).items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    for path in (f"{tmp_path}/in", f"file://{tmp_path}/in/"):
+        rows = sink.read_documents(spark, path, "doc-*.md")
+        assert len(rows.inputFiles()) == 4 and all(f.endswith(".json") for f in rows.inputFiles())
+        got = rows.select("name", F.col("body").cast("binary").alias("body")).collect()
+        assert {r["name"]: bytes(r["body"]) for r in got} == {n.rpartition("/")[2]: b for n, b in made.items()} and len(got) == 24
+    assert sink.read_documents(spark, f"{tmp_path}/in", "none*").count() == 0
+    with pytest.raises(FileNotFoundError):
+        sink.read_documents(spark, f"{tmp_path}/out", "doc-*.md")
+
+
+def test_documents_are_written_from_one_scan(spark, monkeypatch):
+    """What is written of documents is not joined with documents, a side of which Spark may gather on the driver."""
+    from threadloom.plans import queries
+
+    plans, write = [], sink.write_files
+    monkeypatch.setattr(sink, "write_files", lambda rows, at: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, at)))
+    rows = queries.written_documents(spark, "/root/testdata/sf0.001").collect()
+    want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(plans) == 1 and "Join" not in plans[0] and plans[0].count("Relation") == 1 and len({r["name"] for r in rows}) == len(rows) == want

@@ -46,25 +46,37 @@ def _local_files(top: str) -> Iterator[os.DirEntry]:
                 yield e
 
 
-def file_paths(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
-    """Paths of the files below a folder, one after the other."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
+def _folder(spark: SparkSession, root: str) -> tuple[object, object, str]:
+    """The store of a folder, the folder in it, and what the paths of files below it begin with."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    local = store.getUri().getScheme() == "file"
+    return store, top, f"file://{top.toUri().getPath()}" if local else store.makeQualified(top).toString().rstrip("/")
+
+
+def file_names(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
+    """Paths below a folder of the files in it, one after the other."""
+    store, top, within = _folder(spark, root)
     if not store.exists(top):
         return
-    if store.getUri().getScheme() == "file":
-        at = top.toUri().getPath()
-        yield from (f"file://{e.path}" for e in (_local_files(at) if os.path.isdir(at) else ()) if _matches(e.name, pattern))
+    if within.startswith("file://"):
+        at = within.removeprefix("file://")
+        yield from (e.path[len(at.rstrip("/")) + 1 :] for e in (_local_files(at) if os.path.isdir(at) else ()) if _matches(e.name, pattern))
         return
-    found, within = store.listFiles(top, True), store.makeQualified(top).toString().rstrip("/")
+    found = store.listFiles(top, True)
     while found.hasNext():
-        path = found.next().getPath().toString()
-        *dirs, name = path[len(within) + 1 :].split("/")
+        path = found.next().getPath().toString()[len(within) + 1 :]
+        *dirs, name = path.split("/")
         if not any(map(_hidden, [*dirs, name])) and _matches(name, pattern):
             yield path
 
 
+def file_paths(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
+    """Paths of the files below a folder, one after the other."""
+    within = _folder(spark, root)[-1].rstrip("/")
+    yield from (f"{within}/{name}" for name in file_names(spark, root, pattern))
+
+
 @contextmanager
 def _listing(spark: SparkSession) -> Iterator[None]:
     """While a plan's files are listed: by as many tasks as run at once, not one a path, and without the session's cache, which keeps what it is told of files."""

@@ -14,22 +14,28 @@ import json
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from threadloom.functions import redaction
-from threadloom.sources.files import read_files
+from threadloom.plans.storage import folder
+from threadloom.sources.files import file_names
 
 FORMAT = "threadloom_files"
 #: Names that a commit holds at once.
 MOVED = 1000
+#: Names that a list of files to be read holds; a task reads about so many files.
+LISTED = 10_000
+#: Bytes of files from which on a task hands on what it has read.
+READ = 16 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -142,5 +148,38 @@ def documents(rows: DataFrame, name: Column, title: Column, body: Column, kind:
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(name, body) of the files below a folder, by the last part of their names."""
-    return read_files(spark, path, pattern, lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("body")))
+    """(name, body) of the files below a folder, by the last part of their names; tasks read them.
+
+    Their paths are listed in files of LISTED each, so neither the driver nor a plan holds what is known of each file.
+    """
+    store, root = opened(path)
+    if store.get_file_info(root.rstrip("/")).type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    at, names, n = folder(spark, "listed"), file_names(spark, path, pattern), 0
+    store, lists = opened(at)
+    store.create_dir(lists, recursive=True)
+    while some := list(islice(names, LISTED)):
+        with store.open_output_stream(f"{lists}/{n:06}.json") as out:
+            out.write("".join(f"{json.dumps({'name': x})}\n" for x in some).encode())
+        n += 1
+    tasks = max(n, 2 * spark.sparkContext.defaultParallelism)
+    rows = spark.read.schema("name string").json(at).repartition(tasks).mapInArrow(_bodies(path), "name string, body binary")
+    return rows.select("name", F.col("body").cast("string").alias("body"))
+
+
+def _bodies(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(path.rstrip("/"))
+        made = lambda: pa.record_batch([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["name", "body"])
+        for batch in batches:
+            names, bodies, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    bodies.append(f.read())
+                names.append(posixpath.basename(name))
+                if (size := size + len(bodies[-1])) >= READ:
+                    yield made()
+                    names, bodies, size = [], [], 0
+            yield made()
+
+    return read
