@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.sources import files, logs, sink
+from threadloom.sources import files, logs, sink, taken
 
 
 @pytest.fixture()
@@ -96,6 +96,45 @@ def test_many_files_are_read_batch_by_batch(spark, tmp_path, monkeypatch):
     assert {len(x) for x in seen} == {7, 2} and len(seen) == 12
 
 
+def test_many_files_are_read_once_by_tasks(spark, tmp_path, monkeypatch):
+    """What tasks read of many files is what Spark's readers read, whatever their names and bytes; a long one is read in ranges."""
+    bodies = [b"", b"\n", b"one", b"a\n\n  \nb\r\n", b"\xef\xbb\xbfmark\nx", b"\xff\xfe \xc3\n\xe9", b"x" * 90 + b"\nlast", b"line\n" * 40, "é\u2028é\n".encode() * 3]
+    for i in range(27):
+        at = tmp_path / f"d{i % 3}/%2Fx {i}{['', '[a]', '{b}', '*', 'é?', '#;^', '\u00a0\u2028'][i % 7]}.jsonl"
+        at.parent.mkdir(exist_ok=True)
+        at.write_bytes(bodies[i % 9])
+    (tmp_path / "d0" / "_a.jsonl").write_text("hidden")
+    (tmp_path / "d0" / "link.jsonl").symlink_to(tmp_path / "d0" / "_a.jsonl")
+    monkeypatch.setattr(logs, "WHOLE", 150)
+    as_bytes = lambda rows: sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in rows.withColumn("value", F.col("value").cast("binary")).collect())
+    whole, prints = as_bytes(logs.lines(spark, str(tmp_path))), sorted(map(tuple, logs.fingerprints(spark, str(tmp_path)).collect()))
+    assert taken.taken(spark, str(tmp_path), "*.jsonl") is None
+    monkeypatch.setattr(taken, "MANY", 5)
+    monkeypatch.setattr(taken, "PIECE", 80)
+    monkeypatch.setattr(taken, "READ", 100)
+    monkeypatch.setattr(sink, "LISTED", 7)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        read = taken.taken(spark, root, "*.jsonl", limit=150)
+        assert read.rows.count() == 24 and {r["long"] for r in read.rows.where("size > 80").collect()} == {True}
+        assert as_bytes(logs.lines(spark, root, read=read)) == whole
+        assert sorted(map(tuple, logs.fingerprints(spark, root, read=read).collect())) == prints and len(prints) == 24
+
+
+def test_sources_of_many_files_are_read_alike(spark, tmp_path, monkeypatch):
+    """The loaders' rows don't depend on who reads the files, and none of many files is opened by Spark's readers."""
+    from threadloom.plans import logs as plans
+
+    said = [(n, t, r, f"{r} {t} of {n}") for n in range(8) for t, r in enumerate(("user", "assistant", "user"))]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for source in ("grok", "cursor", "antigravity"):
+        rows = lambda: [sorted(map(repr, d.collect())) for s in [plans.scan(spark, str(tmp_path), source)] for d in (s.sessions, s.turns, s.warnings)]  # noqa: B023, E731
+        few = rows()
+        with monkeypatch.context() as m:
+            m.setattr(taken, "MANY", 1)
+            m.setattr(logs, "read_files", None)
+            assert rows() == few and len(few[0]) == 8 and len(few[1]) == 24 and len(few[2]) == 2
+
+
 def test_sink_writes_all_or_nothing(spark, tmp_path):
     root = tmp_path / "out"
     rows = spark.range(200).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/f"), "id", F.lit(".md")).alias("name"), F.concat(F.lit("body é "), "id").alias("body")).repartition(9)

@@ -34,14 +34,14 @@ def _matches(name: str, pattern: str) -> bool:
     return any(fnmatchcase(name, p) for p in (pattern[1:-1].split(",") if pattern.startswith("{") else [pattern]))
 
 
-def _local_files(top: str) -> Iterator[os.DirEntry]:
-    """Files below a local folder; not even the names of one folder are held."""
+def _local_files(top: str, links: bool = True) -> Iterator[os.DirEntry]:
+    """Files below a local folder; not even the names of one folder are held. Without `links` none that a symbolic link leads to."""
     with os.scandir(top) as found:
         for e in found:
-            if _hidden(e.name):
+            if _hidden(e.name) or (not links and e.is_symlink()):
                 continue
             if e.is_dir():
-                yield from _local_files(e.path)
+                yield from _local_files(e.path, links)
             else:
                 yield e
 
@@ -54,14 +54,14 @@ def _folder(spark: SparkSession, root: str) -> tuple[object, object, str]:
     return store, top, f"file://{top.toUri().getPath()}" if local else store.makeQualified(top).toString().rstrip("/")
 
 
-def file_names(spark: SparkSession, root: str, pattern: str) -> Iterator[str]:
-    """Paths below a folder of the files in it, one after the other."""
+def file_names(spark: SparkSession, root: str, pattern: str, links: bool = True) -> Iterator[str]:
+    """Paths below a folder of the files in it, one after the other; without `links` none that a local symbolic link leads to."""
     store, top, within = _folder(spark, root)
     if not store.exists(top):
         return
     if within.startswith("file://"):
         at = within.removeprefix("file://")
-        yield from (e.path[len(at.rstrip("/")) + 1 :] for e in (_local_files(at) if os.path.isdir(at) else ()) if _matches(e.name, pattern))
+        yield from (e.path[len(at.rstrip("/")) + 1 :] for e in (_local_files(at, links) if os.path.isdir(at) else ()) if _matches(e.name, pattern))
         return
     found = store.listFiles(top, True)
     while found.hasNext():
@@ -102,7 +102,12 @@ def read_files(spark: SparkSession, root: str, pattern: str, load: Callable[[Dat
     if len(first) <= lazy:
         with _listing(spark):
             return load(reader(), root)
-    at, schema, paths, n = folder(spark, "files"), None, chain(first, paths), 0
+    return read_paths(spark, chain(first, paths), load, reader)
+
+
+def read_paths(spark: SparkSession, paths: Iterator[str], load: Callable[[DataFrameReader, str | list[str]], DataFrame], reader: Callable[[], DataFrameReader]) -> DataFrame:
+    """What `load` makes of files of which there is one at least, written BATCH by BATCH."""
+    at, schema, n = folder(spark, "files"), None, 0
     tasks = max(64, 2 * spark.sparkContext.defaultParallelism)
     while batch := list(islice(paths, BATCH)):
         # a path is taken to the letter

@@ -12,6 +12,7 @@ import re
 import sqlite3
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from urllib.parse import quote
 
 import pandas as pd
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from threadloom.functions import guarded, text
 from threadloom.plans.storage import stored
 from threadloom.schema import SESSIONS, TURNS, WARNINGS
-from threadloom.sources.files import read_files, unsafe_entries
+from threadloom.sources.files import read_files, read_paths, unsafe_entries
+from threadloom.sources.taken import Taken, taken
 
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: Sources whose read is partial as soon as there is a warning.
@@ -77,18 +79,39 @@ def unsafe_warnings(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, WARNINGS)
 
 
-def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+def _ranged(safe: Callable[[DataFrame], DataFrame]) -> Callable:
+    return lambda r, at: safe(r.option("lineSep", "\n").text(at)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("range"), "value", F.monotonically_increasing_id().alias("at"),
+    )
+
+
+def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", read: Taken | None = None) -> DataFrame:
     """(path, line, value, complete) of the files below root, numbered from 1 in each file; blank lines count but have no row.
 
     Files are read in ranges, many tasks a file: a range tells how many lines it has, the sum of those before it in its file
     is where its own numbers begin. `complete` is false for a last line without its line break, which the bytes of all lines
-    tell: with a break each, they are the file's size.
+    tell: with a break each, they are the file's size. `read`: the files as tasks have read them, if they have; of those too
+    long for it alone ranges are read.
     """
-    safe = _safe(root)
-    rows = read_files(spark, root, pattern, lambda r, at: safe(r.option("lineSep", "\n").text(at)).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("range"), "value", F.monotonically_increasing_id().alias("at"),
-    ))
+    if read is None:
+        return _numbered(read_files(spark, root, pattern, _ranged(_safe(root))))
+    number = F.col("i") + 1
+    told = read.rows.where("lines is not null").select("path", "modified", F.size("lines").alias("n"), "closed", F.posexplode("lines").alias("i", "v"))
+    rows = told.select("path", "modified", number.cast("int").alias("line"), F.col("v").cast("string").alias("value"), (F.col("closed") | (number < F.col("n"))).alias("complete"))
+    rows = rows.where(F.trim("value") != "")
+    return rows if (long := _long(spark, read, "long")) is None else rows.unionByName(long)
+
+
+def _long(spark: SparkSession, read: Taken, condition: str) -> DataFrame | None:
+    """Lines of those files for which it holds, read in ranges; none if there are no such files."""
+    paths = read.paths(condition)
+    first = next(paths, None)
+    return None if first is None else _numbered(read_paths(spark, chain([first], paths), _ranged(lambda rows: rows), lambda: spark.read))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Lines of ranges (path, modified, size, range, value, at) with their numbers in their files."""
     ranges = rows.groupBy("path", "range").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"))
     whole = Window.partitionBy("path")
     earlier = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +128,25 @@ def lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame
 WHOLE = 64 << 20
 
 
-def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, fingerprint): SHA-256 of each whole file; of one of more than WHOLE bytes that of its lines' digests, each with its number, summed."""
+def _digests(rows: DataFrame) -> DataFrame:
+    """(path, fingerprint) of files by their lines."""
+    digest = F.sha2(F.concat_ws(":", "line", "complete", "value").cast("binary"), 256)
+    number = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
+    sums = rows.groupBy("path").agg(F.concat_ws(":", F.count("*"), *(number(k) for k in range(4))).alias("sums"))
+    return sums.select("path", F.sha2(F.col("sums").cast("binary"), 256).alias("fingerprint"))
+
+
+def fingerprints(spark: SparkSession, root: str, pattern: str = "*.jsonl", read: Taken | None = None) -> DataFrame:
+    """(path, fingerprint): SHA-256 of each whole file; of one of more than WHOLE bytes that of its lines' digests, each with its number, summed. `read`: as in lines."""
+    if read is not None:
+        told = read.rows.where("print is not null").select("path", F.col("print").alias("fingerprint"))
+        return told if (long := _long(spark, read, "print is null")) is None else told.unionByName(_digests(long))
     safe, path = _safe(root), F.col("_metadata.file_path").alias("path")
     small = read_files(spark, root, pattern, lambda r, at: safe(r.format("binaryFile").load(at)).where(F.col("length") <= WHOLE).select(path, F.sha2("content", 256).alias("fingerprint")))
     large = read_files(spark, root, pattern, lambda r, at: safe(r.format("binaryFile").load(at)).where(F.col("length") > WHOLE).select(path))
     if large.isEmpty():
         return small
-    digest = F.sha2(F.concat_ws(":", "line", "complete", "value").cast("binary"), 256)
-    number = lambda k: F.sum(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
-    sums = lines(spark, root, pattern).join(large, "path", "left_semi").groupBy("path").agg(F.concat_ws(":", F.count("*"), *(number(k) for k in range(4))).alias("sums"))
-    return small.unionByName(sums.select("path", F.sha2(F.col("sums").cast("binary"), 256).alias("fingerprint")))
+    return small.unionByName(_digests(lines(spark, root, pattern).join(large, "path", "left_semi")))
 
 
 def parsed(rows: DataFrame, schema: str) -> DataFrame:
@@ -181,7 +212,8 @@ def codex(spark: SparkSession, root: str) -> Scan:
         "model:string,effort:string,content:array<struct<type:string,text:string>>>"
     )
     native = F.lower(F.regexp_extract("path", rf"(?i)-({UUID})\.jsonl$", 1))
-    rows = parsed(lines(spark, root), schema).withColumn("native", native)
+    read = taken(spark, root, "*.jsonl", limit=WHOLE)
+    rows = parsed(lines(spark, root, read=read), schema).withColumn("native", native)
     unnamed = _warnings(rows.where("native = ''").select("path").distinct(), "unrecognized-session-name", F.regexp_extract("path", r"([^/]+)$", 1))
     rows = rows.where("native <> ''").select("*", *_identity("codex", ns, F.col("native")))
     rows = stored(rows, "codex")
@@ -202,7 +234,7 @@ def codex(spark: SparkSession, root: str) -> Scan:
     heads = heads.withColumn("project_hint", F.col("m.cwd")).withColumn("started_at", F.coalesce(text.parse_time(F.col("m.timestamp")), "first"))
     heads = heads.withColumn("model_provider", text.header_value(F.col("m.model_provider"))).withColumn("health", F.when(F.col("last") == "task_complete", "complete").otherwise("unknown"))
     missing = _warnings(heads.where("m is null"), "missing-session-metadata", F.col("locator"))
-    heads = heads.where("m is not null").join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left")
+    heads = heads.where("m is not null").join(fingerprints(spark, root, read=read).withColumnRenamed("path", "locator"), "locator", "left")
     role = F.when((kind == "response_item") & (p["type"] == "message"), F.when(p["role"] == "user", "user").when(p["role"] == "assistant", "agent"))
     said = good.withColumn("role", role).withColumn("text", _blocks(p["content"], F.when(F.col("role") == "user", "input_text").otherwise("output_text")))
     turns = _turns(said.withColumn("locator", F.concat(F.lit("jsonl:"), F.col("line").cast("string"))).withColumn("at", when), 0)
@@ -238,7 +270,13 @@ def grok(spark: SparkSession, root: str) -> Scan:
     ns = namespace(root)
     native, group = F.lower(F.regexp_extract("path", rf"(?i)/({UUID})/[^/]+$", 1)), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1)
     summary = "created_at string, updated_at string, git_root_dir string, generated_title string, current_model_id string"
-    heads = read_files(spark, root, "summary.json", lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value"))
+    read = taken(spark, root, "{summary.json,updates.jsonl}", "summary.json", links=True, limit=WHOLE)
+    if read is None:
+        heads = read_files(spark, root, "summary.json", lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value"))
+    else:
+        heads = read.named("summary.json").rows.select("path", "modified", F.col("content").cast("string").alias("value"))
+        if bad := unsafe_files(root):
+            read = read.where(~_local(F.col("path")).isin(bad))
     heads = heads.withColumn("ok", F.try_parse_json("value").isNotNull()).withColumn("r", guarded.parsed(F.col("value"), summary)).withColumn("native", native).where("native <> ''")
     # a file URL escapes the percent signs of the folder's own name
     folder = text.percent_decoded(F.regexp_replace(group, "%25", "%"))
@@ -252,11 +290,11 @@ def grok(spark: SparkSession, root: str) -> Scan:
         "*", F.coalesce(parse("r.created_at"), "modified").alias("started_at"), F.coalesce(parse("r.updated_at"), "modified").alias("updated_at"),
         F.coalesce("r.git_root_dir", text.first_non_blank(F.trim("cwd")), folder).alias("project_hint"), F.col("r.generated_title").alias("title"), F.lit("unknown").alias("health"), text.header_value(F.col("r.current_model_id")).alias("model_id"),
     )
-    prints = fingerprints(spark, root, "{summary.json,updates.jsonl}").select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"), F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), "fingerprint").alias("f"))
+    prints = fingerprints(spark, root, "{summary.json,updates.jsonl}", read).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir"), F.concat_ws(":", F.regexp_extract("path", r"([^/]+)$", 1), "fingerprint").alias("f"))
     prints = prints.groupBy("dir").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), "\n"), 256).alias("fingerprint"))
     sessions = sessions.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).join(prints, "dir", "left")
     schema = "method string, timestamp bigint, params struct<sessionId:string,update:struct<sessionUpdate:string,content:struct<type:string,text:string>>>"
-    rows = parsed(lines(spark, root, "updates.jsonl"), schema).withColumn("native", native).where("native <> ''")
+    rows = parsed(lines(spark, root, "updates.jsonl", read and read.named("updates.jsonl")), schema).withColumn("native", native).where("native <> ''")
     rows = rows.select("*", *_identity("grok", ns, F.col("native")))
     u = F.col("r.params.update")
     kind = F.when(u["sessionUpdate"] == "user_message_chunk", "user").when(u["sessionUpdate"] == "agent_message_chunk", "agent")
@@ -283,6 +321,8 @@ EXPORT = "info struct<id:string,directory:string,model:struct<id:string,provider
 
 def _exports(spark: SparkSession, exports: str) -> DataFrame:
     """(path, value) of the files of exports."""
+    if (read := taken(spark, exports, "*.json", "*", links=True)) is not None:
+        return read.rows.select("path", F.col("content").cast("string").alias("value"))
     return read_files(spark, exports, "*.json", lambda r, at: r.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
@@ -391,7 +431,10 @@ def _sidecars(spark: SparkSession, chats: str) -> DataFrame:
     """(nid, workspace, s, store, print, broken_meta, broken_store): what lies beside a chat, by chat and workspace folder."""
     at = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("nid"), F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("workspace")
     kinds = "title string, createdAtMs bigint, updatedAtMs bigint, cwd string"
-    files = read_files(spark, chats, "{meta.json,store.db}", lambda r, at: r.format("binaryFile").load(at).select("path", "content"))
+    if (read := taken(spark, chats, "{meta.json,store.db}", "*", links=True)) is not None:
+        files = read.rows.select(F.concat(F.lit("/"), "name").alias("path"), "content")
+    else:
+        files = read_files(spark, chats, "{meta.json,store.db}", lambda r, at: r.format("binaryFile").load(at).select("path", "content"))
     is_meta = F.endswith("path", F.lit("/meta.json"))
     meta = files.where(is_meta).select(*at, F.decode("content", "UTF-8").alias("value"), F.sha2("content", 256).alias("meta_print"))
     meta = meta.withColumn("broken_meta", ~F.startswith(F.ltrim("value"), F.lit("{")) | F.try_parse_json("value").isNull()).withColumn("s", guarded.parsed(F.col("value"), kinds)).drop("value")
@@ -409,11 +452,12 @@ def cursor(spark: SparkSession, root: str, chats: str | None = None) -> Scan:
     ns = namespace(root)
     schema = "role string, message struct<content:array<struct<type:string,text:string,name:string,input:struct<model:string>>>>"
     native = F.regexp_extract("path", r"/agent-transcripts/([^/]+)/[^/]+\.jsonl$", 1)
-    rows = parsed(lines(spark, root), schema).withColumn("native", native).where("native <> ''").select("*", *_identity("cursor", ns, F.col("native")))
+    read = taken(spark, root, "*.jsonl", limit=WHOLE)
+    rows = parsed(lines(spark, root, read=read), schema).withColumn("native", native).where("native <> ''").select("*", *_identity("cursor", ns, F.col("native")))
     parts = F.col("r.message.content")
     model = F.get(F.filter(parts, lambda p: (p["type"] == "tool_use") & (p["name"] == "Task") & p["input"]["model"].isNotNull()), F.lit(0))["input"]["model"]
     heads = rows.groupBy("source_id", "adapter", "namespace", "native_id", F.col("path").alias("locator")).agg(F.max("modified").alias("modified"), text.header_value(F.max_by(model, F.when(model.isNotNull(), F.col("line")))).alias("task_model"))
-    heads = heads.join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left")
+    heads = heads.join(fingerprints(spark, root, read=read).withColumnRenamed("path", "locator"), "locator", "left")
     warnings = _malformed(rows, "malformed-turn").unionByName(unsafe_warnings(spark, root))
     if chats is not None:
         slug = F.regexp_extract("locator", r"/([^/]+)/agent-transcripts/", 1)
@@ -448,13 +492,14 @@ def claude(spark: SparkSession, root: str) -> Scan:
     """projects/<slug>/<id>.jsonl; the last ai-title is the title, content is a text or a list of blocks."""
     ns = namespace(root)
     schema = "type string, timestamp string, sessionId string, cwd string, aiTitle string, message struct<role:string,model:string,content:variant>"
-    rows = parsed(lines(spark, root), schema).select("*", *_identity("claude", ns, _stem(F.col("path"))))
+    read = taken(spark, root, "*.jsonl", limit=WHOLE)
+    rows = parsed(lines(spark, root, read=read), schema).select("*", *_identity("claude", ns, _stem(F.col("path"))))
     good, when, line = rows.where("ok"), text.parse_time(F.col("r.timestamp"), naive_is_utc=True), F.col("line")
     heads = good.groupBy("source_id", "adapter", "namespace", "native_id", F.col("path").alias("locator")).agg(
         F.coalesce(F.min(when), F.min("modified")).alias("started_at"), F.coalesce(F.max(when), F.max("modified")).alias("updated_at"), F.max_by("r.aiTitle", F.when(F.col("r.type") == "ai-title", line)).alias("title"),
         F.min_by("r.cwd", F.when(F.col("r.cwd").isNotNull(), line)).alias("project_hint"), text.header_value(F.max_by("r.message.model", F.when(F.col("r.message.model").isNotNull(), line))).alias("model_id"),
     )
-    heads = heads.join(fingerprints(spark, root).withColumnRenamed("path", "locator"), "locator", "left").withColumn("model_provider", F.lit("anthropic")).withColumn("health", F.lit("unknown"))
+    heads = heads.join(fingerprints(spark, root, read=read).withColumnRenamed("path", "locator"), "locator", "left").withColumn("model_provider", F.lit("anthropic")).withColumn("health", F.lit("unknown"))
     content = F.col("r.message.content")
     body = F.coalesce(guarded.guarded(content, "string"), _blocks(guarded.guarded(content, "array<struct<type:string,text:string>>"), ["text"]))
     role = F.when(F.col("r.type") == "user", "user").when(F.col("r.type") == "assistant", "agent")
@@ -469,17 +514,18 @@ TOOL_MARKS = ("<tool_call", "</tool_call", "<function_call", "```tool")
 def antigravity(spark: SparkSession, history: str, brain: str, workspace: str | None = None) -> Scan:
     """history.jsonl names conversations of a workspace; each has one transcript below the brain folder."""
     ns = namespace(brain)
-    rows = parsed(lines(spark, history), "display string, timestamp bigint, workspace string, conversationId string")
+    rows = parsed(lines(spark, history, read=taken(spark, history, "*.jsonl", limit=WHOLE)), "display string, timestamp bigint, workspace string, conversationId string")
     known = rows.where("ok").where(F.rlike("r.conversationId", F.lit(rf"^{UUID}$")))
     if workspace is not None:
         known = known.where(F.regexp_replace("r.workspace", r"/+$", "") == workspace.rstrip("/"))
     at = text.epoch_time(F.col("r.timestamp"), "ms")
     named = F.when(F.trim("r.display") != "", F.col("line"))
     heads = known.groupBy(F.col("r.conversationId").alias("nid")).agg(F.min(at).alias("started_at"), F.max(at).alias("updated_at"), F.max_by("r.display", named).alias("title"), F.max_by("r.workspace", "line").alias("project_hint"))
-    said = parsed(lines(spark, brain), "source string, type string, content string, created_at string").withColumn("nid", F.lower(F.regexp_extract("path", rf"(?i)/({UUID})/", 1))).join(heads.select("nid"), "nid", "left_semi")
+    read = taken(spark, brain, "*.jsonl", limit=WHOLE)
+    said = parsed(lines(spark, brain, read=read), "source string, type string, content string, created_at string").withColumn("nid", F.lower(F.regexp_extract("path", rf"(?i)/({UUID})/", 1))).join(heads.select("nid"), "nid", "left_semi")
     said = said.select("*", *_identity("antigravity", ns, F.col("nid")))
     sessions = heads.select("*", *_identity("antigravity", ns, F.col("nid"))).join(said.groupBy("source_id").agg(F.min("path").alias("locator")), "source_id", "left")
-    sessions = sessions.join(fingerprints(spark, brain).withColumnRenamed("path", "locator"), "locator", "left").withColumn("health", F.lit("unknown"))
+    sessions = sessions.join(fingerprints(spark, brain, read=read).withColumnRenamed("path", "locator"), "locator", "left").withColumn("health", F.lit("unknown"))
     c = F.col("r.content")
     asked = F.regexp_extract(c, r"(?s)<USER_REQUEST>\s*(.*?)\s*</USER_REQUEST>", 1)
     prose = (F.length(c) <= PROSE_LIMIT) & ~F.contains(c, F.lit("file:///")) & ~F.exists(F.array(*map(F.lit, TOOL_MARKS)), lambda m: F.contains(c, m))

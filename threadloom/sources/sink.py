@@ -147,6 +147,18 @@ def documents(rows: DataFrame, name: Column, title: Column, body: Column, kind:
     return rows.select(name.alias("name"), F.concat(F.lit("# "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(body, F.lit("")), F.lit("\n")).alias("body"))
 
 
+def listed(spark: SparkSession, names: Iterator[str]) -> tuple[str, int]:
+    """(folder, number) of files that list names, LISTED of them each."""
+    at, n = folder(spark, "listed"), 0
+    store, lists = opened(at)
+    store.create_dir(lists, recursive=True)
+    while some := list(islice(names, LISTED)):
+        with store.open_output_stream(f"{lists}/{n:06}.json") as out:
+            out.write("".join(f"{json.dumps({'name': x})}\n" for x in some).encode())
+        n += 1
+    return at, n
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(name, body) of the files below a folder, by the last part of their names; tasks read them.
 
@@ -155,13 +167,7 @@ def read_documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     store, root = opened(path)
     if store.get_file_info(root.rstrip("/")).type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    at, names, n = folder(spark, "listed"), file_names(spark, path, pattern), 0
-    store, lists = opened(at)
-    store.create_dir(lists, recursive=True)
-    while some := list(islice(names, LISTED)):
-        with store.open_output_stream(f"{lists}/{n:06}.json") as out:
-            out.write("".join(f"{json.dumps({'name': x})}\n" for x in some).encode())
-        n += 1
+    at, n = listed(spark, file_names(spark, path, pattern))
     tasks = max(n, 2 * spark.sparkContext.defaultParallelism)
     rows = spark.read.schema("name string").json(at).repartition(tasks).mapInArrow(_bodies(path), "name string, body binary")
     return rows.select("name", F.col("body").cast("string").alias("body"))
