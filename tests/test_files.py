@@ -135,6 +135,16 @@ def test_sources_of_many_files_are_read_alike(spark, tmp_path, monkeypatch):
             assert rows() == few and len(few[0]) == 8 and len(few[1]) == 24 and len(few[2]) == 2
 
 
+def test_exports_are_parsed_once(spark, tmp_path):
+    """What is told of sessions, turns and warnings comes from exports that were parsed and written; no plan reads their files again."""
+    from threadloom.plans import logs as plans
+
+    spark.createDataFrame([(n, t, r, f"{r} {t}") for n in range(6) for t, r in enumerate(("user", "assistant"))], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = plans.scan(spark, str(tmp_path), "opencode")
+    assert not any("/exports/" in f for d in (found.sessions, found.turns, found.warnings) for f in d.inputFiles())
+    assert (found.sessions.count(), found.turns.count(), found.warnings.count()) == (6, 12, 2)
+
+
 def test_sink_writes_all_or_nothing(spark, tmp_path):
     root = tmp_path / "out"
     rows = spark.range(200).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/f"), "id", F.lit(".md")).alias("name"), F.concat(F.lit("body é "), "id").alias("body")).repartition(9)

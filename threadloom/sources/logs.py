@@ -395,7 +395,7 @@ def opencode(spark: SparkSession, catalog: str, exports: str, directory: str | N
     good = F.coalesce(good, F.lit(False))
     files = _exports(spark, exports).withColumn("r", guarded.parsed(F.col("value"), EXPORT)).where("r.info.id is not null and path not like '%session-list%'")
     ids = rows.select("source_id", F.col("native_id").alias("nid"), "u")
-    files = files.join(ids, F.col("r.info.id") == F.col("nid"))
+    files = stored(files.join(ids, F.col("r.info.id") == F.col("nid")).select("path", "r", "source_id", "nid", "u"), "exports")  # what is told of sessions, turns and warnings reads it
     m = F.col("r.info.model")
     head = files.select(F.col("source_id").alias("sid"), text.header_value(m["id"]).alias("model_id"), text.header_value(m["providerID"]).alias("model_provider"), text.header_value(m["variant"]).alias("effort")).dropDuplicates(["sid"])
     sessions = rows.where(good).join(head, F.col("source_id") == F.col("sid"), "left").select(
